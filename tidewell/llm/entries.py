@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.packing import op7_packing
 from tidewell.llm.simhash import op4_simhash
 from tidewell.llm.tables import table
 
@@ -17,6 +18,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash": _over("documents", op4_simhash),
+        "op7_packing": _over("documents", op7_packing),
     }
 
 
