@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm.packing import op7_packing
 from tidewell.llm.simhash import op4_simhash
 from tidewell.llm.tables import table
+from tidewell.llm.warc import op10_warc
 
 
 def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash": _over("documents", op4_simhash),
         "op7_packing": _over("documents", op7_packing),
+        "op10_warc": _over("pages", op10_warc),
     }
 
 
