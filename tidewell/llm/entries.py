@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.outliers import op5_robust_outliers
 from tidewell.llm.packing import op7_packing
+from tidewell.llm.quality import op2_quality
 from tidewell.llm.simhash import op4_simhash
 from tidewell.llm.tables import table
 from tidewell.llm.warc import op10_warc
@@ -19,6 +20,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": op2_quality,
         "op4_simhash": _over("documents", op4_simhash),
         "op5_robust_outliers": _over("documents", op5_robust_outliers),
         "op7_packing": _over("documents", op7_packing),
