@@ -11,6 +11,7 @@ from tidewell.llm.packing import op7_packing
 from tidewell.llm.quality import op2_quality
 from tidewell.llm.simhash import op4_simhash
 from tidewell.llm.tables import table
+from tidewell.llm.toxicity import op1_toxicity
 from tidewell.llm.warc import op10_warc
 
 
@@ -20,6 +21,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_quality": op2_quality,
         "op4_simhash": _over("documents", op4_simhash),
         "op5_robust_outliers": _over("documents", op5_robust_outliers),
