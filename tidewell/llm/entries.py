@@ -12,6 +12,8 @@ from tidewell.llm.quality import op2_quality
 from tidewell.llm.simhash import op4_simhash
 from tidewell.llm.tables import table
 from tidewell.llm.toxicity import op1_toxicity
+from tidewell.llm.urlfilter import ORACLE_SQL as URL_FILTER_SQL
+from tidewell.llm.urlfilter import op6_url_filter
 from tidewell.llm.warc import op10_warc
 
 
@@ -25,10 +27,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op4_simhash": _over("documents", op4_simhash),
         "op5_robust_outliers": _over("documents", op5_robust_outliers),
+        "op6_url_filter": _over("pages", op6_url_filter),
         "op7_packing": _over("documents", op7_packing),
         "op10_warc": _over("pages", op10_warc),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_url_filter": URL_FILTER_SQL,
+    }
