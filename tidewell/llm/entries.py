@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm.outliers import op5_robust_outliers
 from tidewell.llm.packing import op7_packing
 from tidewell.llm.quality import op2_quality
+from tidewell.llm.sharding import op3_sharding
 from tidewell.llm.simhash import op4_simhash
 from tidewell.llm.tables import table
 from tidewell.llm.toxicity import op1_toxicity
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_quality": op2_quality,
+        "op3_sharding": _over("documents", op3_sharding),
         "op4_simhash": _over("documents", op4_simhash),
         "op5_robust_outliers": _over("documents", op5_robust_outliers),
         "op6_url_filter": _over("pages", op6_url_filter),
