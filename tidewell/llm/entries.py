@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.decontaminate import op9_decontamination
 from tidewell.llm.outliers import op5_robust_outliers
 from tidewell.llm.packing import op7_packing
 from tidewell.llm.quality import op2_quality
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_robust_outliers": _over("documents", op5_robust_outliers),
         "op6_url_filter": _over("pages", op6_url_filter),
         "op7_packing": _over("documents", op7_packing),
+        "op9_decontamination": op9_decontamination,
         "op10_warc": _over("pages", op10_warc),
     }
 
