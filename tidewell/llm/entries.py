@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.chat import ORACLE_SQL as CHAT_SQL
+from tidewell.llm.chat import op8_chat
 from tidewell.llm.decontaminate import op9_decontamination
 from tidewell.llm.outliers import op5_robust_outliers
 from tidewell.llm.packing import op7_packing
@@ -32,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_robust_outliers": _over("documents", op5_robust_outliers),
         "op6_url_filter": _over("pages", op6_url_filter),
         "op7_packing": _over("documents", op7_packing),
+        "op8_chat": _over("conversations", op8_chat),
         "op9_decontamination": op9_decontamination,
         "op10_warc": _over("pages", op10_warc),
     }
@@ -40,4 +43,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_url_filter": URL_FILTER_SQL,
+        "op8_chat": CHAT_SQL,
     }
