@@ -86,7 +86,7 @@ def ingest_batch(spark: SparkSession, extracted: DataFrame, tables: dict[str, st
     workbooks of numbers. Documents are written last: until they are, the batch is as if it
     had not been, and its chunks and statistics are replaced by key when it is run again.
     """
-    fresh = materialize(without_match(extracted, stored(spark, tables["documents"]), "key", "r2_key"), "ingest-batch")
+    fresh = materialize(without_match(extracted.dropDuplicates(["key"]), stored(spark, tables["documents"]), "key", "r2_key"), "ingest-batch")
     usable = fresh.filter(strip(F.col("text")) != "")
     chunks = materialize(chunk_rows(usable, embedder, **options), "ingest-chunks")
     with_chunks = chunks.select(F.col("document_id").alias("__has")).distinct()
