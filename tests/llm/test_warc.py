@@ -1,0 +1,60 @@
+import base64
+import hashlib
+
+from tidewell.llm import warc
+from tidewell.storage import new_path
+
+PAGES = "page_id long, url string, html string"
+ROWS = [
+    (1, "http://a.example/x y", "<p>é</p>\r\n\r\n"),
+    (5, None, "<p>é</p>\r\n\r\n"),
+    (3, "http://b.example/", None),
+    (2, "http://b.example/", ""),
+    (4, "\n", "WARC/1.1\r\n\r\nfake"),
+    (4, "\n", "WARC/1.1\r\n\r\nfake"),
+    (None, None, None),
+    (7, "http://c.example/", "x" * 300_000),
+]
+
+
+def digest(html):
+    return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
+
+
+def test_round_trip_and_revisits(spark):
+    pages = spark.createDataFrame(ROWS, PAGES).selectExpr("*", "'clash' digest", "'clash' n", "'clash' payload")
+    got = warc.op10_warc(pages).collect()
+    assert len(got) == len(ROWS)
+    for page_id, _, html in ROWS:
+        for r in (r for r in got if r["page_id"] == page_id):
+            assert r["payload_digest"] == digest(html) and r["payload_bytes"] == len((html or "").encode())
+            least = min((p for p, _, h in ROWS if p is not None and digest(h) == digest(html)), default=None)
+            revisit = page_id is not None and page_id != least
+            assert r["record_type"] == ("revisit" if revisit else "response") and r["refers_to"] == (least if revisit else None)
+    assert warc.op10_warc(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_small_payloads_can_be_left_whole(spark):
+    pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], PAGES)
+    plan = {r["page_id"]: r["refers_to"] for r in warc.plan_records(pages, min_bytes=3).collect()}
+    assert plan == {1: None, 2: None, 3: None, 4: 3}
+
+
+def test_selected_records_are_read_by_range(spark):
+    folder = new_path(spark, "test-warc")
+    index = warc.write_archives(spark.createDataFrame(ROWS, PAGES), folder)
+    some = warc.read_records(index.filter("page_id in (4, 7)"), folder, with_payload=True).collect()
+    assert sorted(r["page_id"] for r in some) == [4, 4, 7] and all(r["intact"] for r in some)
+    assert {r["payload"] for r in some} == {"WARC/1.1\r\n\r\nfake", "x" * 300_000}
+
+
+def test_ranges_coalesce_over_small_gaps():
+    assert warc.coalesced([(0, 10), (12, 5), (100, 5)], gap=4, most=50) == [(0, 17, 0, 2), (100, 5, 2, 3)]
+    assert warc.coalesced([(0, 10), (10, 45)], gap=4, most=50) == [(0, 10, 0, 1), (10, 45, 1, 2)]
+
+
+def test_native_digest(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([("é" * 9,), ("",)], "s string").select("s", warc.base32_sha1(F.col("s")).alias("d")).collect()
+    assert all(r["d"] == digest(r["s"]) for r in row)
