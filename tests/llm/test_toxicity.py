@@ -57,6 +57,11 @@ def test_learns_words_and_beginnings_and_holds_out(spark):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in got if not r["predicted"]}
 
 
+def test_partitions_without_rows(spark):
+    sample = spark.createDataFrame([("an idiot", 1), ("a day", 0)] * 30, "text string, toxic int").repartition(40)
+    assert [p[:2] for p in toxicity.learned_patterns(sample)]
+
+
 def test_copies_of_a_toxic_text_teach_no_more_than_the_text():
     rows = [[0, 1, 2]] * 30 + [[0]] * 20
     assert toxicity.explaining(rows, [0.9, 0.95, 0.95], [5, 6, 7]) == [0]

@@ -228,7 +228,8 @@ def learned_patterns(sample: DataFrame) -> list[tuple[str, bool, float]]:
             if len(counts[0]) + len(counts[1]) > 500_000:
                 yield _table(counts)
                 counts = (Counter(), Counter())
-        yield _table(counts)
+        if counts[0] or counts[1]:  # a table of no rows has no kinds of columns
+            yield _table(counts)
 
     rows = sample.mapInPandas(count, "pattern string, clean long, toxic long").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = toxic / (toxic + clean)
