@@ -148,7 +148,7 @@ def month_label(month: Column) -> Column:
 
 def compact_number(n: Column) -> Column:
     """1234 as ``1.2k``, 2500000 as ``2.5M``."""
-    return F.when(n >= 1_000_000, F.concat(F.format_number(n / 1_000_000, "0.0"), F.lit("M"))).when(n >= 1_000, F.concat(F.format_number(n / 1_000, "0.0"), F.lit("k"))).otherwise(n.cast("string"))
+    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000)).when(n >= 1_000, F.format_string("%.1fk", n / 1_000)).otherwise(n.cast("string"))
 
 
 def split_list(text: Column) -> Column:

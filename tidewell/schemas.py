@@ -1,22 +1,21 @@
-"""Schemas of the engine's tables."""
+"""Schemas of the engine's tables, as DDL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-DOCUMENTS = T.StructType.fromDDL(
+DOCUMENTS = (
     "id BIGINT, r2_key STRING, filename STRING, file_type STRING, category STRING, subcategory STRING, country STRING, year INT, type_document STRING, "
     "date_publication STRING, extraction_method STRING, page_count INT, char_count INT, doc_metadata MAP<STRING, STRING>, created_at TIMESTAMP_NTZ, source_url STRING"
 )
-CHUNKS = T.StructType.fromDDL(
+CHUNKS = (
     "id BIGINT, document_id BIGINT, chunk_index INT, content STRING, token_count INT, embedding ARRAY<FLOAT>, "
     "chunk_metadata STRUCT<category: STRING, subcategory: STRING, source: STRING, lien: STRING, image_paths: ARRAY<STRING>>, created_at TIMESTAMP_NTZ"
 )
-STATISTICS = T.StructType.fromDDL("id BIGINT, document_id BIGINT, indicator STRING, country STRING, period STRING, year INT, value DOUBLE, unit STRING, raw_label STRING, source_sheet STRING")
-FEEDBACK = T.StructType.fromDDL("id BIGINT, question STRING, is_positive BOOLEAN, query_type STRING, model_key STRING, created_at TIMESTAMP_NTZ")
-CELLS = T.StructType.fromDDL("key STRING, sheet STRING, row_idx INT, col_idx INT, raw STRING, kind STRING")
+STATISTICS = "id BIGINT, document_id BIGINT, indicator STRING, country STRING, period STRING, year INT, value DOUBLE, unit STRING, raw_label STRING, source_sheet STRING"
+FEEDBACK = "id BIGINT, question STRING, is_positive BOOLEAN, query_type STRING, model_key STRING, created_at TIMESTAMP_NTZ"
+CELLS = "key STRING, sheet STRING, row_idx INT, col_idx INT, raw STRING, kind STRING"
 TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "statistics": STATISTICS, "feedback": FEEDBACK}
 
 #: Longest period that a statistics row may hold.
@@ -25,8 +24,7 @@ PERIOD_CHARS = 32
 
 def create_tables(spark: SparkSession, database: str = "default") -> None:
     """Create what is missing; statistics are clustered by their usual filters."""
-    for name, schema in TABLES.items():
-        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    for name, columns in TABLES.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
 
 

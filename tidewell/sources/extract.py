@@ -73,8 +73,8 @@ def image_sentence(key: Column, n: Column) -> Column:
 
 def chosen_text(key: str = "key", pages: str = "page_count", native: str = "native_text", ocr: str = "ocr_text", images: str = "n_images") -> Column:
     """struct(text, method): native if long enough, else OCR if longer, else images, else what there is."""
-    n, o = F.coalesce(F.col(native), F.lit("")), F.coalesce(F.col(ocr), F.lit(""))
-    blank = (strip(n) == "") & (strip(o) == "")
+    n, o = (strip(F.coalesce(F.col(c), F.lit(""))) for c in (native, ocr))
+    blank = (n == "") & (o == "")
     method = (
         F.when(F.coalesce(F.col(pages), F.lit(0)) == 0, "error")
         .when(F.length(n) >= NATIVE_CHARS, "native")
