@@ -58,7 +58,7 @@ def test_learns_words_and_beginnings_and_holds_out(spark):
 
 
 def test_partitions_without_rows(spark):
-    sample = spark.createDataFrame([("an idiot", 1), ("a day", 0)] * 30, "text string, toxic int").repartition(40)
+    sample = spark.createDataFrame([("an idiot", 1)] * 30 + [("a day", 0)] * 300, "text string, toxic int").repartition(340)
     assert [p[:2] for p in toxicity.learned_patterns(sample)]
 
 
