@@ -579,3 +579,28 @@ def feedback_stream_counts(spark, d):
     from tidewell.streaming.feedback import windowed_counts
 
     return windowed_counts(table(spark, d, "events"), "ts", "event_type")
+
+
+# --- optional indexes ------------------------------------------------------------------
+
+
+@query(f"SELECT id, country FROM {_LIB} WHERE contains(lower(coalesce(filename, '')), 'doc-12') OR contains(lower(coalesce(subcategory, '')), 'doc-12')")
+def library_trigram_search(spark, d):
+    from tidewell.operators import ann
+
+    docs = _library_documents(spark, d)
+    return ann.substring_search(docs, ann.postings(docs, ["filename", "subcategory"]), "doc-12", ["filename", "subcategory"]).select("id", "country")
+
+
+@query()
+def vector_cells_topk(spark, d):
+    """Top-8 through the cell index. These vectors have no clusters, so 15 of 16 cells are probed for a recall over 0.9."""
+    from tidewell.operators import ann
+    from tidewell.storage import new_path
+
+    chunks = _chunks(spark, d)
+    centroids = ann.fit_cells(chunks, 16)
+    path = new_path(spark, "cells")
+    ann.write_cells(chunks, centroids, path)
+    q = _vector(spark, d, 7)
+    return retrieval.similarity_search(ann.probe(spark, path, centroids, q, 15), q, 8).select("chunk_id", F.round("score", 6).alias("score"))
