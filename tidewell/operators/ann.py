@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import vectors
+from tidewell.sampling import hash_sample
 
 SAMPLE = 20_000
 
 
 def fit_cells(chunks: DataFrame, cells: int, key: str = "chunk_id", rounds: int = 10, seed: int = 1) -> np.ndarray:
     """Unit centroids by spherical k-means on at most SAMPLE vectors."""
-    some = chunks.select(key, "embedding").orderBy(F.xxhash64(key), key).limit(SAMPLE).toPandas()
+    some = hash_sample(chunks.select(key, "embedding"), key, SAMPLE).toPandas()
     x = np.array(some["embedding"].tolist(), np.float64)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     centroids = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]

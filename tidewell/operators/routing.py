@@ -66,7 +66,7 @@ DICTIONARY_ROWS = 100_000
 
 def matched_synonyms(questions: DataFrame, synonyms: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:
     """(qid, ord, key, terms) for every key that the folded question contains."""
-    if synonyms.limit(DICTIONARY_ROWS + 1).count() > DICTIONARY_ROWS:
+    if synonyms.count() > DICTIONARY_ROWS:
         raise ValueError("the dictionary is too large to try every key on every question")
     keys = F.broadcast(synonyms.select("ord", "key", "terms", fold(F.col("key")).alias("__key")))
     asked = questions.select(qid, fold(F.col(question)).alias("__q"))

@@ -39,7 +39,7 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, total: int, salt: Sequence[str]) -> DataFrame:
     """:func:`lookup`, or a plain broadcast if ``right``, once counted, has few rows."""
-    if right.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    if right.count() > BROADCAST_ROWS:
         return lookup(left, right, keys, weight, total, salt)
     extra = [c for c in right.columns if c not in (*keys, weight)]
     small = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *extra)
