@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -43,6 +44,13 @@ def distance(metric: str, a: Column, b: Column) -> Column:
     return {"l2": l2_distance, "ip": negative_dot}.get(metric, cosine_distance)(a, b)
 
 
+def score_to(metric: str, a: Column, length: Column, query: Sequence[float]) -> Column:
+    """Score against one query vector; ``length`` is the norm of ``a``, the query's is computed once, here."""
+    if metric in ("l2", "ip"):
+        return score(metric, a, literal(query))
+    return 1 - (1 - dot(a, literal(query)) / (length * F.lit(math.sqrt(sum(float(x) * float(x) for x in query)))))
+
+
 def score(metric: str, a: Column, b: Column) -> Column:
     """1 - distance, whatever the metric."""
     return 1 - distance(metric, a, b)

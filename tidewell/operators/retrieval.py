@@ -27,7 +27,7 @@ def best_first() -> list[Column]:
 
 def scored_chunks(chunks: DataFrame, query: Sequence[float], metric: str = "cosine") -> DataFrame:
     """Chunks with ``score``; the vector is dropped as soon as it has been used."""
-    return chunks.withColumn("score", vectors.score(metric, F.col("embedding"), vectors.literal(query))).drop("embedding")
+    return chunks.withColumn("score", vectors.score_to(metric, F.col("embedding"), vectors.norm(F.col("embedding")), query)).drop("embedding")
 
 
 def similarity_search(chunks: DataFrame, query: Sequence[float], top_k: int = 6, filters: Mapping[str, object] | None = None, min_similarity: float | None = None, metric: str = "cosine") -> DataFrame:
@@ -42,8 +42,9 @@ def similarity_search(chunks: DataFrame, query: Sequence[float], top_k: int = 6,
 
 def topk_per_query(chunks: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], top_k: int, metric: str = "cosine") -> DataFrame:
     """Top-k of each of a batch of queries in one scan: a score per query, ranked within it."""
-    scores = F.array(*[F.struct(F.lit(int(q)).cast("long").alias("qid"), vectors.score(metric, F.col("embedding"), vectors.literal(v)).alias("score")) for q, v in queries])
-    each = chunks.select("*", F.explode(scores).alias("__q")).drop("embedding").select("*", "__q.qid", "__q.score").drop("__q")
+    scores = F.array(*[F.struct(F.lit(int(q)).cast("long").alias("qid"), vectors.score_to(metric, F.col("embedding"), F.col("__length"), v).alias("score")) for q, v in queries])
+    measured = chunks.withColumn("__length", vectors.norm(F.col("embedding")))  # once for all queries
+    each = measured.select("*", F.explode(scores).alias("__q")).drop("embedding", "__length").select("*", "__q.qid", "__q.score").drop("__q")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(*best_first()))
     return each.withColumn("rank", rank).filter(F.col("rank") <= top_k)
 
