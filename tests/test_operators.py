@@ -22,6 +22,12 @@ def test_floor_comes_after_the_limit(chunks):
     assert retrieval.similarity_search(chunks, [1, 0], 3, {"category": "a", "year": None}).count() == 3
 
 
+def test_a_vector_without_direction_comes_last_but_is_kept(spark):
+    some = spark.createDataFrame([(1, 1, "a", [0.0, 0.0], "a", None, 1), (2, 1, "b", [-1.0, 0.0], "a", None, 1)], CHUNK)
+    assert [r["chunk_id"] for r in retrieval.similarity_search(some, [1, 0], 5, min_similarity=-2.0).collect()] == [2, 1]
+    assert [r["chunk_id"] for r in retrieval.similarity_search(some, [0, 0], 5, min_similarity=0.5).collect()] == [1, 2]
+
+
 def cascade(rows, filters, floor, k):
     """The fallback as a loop."""
 

@@ -27,8 +27,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
 
 
+def _cosine(product: Column, lengths: Column) -> Column:
+    """Cosine of a dot product and the product of norms; NaN if a vector has no direction."""
+    return F.when(lengths == 0, F.lit(float("nan"))).otherwise(product / lengths)
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - dot(a, b) / (norm(a) * norm(b))
+    return 1 - _cosine(dot(a, b), norm(a) * norm(b))
 
 
 def l2_distance(a: Column, b: Column) -> Column:
@@ -48,7 +53,7 @@ def score_to(metric: str, a: Column, length: Column, query: Sequence[float]) ->
     """Score against one query vector; ``length`` is the norm of ``a``, the query's is computed once, here."""
     if metric in ("l2", "ip"):
         return score(metric, a, literal(query))
-    return 1 - (1 - dot(a, literal(query)) / (length * F.lit(math.sqrt(sum(float(x) * float(x) for x in query)))))
+    return 1 - (1 - _cosine(dot(a, literal(query)), length * F.lit(math.sqrt(sum(float(x) * float(x) for x in query)))))
 
 
 def score(metric: str, a: Column, b: Column) -> Column:

@@ -22,7 +22,8 @@ def matches(filters: Mapping[str, object] | None, drop: Sequence[str] = ()) -> C
 
 
 def best_first() -> list[Column]:
-    return [F.col("score").desc(), F.col("chunk_id")]
+    """Best score first, NaN last, ties by id."""
+    return [F.nanvl("score", F.lit(float("-inf"))).desc(), F.col("chunk_id")]
 
 
 def scored_chunks(chunks: DataFrame, query: Sequence[float], metric: str = "cosine") -> DataFrame:
