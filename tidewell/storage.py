@@ -57,9 +57,10 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small: ``rows`` at most, or fewer if already set."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 64) -> None:
+    """Keep Arrow batches of whole texts small: at most ``rows`` rows, and closed beyond ``mb`` MB."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("bB")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # a size with another unit was set by someone
+            spark.conf.set(key, str(most))
