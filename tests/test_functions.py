@@ -49,6 +49,10 @@ def one(spark, value, column, kind="string"):
         (text.inline_markdown, "**x** *y* `z`", "<strong>x</strong> <em>y</em> <code>z</code>"),
         (text.month_label, "2024-03", "Mar 24"),
         (text.is_number, " 2024 ", True),
+        (text.table_cells, "| a | b c |", ["a", "b c"]),
+        (text.is_table_rule, "|---|:-:|", True),
+        (text.list_item, " 2) deux", "deux"),
+        (text.list_item, "deux", None),
         (text.is_title_line, "GOUVERNEUR ADJOINT", True),
         (text.is_title_line, "Gouverneur", False),
         (text.is_name_line, "Yvon SANA BANGUI", True),

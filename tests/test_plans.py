@@ -40,6 +40,40 @@ def test_ingest_is_idempotent(spark, tables):
     assert statistics.count() == 2
 
 
+def test_a_folder_is_ingested_once(spark, tables, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "sub" / "Rapport Gabon 2021.pdf").write_bytes(b"p")
+    (tmp_path / "in" / "Tchad series.xlsx").write_bytes(b"x")
+    (tmp_path / "in" / "other.txt").write_bytes(b"x")
+
+    def pages(content):
+        return ["Le rapport annuel décrit la politique monétaire. " * 4, "Seconde page."]
+
+    def cells(content, name):
+        rows = [["Indicateur des prix à la consommation", "2022", "2023"], ["Inflation annuelle moyenne", "2,5", "(1)"], ["PIB Gabon en volume", "n.d.", "7"]]
+        return [("S", r, c, v, "str") for r, row in enumerate(rows) for c, v in enumerate(row)]
+
+    got = ingest.ingest_folder(spark, str(tmp_path / "in"), tables, MODEL, pdf_reader=pages, sheet_reader=cells)
+    assert (got.processed, got.failed, got.stat_rows) == (2, 0, 3)
+    series = {(r["indicator"], r["period"]): (r["country"], r["value"]) for r in ingest.stored(spark, tables["statistics"]).collect()}
+    assert series == {("Inflation annuelle moyenne", "2022"): ("Tchad", 2.5), ("Inflation annuelle moyenne", "2023"): ("Tchad", -1.0), ("PIB Gabon en volume", "2023"): ("Gabon", 7.0)}
+    again = ingest.ingest_folder(spark, str(tmp_path / "in"), tables, MODEL, pdf_reader=pages, sheet_reader=cells)
+    assert again.processed == 0 and ingest.stored(spark, tables["documents"]).count() == 2
+
+
+def test_evaluation_end_to_end(spark):
+    passages = spark.createDataFrame([(k, k, "f.pdf", "c", "Gabon", 2020, f"passage {k} " * 40) for k in range(6)], "chunk_id long, document_id long, filename string, category string, country string, year int, content string")
+
+    def generate(prompt):
+        if prompt.startswith("Note"):
+            return '{"context_recall": 5, "faithfulness": 4, "answer_relevance": 3}'
+        return "no pair" if "passage 1 " in prompt else '{"question": "Q?", "expected_answer": "A"}'
+
+    rows = evaluation.evaluate(spark, passages, lambda q: ask.Response("R", "vector", [{"source": "f"}], None, "ctx"), generate, 6)
+    assert rows.columns == list(evaluation.REPORT) and rows.count() == 5
+    assert evaluation.summary(rows).first()["avg_global"] == 4.0
+
+
 def test_limit_comes_before_what_is_known(spark, tables):
     listed = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
     known = spark.createDataFrame([("a",)], "r2_key string")

@@ -138,6 +138,24 @@ def inline_markdown(text: Column) -> Column:
     return F.regexp_replace(out, "`(.+?)`", "<code>$1</code>")
 
 
+def is_table_row(line: Column) -> Column:
+    return strip(line).rlike(r"^\|.*\|$")
+
+
+def is_table_rule(line: Column) -> Column:
+    return strip(line).rlike(r"^\|[\s:|-]+\|$")
+
+
+def table_cells(line: Column) -> Column:
+    """Trimmed cells of ``| a | b |``."""
+    return F.transform(F.split(F.regexp_replace(strip(line), r"^\||\|$", ""), r"\|"), lambda c: strip(c))
+
+
+def list_item(line: Column) -> Column:
+    """What a bullet or numbered line lists; NULL for other lines."""
+    return F.nullif(F.regexp_extract(line, r"^\s*(?:[-*•]|\d+[.)])\s+(.+)$", 1), F.lit(""))
+
+
 _MONTHS = ("Jan", "Fév", "Mar", "Avr", "Mai", "Juin", "Juil", "Août", "Sep", "Oct", "Nov", "Déc")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,37 @@ def summary(rows: DataFrame) -> DataFrame:
     return means.withColumn("avg_global", F.round(total / len(METRICS), 2))
 
 
+JUDGE_PROMPT = """Note de 1 à 5 la réponse obtenue.
+Question : {question}
+Réponse attendue : {expected}
+Réponse obtenue : {answer}
+Contexte : {context}
+context_recall : le contexte contient-il l'information ? faithfulness : la réponse s'y tient-elle ? answer_relevance : répond-elle à la question ?
+Réponds par un objet JSON avec ces trois clés."""
+QUESTION_PROMPT = """Écris une question dont la réponse est dans ce passage, et cette réponse, en JSON avec les clés question et expected_answer.
+Passage : {content}"""
+
+
+def evaluate(spark, chunks: DataFrame, ask, generate, n: int = 20, seed: int = 0) -> DataFrame:
+    """Report rows for n sampled passages (chunk_id, document_id, filename, category, country, year, content).
+
+    ``generate`` answers a prompt and ``ask`` a question; both are services called from the
+    driver, one sampled passage at a time.
+    """
+    made = []
+    for r in sample(chunks, n, seed).collect():
+        made.append({**r.asDict(), "pair": generate(QUESTION_PROMPT.format(content=r["content"]))})
+    kind = "chunk_id long, document_id long, filename string, category string, country string, year int, content string, pair string"
+    pairs = spark.createDataFrame([tuple(m.get(c.split()[0]) for c in kind.split(", ")) for m in made], kind)
+    rows = []
+    for r in pairs.withColumn("qa", question_pair(F.col("pair"))).filter("qa IS NOT NULL").collect():
+        answer = ask(r["qa"]["question"])
+        judged_text = generate(JUDGE_PROMPT.format(question=r["qa"]["question"], expected=r["qa"]["expected_answer"], answer=answer.answer, context=answer.context))
+        rows.append((r["chunk_id"], r["document_id"], r["filename"], r["category"], r["country"], r["year"], *r["qa"], answer.answer, answer.query_type, json.dumps(answer.sources, ensure_ascii=False, default=str), answer.context, r["content"], judged_text))
+    schema = "chunk_id long, document_id long, filename string, category string, country string, year int, question string, expected_answer string, generated_answer string, query_type string, sources string, context_used string, chunk_content string, judged string"
+    return spark.createDataFrame(rows, schema).withColumn("j", judged(F.col("judged"))).select("*", "j.*").select(*REPORT)
+
+
 def write_report(rows: DataFrame, folder: str) -> None:
     """CSV of the fixed columns, texts on one line each, and the summary as JSON."""
     flat = rows.select(*[flat_csv(F.col(c).cast("string")).alias(c) for c in REPORT])

@@ -11,11 +11,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions.detect import document_country, document_year
+from tidewell.functions.detect import detect_country, document_country, document_year
 from tidewell.functions.embedding import Embedder, embed_column
-from tidewell.functions.text import basename, strip
+from tidewell.functions.text import basename, strip, suffix
 from tidewell.operators.chunking import chunked
 from tidewell.operators.dashboards import without_match
+from tidewell.operators.tabular import markdown, statistics
+from tidewell.schemas import TABLES, checked_periods
+from tidewell.sources.extract import chosen_text, extract_cells, extract_pdfs, pdf_pages, sheet_cells
+from tidewell.sources.objects import list_objects, of_kind, read_contents
 from tidewell.storage import materialize
 
 
@@ -79,7 +83,7 @@ def chunk_rows(extracted: DataFrame, embedder: Embedder, **options) -> DataFrame
     return embedded.select(F.xxhash64("document_id", "chunk_index").alias("id"), "document_id", "chunk_index", "content", "token_count", "embedding", "chunk_metadata", F.current_timestamp().cast("timestamp_ntz").alias("created_at"))
 
 
-def ingest_batch(spark: SparkSession, extracted: DataFrame, tables: dict[str, str], embedder: Embedder, statistics: DataFrame | None = None, keep_chunkless: bool = False, **options) -> Ingested:
+def ingest_batch(spark: SparkSession, extracted: DataFrame, tables: dict[str, str], embedder: Embedder, series: DataFrame | None = None, keep_chunkless: bool = False, **options) -> Ingested:
     """Append one batch to the tables' folders (documents, chunks, statistics).
 
     Documents without a chunk fail with their statistics, unless ``keep_chunkless`` keeps
@@ -96,20 +100,35 @@ def ingest_batch(spark: SparkSession, extracted: DataFrame, tables: dict[str, st
     out = Ingested(processed=done.count(), skipped=extracted.count() - fresh.count(), chunks=chunks.count())
     out.failed = usable.count() - out.processed
     append_new(spark, chunks, tables["chunks"], "document_id")
-    if statistics is not None:
-        of_done = statistics.withColumn("document_id", F.xxhash64("key"))
+    if series is not None:
+        of_done = series.withColumn("document_id", F.xxhash64("key"))
         ids = done.select(F.col("id").alias("__id"))
-        of_done = materialize(of_done.join(ids, of_done["document_id"] == ids["__id"], "left_semi").drop("key"), "ingest-statistics")
+        of_done = materialize(of_done.join(ids, of_done["document_id"] == ids["__id"], "left_semi").drop("key"), "ingest-statistics").select(*[c.split()[0] for c in TABLES["statistics"].split(", ")])
         append_new(spark, of_done, tables["statistics"], "document_id")
         out.stat_rows = of_done.count()
     append_new(spark, done, tables["documents"], "id")
     return out
 
 
+def ingest_folder(spark: SparkSession, folder: str, tables: dict[str, str], embedder: Embedder, metadata: DataFrame | None = None, only: str | None = None, limit: int | None = None, pdf_reader=pdf_pages, sheet_reader=sheet_cells, **options) -> Ingested:
+    """List, leave out what is known, extract, and ingest what is left of a folder."""
+    listed = of_kind(list_objects(spark, folder, metadata), only)
+    fresh = new_objects(listed, stored(spark, tables["documents"]), limit)
+    bodies = read_contents(spark, folder).join(fresh, "path")
+    pdf = suffix(F.col("key")) == ".pdf"
+    texts = extract_pdfs(bodies.filter(pdf), pdf_reader).withColumns({"ocr_text": F.lit(""), "n_images": F.lit(0)}).join(fresh, "path")
+    chosen = chosen_text()
+    documents = texts.select("key", "metadata", F.lit("pdf").alias("file_type"), chosen["text"].alias("text"), chosen["method"].alias("method"), "page_count", F.array().cast("array<string>").alias("image_paths"))
+    cells = materialize(extract_cells(bodies.filter(~pdf), sheet_reader), "ingest-cells").withColumnRenamed("key", "path").join(fresh.select("path", "key"), "path").drop("path")
+    blocks = markdown(cells).groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("block")), "\n\n").alias("text"))
+    books = blocks.join(fresh, "key").select("key", "metadata", F.lit("excel").alias("file_type"), "text", F.lit("excel").alias("method"), F.lit(None).cast("int").alias("page_count"), F.array().cast("array<string>").alias("image_paths"))
+    files = fresh.select("key", detect_country(basename(F.col("key"))).alias("file_country"))
+    series = statistics(cells.join(files, "key"), "file_country").select("key", F.xxhash64("key", "sheet", "row", "col").alias("id"), "indicator", "country", "period", "year", "value", "unit", "raw_label", "source_sheet")
+    return ingest_batch(spark, documents.unionByName(books), tables, embedder, checked_periods(series), **options)
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame:
     """A table's rows, none if it is not there yet."""
-    from tidewell.schemas import TABLES
-
     name = path.rstrip("/").rsplit("/", 1)[-1]
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):

@@ -4,7 +4,7 @@ about what they return are Column expressions."""
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,11 +56,41 @@ def extract_cells(contents: DataFrame, reader=sheet_cells) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(path, *cell) for path, content in zip(batch["path"], batch["content"]) for cell in reader(content, path)]
+            if not rows:
+                continue
             yield pd.DataFrame(rows, columns=["key", "sheet", "row_idx", "col_idx", "raw", "kind"])
 
     return contents.select("path", "content").mapInPandas(run, "key string, sheet string, row_idx int, col_idx int, raw string, kind string")
 
 
+def recognised_pages(contents: DataFrame, pages: Callable[[bytes], list[bytes]], recognise: Callable[[bytes], str]) -> DataFrame:
+    """(key, page, text): pages are taken apart, dealt over all tasks, and recognised one by one."""
+    bounded_batches(contents.sparkSession, 16)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path, n, image) for path, content in zip(batch["path"], batch["content"]) for n, image in enumerate(pages(content))]
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "page", "image"])
+
+    def read(images: pd.Series) -> pd.Series:
+        return pd.Series([recognise(i) for i in images])
+
+    apart = contents.select("path", "content").mapInPandas(split, "key string, page int, image binary")
+    return apart.repartition("key", "page").select("key", "page", F.pandas_udf(read, "string")(F.col("image")).alias("text"))
+
+
+def extracted_images(contents: DataFrame, save: Callable[[str, bytes], list[str]]) -> DataFrame:
+    """(path, image_paths, n_images): ``save`` stores a file's images and returns their paths."""
+    bounded_batches(contents.sparkSession, 16)
+
+    def run(paths: pd.Series, bodies: pd.Series) -> pd.Series:
+        return pd.Series([save(p, b) for p, b in zip(paths, bodies)])
+
+    out = contents.select("path", F.pandas_udf(run, "array<string>")(F.col("path"), F.col("content")).alias("image_paths"))
+    return out.withColumn("n_images", F.size("image_paths"))
+
+
 def joined_pages(pages: DataFrame) -> DataFrame:
     """(key, ocr_text) from one row per recognised page, in page order, blank pages skipped."""
     said = pages.filter(strip(F.col("text")) != "")
