@@ -604,3 +604,71 @@ def vector_cells_topk(spark, d):
     ann.write_cells(chunks, centroids, path)
     q = _vector(spark, d, 7)
     return retrieval.similarity_search(ann.probe(spark, path, centroids, q, 15), q, 8).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+# --- more of the scalar and table operators --------------------------------------------
+
+
+@query(
+    "WITH l AS (SELECT 'f' || (page_id % 30) || '.pdf' AS filename, arg_max(url, page_id) AS link FROM pages GROUP BY 1), d AS (SELECT page_id AS id, 'f' || (page_id % 50) || '.pdf' AS filename, CASE WHEN page_id % 6 = 0 THEN 'set' END AS source_url FROM pages WHERE page_id % 4 <> 0) "
+    "SELECT id, d.filename, CASE WHEN source_url IS NOT NULL THEN 'already_set' WHEN link IS NULL THEN 'unmatched' ELSE 'updated' END AS outcome, coalesce(source_url, link) AS new_url FROM d LEFT JOIN l ON d.filename = l.filename"
+)
+def backfill_links(spark, d):
+    p = table(spark, d, "pages")
+    n = F.col("page_id")
+    name = lambda m: F.concat(F.lit("f"), (n % m).cast("string"), F.lit(".pdf"))
+    links = p.select(F.concat(F.lit("x/"), name(30)).alias("chemin_relatif"), F.col("url").alias("lien"), n.alias("row_no"))
+    docs = p.select(n.alias("id"), name(50).alias("filename"), F.when(n % 4 == 0, "excel").otherwise("pdf").alias("file_type"), F.when(n % 6 == 0, "set").alias("source_url"))
+    return backfill.filled_links(docs, links)
+
+
+@query("SELECT vec_id AS id, CASE WHEN label % 3 = 0 THEN NULL ELSE CAST(label AS BIGINT) END AS document_id, 'statistics' AS kept_in FROM embeddings UNION ALL SELECT vec_id, CAST(label AS BIGINT), 'chunks' FROM embeddings WHERE label % 3 <> 0")
+def delete_cascade(spark, d):
+    from tidewell.schemas import delete_documents
+
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("document_id"))
+    documents = rows.select(F.col("document_id").alias("id")).distinct()
+    _, chunks, series = delete_documents(documents, rows, rows, documents.filter(F.col("id") % 3 == 0))
+    return series.withColumn("kept_in", F.lit("statistics")).unionByName(chunks.withColumn("kept_in", F.lit("chunks")))
+
+
+@query("SELECT split_part(url, '/', 3) AS r2_key, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")
+def unique_key_violations(spark, d):
+    from tidewell.schemas import unique_keys
+
+    return unique_keys(table(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("r2_key")))
+
+
+@query("SELECT month, list_value('Jan','Fév','Mar','Avr','Mai','Juin','Juil','Août','Sep','Oct','Nov','Déc')[CAST(substr(month, 6, 2) AS INTEGER)] || ' ' || substr(month, 3, 2) AS label, n FROM (SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1)")
+def month_labels(spark, d):
+    return dashboards.by_month(table(spark, d, "orders"), "o_orderdate").select("month", text.month_label(F.col("month")).alias("label"), "n")
+
+
+PAIRS = [(0, '{"question": "Q ?", "expected_answer": "A"}'), (1, 'x {"question": "Q2", "expected_answer": "B"} y'), (2, '{"question": ""}'), (3, "rien"), (4, '{"question": "Q", "expected_answer": null}')]
+
+
+@query("SELECT id, json_extract_string(j, '$.question') AS question, json_extract_string(j, '$.expected_answer') AS expected_answer FROM (SELECT id, nullif(regexp_extract(s, '(?s)\\{.*\\}'), '') AS j FROM " + values(PAIRS, "id, s") + ") WHERE coalesce(json_extract_string(j, '$.question'), '') <> '' AND coalesce(json_extract_string(j, '$.expected_answer'), '') <> ''")
+def question_pair_parse(spark, d):
+    rows = spark.createDataFrame(PAIRS, "id int, s string").select("id", evaluation.question_pair(F.col("s")).alias("q")).filter("q IS NOT NULL")
+    return rows.select("id", "q.question", "q.expected_answer")
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '\r\n|\n|\r', ' ', 'g')) AS flat, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM documents")
+def flat_and_escaped(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.flat_csv(F.col("text"))).alias("flat"), F.md5(text.escape_html(F.col("text"))).alias("escaped"))
+
+
+@query(f"SELECT max(year) AS latest_year, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM {_LIB}")
+def latest_year_and_pages(spark, d):
+    return _library_documents(spark, d).agg(F.max("year").alias("latest_year"), library.page_count(F.count(F.lit(1))).alias("pages"))
+
+
+@query("SELECT count(*) AS n_new FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def new_documents_count(spark, d):
+    return dashboards.without_match(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "doc_id").agg(F.count(F.lit(1)).alias("n_new"))
+
+
+@query("SELECT conv_id, turn, CASE query_type WHEN 'sql' THEN 'Données chiffrées' WHEN 'vector' THEN 'Documents' WHEN 'hybrid' THEN 'Hybride' WHEN 'meta' THEN 'Assistant' END AS label FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'sql' WHEN turn % 3 = 1 THEN 'vector' ELSE 'hybrid' END AS query_type FROM conversations)")
+def query_labels(spark, d):
+    kind = F.when(F.col("turn") % 3 == 0, "sql").when(F.col("turn") % 3 == 1, "vector").otherwise("hybrid")
+    return table(spark, d, "conversations").select("conv_id", "turn", chatlog.query_label(kind).alias("label"))
