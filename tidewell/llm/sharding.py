@@ -39,10 +39,16 @@ ROUNDS = 4
 _COARSE = 32
 
 
-def _sample(rows: DataFrame, n: int) -> list[tuple[int, int]]:
-    """(key, hash) of n rows drawn by weight ``size`` without replacement, in order."""
+def _sample(rows: DataFrame, n: int, total: int) -> list[tuple[int, int]]:
+    """(key, hash) of n rows drawn by weight ``size`` without replacement, in order.
+
+    ``total`` is the sum of weights. Rows whose exponential variates are too large to be
+    among the n smallest are left out where they lie, so all tasks together hand on little
+    more than n rows, however many tasks there are.
+    """
     uniform = (F.shiftrightunsigned(F.xxhash64("key", "hash", F.lit(7)), 11).cast("double") + 0.5) / float(1 << 53)
-    got = rows.select("key", "hash", (-F.log(uniform) / F.col("size")).alias("__p")).orderBy("__p", "key", "hash").limit(n).collect()
+    drawn = rows.select("key", "hash", (-F.log(uniform) / F.col("size")).alias("__p")).filter(F.col("__p") <= 2.0 * n / max(total, 1))
+    got = drawn.orderBy("__p", "key", "hash").limit(n).collect()
     return sorted((r["key"], r["hash"]) for r in got)
 
 
@@ -76,7 +82,7 @@ def range_number(splitters: list[tuple[int, int]]) -> Column:
 def splitters_of(rows: DataFrame, ranges: int, sample: int) -> tuple[list[tuple[int, int]], DataFrame]:
     """Splitters, and (range, bytes, n) of the ranges they make, none overfull that can be split."""
     total = rows.agg(F.sum("size").alias("s")).first()["s"] or 0
-    splitters = _quantiles(_sample(rows, sample), ranges)
+    splitters = _quantiles(_sample(rows, sample, total), ranges)
     most = max(OVERFULL * total / ranges, 1)
     overfull = (F.col("bytes") > most) & (F.col("low") < F.col("high"))
     for left in range(ROUNDS, -1, -1):
@@ -87,7 +93,7 @@ def splitters_of(rows: DataFrame, ranges: int, sample: int) -> tuple[list[tuple[
             break
         over = F.broadcast(sums.filter(overfull).select("range"))  # at most ranges / OVERFULL rows
         parts = min(ranges, math.ceil(2 * full["b"] / most) + full["k"])
-        more = _quantiles(_sample(placed.join(over, "range"), min(sample, 16 * parts)), parts)
+        more = _quantiles(_sample(placed.join(over, "range"), min(sample, 16 * parts), full["b"]), parts)
         if set(more) <= set(splitters):
             break
         splitters = sorted({*splitters, *more})
