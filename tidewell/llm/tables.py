@@ -15,7 +15,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, modulo 3; labels of fold 1 are held out."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(3))
-
-
-def like_input(rows: DataFrame, template: DataFrame) -> DataFrame:
-    return rows.select(*template.columns)

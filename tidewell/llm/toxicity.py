@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.quality import fit_logistic
 from tidewell.llm.tables import fold, table
+from tidewell.sampling import hash_sample
 from tidewell.storage import bounded_batches, materialize, release
 
 #: Labelled rows that the grammar learns from, at most.
@@ -207,7 +208,7 @@ class Grammar:
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of at most SAMPLE labelled rows outside fold 1, chosen by hash; stored."""
     chosen = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(fold(F.col("doc_id")) != 1).groupBy(F.col("doc_id").alias("__labelled")).agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("__labelled"), "__labelled").limit(SAMPLE)
+    chosen = hash_sample(chosen, "__labelled", SAMPLE)
     some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__labelled"))
     return materialize(some.groupBy("text").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), "toxicity-sample")  # copies count once
 
