@@ -80,7 +80,7 @@ def sketched(items: DataFrame) -> DataFrame:
 
 def _bounded(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Join with the right side broadcast if it is counted to be small."""
-    small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = right.count() <= BROADCAST_ROWS
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
@@ -125,7 +125,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns."""
     gone = materialize(contaminations(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct(), "decontaminate-gone")
-    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = gone.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
