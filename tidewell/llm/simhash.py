@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm import jaccard
 from tidewell.skew import lookup
 from tidewell.storage import bounded_batches, materialize, release
 
@@ -298,12 +299,33 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component, the row with the smallest ``doc_id`` stays.
+    """Pipeline stage: of each component of near copies one row stays, that with the smallest ``doc_id``.
 
-    Of rows that repeat a ``doc_id`` and its text one stays. Rows without a ``doc_id`` are
-    beyond linking to a verdict and stay, but for repeats of a text.
+    Near copies have five-word shingles of Jaccard similarity 0.8 at least
+    (:mod:`tidewell.llm.jaccard`), not fingerprints within 2 bits, which only hold almost
+    equal texts together. A null ``doc_id`` comes last. Rows are told apart by a key of
+    their own, so repeated and null ids lose no text and keep no copy.
     """
-    found = near_duplicates(docs)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])  # rows lie by doc_id already
+    bounded_batches(docs.sparkSession)
+    marked = docs.select("*", F.monotonically_increasing_id().alias("__row"), jaccard.sketch(F.col("text")).alias("__sketch"))
+    marked = materialize(marked, "jaccard-marked")
+    slim = marked.select(F.col("__sketch.node").alias("node"), F.col("__sketch.n").alias("n"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row")).alias("first"))
+    firsts = slim.groupBy("node").agg(F.min("n").alias("n"), F.min("first").alias("first"))
+    sketched = marked.select(F.col("__row").alias("__at"), F.col("__sketch.bands").alias("bands"))
+    each = materialize(firsts.join(sketched, firsts["first.row"] == sketched["__at"]).select("node", "n", "first", F.col("first.row").alias("row"), "bands"), "jaccard-each")
+    texts = marked.select(F.col("__row").alias("row"), "text")
+    met = jaccard.members(each)
+    star = materialize(jaccard.star_pairs(met), "jaccard-star")
+    links = jaccard.verified(star, each, texts)
+    roots = components(links, "jaccard-roots")
+    cross = jaccard.cross_pairs(met, roots).join(star, ["a", "b"], "left_anti")
+    cross = materialize(cross, "jaccard-cross")
+    if not cross.isEmpty():
+        more = jaccard.verified(cross, each, texts)
+        release(roots)
+        roots = components(links.unionByName(more), "jaccard-roots")
+    linked = roots.select(F.col("node").alias("__node"), "root")
+    rooted = each.join(linked, each["node"] == linked["__node"], "left").select("first", F.coalesce("root", "node").alias("root"))
+    stay = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__stay")), "jaccard-stay")
+    release(each, met, star, cross, links, roots)
+    return marked.join(stay, marked["__row"] == stay["__stay"], "left_semi").select(*docs.columns)
