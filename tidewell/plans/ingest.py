@@ -18,7 +18,7 @@ from tidewell.operators.chunking import chunked
 from tidewell.operators.dashboards import without_match
 from tidewell.operators.tabular import markdown, statistics
 from tidewell.schemas import TABLES, checked_periods
-from tidewell.sources.extract import chosen_text, extract_cells, extract_pdfs, pdf_pages, sheet_cells
+from tidewell.sources.extract import NATIVE_CHARS, chosen_text, extract_cells, extract_pdfs, extracted_images, joined_pages, pdf_pages, recognised_pages, sheet_cells
 from tidewell.sources.objects import list_objects, of_kind, read_contents
 from tidewell.storage import materialize
 
@@ -110,15 +110,30 @@ def ingest_batch(spark: SparkSession, extracted: DataFrame, tables: dict[str, st
     return out
 
 
-def ingest_folder(spark: SparkSession, folder: str, tables: dict[str, str], embedder: Embedder, metadata: DataFrame | None = None, only: str | None = None, limit: int | None = None, pdf_reader=pdf_pages, sheet_reader=sheet_cells, **options) -> Ingested:
-    """List, leave out what is known, extract, and ingest what is left of a folder."""
+def ingest_folder(spark: SparkSession, folder: str, tables: dict[str, str], embedder: Embedder, metadata: DataFrame | None = None, only: str | None = None, limit: int | None = None, pdf_reader=pdf_pages, sheet_reader=sheet_cells, page_splitter=None, recogniser=None, image_saver=None, **options) -> Ingested:
+    """List, leave out what is known, extract, and ingest what is left of a folder.
+
+    PDFs with fewer than ``NATIVE_CHARS`` native characters are recognised page by page if
+    ``page_splitter`` and ``recogniser`` are given, and their images kept by ``image_saver``.
+    """
     listed = of_kind(list_objects(spark, folder, metadata), only)
     fresh = new_objects(listed, stored(spark, tables["documents"]), limit)
     bodies = read_contents(spark, folder).join(fresh, "path")
     pdf = suffix(F.col("key")) == ".pdf"
-    texts = extract_pdfs(bodies.filter(pdf), pdf_reader).withColumns({"ocr_text": F.lit(""), "n_images": F.lit(0)}).join(fresh, "path")
+    native = materialize(extract_pdfs(bodies.filter(pdf), pdf_reader), "ingest-native")
+    scanned = bodies.join(native.filter(F.length("native_text") < NATIVE_CHARS).select("path"), "path", "left_semi")
+    texts = native.join(fresh, "path")
+    if page_splitter and recogniser:
+        read = materialize(joined_pages(recognised_pages(scanned, page_splitter, recogniser)), "ingest-recognised").withColumnRenamed("key", "path")
+        texts = texts.join(read, "path", "left")
+    else:
+        texts = texts.withColumn("ocr_text", F.lit(""))
+    if image_saver:
+        texts = texts.join(materialize(extracted_images(scanned, image_saver), "ingest-images"), "path", "left")
+    else:
+        texts = texts.withColumns({"n_images": F.lit(0), "image_paths": F.lit(None).cast("array<string>")})
     chosen = chosen_text()
-    documents = texts.select("key", "metadata", F.lit("pdf").alias("file_type"), chosen["text"].alias("text"), chosen["method"].alias("method"), "page_count", F.array().cast("array<string>").alias("image_paths"))
+    documents = texts.select("key", "metadata", F.lit("pdf").alias("file_type"), chosen["text"].alias("text"), chosen["method"].alias("method"), "page_count", F.coalesce("image_paths", F.array().cast("array<string>")).alias("image_paths"))
     cells = materialize(extract_cells(bodies.filter(~pdf), sheet_reader), "ingest-cells").withColumnRenamed("key", "path").join(fresh.select("path", "key"), "path").drop("path")
     blocks = markdown(cells).groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("block")), "\n\n").alias("text"))
     books = blocks.join(fresh, "key").select("key", "metadata", F.lit("excel").alias("file_type"), "text", F.lit("excel").alias("method"), F.lit(None).cast("int").alias("page_count"), F.array().cast("array<string>").alias("image_paths"))
