@@ -1,7 +1,8 @@
 """Quality classifier with hierarchical empirical Bayes.
 
 A logistic model on whole-text statistics gives each document its evidence p. Sites have
-two levels, host and path below it. Each level has its posterior mean
+two levels, host and path below it. documents has no URL, so ``source`` stands in for the
+host and ``lang`` for the path: path posteriors are per source and language. Each level has its posterior mean
 
     rate(site) = (sum of p over the site + k * rate(parent)) / (n + k)
 
