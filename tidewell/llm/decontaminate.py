@@ -8,8 +8,9 @@ Items are partitioned by size: by the length of their shingles (five words, or t
 item if it has fewer) and by the power of two below their shingle count. An item of n
 shingles is sketched by its smallest hashes, n - ceil(THRESHOLD * n) + 1 of them: a
 document that misses all of these misses too many, so sharing at least one is necessary and
-no contaminated document is lost. A partition's largest sketched hash bounds what documents
-have to offer to it; documents offer the hashes of their shingles below the largest bound.
+no contaminated document is lost. The search itself
+is one for each shingle width: the largest sketched hash and the least size of all its
+partitions bound what documents offer, so partitions by count do not drive it.
 
 Candidates are then verified by exact shingle containment on the words themselves.
 
