@@ -45,3 +45,11 @@ def test_edited_copies_go_as_brute_force_says(spark):
     want = kept_by_brute_force(rows)
     assert got == want
     assert len(want) < len(rows) - 150
+
+
+def test_repeated_and_null_ids_lose_no_text_and_keep_no_copy(spark):
+    a, b, c = cases.filler(3, 9, 40)
+    rows = [(1, a, "en", "a", 1), (2, a, "en", "a", 1), (2, b, "en", "a", 1), (None, c, "en", "a", 1), (None, c + " more", "en", "a", 1)]
+    kept = simhash.keep_one(cases.docs(spark, rows)).select("doc_id", "text").collect()
+    assert len(kept) == 3
+    assert {(1, a), (2, b)} <= {tuple(r) for r in kept} and sum(r["doc_id"] is None for r in kept) == 1
