@@ -1,29 +1,38 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Three kinds of transducer are composed. The *lexical* one reads a word and writes a class
-with a weight: insult, threat, target, negation, report, or nothing. It holds short seed
-lists and the words and word beginnings that labelled rows show to be toxic, each with its
-log-odds. The *scope* transducers read classes and rewrite weights: negation weakens an
-insult or threat that follows within a few words, reported speech weakens all that follows
-in its clause, and a target near an insult or threat strengthens it. The *clause*
-transducer sums what is left, so a clause is matched as a whole; a text is scored by its
-worst clause and the sum over clauses, calibrated to a probability on the labelled rows.
-
-Learning. Labelled rows outside fold 1, at most ``SAMPLE`` chosen by hash, are reduced on
-the executors to document counts per word and word beginning; what is far more common in
-toxic rows than chance allows is a candidate, and candidates become patterns as long as
-they explain toxic rows that no pattern before explains, so that the copies of one toxic
-text teach no more than the text. Only candidates, at most ``CANDIDATES``, their numbers in
-sampled toxic rows, and three numbers per sampled row reach the driver. Language, source
-and id are no inputs.
+Four layers are composed. The *lexical* transducer reads words, several at a time where it
+has an arc for a phrase, and writes one symbol with a weight: insult, threat, target,
+negation, report, intent, or nothing. The *scope* transducers read these symbols, some from
+the left and some from the right, and mark each insult and threat that lies in their reach:
+negated (a negation up to ``REACH`` symbols before it), reported (speech reported on either
+side), aimed (a target on either side) and meant (an intent before it). Composed, they are
+one transducer for each direction, whose marks are joined. The *clause* layer multiplies
+the weight of every insult and threat by the factors of its marks and sums the clause. The
+*text* layer scores a text by its worst clause, with what the other clauses add as a lesser
+term, calibrated to a probability.
+
+Learning. Labelled rows outside fold 1, at most ``SAMPLE`` chosen by hash, teach three
+things. (1) Arcs: words, word beginnings and pairs of neighbouring words that are far more
+common in toxic rows than chance allows, picked as long as they explain toxic rows that no
+arc before explains, so that the copies of one toxic text teach no more than the text; a
+pair or word with a threat word in it is a threat, any other an insult. (2) Weights: the
+log-odds of every arc, those of seed words too, which shrink towards their prior weight
+where rows are few. (3) Scope factors: each is chosen from ``FACTOR_GRID`` by the likelihood
+of the labels, with a prior at its default, so that labels which say nothing about a scope
+leave it as it is. Only candidates, at most ``CANDIDATES``, their numbers in sampled toxic
+rows, and a few numbers per sampled row reach the driver. Language, source and id are no
+inputs.
 
 Scoring is one pass: an Aho-Corasick automaton finds texts with any insult or threat, and
 only these are parsed into clauses. There is no shuffle.
 
-Edge cases. Null and empty texts score as texts without a match. Labels that repeat a
-document count once, toxic if any is; null labels are left out. With labels of one kind
-only, the seed lists work under a fixed calibration. Repeated rows are scored alike.
-Further columns are carried by :func:`keep_clean` and ignored by :func:`scored`.
+Edge cases. Null and empty texts score as texts without a match. Very long texts are read
+whole, clause by clause; what is held is one text. Ties: candidates of equal merit are taken
+in the order of length, then of significance, then of spelling; labels that repeat a
+document count once, toxic if any is; null labels are left out. A row without doc_id is
+never held out. With labels of one kind only, the seed words work under a fixed
+calibration. Repeated rows are scored alike. Further columns are carried by
+:func:`keep_clean` and ignored by :func:`scored`. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -31,7 +40,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -59,40 +68,50 @@ BEGINNINGS = range(3, 9)
 
 # Seed words of each class.
 INSULT = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "scum", "trash", "garbage", "loser", "losers", "pathetic", "worthless", "disgusting", "clown", "fool", "imbecile")
-THREAT = ("kill", "hurt", "destroy", "murder", "attack", "beat")
+THREAT = ("kill", "hurt", "destroy", "murder", "attack", "beat", "beat up", "break your", "come after")
 TARGET = ("you", "your", "he", "she", "they", "them", "him", "her", "these", "those", "du", "ihr", "sie", "tu", "vous", "ils", "usted", "ellos")
 NEGATION = ("not", "no", "never", "nobody", "without", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "sin")
-REPORT = ("said", "says", "quoted", "reported", "called", "according", "sagte", "dit", "dijo")
-#: Weights of seeds that labels say nothing about, in log-odds.
-SEED_INSULT, SEED_THREAT = 2.0, 1.0
-#: Words that a negation reaches, and factors of its scope, of reported speech, and of a target within reach.
-NEGATION_REACH, NEGATED, REPORTED, TARGETED, TARGET_REACH = 3, 0.6, 0.7, 1.25, 4
-#: Log-odds = CALIBRATION . (1, worst clause, log1p of the sum) where labels cannot set them.
-FIXED_CALIBRATION = (-4.0, 1.5, 1.5)
-
+REPORT = ("said", "says", "quoted", "reported", "called", "according to", "sagte", "dit", "dijo")
+INTENT = ("will", "shall", "gonna", "going to", "want to", "werde", "vais", "voy a")
+#: Prior weights of seeds, in log-odds, and how many rows a prior counts for.
+SEED_INSULT, SEED_THREAT, PRIOR_ROWS = 2.0, 2.0, 20.0
+#: Symbols that a scope reaches.
+REACH = {"negated": 3, "reported": 8, "aimed": 4, "meant": 3}
+#: Factors of the marks before labels are asked; ``bare`` is that of a threat which is neither aimed nor meant.
+FACTORS = {"negated": 0.5, "reported": 0.5, "aimed": 1.25, "meant": 1.25, "bare": 0.25}
+#: What a factor may become.
+FACTOR_GRID = {"negated": (0.0, 0.1, 0.25, 0.5, 0.75, 1.0), "reported": (0.0, 0.1, 0.25, 0.5, 0.75, 1.0), "aimed": (1.0, 1.25, 1.5, 2.0, 3.0), "meant": (1.0, 1.25, 1.5, 2.0, 3.0), "bare": (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)}
+#: Log-likelihood that leaving a default costs, for each step of the grid.
+PRIOR_COST = 1.0
+#: Log-odds = CALIBRATION . (1, log1p of the worst clause, log1p of the other clauses) where labels cannot set them.
+FIXED_CALIBRATION = (-4.0, 3.0, 0.5)
+
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "intent")
+MARKS = ("negated", "reported", "aimed", "meant")
+_BIT = {m: 1 << k for k, m in enumerate(MARKS)}
 _WORD = re.compile(r"\w+", re.UNICODE)
-_CLAUSE = re.compile(r"[.!?;:,\n]+")
+_CLAUSE = re.compile(r"[.!?;\n]+")
 
 
 @dataclass
 class Transducer:
-    """A deterministic weighted transducer over symbols; a missing arc keeps the state and passes the symbol on.
+    """A deterministic transducer over symbols that writes marks; a missing arc passes the symbol on unmarked.
 
-    ``arcs[state, class] = (next state, factor)``: the factor applies to the weight of the
-    symbol read. ``decay[state]`` is where a state goes after any word without an arc.
+    ``arcs[state, symbol] = (next state, marks)``; ``decay[state]`` is where a state goes
+    after a symbol without an arc.
     """
 
     start: int
-    arcs: dict[tuple[int, str], tuple[int, float]]
+    arcs: dict[tuple[int, str], tuple[int, int]]
     decay: dict[int, int] = field(default_factory=dict)
 
-    def step(self, state: int, symbol: str) -> tuple[int, float]:
+    def step(self, state: int, symbol: str) -> tuple[int, int]:
         found = self.arcs.get((state, symbol))
-        return found if found else (self.decay.get(state, state), 1.0)
+        return found if found else (self.decay.get(state, state), 0)
 
 
 def compose(*parts: Transducer) -> Transducer:
-    """The product transducer: all parts read every symbol, their factors multiply."""
+    """The product transducer: all parts read every symbol, their marks are joined."""
     start = tuple(p.start for p in parts)
     number, arcs, decay, todo = {start: 0}, {}, {}, [start]
 
@@ -105,105 +124,155 @@ def compose(*parts: Transducer) -> Transducer:
     while todo:
         state = todo.pop()
         here = number[state]
-        for symbol in ("insult", "threat", "target", "negation", "report", ""):
+        for symbol in (*SYMBOLS, ""):
             steps = [p.step(s, symbol) for p, s in zip(parts, state)]
-            to = known(tuple(s for s, _ in steps))
+            to, marks = known(tuple(s for s, _ in steps)), 0
+            for _, m in steps:
+                marks |= m
             if symbol:
-                arcs[here, symbol] = (to, math.prod(f for _, f in steps))
+                arcs[here, symbol] = (to, marks)
             else:
                 decay[here] = to
     return Transducer(0, arcs, decay)
 
 
-def _scope(trigger: str, reach: int, factor: float) -> Transducer:
-    """For ``reach`` words after the trigger, insults and threats are multiplied by ``factor``."""
+def scope(trigger: str, mark: str) -> Transducer:
+    """Insults and threats among the REACH symbols after the trigger get the mark."""
+    reach = REACH[mark]
     arcs = {}
     for state in range(reach + 1):
-        arcs[state, trigger] = (reach, 1.0)
+        arcs[state, trigger] = (reach, 0)
         if state:
             for symbol in ("insult", "threat"):
-                arcs[state, symbol] = (state - 1, factor)
+                arcs[state, symbol] = (state - 1, _BIT[mark])
     return Transducer(0, arcs, {s: s - 1 for s in range(1, reach + 1)})
 
 
-def clause_grammar() -> Transducer:
-    """Negation, reported speech and target scopes in one transducer."""
-    reported = Transducer(0, {(0, "report"): (1, 1.0), (1, "insult"): (1, REPORTED), (1, "threat"): (1, REPORTED)})
-    return compose(_scope("negation", NEGATION_REACH, NEGATED), reported, _scope("target", TARGET_REACH, TARGETED))
+def scopes() -> tuple[Transducer, Transducer]:
+    """The scopes read from the left, and those read from the right."""
+    left = compose(scope("negation", "negated"), scope("report", "reported"), scope("target", "aimed"), scope("intent", "meant"))
+    return left, compose(scope("report", "reported"), scope("target", "aimed"))
+
+
+def no_scopes() -> tuple[Transducer, Transducer]:
+    """Transducers that mark nothing, to see what scopes do."""
+    return Transducer(0, {}), Transducer(0, {})
 
 
 class Grammar:
-    """The composed grammar over words; ``patterns`` are (text, is a beginning, weight)."""
+    """The composed grammar over words.
+
+    ``patterns`` are (text, is a beginning, weight), a text of two words being a phrase;
+    they come before seeds. ``bare`` threats, neither aimed nor meant, weigh less.
+    """
 
-    def __init__(self, patterns: list[tuple[str, bool, float]], calibration: tuple[float, float, float] = FIXED_CALIBRATION):
+    def __init__(self, patterns: Sequence[tuple[str, bool, float]] = (), calibration: tuple[float, float, float] = FIXED_CALIBRATION, factors: dict[str, float] | None = None, scoped: bool = True):
         self.words: dict[str, tuple[str, float]] = {}
-        for symbol, seeds, weight in (("report", REPORT, 0.0), ("negation", NEGATION, 0.0), ("target", TARGET, 0.0), ("threat", THREAT, SEED_THREAT), ("insult", INSULT, SEED_INSULT)):
-            self.words.update((w, (symbol, weight)) for w in seeds)
+        self.pairs: dict[tuple[str, str], tuple[str, float]] = {}
+        for symbol, seeds, weight in (("report", REPORT, 0.0), ("negation", NEGATION, 0.0), ("intent", INTENT, 0.0), ("target", TARGET, 0.0), ("threat", THREAT, SEED_THREAT), ("insult", INSULT, SEED_INSULT)):
+            for seed in seeds:
+                self._add(seed, symbol, weight)
         self.beginnings: dict[str, float] = {}
         for text, beginning, weight in patterns:
             if beginning:
                 self.beginnings[text] = weight
             else:
-                self.words[text] = ("insult", weight)
+                self._add(text, "threat" if set(text.split()) & _THREAT_WORDS else "insult", weight)
         self.lengths = sorted({len(b) for b in self.beginnings}, reverse=True)
-        self.scopes = clause_grammar()
+        self.scopes = scopes() if scoped else no_scopes()
         self.calibration = calibration
+        self.factors = FACTORS | (factors or {})
         self._finder = None
 
+    def _add(self, text: str, symbol: str, weight: float) -> None:
+        words = text.split()
+        if len(words) == 2:
+            self.pairs[words[0], words[1]] = (symbol, weight)
+        else:
+            self.words[text] = (symbol, weight)
+
     def __getstate__(self):
         return self.__dict__ | {"_finder": None}
 
-    def lexical(self, word: str) -> tuple[str, float]:
-        """Class and weight of one lower-case word."""
-        found = self.words.get(word)
-        if found:
-            return found
-        for k in self.lengths:
-            weight = self.beginnings.get(word[:k])
-            if weight is not None:
-                return ("insult", weight)
-        return ("", 0.0)
+    def lexical(self, words: list[str]) -> list[tuple[str, float]]:
+        """One symbol and weight for each word or phrase of a clause; of arcs that begin at a word, the longest."""
+        out, k = [], 0
+        while k < len(words):
+            found = self.pairs.get((words[k], words[k + 1])) if k + 1 < len(words) else None
+            k += 2 if found else 1
+            if not found:
+                word = words[k - 1]
+                found = self.words.get(word)
+                if not found:
+                    found = ("", 0.0)
+                    for n in self.lengths:
+                        weight = self.beginnings.get(word[:n])
+                        if weight is not None:
+                            found = ("insult", weight)
+                            break
+            out.append(found)
+        return out
 
     def may_match(self, text: str) -> bool:
-        """Whether lower-case ``text`` spells any insult or threat, if only inside a word."""
+        """Whether lower-case ``text`` spells an insult or threat, if only inside a word or the first word of a phrase."""
         if self._finder is None:
             finder = ahocorasick.Automaton()
-            for w in [w for w, (symbol, _) in self.words.items() if symbol in ("insult", "threat")] + list(self.beginnings):
+            spelled = [w for w, (symbol, _) in self.words.items() if symbol in ("insult", "threat")] + [a for (a, _), (symbol, _) in self.pairs.items() if symbol in ("insult", "threat")]
+            for w in [*spelled, *self.beginnings]:
                 finder.add_word(w, 1)
             finder.make_automaton()
             self._finder = finder
         return next(self._finder.iter(text), None) is not None
 
-    def clause(self, words: list[str]) -> float:
-        """Weight of one clause: classes through the scopes, what is left is summed."""
-        state, total = self.scopes.start, 0.0
-        for word in words:
-            symbol, weight = self.lexical(word)
-            state, factor = self.scopes.step(state, symbol)
-            total += weight * factor
-        return total
-
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """(worst clause, sum over clauses) of one whole text."""
+    def matches(self, words: list[str]) -> list[tuple[str, float, int]]:
+        """(symbol, weight, marks) of each insult and threat of a clause."""
+        symbols = self.lexical(words)
+        if not any(s in ("insult", "threat") for s, _ in symbols):
+            return []
+        left, right = self.scopes
+        marks = [0] * len(symbols)
+        for part, order in ((left, range(len(symbols))), (right, range(len(symbols) - 1, -1, -1))):
+            state = part.start
+            for k in order:
+                state, found = part.step(state, symbols[k][0])
+                marks[k] |= found
+        return [(s, w, m) for (s, w), m in zip(symbols, marks) if s in ("insult", "threat")]
+
+    def factor(self, symbol: str, marks: int, factors: dict[str, float] | None = None) -> float:
+        factors = factors or self.factors
+        out = factors["bare"] if symbol == "threat" and not marks & (_BIT["aimed"] | _BIT["meant"]) else 1.0
+        for mark, bit in _BIT.items():
+            if marks & bit:
+                out *= factors[mark]
+        return out
+
+    def clauses(self, text: str | None) -> list[list[tuple[str, float, int]]]:
+        """The matches of each clause that has any, of one whole text."""
         lower = (text or "").lower()
         if not lower or not self.may_match(lower):
-            return 0.0, 0.0
+            return []
+        return [found for piece in _CLAUSE.split(lower) if piece and self.may_match(piece) and (found := self.matches(_WORD.findall(piece)))]
+
+    def weigh(self, clauses: list[list[tuple[str, float, int]]], factors: dict[str, float] | None = None) -> tuple[float, float]:
+        """(worst clause, sum of the others)."""
         worst = total = 0.0
-        at = 0
-        for end in [*(m.span() for m in _CLAUSE.finditer(lower)), (len(lower), len(lower))]:
-            piece = lower[at : end[0]]
-            at = end[1]
-            if piece and self.may_match(piece):
-                weight = self.clause(_WORD.findall(piece))
-                worst = max(worst, weight)
-                total += max(weight, 0.0)
-        return worst, total
-
-    def score(self, worst: float, total: float) -> float:
+        for found in clauses:
+            weight = sum(w * self.factor(s, m, factors) for s, w, m in found)
+            worst = max(worst, weight)
+            total += max(weight, 0.0)
+        return worst, total - worst
+
+    def score(self, worst: float, others: float) -> float:
         a, b, c = self.calibration
-        z = a + b * worst + c * math.log1p(total)
+        z = a + b * math.log1p(worst) + c * math.log1p(others)
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
+    def score_text(self, text: str | None) -> float:
+        return self.score(*self.weigh(self.clauses(text)))
+
+
+_THREAT_WORDS = {w for seed in THREAT for w in seed.split()[:1]}
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of at most SAMPLE labelled rows outside fold 1, chosen by hash; stored."""
@@ -214,7 +283,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learned_patterns(sample: DataFrame) -> list[tuple[str, bool, float]]:
-    """Words and beginnings that mark toxic rows, with their log-odds."""
+    """Seeds, words, beginnings and pairs with their log-odds: every seed, and what marks toxic rows."""
     ends = sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     n = {r["toxic"]: r["n"] for r in ends}
     toxic, clean = n.get(1, 0), n.get(0, 0)
@@ -226,18 +295,21 @@ def learned_patterns(sample: DataFrame) -> list[tuple[str, bool, float]]:
         for batch in batches:
             for text, label in zip(batch["text"], batch["toxic"]):
                 counts[label].update(_spelled(text))
-            if len(counts[0]) + len(counts[1]) > 500_000:
-                yield _table(counts)
-                counts = (Counter(), Counter())
+                if len(counts[0]) + len(counts[1]) > 500_000:
+                    yield _table(counts)
+                    counts = (Counter(), Counter())
         if counts[0] or counts[1]:  # a table of no rows has no kinds of columns
             yield _table(counts)
 
-    rows = sample.mapInPandas(count, "pattern string, clean long, toxic long").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    rows = materialize(sample.mapInPandas(count, "pattern string, clean long, toxic long").groupBy("pattern").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-patterns")
     share = toxic / (toxic + clean)
     both = F.col("clean") + F.col("toxic")
     sigma = (F.col("toxic") - both * share) / F.sqrt(both * share * (1 - share))
     likely = rows.filter((F.col("toxic") >= MIN_ROWS) & (sigma >= MIN_SIGMA) & (F.col("toxic") >= 0.5 * both))
     top = likely.orderBy(sigma.desc(), "pattern").limit(CANDIDATES).collect()
+    seeds = dict.fromkeys(INSULT, SEED_INSULT) | dict.fromkeys(THREAT, SEED_THREAT)
+    counted = {r["pattern"]: r for r in rows.filter(F.col("pattern").isin(*seeds)).collect()}  # a row for each seed
+    release(rows)
     names = [r["pattern"] for r in top]
     number = {p: k for k, p in enumerate(names)}
 
@@ -247,14 +319,28 @@ def learned_patterns(sample: DataFrame) -> list[tuple[str, bool, float]]:
 
     found = sample.filter("toxic = 1").mapInPandas(occur, "found array<int>").limit(SAMPLE).collect()
     picked = explaining([r["found"] for r in found], [r["toxic"] / (r["toxic"] + r["clean"] + 1) for r in top], [len(p) for p in names])
-    log_odds = [math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 0.5) / (clean + 1)) for r in top]
-    return [(names[k].rstrip("*"), names[k].endswith("*"), min(log_odds[k], 8.0)) for k in picked]
+
+    def log_odds(r) -> float:
+        return min(math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 0.5) / (clean + 1)), 8.0)
+
+    out = {}
+    for seed, prior in seeds.items():
+        if seed in counted:
+            rows_with = counted[seed]["toxic"] + counted[seed]["clean"]
+            out[seed, False] = max((rows_with * log_odds(counted[seed]) + PRIOR_ROWS * prior) / (rows_with + PRIOR_ROWS), 0.0)
+    for k in picked:
+        out.setdefault((names[k].rstrip("*"), names[k].endswith("*")), log_odds(top[k]))
+    return [(text, beginning, weight) for (text, beginning), weight in out.items()]
 
 
 def _spelled(text: str) -> set[str]:
-    """The words of a text, and their beginnings marked by a star."""
-    words = set(_WORD.findall(text.lower()))
-    return words | {w[:k] + "*" for w in words for k in BEGINNINGS if len(w) >= k}
+    """The words of a text, their beginnings marked by a star, and neighbours within a clause."""
+    out: set[str] = set()
+    for piece in _CLAUSE.split(text.lower()):
+        words = _WORD.findall(piece)
+        out.update(words)
+        out.update(f"{a} {b}" for a, b in zip(words, words[1:]))
+    return out | {w[:k] + "*" for w in out if " " not in w for k in BEGINNINGS if len(w) >= k}
 
 
 def _table(counts: tuple[Counter, Counter]) -> pd.DataFrame:
@@ -282,27 +368,46 @@ def explaining(rows: list[list[int]], precision: list[float], length: list[int])
     return picked
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
-    """The grammar with learned words and a calibration, both from the labelled sample."""
+def calibrated(worst: np.ndarray, others: np.ndarray, toxic: np.ndarray) -> tuple[tuple[float, float, float], float]:
+    """Calibration and log-likelihood: the worst clause leads, other clauses weigh at most half as much."""
+    x = np.c_[np.log1p(worst), np.log1p(others)]
+    weights, bias = fit_logistic(x, toxic)
+    if weights[0] <= 0 or not 0 <= weights[1] <= weights[0] / 2:
+        lesser = 0.5 if weights[1] > 0 else 0.0
+        one, bias = fit_logistic((x[:, 0] + lesser * x[:, 1])[:, None], toxic)
+        weights = np.array([max(float(one[0]), 0.0), lesser * max(float(one[0]), 0.0)])
+    p = np.clip(1 / (1 + np.exp(-np.clip(bias + x @ weights, -30, 30))), 1e-9, 1 - 1e-9)
+    return (float(bias), float(weights[0]), float(weights[1])), float((toxic * np.log(p) + (1 - toxic) * np.log(1 - p)).sum())
+
+
+def learn(docs: DataFrame, labels: DataFrame, scoped: bool = True) -> Grammar:
+    """The grammar with arcs, weights, scope factors and calibration from the labelled sample."""
     bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels)
-    grammar = Grammar(learned_patterns(sample))
+    grammar = Grammar(learned_patterns(sample), scoped=scoped)
+    trials = [{}] + [{name: value} for name, values in FACTOR_GRID.items() for value in values if value != FACTORS[name]]
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [grammar.evidence(t) for t in batch["text"]]
-            yield pd.DataFrame({"worst": [f[0] for f in found], "total": [f[1] for f in found], "toxic": batch["toxic"]})
+    def measured(trials: list[dict[str, float]]) -> pd.DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [grammar.clauses(t) for t in batch["text"]]
+                both = [[grammar.weigh(f, grammar.factors | t) for t in trials] for f in found]
+                yield pd.DataFrame({"worst": [[w for w, _ in b] for b in both], "others": [[o for _, o in b] for b in both], "toxic": batch["toxic"]})
 
-    rows = sample.mapInPandas(measure, "worst double, total double, toxic int").limit(SAMPLE).toPandas()
-    release(sample)
+        return sample.mapInPandas(run, "worst array<double>, others array<double>, toxic int").limit(SAMPLE).toPandas()
+
+    rows = measured(trials)
     if rows["toxic"].nunique() == 2:
-        x = np.c_[rows["worst"], np.log1p(rows["total"])]
-        weights, bias = fit_logistic(x, rows["toxic"].to_numpy(float))
-        if (weights >= 0).all():
-            grammar.calibration = (bias, *map(float, weights))
-        else:  # keep both monotone: the worst clause alone
-            weights, bias = fit_logistic(x[:, :1], rows["toxic"].to_numpy(float))
-            grammar.calibration = (bias, max(float(weights[0]), 0.0), 0.0)
+        worst, others, toxic = np.array(rows["worst"].tolist()), np.array(rows["others"].tolist()), rows["toxic"].to_numpy(float)
+        likelihood = [calibrated(worst[:, k], others[:, k], toxic)[1] for k in range(len(trials))]
+        for name, values in FACTOR_GRID.items():
+            gain = {value: likelihood[trials.index({name: value})] - likelihood[0] - PRIOR_COST * abs(values.index(value) - values.index(FACTORS[name])) for value in values if value != FACTORS[name]}
+            best = max(gain, key=gain.get)
+            if gain[best] > 0:
+                grammar.factors[name] = best
+        chosen = measured([{}])
+        grammar.calibration, _ = calibrated(np.array([w[0] for w in chosen["worst"]]), np.array([o[0] for o in chosen["others"]]), chosen["toxic"].to_numpy(float))
+    release(sample)
     return grammar
 
 
@@ -310,15 +415,15 @@ def score_column(grammar: Grammar, text="text"):
     """Column of scores; the grammar travels with the function."""
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([grammar.score(*grammar.evidence(t)) for t in texts], dtype="float64")
+        return pd.Series([grammar.score_text(t) for t in texts], dtype="float64")
 
     return F.pandas_udf(run, "double")(F.coalesce(F.col(text), F.lit("")))
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
-    grammar = learn(docs, labels)
-    out = docs.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), score_column(grammar).alias("score"))
+def scored(docs: DataFrame, labels: DataFrame, grammar: Grammar | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``; the grammar is learned unless given."""
+    grammar = grammar or learn(docs, labels)
+    out = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), score_column(grammar).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
