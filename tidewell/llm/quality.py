@@ -2,29 +2,36 @@
 
 A logistic model on whole-text statistics gives each document its evidence p. Sites have
 two levels, host and path below it. documents has no URL, so ``source`` stands in for the
-host and ``lang`` for the path: path posteriors are per source and language. Each level has its posterior mean
+host and ``lang`` for the path: path posteriors are per source and language. Each level has
+its posterior mean
 
     rate(site) = (sum of p over the site + k * rate(parent)) / (n + k)
 
-where the parent of a host is the whole corpus and k, the strength of the prior, is set by
-moments from how much sites of that level differ: alike sites shrink fully, a sparse site
-leans on its parent. A document's score adds to its own log-odds what its path's posterior
-says beyond the corpus rate; it is kept if the score is at least ``KEEP``.
+where the parent of a host is the whole corpus. The strength k of each level's prior is the
+variance of p within sites over the variance of sites around their parents, both by the
+moments of a nested analysis of variance: alike sites shrink fully, unlike ones hardly, and
+a sparse site leans on its parent. A document is judged by what the *others* of its host
+and path say: its own p is left out of both rates, so that no evidence counts twice. Its
+score adds to its own log-odds those of its path's rate beyond the corpus; it is kept if the
+score is at least ``KEEP``.
 
 All sums are grouped aggregates that combine on the map side; paths are summed once and
 hosts from paths, so a hot host is one row by then. The model is fitted on a bounded,
 hash-chosen sample of labelled rows (``SAMPLE``) outside fold 1.
 
 Edge cases. Null and empty texts have the evidence of zero statistics; null host or path
-is a site of its own. Without labelled rows of both kinds p is 0.5 and all are kept.
-Repeated rows each count and are scored alike; of labels that repeat a document the lowest
-quality holds, null labels are left out. Further columns are carried by
-:func:`keep_good`, under whatever names, and ignored by :func:`scored`.
+is a site of its own; a site of one document has its parent's rate. Very long texts are
+read whole, one at a time. Without labelled rows of both kinds p is 0.5 and all are kept.
+Repeated rows each count and are scored alike; a score that ties with ``KEEP`` is kept. Of
+labels that repeat a document the lowest quality holds, null labels are left out. Further
+columns are carried by :func:`keep_good`, under whatever names, and ignored by
+:func:`scored`. No rows in, no rows out.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -39,8 +46,8 @@ from tidewell.storage import materialize
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
 KEEP = 0.5
-#: Bounds of a prior's strength, in documents.
-STRENGTH = (5.0, 10_000.0)
+#: Bounds of a prior's strength, in documents; the upper one stands for sites that differ by chance alone.
+STRENGTH = (1.0, 1e6)
 _EPS = 1e-6
 
 
@@ -103,35 +110,77 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(rows: DataFrame, rate: Column, parent: Column) -> float:
-    """Prior strength by moments: how far site rates lie from their parents, beyond chance."""
-    got = rows.agg(F.sum(F.col("n") * F.pow(rate - parent, 2)).alias("between"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("sites"), F.sum(F.col("n") * parent * (1 - parent)).alias("within")).first()
-    if not got["n"] or not got["within"]:
+def _strength(within: float, rows: int, sites: int, parents: int, between: float, spread: float) -> float:
+    """Prior strength by moments.
+
+    ``within`` and ``between`` are sums of squares inside sites and of sites around their
+    parents; ``spread`` is the rows less, for each parent, the sum of its sites' squared
+    rows over its rows.
+    """
+    if rows <= sites or sites <= parents or spread <= 0:
         return STRENGTH[1]
-    inside = got["within"] / got["n"]
-    beyond = max(got["between"] / got["n"] - inside * got["sites"] / got["n"], 1e-9)
-    return float(min(max(inside / beyond - 1, STRENGTH[0]), STRENGTH[1]))
-
-
-def site_posteriors(judged: DataFrame, host: str = "source", path: str = "lang") -> tuple[DataFrame, float]:
-    """(host, path, n, host_rate, path_rate) for each path, and the corpus rate."""
-    paths = materialize(judged.groupBy(host, path).agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")), "quality-paths")
-    whole = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    corpus = whole["s"] / whole["n"] if whole["n"] else 0.5
-    corpus = min(max(corpus, _EPS), 1 - _EPS)
-    hosts = paths.groupBy(host).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    k = _strength(hosts, F.col("s") / F.col("n"), F.lit(corpus))
-    at_host = Window.partitionBy(host)
-    with_host = paths.withColumn("host_rate", (F.sum("s").over(at_host) + k * corpus) / (F.sum("n").over(at_host) + k))
-    k = _strength(with_host, F.col("s") / F.col("n"), F.col("host_rate"))
-    out = with_host.withColumn("path_rate", (F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).drop("s")
-    return materialize(out, "quality-posteriors"), corpus
+    inside = within / (rows - sites)
+    beyond = (between - (sites - parents) * inside) / spread
+    return min(max(inside / beyond, STRENGTH[0]), STRENGTH[1]) if beyond > 0 else STRENGTH[1]
+
+
+@dataclass
+class Hierarchy:
+    """Sums of each path and its host, one row a path, and what is known of all."""
 
+    sites: DataFrame
+    corpus: float
+    host_strength: float
+    path_strength: float
 
-def combined(corpus: float) -> Column:
-    """The score: own log-odds, and what the path's posterior says beyond the corpus."""
-    own, site = _logit(F.col("p")), _logit(F.col("path_rate"))
-    return 1 / (1 + F.exp(-(own + site - F.lit(math.log(corpus / (1 - corpus))))))
+    def host_rate(self, own: Column | float = 0.0, count: int = 0) -> Column:
+        """Posterior mean of the host, without ``count`` documents whose evidence sums to ``own``."""
+        return (F.col("host_s") - own + self.host_strength * self.corpus) / (F.col("host_n") - count + self.host_strength)
+
+    def path_rate(self, own: Column | float = 0.0, count: int = 0) -> Column:
+        return (F.col("s") - own + self.path_strength * self.host_rate(own, count)) / (F.col("n") - count + self.path_strength)
+
+    def score(self) -> Column:
+        """Own log-odds, and what the rest of the path says beyond the corpus."""
+        site = F.least(F.greatest(self.path_rate(F.col("p"), 1), F.lit(_EPS)), F.lit(1 - _EPS))
+        return 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(site) - F.lit(math.log(self.corpus / (1 - self.corpus))))))
+
+
+def hierarchy(judged: DataFrame, host: str = "source", path: str = "lang") -> Hierarchy:
+    """Site sums and prior strengths from the evidence ``p`` of every document."""
+    sums = judged.groupBy(host, path).agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
+    at_host = Window.partitionBy(host)
+    paths = materialize(sums.select("*", F.sum("n").over(at_host).alias("host_n"), F.sum("s").over(at_host).alias("host_s"), F.row_number().over(at_host.orderBy(path)).alias("first")), "quality-paths")
+    n, s, mean = F.col("n"), F.col("s"), F.col("host_s") / F.col("host_n")
+    whole = paths.agg(
+        F.sum("n").alias("n"),
+        F.sum("s").alias("s"),
+        F.sum("q").alias("q"),
+        F.count(F.lit(1)).alias("paths"),
+        F.count_if(F.col("first") == 1).alias("hosts"),
+        F.sum(s * s / n).alias("of_paths"),
+        F.sum(F.when(F.col("first") == 1, F.col("host_s") * mean)).alias("of_hosts"),
+        F.sum(n * n / F.col("host_n")).alias("path_sizes"),
+        F.sum(F.when(F.col("first") == 1, F.col("host_n") * F.col("host_n"))).alias("host_sizes"),
+    ).first()
+    if not whole["n"]:
+        return Hierarchy(paths, 0.5, *STRENGTH)
+    rows, corpus = whole["n"], min(max(whole["s"] / whole["n"], _EPS), 1 - _EPS)
+    of_corpus = whole["s"] ** 2 / rows
+    for_host = _strength(whole["q"] - whole["of_hosts"], rows, whole["hosts"], 1, whole["of_hosts"] - of_corpus, rows - whole["host_sizes"] / rows)
+    for_path = _strength(whole["q"] - whole["of_paths"], rows, whole["paths"], whole["hosts"], whole["of_paths"] - whole["of_hosts"], rows - whole["path_sizes"])
+    return Hierarchy(paths, corpus, for_host, for_path)
+
+
+_SITE = ("host_n", "host_s", "s", "n")
+
+
+def with_scores(judged: DataFrame, known: Hierarchy, host: str, path: str, total: int, salt: str) -> DataFrame:
+    """Add host_rate, path_rate (both without the row itself) and score to rows with ``p``."""
+    sites = known.sites.select(host, path, "host_n", "host_s", "s", "n", F.col("n").alias("__weight"))
+    out = attach(judged, sites, [host, path], "__weight", total, [salt])
+    rates = out.withColumns({"host_rate": known.host_rate(F.col("p"), 1), "path_rate": known.path_rate(F.col("p"), 1), "score": known.score()})
+    return rates.drop(*_SITE)
 
 
 def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
@@ -139,8 +188,7 @@ def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     model = fit_evidence(docs, labels)
     slim = docs.select(F.col("doc_id").cast("long"), "text", F.col(host).alias("host"), F.col(path).alias("path"))
     judged = materialize(with_statistics(slim, ["doc_id", "host", "path"]).withColumn("p", evidence(model)).drop(*FIELDS), "quality-evidence")
-    sites, corpus = site_posteriors(judged, "host", "path")
-    out = attach(judged, sites, ["host", "path"], "n", judged.count(), ["doc_id"]).withColumn("score", combined(corpus))
+    out = with_scores(judged, hierarchy(judged, "host", "path"), "host", "path", judged.count(), "doc_id")
     return out.select("doc_id", "p", "host_rate", "path_rate", "score", (F.col("score") >= KEEP).alias("keep"))
 
 
@@ -153,11 +201,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: st
     model = fit_evidence(docs, labels)
     slim = docs.select("text", F.col(host).alias("host"), F.col(path).alias("path"))
     judged = with_statistics(slim, ["host", "path"]).withColumn("p", evidence(model)).select("host", "path", "p")
-    sites, corpus = site_posteriors(judged, "host", "path")
-    total = sites.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col("text"), F.col("doc_id").alias("__id"), F.col(host).alias("host"), F.col(path).alias("path"))
-    again = with_statistics(row, ["__row", "__id", "host", "path"]).withColumn("p", evidence(model)).drop(*FIELDS)
-    out = attach(again, sites, ["host", "path"], "n", total, ["__id"]).filter(combined(corpus) >= KEEP)
+    known = hierarchy(judged, "host", "path")
+    total = known.sites.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col("text"), F.xxhash64("doc_id", "text").alias("__salt"), F.col(host).alias("host"), F.col(path).alias("path"))
+    again = with_statistics(row, ["__row", "__salt", "host", "path"]).withColumn("p", evidence(model)).drop(*FIELDS)
+    out = with_scores(again, known, "host", "path", total, "__salt").filter(F.col("score") >= KEEP)
     return out.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
