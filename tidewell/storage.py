@@ -1,32 +1,59 @@
 """Tables that outlive an executor.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, the folder the cluster
-shares between driver and executors. Only when that setting is absent (unit tests, a
-notebook in local mode) a folder of our own is used.
+shares between driver and executors. Only where that setting is absent in local mode (unit
+tests, a notebook) a folder of our own is used; a cluster without it is an error, since a
+folder of one machine would lose rows. All tables of an application lie in one folder, which
+is deleted when its driver ends; :func:`scratch` deletes sooner.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT = "/tmp/checkpoints"
+_marked: set[str] = set()
+_open: ContextVar[list | None] = ContextVar("scratch", default=None)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop resolves them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme; one without goes to the cluster's default file system, as Spark has it."""
+    files, hadoop = _hadoop(spark, path)
+    return files.makeQualified(hadoop).toString()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of the folder for intermediate tables, read from the session."""
+    """URI of this application's folder for intermediate tables, read from the session."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None)
     if not root:
-        local = conf.get("spark.master", "").startswith("local[") or conf.get("spark.master", "") == "local"
-        root = _LOCAL_ROOT if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/tidewell"
+        master = conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = f"file:{_LOCAL_ROOT}"
+    return qualified(spark, f"{root.rstrip('/')}/tidewell/{spark.sparkContext.applicationId}")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the shared root; nothing is created."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared root; the folder itself is not created."""
+    root = shared_root(spark)
+    if root not in _marked:
+        files, hadoop = _hadoop(spark, root)
+        files.mkdirs(hadoop)
+        files.deleteOnExit(hadoop)
+        _marked.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -39,6 +66,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _open.get() is not None:
+        _open.get().append(out)
     return out
 
 
@@ -50,15 +79,35 @@ def release(*tables: DataFrame) -> None:
             delete(table.sparkSession, path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables materialized inside are deleted at the end; what is returned must not read them."""
+    made: list[DataFrame] = []
+    token = _open.set(made)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        release(*made)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder through Hadoop's file systems, whatever its scheme."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    files, hadoop = _hadoop(spark, path)
+    files.delete(hadoop, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, hadoop = _hadoop(spark, path)
+    return files.exists(hadoop)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 64) -> None:
-    """Keep Arrow batches of whole texts small: at most ``rows`` rows, and closed beyond ``mb`` MB."""
+    """Keep Arrow batches of whole texts small: at most ``rows`` rows, and closed beyond ``mb`` MB.
+
+    The settings belong to the session and stay, since a plan that is returned runs later;
+    smaller ones that were set before are kept.
+    """
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
         key = f"spark.sql.execution.arrow.{key}"
         now = spark.conf.get(key).rstrip("bB")
