@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT = "/tmp/checkpoints"
@@ -71,12 +72,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a small table that several plans read on the executors; what is lost with one is computed again.
+
+    For tables a step away from a materialized one; :func:`release` lets go of them.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def release(*tables: DataFrame) -> None:
-    """Delete materialized tables that no later plan reads."""
+    """Delete materialized tables, and let go of held ones, that no later plan reads."""
     for table in tables:
         path = getattr(table, "_stored_at", None)
         if path:
             delete(table.sparkSession, path)
+        elif table.is_cached:
+            table.unpersist()
 
 
 @contextmanager
