@@ -91,10 +91,23 @@ def test_components_match_brute_force(spark):
         assert got[doc_id]["component_id"] == rows[root][0]
 
 
-def test_chain_of_links_is_one_component(spark):
-    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (5, 5)], "a long, b long")
-    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
-    assert all(got[k] == 0 for k in range(41)) and got[101] == 100
+@pytest.mark.parametrize("distance", [0, 1, 2])
+def test_crowded_anchors_are_taken_apart(spark, monkeypatch, distance):
+    monkeypatch.setattr(simhash, "CROWD", 1)
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    r = np.random.default_rng(distance)
+    fp = np.full(150, r.integers(1 << 60, 1 << 62), np.int64)
+    for _ in range(4):
+        fp = fp ^ np.where(r.random(150) < 0.6, np.int64(1) << r.integers(0, 63, 150), 0)
+    fp = np.unique(np.r_[fp, fp[:5] ^ np.int64(-(1 << 63)), r.integers(0, 1 << 62, 40)])
+    distinct = spark.createDataFrame([(int(x),) for x in fp], "fp long")
+    assert simhash.crowded_anchors(distinct, 2).count() > 100
+    links = {frozenset((x["a"], x["b"])) for x in simhash.anchor_links(distinct, distance).collect()}
+    near = {(int(x), int(y)) for x in fp for y in fp if x < y and bin((int(x) ^ int(y)) & (1 << 64) - 1).count("1") <= distance}
+    assert all(tuple(sorted(x)) in near for x in links)
+    place = {int(x): k for k, x in enumerate(fp)}
+    roots = [simhash._roots(len(fp), np.array([place[min(x)] for x in e], np.int64), np.array([place[max(x)] for x in e], np.int64)).tolist() for e in (links, near)]
+    assert roots[0] == roots[1]
 
 
 def test_edge_cases(spark):

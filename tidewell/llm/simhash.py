@@ -16,58 +16,55 @@ groups small: what meets at an anchor agrees in all but a few bits of the half.
 Equal fingerprints are folded together before anything is replicated, so copies cost
 nothing. Within an anchor, links are reduced at once to a spanning forest, so what is
 emitted is linear in the group; a run too long for pairwise comparison is linked through
-the one-bit neighbours its members share, which is exact and linear too.
+the one-bit neighbours its members share, which is exact and linear too. An anchor crowded
+with a thousandth of all fingerprints is taken apart: its members meet at their one-bit
+neighbours instead, over all tasks.
 
-Components come from min-label contraction on tables in the shared folder; nothing is
-collected to the driver but row counts.
+Components come from tree contraction (:mod:`tidewell.llm.components`) on tables in the
+shared folder; nothing is collected to the driver but row counts.
 
 Edge cases. Null and empty texts, and texts of white space alone, have fingerprint 0 and
 link like others. Repeated rows are kept: each gets the component of its fingerprint. A
 null ``doc_id`` is carried but never names a component unless all ids reachable are null.
-Columns of the input beyond ``doc_id`` and ``text`` are ignored. No rows in, no rows out.
+Very long texts are hashed whole. A bit set in exactly half the hashes is not set. Columns
+of the input beyond ``doc_id`` and ``text`` are ignored. No rows in, no rows out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import jaccard
-from tidewell.skew import lookup
-from tidewell.storage import bounded_batches, materialize, release
+from tidewell.llm.components import components
+from tidewell.skew import attach, attach_counted, without
+from tidewell.storage import bounded_batches, hold, materialize, release
 
-SEED = 42
 #: Shingles whose hash bits are unpacked at a time.
 _SLICE = 1 << 16
 #: Runs up to this length are compared pair by pair.
 _PAIRWISE = 48
 #: One-bit neighbours held at a time for a longer run.
 _NEIGHBOURS = 4_000_000
+#: An anchor is crowded with so many fingerprints, as a sample of one in so many has it.
+CROWD, SAMPLED = 4096, 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The 64-bit majority fingerprint of one whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and white space is \x20 \x09-\x0D
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_digest
-    if len(words) < shingle:
-        return int.from_bytes(digest(joined, SEED), "big")
-    at = list(accumulate((len(w) + 1 for w in words), initial=0))
-    n = len(words) - shingle + 1
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of some 64-bit hashes."""
     votes = np.zeros(64, np.int64)
-    for low in range(0, n, _SLICE):
-        high = min(n, low + _SLICE)
-        hashes = b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(at[low:high], at[low + shingle : high + shingle])])
-        votes += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+    for low in range(0, len(hashes), _SLICE):
+        votes += np.unpackbits(hashes[low : low + _SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The 64-bit majority fingerprint of one whole text; 0 for a text without words."""
+    return majority(jaccard.shingle_hashes(text, shingle))
 
 
 def _signed(values: list[int]) -> np.ndarray:
@@ -200,14 +197,8 @@ def _links(anchor: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarra
     return fp[child], fp[root[child]]
 
 
-def anchor_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
-    """Edges (a, b) that connect exactly the fingerprints within ``distance`` <= 2 bits of each other.
-
-    ``distinct`` has one row for each value of ``fp``.
-    """
-    if not 0 <= distance <= 2:
-        raise ValueError("the two-half covering holds for distances 0 to 2")
-    within = distance // 2
+def _replicated(fps: DataFrame, radius: int) -> DataFrame:
+    """(anchor, fp): every fingerprint at every anchor within ``radius`` of either half."""
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -216,9 +207,59 @@ def anchor_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
                 fp = whole[low : low + 20_000]
                 for side in (0, 1):
                     half = (fp >> (32 * side)) & 0xFFFFFFFF
-                    index, anchor = near_anchors(half, 1 + within)
+                    index, anchor = near_anchors(half, radius)
                     yield pd.DataFrame({"anchor": anchor | (np.int64(side) << 32), "fp": fp[index]})
 
+    return fps.select("fp").mapInPandas(replicate, "anchor long, fp long")
+
+
+def crowded_anchors(distinct: DataFrame, radius: int) -> DataFrame:
+    """Anchors that hold many fingerprints, stored: a thousandth of all and ``CROWD`` at least, by a sample of one in ``SAMPLED``.
+
+    A fingerprint is at 70 anchors at most, so there are 70,000 of these at most.
+    """
+    some = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0)
+    n = some.count()
+    return materialize(_replicated(some, radius).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") * SAMPLED >= CROWD) & (F.col("n") * 1000 >= n)).select("anchor"), "simhash-crowded")
+
+
+def neighbour_links(fps: DataFrame, distance: int) -> DataFrame:
+    """Edges (a, b) that connect what lies within ``distance`` of some fingerprints, by the one-bit neighbours they share.
+
+    At most 65 fingerprints share a neighbour, so no key is hot however close they lie.
+    """
+    if distance == 0:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long") for k in range(64)])
+    near = fps.select("fp", F.explode(flips).alias("flip")).select("fp", (F.col("fp").bitwiseXOR(F.col("flip"))).alias("key"))
+    held = near.groupBy("key").agg(F.collect_set("fp").alias("fps"))
+    centre = F.array_min("fps") if distance == 2 else F.col("key")  # within 1: the neighbour itself has to be one of them
+    linked = held.filter(F.size("fps") > 1) if distance == 2 else held.filter((F.size("fps") > 1) & F.array_contains("fps", F.col("key")))
+    return linked.select(centre.alias("a"), F.explode("fps").alias("b")).filter("a <> b")
+
+
+def anchor_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
+    """Edges (a, b) that connect exactly the fingerprints within ``distance`` <= 2 bits of each other.
+
+    ``distinct`` has one row for each value of ``fp``. What meets at a crowded anchor is
+    compared through shared one-bit neighbours instead, which spreads it over all tasks.
+    """
+    if not 0 <= distance <= 2:
+        raise ValueError("the two-half covering holds for distances 0 to 2")
+    radius = 1 + distance // 2
+    sent = _replicated(distinct, radius)
+    crowded = crowded_anchors(distinct, radius)
+    if crowded.isEmpty():
+        release(crowded)
+        return _met(sent, distance).distinct()
+    there = F.broadcast(crowded)
+    apart = neighbour_links(sent.join(there, "anchor", "left_semi").select("fp").distinct(), distance)
+    return _met(sent.join(there, "anchor", "left_anti"), distance).unionByName(apart).distinct()
+
+
+def _met(sent: DataFrame, distance: int) -> DataFrame:
+    """Links of what meets at each anchor."""
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held_anchor, held_fp = [], []
         for batch in batches:
@@ -238,58 +279,22 @@ def anchor_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
             a, b = _links(np.concatenate(held_anchor), np.concatenate(held_fp), distance)
             yield pd.DataFrame({"a": a, "b": b})
 
-    sent = distinct.select("fp").mapInPandas(replicate, "anchor long, fp long")
-    met = sent.repartition("anchor").sortWithinPartitions("anchor", "fp")
-    return met.mapInPandas(compare, "a long, b long").distinct()
-
-
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, root) for every node with an edge: root is the smallest node of its component.
-
-    Each round maps every node to its smallest neighbour and rewrites the edges; a
-    component has collapsed once it has no edges left. Tables are stored between rounds.
-    """
-    spark = edges.sparkSession
-    left = materialize(edges.filter("a <> b").select("a", "b"), label)
-    mapping = None
-    while True:
-        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        step = materialize(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("root")), label)
-        if mapping is None:
-            merged = step
-            empty = left.isEmpty()
-        else:
-            onward = step.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-            merged = materialize(mapping.join(onward, mapping["root"] == onward["__n"], "left").select("node", F.coalesce("__r", "root").alias("root")), label)
-            release(mapping)
-            empty = left.isEmpty()
-        if empty:
-            release(left)
-            return merged
-        head = step.select(F.col("node").alias("__a"), F.col("root").alias("ra"))
-        tail = step.select(F.col("node").alias("__b"), F.col("root").alias("rb"))
-        moved = left.join(head, left["a"] == head["__a"]).join(tail, left["b"] == tail["__b"]).filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        after = materialize(moved, label)
-        release(left)
-        if mapping is not None:
-            release(step)
-        left, mapping = after, merged
+    return sent.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """(doc_id, fp, component_id), one row for each row of ``docs``."""
-    prints = materialize(fingerprints(docs, shingle), "simhash-prints")
+    prints = materialize(fingerprints(docs, shingle).withColumn("__row", F.monotonically_increasing_id()), "simhash-prints")
     total = prints.count()
     each = materialize(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(anchor_links(each, distance), "simhash-links")
     linked = roots.select(F.col("node").alias("__node"), "root")
-    rooted = materialize(each.join(linked, each["fp"] == linked["__node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    least = materialize(least, "simhash-least")
-    named = lookup(rooted.select("fp", "n", "root"), least, ["root"], "members", max(each.count(), 1), ["fp"])
-    named = materialize(named.select("fp", "n", "component_id"), "simhash-named")
+    rooted = hold(each.join(linked, each["fp"] == linked["__node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")))
+    least = hold(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")).filter("members > 1"))  # others name themselves
+    named = attach(rooted, least, ["root"], "members", max(each.count(), 1)).select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    named = materialize(named, "simhash-named")
     release(each, roots, rooted, least)
-    return lookup(prints, named, ["fp"], "n", total, ["doc_id"])
+    return attach(prints, named, ["fp"], "n", total, ["__row"]).drop("__row")
 
 
 def op4_simhash(docs: DataFrame) -> DataFrame:
@@ -301,31 +306,35 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each component of near copies one row stays, that with the smallest ``doc_id``.
 
-    Near copies have five-word shingles of Jaccard similarity 0.8 at least
-    (:mod:`tidewell.llm.jaccard`), not fingerprints within 2 bits, which only hold almost
-    equal texts together. A null ``doc_id`` comes last. Rows are told apart by a key of
-    their own, so repeated and null ids lose no text and keep no copy.
+    Near copies have five-word shingles of Jaccard similarity 0.8 at least. Anchors propose
+    the texts whose fingerprints over these shingles lie within two bits, MinHash bands what
+    lies beyond, and whole shingle sets decide (:mod:`tidewell.llm.jaccard`). A null
+    ``doc_id`` comes last. Rows are told apart by a key of their own, so repeated and null
+    ids lose no text and keep no copy. Texts are stored once and filtered where they lie:
+    everything else is decided on slim rows.
     """
     bounded_batches(docs.sparkSession)
-    marked = docs.select("*", F.monotonically_increasing_id().alias("__row"), jaccard.sketch(F.col("text")).alias("__sketch"))
-    marked = materialize(marked, "jaccard-marked")
-    slim = marked.select(F.col("__sketch.node").alias("node"), F.col("__sketch.n").alias("n"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row")).alias("first"))
-    firsts = slim.groupBy("node").agg(F.min("n").alias("n"), F.min("first").alias("first"))
-    sketched = marked.select(F.col("__row").alias("__at"), F.col("__sketch.bands").alias("bands"))
-    each = materialize(firsts.join(sketched, firsts["first.row"] == sketched["__at"]).select("node", "n", "first", F.col("first.row").alias("row"), "bands"), "jaccard-each")
-    texts = marked.select(F.col("__row").alias("row"), "text")
-    met = jaccard.members(each)
-    star = materialize(jaccard.star_pairs(met), "jaccard-star")
-    links = jaccard.verified(star, each, texts)
-    roots = components(links, "jaccard-roots")
-    cross = jaccard.cross_pairs(met, roots).join(star, ["a", "b"], "left_anti")
-    cross = materialize(cross, "jaccard-cross")
-    if not cross.isEmpty():
-        more = jaccard.verified(cross, each, texts)
-        release(roots)
-        roots = components(links.unionByName(more), "jaccard-roots")
+    marked = docs.select("*", F.monotonically_increasing_id().alias("__row"), jaccard.sketch(F.col("text"), majority).alias("__sketch"))
+    marked = materialize(marked, "simhash-marked")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row"))
+    slim = marked.select(F.col("__sketch.node").alias("node"), first.alias("first"), F.col("__sketch.fp").alias("fp"), F.col("__sketch.bands").alias("bands"))
+    folded = slim.groupBy("node").agg(F.min(F.struct("first", "fp", "bands")).alias("one"), F.count(F.lit(1)).alias("copies"))
+    each = materialize(folded.select("node", "copies", "one.first", F.col("one.first.row").alias("row"), "one.fp", "one.bands"), "simhash-each")
+    worded = each.filter(F.size("bands") > 0).select("node", "fp")
+    same = hold(worded.groupBy("fp").agg(F.min("node").alias("a")))
+    equal = attach_counted(worded, same, "fp").select("a", F.col("node").alias("b")).filter("a <> b")
+    names = same.select(F.col("fp").alias("__fp"), F.col("a").alias("__name"))
+    near = anchor_links(same.select("fp"))
+    near = near.join(names, near["a"] == names["__fp"]).select(F.col("__name").alias("x"), "b")
+    near = near.join(names, near["b"] == names["__fp"]).select(F.col("x").alias("a"), F.col("__name").alias("b"))
+    proposed = materialize(equal.unionByName(near), "simhash-proposed")
+    release(same)
+    roots = jaccard.near_copy_roots(each, marked.select(F.col("__row").alias("row"), "text"), proposed)
     linked = roots.select(F.col("node").alias("__node"), "root")
-    rooted = each.join(linked, each["node"] == linked["__node"], "left").select("first", F.coalesce("root", "node").alias("root"))
-    stay = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__stay")), "jaccard-stay")
-    release(each, met, star, cross, links, roots)
-    return marked.join(stay, marked["__row"] == stay["__stay"], "left_semi").select(*docs.columns)
+    rooted = hold(each.join(linked, each["node"] == linked["__node"], "left").select("node", "copies", "first", F.coalesce("root", "node").alias("root")))
+    stay = hold(rooted.groupBy("root").agg(F.min("first").alias("stay"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    kept = hold(attach(rooted, stay, ["root"], "members", rooted.count()).filter((F.col("copies") > 1) | F.col("stay").isNotNull()).select("node", "copies", F.coalesce("stay.row", "first.row").alias("stay")))
+    rows = marked.select("__row", F.col("__sketch.node").alias("node"))
+    gone = materialize(attach(rows, kept, ["node"], "copies", marked.count(), ["__row"]).filter(F.col("__row") != F.col("stay")).select("__row"), "simhash-gone")
+    release(each, proposed, roots, rooted, stay, kept)
+    return without(marked, gone, "__row").select(*[marked[c] for c in docs.columns])
