@@ -42,10 +42,10 @@ def test_everything_reads_back(spark):
 
 def test_windows_keep_the_budget_and_repeat_history(spark):
     rows = [(1, 0, "system", "s" * 40)] + [(1, k, "user" if k % 2 else "assistant", "w" * 120) for k in range(1, 60)]
-    shown = sorted(chat.windows(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda w: w["window"])
+    shown = sorted(chat.windows(spark.createDataFrame(rows, SCHEMA), 900, 200).collect(), key=lambda w: w["window"])
     assert len(shown) > 3
     for k, w in enumerate(shown):
-        assert w["formatted"].startswith("<|im_start|>system\n") and w["n_tokens"] <= chat.BUDGET
+        assert w["formatted"].startswith("<|im_start|>system\n") and w["n_tokens"] <= 900
         assert (w["n_context"] > 1) == (k > 0)
         for span in w["loss"]:
             assert w["formatted"][span["start"] - 1 :][: span["length"]] == "w" * 120
@@ -55,3 +55,35 @@ def test_windows_keep_the_budget_and_repeat_history(spark):
 def test_no_conversations(spark):
     got = chat.op8_chat(spark.createDataFrame([], SCHEMA)).collect()
     assert [r["conv_id"] for r in got] == [-1]
+
+
+def test_long_turns_keep_history_unless_it_is_longer(spark):
+    rows = [(1, k, "user" if k % 2 else "assistant", "w " * 800) for k in range(12)] + [(2, k, "user", "w " * 1600) for k in range(6)]
+    shown = chat.windows(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all((w["n_context"] > 0) == (w["window"] > 0) for w in shown if w["conv_id"] == 1)
+    assert all(w["n_context"] == 0 for w in shown if w["conv_id"] == 2)
+    assert all(w["n_tokens"] <= chat.BUDGET for w in shown)
+
+
+def test_the_budget_holds_in_tokens_of_a_vocabulary(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    talk = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    turns = [r["text"] or "" for r in talk.collect()]
+    more = sum(len(plain.encode(t, add_special_tokens=False).ids) > -(-len(t.encode()) // chat.BYTES_PER_TOKEN) + chat.MARK_TOKENS for t in turns)
+    assert more <= len(turns) / 500
+    for budget, history in ((chat.BUDGET, chat.HISTORY), (1500, 300)):
+        shown = chat.windows(talk, budget, history).collect()
+        tokens = [len(plain.encode(w["formatted"].replace(chat.START, "<").replace(chat.END, ">"), add_special_tokens=False).ids) for w in shown]
+        assert all(n <= w["n_tokens"] for n, w in zip(tokens, shown))
+        single = [w["formatted"].count(chat.START) == 1 for w in shown]
+        assert all(n <= budget or alone for n, alone in zip(tokens, single))
+
+
+def test_one_conversation_may_hold_a_third_of_all_turns(spark):
+    rows = [(k if k % 3 else 0, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(3000)] + [(None, k, "assistant", "x") for k in range(500)]
+    got = {x["conv_id"]: x for x in chat.op8_chat(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[0]["n_turns"], got[0]["turns_sha256"], got[0]["loss_chars"], got[0]["loss_sha256"]) == expected([r for r in rows if r[0] == 0])
+    assert got[None]["n_turns"] == 500
