@@ -1,8 +1,11 @@
 import base64
 import hashlib
+import os
+
+import pytest
 
 from tidewell.llm import warc
-from tidewell.storage import new_path
+from tidewell.storage import new_path, qualified
 
 PAGES = "page_id long, url string, html string"
 ROWS = [
@@ -58,3 +61,44 @@ def test_native_digest(spark):
 
     row = spark.createDataFrame([("é" * 9,), ("",)], "s string").select("s", warc.base32_sha1(F.col("s")).alias("d")).collect()
     assert all(r["d"] == digest(r["s"]) for r in row)
+
+
+def test_a_folder_without_scheme_is_on_the_default_file_system(spark, tmp_path):
+    """Archives go where Spark would put a table of that path, not to the disk of each executor."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "nosuchscheme://cluster/")
+        with pytest.raises(Exception, match="nosuchscheme"):
+            warc.write_archives(spark.createDataFrame(ROWS, PAGES), f"{tmp_path}/w")
+        assert not os.path.exists(f"{tmp_path}/w")
+    finally:
+        conf.set("fs.defaultFS", before)
+    index = warc.write_archives(spark.createDataFrame(ROWS, PAGES), f"{tmp_path}/w")
+    assert os.listdir(f"{tmp_path}/w") and index.count() == len(ROWS)
+    assert warc._opened(qualified(spark, f"{tmp_path}/w"))[1] == f"{tmp_path}/w"
+
+
+def test_archives_go_even_if_the_query_fails(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(warc, "new_path", lambda s, label: made.append(new_path(s, label)) or made[-1])
+
+    def broken(index, folder):
+        assert any(f.endswith(".warc.gz") for f in os.listdir(folder.removeprefix("file:")))
+        raise RuntimeError("stop")
+
+    monkeypatch.setattr(warc, "read_records", broken)
+    with pytest.raises(RuntimeError, match="stop"):
+        warc.op10_warc(spark.createDataFrame(ROWS, PAGES))
+    assert made and not os.path.exists(made[0].removeprefix("file:"))
+
+
+def test_sql_agrees_on_awkward_rows(spark):
+    import duckdb
+    import pandas as pd
+
+    c = duckdb.connect()
+    c.register("pages", pd.DataFrame(ROWS, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
+    got = warc.op10_warc(spark.createDataFrame(ROWS, PAGES))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(c.execute(warc.ORACLE_SQL).fetchall(), key=repr)
+    assert [x[0] for x in c.description] == got.columns

@@ -8,18 +8,22 @@ coalesced range once.
 
 Records with equal payloads (by digest, of ``min_bytes`` or more) are one ``response``, the
 one of the smallest ``page_id``, and ``revisit`` records that refer to it and hold no
-payload. The groups are found from digests alone; a hot payload is broadcast as one row and
-its pages are dealt over salts, so no task gathers it.
+payload. The groups are found from digests alone. Where the table of shared digests, once
+measured, fits, it is broadcast and payloads never move before they are written; beyond
+that they join it by one shuffle, in which a hot digest is broadcast as one row and its
+pages are dealt over salts, so no task gathers it.
 
 Lost executors. A task writes to files named after its own attempt and the index holds only
 what succeeded, so a second attempt leaves an orphan file but never a wrong row. Archives
-lie in the folder the cluster shares.
+lie in the folder the cluster shares; a folder without a scheme is resolved by the cluster's
+default file system, as Spark resolves it, before any task opens it.
 
 Edge cases. Null html is an empty payload; an empty payload is a payload like others. Null
-URLs leave the target header out. Rows without ``page_id`` are written as responses. Rows
-that repeat a ``page_id`` and payload share their verdict, so if theirs is the smallest id
-each of them is a response. URLs are percent-encoded where they hold white space or
-control characters. No rows in, no rows out.
+URLs leave the target header out. Rows without ``page_id`` are written as responses. Ties:
+rows that repeat a ``page_id`` and payload share their verdict, so if theirs is the smallest
+id each of them is a response. Very long payloads are written and read whole, one record at
+a time; an archive is closed by size between records. URLs are percent-encoded where they
+hold white space or control characters. Other columns are ignored. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -38,8 +42,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.skew import SALTS, lookup
-from tidewell.storage import bounded_batches, delete, materialize, new_path, release
+from tidewell.skew import SALTS, attach
+from tidewell.storage import bounded_batches, delete, materialize, new_path, qualified, release
 
 #: An archive is closed once it holds so many bytes.
 ARCHIVE_BYTES = 1 << 30
@@ -89,18 +93,26 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     slim = keyed.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
     shared = materialize(slim.filter("n > 1"), "warc-shared")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    out = lookup(keyed, shared, ["digest"], "n", total, ["page_id", "url"])
+    out = attach(keyed, shared, ["digest"], "n", total, ["page_id", "url"])
     revisits = (F.octet_length("payload") >= min_bytes) & (F.col("page_id") > F.col("first"))
     return out.select("page_id", "url", "payload", "digest", F.when(revisits, F.col("first")).alias("refers_to"))
 
 
+def _opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a qualified folder."""
+    if folder.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), re.sub("^file:/+", "/", folder)
+    return pyarrow.fs.FileSystem.from_uri(folder)
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` below ``folder`` and return the stored index."""
     bounded_batches(pages.sparkSession, 500)
+    folder = qualified(pages.sparkSession, folder)
     planned = plan_records(pages, min_bytes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
+        store, root = _opened(folder)
         task = TaskContext.get()
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}"
         out, at, number = None, 0, 0
@@ -149,9 +161,10 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
     and its index row give.
     """
     bounded_batches(index.sparkSession, 500)
+    folder = qualified(index.sparkSession, folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
+        store, root = _opened(folder)
         for batch in batches:
             for archive, rows in batch.groupby("archive", sort=False):
                 with store.open_input_file(f"{root}/{archive}") as source:
@@ -181,14 +194,30 @@ def _parsed(records: list[tuple[bytes, str]], with_payload: bool) -> pd.DataFram
 def op10_warc(pages: DataFrame) -> DataFrame:
     """Write every page, read every record back, and tell what the archives hold.
 
-    The read-back rows are stored, after which the archives of this query are deleted.
+    The read-back rows are stored, after which the archives of this query are deleted, as
+    they are if it fails.
     """
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
-    index = write_archives(pages, folder)
-    back = materialize(read_records(index, folder).drop("payload"), "warc-records")
+    try:
+        index = write_archives(pages, folder)
+        back = materialize(read_records(index, folder).drop("payload"), "warc-records")
+        release(index)
+    finally:
+        delete(spark, folder)
     if not back.filter("NOT intact").isEmpty():
         raise ValueError("a record read back differs from what was written")
-    delete(spark, folder)
-    release(index)
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "stored_bytes")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v // {0}) % 32 AS INTEGER), 1)"
+ORACLE_SQL = f"""
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), digested AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 8), lambda k: list_transform([CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT)], lambda v: {" || ".join(_DIGIT.format(32**k) for k in (3, 2, 1, 0))})[1]), '') AS payload_digest FROM hashed
+), grouped AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM digested
+)
+SELECT CAST(page_id AS BIGINT) AS page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CAST(CASE WHEN page_id > first THEN first END AS BIGINT) AS refers_to FROM grouped
+"""
