@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.chat import ORACLE_SQL as CHAT_SQL
 from tidewell.llm.chat import op8_chat
+from tidewell.llm.decontaminate import ORACLE_SQL as DECONTAMINATION_SQL
 from tidewell.llm.decontaminate import op9_decontamination
 from tidewell.llm.outliers import op5_robust_outliers
 from tidewell.llm.packing import op7_packing
@@ -18,6 +19,7 @@ from tidewell.llm.tables import table
 from tidewell.llm.toxicity import op1_toxicity
 from tidewell.llm.urlfilter import ORACLE_SQL as URL_FILTER_SQL
 from tidewell.llm.urlfilter import op6_url_filter
+from tidewell.llm.warc import ORACLE_SQL as WARC_SQL
 from tidewell.llm.warc import op10_warc
 
 
@@ -44,4 +46,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_url_filter": URL_FILTER_SQL,
         "op8_chat": CHAT_SQL,
+        "op9_decontamination": DECONTAMINATION_SQL,
+        "op10_warc": WARC_SQL,
     }
