@@ -2,23 +2,30 @@
 
 Two fixed rules come first: a document fails with fewer than ``MIN_WORDS`` words, or when
 more than 30 % of its words lie in repeated 8-word windows. Each other document is judged
-against its own language and source: a minimum-covariance-determinant estimate of the
-transformed statistics, and a cut on the squared Mahalanobis distance.
-
-The estimate covers every row. It starts from medians and MADs and takes concentration
-steps: distances under the present estimate are counted in fine logarithmic bins with the
-sums and cross products of each bin, the innermost bins that hold the share ``CORE`` of a
-group make the next estimate. One step is one aggregation that combines on the map side,
-so a source with a third of all rows costs no task more than its share. The scatter has a
-floor per statistic, since most clean texts have no symbol or repeated line at all. At the
-end distances are scaled by their median, outwards only.
-
-Groups with fewer than ``MIN_GROUP`` rows are pooled with the small groups of their
+against those of its own language and source that pass: a minimum-covariance-determinant
+estimate of the transformed statistics, and a cut on the squared Mahalanobis distance.
+
+The estimate covers every passing row, without subsamples. Each group has three starts:
+medians and MADs, the moments of values clamped to two MADs, and plain moments. From each,
+concentration steps lead on: distances under the present estimate are counted in fine
+logarithmic bins with the sums and cross products of each bin, and the innermost bins that
+hold the share ``CORE`` of a group make the next estimate. After ``FIRST_STEPS`` the start
+with the least determinant is kept in each group, and steps go on until no group's log
+determinant changes by ``TOLERANCE``, ``MAX_STEPS`` at most. One step is one aggregation
+that combines on the map side, so a source with a third of all rows costs no task more than
+its share. Where a variance falls below a floor it is lifted to it, since most clean texts
+have no symbol or repeated line at all and any first one would be infinitely far; other
+variances are as estimated. At the end distances are scaled by their median, outwards only.
+
+Groups with fewer than ``MIN_GROUP`` passing rows are pooled with the small groups of their
 language, and if those are few too, with all that is left.
 
 Edge cases. Null text: no words, so the base rules fail it. Null language or source form a
-group of their own. Repeated rows are judged each. Columns beyond doc_id, text, lang and
-source are ignored. No rows in, no rows out.
+group of their own. Rows that fail the base rules have no distance. Very long texts are
+read whole. Ties: rows at equal distance lie in one bin and are in the core together; a
+distance of exactly ``CUT`` is kept; of starts with equal determinants the first named is
+taken. Repeated rows are judged each. Columns beyond doc_id, text, lang and source are
+ignored. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -37,7 +44,12 @@ from tidewell.storage import materialize, release
 MIN_WORDS = 20
 MIN_GROUP = 50
 CORE = 0.75
-STEPS = 4
+#: Concentration steps that every start takes, and that the best may take in all.
+FIRST_STEPS, MAX_STEPS = 2, 20
+#: Change of the log determinant at which an estimate has converged.
+TOLERANCE = 1e-3
+#: Bins in a doubling of the squared distance.
+BINS = 64
 #: Squared distance beyond which a document is rejected; 6 statistics, far in the tail.
 CUT = 24.0
 #: Median of chi-square with 6 degrees of freedom.
@@ -67,19 +79,20 @@ def transformed(stats: DataFrame) -> DataFrame:
 
 
 def _pooled(rows: DataFrame, total: int) -> DataFrame:
-    """Add ``grp`` and drop nothing: (lang, source), or what it is pooled with."""
+    """Add ``grp``: (lang, source), or what it is pooled with."""
     sizes = materialize(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "outliers-sizes")
     own = F.concat_ws("\x01", F.coalesce("lang", F.lit("\x02")), F.coalesce("source", F.lit("\x02")))
     by_lang = F.concat_ws("\x01", F.coalesce("lang", F.lit("\x02")), F.lit("\x03"))
     small = F.sum(F.when(F.col("n") < MIN_GROUP, F.col("n"))).over(Window.partitionBy("lang"))
     named = sizes.withColumn("__small", small).select("lang", "source", "n", F.when(F.col("n") >= MIN_GROUP, own).when(F.col("__small") >= MIN_GROUP, by_lang).otherwise(F.lit("\x03")).alias("grp"))
-    out = attach(rows, named, ["lang", "source"], "n", total, ["doc_id"])
-    return out
+    return attach(rows, named, ["lang", "source"], "n", total)
+
+
+_MODEL = "grp string, start int, n long, mean array<double>, precision array<double>, logdet double"
 
 
 def _invert(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From n, k, means' sums and cross sums of the core to its mean and inverse scatter."""
-    floor = np.diag(np.square(FLOORS))
+    """From n, k and the sums of the core to its mean, inverse scatter and log determinant."""
     for batch in rows:
         out = []
         for r in batch.to_dict("records"):
@@ -87,8 +100,15 @@ def _invert(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             scatter = np.empty((_P, _P))
             for i, j in _PAIRS:
                 scatter[i, j] = scatter[j, i] = r[f"c{i}_{j}"] / r["k"] - mean[i] * mean[j]
-            out.append((r["grp"], r["n"], mean.tolist(), np.linalg.inv(scatter + floor).ravel().tolist()))
-        yield pd.DataFrame(out, columns=["grp", "n", "mean", "precision"])
+            out.append((r["grp"], r["start"], r["n"], mean.tolist(), *lifted(scatter)))
+        yield pd.DataFrame(out, columns=["grp", "start", "n", "mean", "precision", "logdet"])
+
+
+def lifted(scatter: np.ndarray) -> tuple[list[float], float]:
+    """Inverse and log determinant of a scatter whose variances are lifted to the floors."""
+    least = np.square(FLOORS)
+    scatter = scatter + np.diag(np.maximum(least - np.diag(scatter), 1e-9 * least))
+    return np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])
 
 
 def squared_distance() -> Column:
@@ -100,42 +120,79 @@ def squared_distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def concentrated(rows: DataFrame, total: int) -> DataFrame:
-    """(grp, n, mean, precision): the robust estimate of each group of ``rows`` (stored, with grp and v0..v5)."""
-    centre = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(v, 0.5, 10000).alias(f"m{k}") for k, v in enumerate(_V)])
-    centre = materialize(centre, "outliers-centre")
-    near = attach(rows.select("grp", *_V, "doc_id"), centre, ["grp"], "n", total, ["doc_id"])
+def _sums() -> list[Column]:
+    return [F.sum(v).alias(f"s{k}") for k, v in enumerate(_V)] + [F.sum(F.col(_V[i]) * F.col(_V[j])).alias(f"c{i}_{j}") for i, j in _PAIRS]
+
+
+_NAMES = [f"s{k}" for k in range(_P)] + [f"c{i}_{j}" for i, j in _PAIRS]
+
+
+def starts(rows: DataFrame, total: int) -> DataFrame:
+    """The three starts of each group of ``rows`` (stored, with grp and v0..v5): 0 medians and MADs, 1 clamped moments, 2 moments; stored."""
+    middle = [F.percentile_approx(v, 0.5, 10000).alias(f"m{k}") for k, v in enumerate(_V)]
+    centre = materialize(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *middle), "outliers-centre")
+    near = attach(rows.select("grp", *_V), centre, ["grp"], "n", total)
     spread = near.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.first(f"m{k}").alias(f"m{k}") for k in range(_P)], *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{k}")), 0.5, 10000).alias(f"d{k}") for k, v in enumerate(_V)])
-    scale = [F.greatest(1.4826 * F.col(f"d{k}"), F.lit(FLOORS[k])) for k in range(_P)]
-    precision = F.array(*[1 / (scale[i] * scale[i]) if i == j else F.lit(0.0) for i in range(_P) for j in range(_P)])
-    now = materialize(spread.select("grp", "n", F.array(*[f"m{k}" for k in range(_P)]).alias("mean"), precision.alias("precision")), "outliers-start")
-    sums = [F.sum(v).alias(f"s{k}") for k, v in enumerate(_V)] + [F.sum(F.col(_V[i]) * F.col(_V[j])).alias(f"c{i}_{j}") for i, j in _PAIRS]
-    names = [f"s{k}" for k in range(_P)] + [f"c{i}_{j}" for i, j in _PAIRS]
-    for _ in range(STEPS):
-        placed = attach(rows.select("grp", *_V, "doc_id"), now, ["grp"], "n", total, ["doc_id"]).withColumn("__bin", F.floor(F.log2(squared_distance() + 1e-6) * 16))
-        bins = placed.groupBy("grp", "__bin").agg(F.count(F.lit(1)).alias("k"), *sums)
-        inner = Window.partitionBy("grp").orderBy("__bin")
-        bins = bins.withColumn("__n", F.sum("k").over(Window.partitionBy("grp"))).withColumn("__before", F.sum("k").over(inner) - F.col("k"))
-        core = bins.filter(F.col("__before") < CORE * F.col("__n")).groupBy("grp").agg(F.max("__n").alias("n"), F.sum("k").alias("k"), *[F.sum(c).alias(c) for c in names])
-        after = materialize(core.mapInPandas(_invert, "grp string, n long, mean array<double>, precision array<double>"), "outliers-step")
+    scales = materialize(spread.select("grp", "n", *[f"m{k}" for k in range(_P)], *[F.greatest(1.4826 * F.col(f"d{k}"), F.lit(FLOORS[k])).alias(f"d{k}") for k in range(_P)]), "outliers-scales")
+    diagonal = F.array(*[1 / (F.col(f"d{i}") * F.col(f"d{i}")) if i == j else F.lit(0.0) for i in range(_P) for j in range(_P)])
+    logdet = sum((2 * F.log(F.col(f"d{k}")) for k in range(1, _P)), 2 * F.log("d0"))
+    first = scales.select("grp", F.lit(0).alias("start"), "n", F.array(*[f"m{k}" for k in range(_P)]).alias("mean"), diagonal.alias("precision"), logdet.alias("logdet"))
+    plain = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("k"), *_sums()).withColumn("start", F.lit(2))
+    scaled = attach(rows.select("grp", *_V), scales, ["grp"], "n", total)
+    clamped = scaled.select("grp", *[F.least(F.greatest(F.col(v), F.col(f"m{k}") - 2 * F.col(f"d{k}")), F.col(f"m{k}") + 2 * F.col(f"d{k}")).alias(v) for k, v in enumerate(_V)])
+    clamped = clamped.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("k"), *_sums()).withColumn("start", F.lit(1))
+    out = materialize(first.unionByName(clamped.unionByName(plain).mapInPandas(_invert, _MODEL)), "outliers-starts")
+    release(centre, scales)
+    return out
+
+
+def step(rows: DataFrame, now: DataFrame, total: int) -> DataFrame:
+    """One concentration step of every (grp, start) of ``now``; stored."""
+    each = now.groupBy("grp").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("start", "mean", "precision"))).alias("starts"))  # three at most
+    placed = attach(rows.select("grp", *_V), materialize(each, "outliers-each"), ["grp"], "n", total).select("grp", *_V, F.explode("starts").alias("__s")).select("grp", *_V, "__s.*")
+    bins = placed.withColumn("__bin", F.floor(F.log2(squared_distance() + 1e-6) * BINS)).groupBy("grp", "start", "__bin").agg(F.count(F.lit(1)).alias("k"), *_sums())
+    inner = Window.partitionBy("grp", "start").orderBy("__bin")  # a row for each bin
+    bins = bins.withColumn("__n", F.sum("k").over(Window.partitionBy("grp", "start"))).withColumn("__before", F.sum("k").over(inner) - F.col("k"))
+    core = bins.filter(F.col("__before") < CORE * F.col("__n")).groupBy("grp", "start").agg(F.max("__n").alias("n"), F.sum("k").alias("k"), *[F.sum(c).alias(c) for c in _NAMES])
+    return materialize(core.mapInPandas(_invert, _MODEL), "outliers-step")
+
+
+def concentrated(rows: DataFrame, total: int) -> DataFrame:
+    """(grp, n, mean, precision, logdet): the estimate of least determinant for each group of ``rows`` (stored, with grp and v0..v5); stored."""
+    now = starts(rows, total)
+    for taken in range(MAX_STEPS):
+        after = step(rows, now, total)
+        if taken == FIRST_STEPS - 1:
+            best = F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))  # three rows
+            kept = materialize(after.withColumn("__r", best).filter("__r = 1").drop("__r"), "outliers-best")
+            release(after, now)
+            now = kept
+            continue
+        before = now.select(F.col("grp").alias("__grp"), F.col("start").alias("__start"), F.col("logdet").alias("__logdet"))
+        moved = after.join(before, (F.col("grp") == F.col("__grp")) & (F.col("start") == F.col("__start"))).filter(F.abs(F.col("logdet") - F.col("__logdet")) >= TOLERANCE)
+        converged = taken >= FIRST_STEPS and moved.isEmpty()
         release(now)
         now = after
-    release(centre)
-    return now
+        if converged:
+            break
+    return now.drop("start")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """Statistics, base_failed, distance and kept for every row of ``docs``."""
-    stats = materialize(transformed(with_statistics(docs.select(F.col("doc_id").cast("long"), "text", "lang", "source"), ("doc_id", "lang", "source"))), "outliers-stats")
-    total = stats.count()
-    rows = materialize(_pooled(stats, total), "outliers-rows")
-    release(stats)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    found = transformed(with_statistics(docs.select(F.col("doc_id").cast("long"), "text", "lang", "source"), ("doc_id", "lang", "source"))).withColumn("base_failed", failed)
+    stats = materialize(found, "outliers-stats")
+    passing = stats.filter(~F.col("base_failed"))
+    total = passing.count()
+    rows = materialize(_pooled(passing, total), "outliers-rows")
     model = concentrated(rows, total)
-    placed = attach(rows, model, ["grp"], "n", total, ["doc_id"]).withColumn("__d", squared_distance())
+    placed = materialize(attach(rows, model, ["grp"], "n", total).withColumn("__d", squared_distance()).drop("mean", "precision", "logdet"), "outliers-placed")
     middle = materialize(placed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__d", 0.5, 10000).alias("__mid")), "outliers-middle")
-    scaled = attach(placed, middle, ["grp"], "n", total, ["doc_id"]).withColumn("distance", F.col("__d") / F.greatest(F.col("__mid") / CHI2_MEDIAN, F.lit(1.0)))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return scaled.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("distance") <= CUT))
+    scaled = attach(placed, middle, ["grp"], "n", total).withColumn("distance", F.col("__d") / F.greatest(F.col("__mid") / CHI2_MEDIAN, F.lit(1.0))).drop("__d", "__mid", "grp")
+    release(rows, model)
+    rest = stats.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
+    return scaled.unionByName(rest).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUT)).withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def op5_robust_outliers(docs: DataFrame) -> DataFrame:
