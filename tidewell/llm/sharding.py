@@ -1,11 +1,12 @@
 """Sharding by sampled splitters; DataFrame operations only.
 
-Records are put in the order of (key, hash, id), where the hash of a record's id and text
-tells records of one hot key apart. A size-weighted sample of records (weighted reservoir
-by hash, so it is the same at every run, and bounded by ``SAMPLE``) gives quantile
-boundaries that cut the order into ranges of about equal bytes. The exact bytes and rows of
-each range are summed; a range that turns out overfull is sampled again by itself and
-subdivided, until none is or it cannot be told apart further.
+Records are put in the order of (key, hash, tie), where the hash of a record's id and text
+tells records of one hot key apart, and the tie, a row number, equal records. A
+size-weighted sample of records (weighted reservoir by hash, so it is the same at every
+run, and bounded by ``SAMPLE``) gives quantile boundaries that cut the order into ranges of
+about equal bytes. The exact bytes and rows of each range are summed; a range that turns out
+overfull is sampled again by itself and subdivided, until none is that holds more than one
+record.
 
 Range offsets are prefix sums over the small table of ranges, positions within a range are
 a window over that range alone, so no task orders more than a range. A record belongs to the shard in
@@ -15,13 +16,16 @@ which the middle of its bytes falls when the order is cut into equal parts: the
 ``slot`` counts a shard's records from 0 without gaps: a record's place in the whole order
 less the place of the shard's first.
 
-Edge cases. A null text has no bytes, so size 1. Null ids come first. Equal records have
-equal places up to swapping, each its own slot. Other columns are ignored. No rows in, no
-rows out.
+Edge cases. A null text has no bytes, so size 1. Null ids come first. Ties: equal records,
+however many, are told apart by their row numbers, each has its own slot, and they may be
+cut between shards; which copy gets which slot makes no difference. A very long text may
+make a shard larger by up to its own bytes, as no record is cut. Other columns are ignored.
+No rows in, no rows out.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,80 +38,83 @@ RANGES = 1024
 SAMPLE = 16 * RANGES
 #: A range is overfull beyond so many times its share.
 OVERFULL = 2.0
-#: Times that overfull ranges are subdivided at most.
-ROUNDS = 4
 _COARSE = 32
+_ORDER = ("key", "hash", "tie")
+_PLACE = "struct<key:bigint,hash:bigint,tie:bigint>"
 
+Place = tuple[int, int, int]
 
-def _sample(rows: DataFrame, n: int, total: int) -> list[tuple[int, int]]:
-    """(key, hash) of n rows drawn by weight ``size`` without replacement, in order.
+
+def _sample(rows: DataFrame, n: int, total: int) -> list[Place]:
+    """(key, hash, tie) of n rows drawn by weight ``size`` without replacement, in order.
 
     ``total`` is the sum of weights. Rows whose exponential variates are too large to be
     among the n smallest are left out where they lie, so all tasks together hand on little
     more than n rows, however many tasks there are.
     """
-    uniform = (F.shiftrightunsigned(F.xxhash64("key", "hash", F.lit(7)), 11).cast("double") + 0.5) / float(1 << 53)
-    drawn = rows.select("key", "hash", (-F.log(uniform) / F.col("size")).alias("__p")).filter(F.col("__p") <= 2.0 * n / max(total, 1))
-    got = drawn.orderBy("__p", "key", "hash").limit(n).collect()
-    return sorted((r["key"], r["hash"]) for r in got)
+    uniform = (F.shiftrightunsigned(F.xxhash64(*_ORDER, F.lit(7)), 11).cast("double") + 0.5) / float(1 << 53)
+    drawn = rows.select(*_ORDER, (-F.log(uniform) / F.col("size")).alias("__p")).filter(F.col("__p") <= 2.0 * n / max(total, 1))
+    got = drawn.orderBy("__p", *_ORDER).limit(n).collect()
+    return sorted((r["key"], r["hash"], r["tie"]) for r in got)
 
 
-def _quantiles(sample: list[tuple[int, int]], parts: int) -> list[tuple[int, int]]:
+def _quantiles(sample: list[Place], parts: int) -> list[Place]:
     return sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
 
 
-def _at_least(splitters: list[tuple[int, int]]) -> Column:
-    """How many of a few sorted splitters are <= (key, hash)."""
-    literal = F.array(*[F.struct(F.lit(k).cast("long").alias("key"), F.lit(h).cast("long").alias("hash")) for k, h in splitters]) if splitters else None
+def _at_least(splitters: list[Place]) -> Column:
+    """How many of a few sorted splitters are <= (key, hash, tie)."""
+    literal = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(s, _ORDER)]) for s in splitters]) if splitters else None
     if literal is None:
         return F.lit(0)
-    me = F.struct("key", "hash")
+    me = F.struct(*_ORDER)
     return F.size(F.filter(literal, lambda s: s <= me))
 
 
-def range_number(splitters: list[tuple[int, int]]) -> Column:
-    """Number of the range of (key, hash): all splitters up to it, found in two levels."""
+def range_number(splitters: list[Place]) -> Column:
+    """Number of the range of (key, hash, tie): all splitters up to it, found in two levels."""
     if len(splitters) <= _COARSE:
         return _at_least(splitters)
     width = math.ceil(math.sqrt(len(splitters) + 1))
     heads = splitters[::width]
-    kinds = "array<array<struct<key:bigint,hash:bigint>>>"
-    blocks = F.from_json(F.lit("[" + ",".join("[" + ",".join(f'{{"key":{k},"hash":{h}}}' for k, h in splitters[i : i + width]) + "]" for i in range(0, len(splitters), width)) + "]"), kinds)
-    me = F.struct("key", "hash")
+    nested = [[dict(zip(_ORDER, s)) for s in splitters[i : i + width]] for i in range(0, len(splitters), width)]
+    blocks = F.from_json(F.lit(json.dumps(nested)), f"array<array<{_PLACE}>>")
+    me = F.struct(*_ORDER)
     coarse = _at_least(heads)
     within = F.size(F.filter(F.element_at(blocks, F.greatest(coarse, F.lit(1))), lambda s: s <= me))
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * width + within)
 
 
-def splitters_of(rows: DataFrame, ranges: int, sample: int) -> tuple[list[tuple[int, int]], DataFrame]:
+def splitters_of(rows: DataFrame, ranges: int, sample: int) -> tuple[list[Place], DataFrame]:
     """Splitters, and (range, bytes, n) of the ranges they make, none overfull that can be split."""
     total = rows.agg(F.sum("size").alias("s")).first()["s"] or 0
     splitters = _quantiles(_sample(rows, sample, total), ranges)
     most = max(OVERFULL * total / ranges, 1)
     overfull = (F.col("bytes") > most) & (F.col("low") < F.col("high"))
-    for left in range(ROUNDS, -1, -1):
+    ends = F.struct(*_ORDER)
+    while True:  # every round adds a splitter to each overfull range that has two records
         placed = rows.withColumn("range", range_number(splitters))
-        sums = materialize(placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "hash")).alias("low"), F.max(F.struct("key", "hash")).alias("high")), "sharding-ranges")
+        sums = materialize(placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min(ends).alias("low"), F.max(ends).alias("high")), "sharding-ranges")
         full = sums.filter(overfull).agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("b")).first()
-        if not full["k"] or not left:
-            break
-        over = F.broadcast(sums.filter(overfull).select("range"))  # at most ranges / OVERFULL rows
+        if not full["k"]:
+            return splitters, sums
+        over = sums.filter(overfull).select("range", "high")  # at most ranges / OVERFULL rows
         parts = min(ranges, math.ceil(2 * full["b"] / most) + full["k"])
-        more = _quantiles(_sample(placed.join(over, "range"), min(sample, 16 * parts), full["b"]), parts)
-        if set(more) <= set(splitters):
-            break
-        splitters = sorted({*splitters, *more})
+        drawn = _quantiles(_sample(placed.join(F.broadcast(over.select("range")), "range"), min(sample, 16 * parts), full["b"]), parts)
+        last = [tuple(r["high"]) for r in over.collect()]  # a range's last record begins a range of its own, so that no round is idle
+        splitters = sorted({*splitters, *drawn, *last})
         release(sums)
-    return splitters, sums
 
 
 def sharded(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, ranges: int = RANGES, sample: int = SAMPLE) -> DataFrame:
     """doc_id, key, size, text_crc32, shard, slot for every row; ``key`` is an integer column."""
+    # rows are stored before anything is drawn from them, so their numbers stay
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long"),
         F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("key"),
         F.xxhash64("doc_id", "text").alias("hash"),
+        F.monotonically_increasing_id().alias("tie"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
     )
@@ -115,7 +122,7 @@ def sharded(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, ranges:
     splitters, sums = splitters_of(rows, ranges, sample)
     order = Window.orderBy("range")  # a row for each range
     before = sums.select("range", (F.sum("bytes").over(order) - F.col("bytes")).alias("bytes_before"), (F.sum("n").over(order) - F.col("n")).alias("rows_before"), F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
-    inside = Window.partitionBy("range").orderBy("key", "hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("range").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("range", range_number(splitters)).withColumn("__bytes", F.sum("size").over(inside)).withColumn("__place", F.count(F.lit(1)).over(inside) - 1)
     placed = placed.join(F.broadcast(before), "range")
     middle = F.col("bytes_before") + F.col("__bytes") - F.col("size") + F.floor(F.col("size") / 2)
