@@ -32,9 +32,36 @@ def test_edge_cases(spark):
         (10, "http://é.org/fr/ü#://", "é.org", "/fr/ü", "org/fr/", "allow"),
         (11, "http://best-casino.example.com/", "best-casino.example.com", "/", None, "block"),
         (11, "http://best-casino.example.com/", "best-casino.example.com", "/", None, "block"),
+        (12, "http://a.example.com/s?q=CASINO", "a.example.com", "/s", None, "block"),
+        (13, "http://a.example.com/CaSiNo/#x", "a.example.com", "/CaSiNo/", None, "block"),
+        (14, "http://a.example.com/s#/cgi-bin/", "a.example.com", "/s", None, "block"),
+        (15, "http://a.org/fr/?q=casino", "a.org", "/fr/", "org/fr/", "allow"),
+        (16, "casino without a scheme", "", "", None, "allow"),
         (None, "http://x.example.com/" + "y" * 50_000, "x.example.com", "/" + "y" * 50_000, None, "allow"),
     ]
     pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string").selectExpr("*", "'clash' rule", "'clash' host")
     got = sorted(map(tuple, urlfilter.op6_url_filter(pages).collect()), key=repr)
     assert got == sorted(((r[0], *r[2:]) for r in rows), key=repr)
     assert urlfilter.op6_url_filter(pages.limit(0)).count() == 0
+
+
+def test_thousands_of_rules_from_a_table(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randrange(2, 5)))
+    site = sorted({f"{word()}.{r.choice(['com', 'net'])}/{r.choice(['', word() + '/'])}" for _ in range(2500)})
+    verdict = {s: r.choice(["allow", "block"]) for s in site}
+    globs = sorted({f"*{word()}{r.choice(['', '?', '*'])}{word()}*" for _ in range(1200)})
+    table = spark.createDataFrame([("site", verdict[s], s) for s in site] + [("keyword", "block", g) for g in globs], "kind string, verdict string, rule string")
+    rules = urlfilter.rules_of(table)
+    urls = [(k, f"http://{word()}.{word()}.{r.choice(['com', 'net', 'org'])}/{word()}/{word()}?{word()}") for k in range(300)]
+    got = {x["page_id"]: x for x in urlfilter.judged(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    seen = set()
+    for k, url in urls:
+        host, _, path = url[7:].partition("/")
+        path = "/" + path.split("?")[0]
+        fits = [s for s in site if (host == s.split("/")[0] or host.endswith("." + s.split("/")[0])) and path.startswith(s[s.index("/") :])]
+        rule = max(fits, key=lambda s: (len(s), [-ord(c) for c in s])) if fits else None
+        want = verdict[rule] if rule else "block" if any(slow(g, "." + url[7:]) for g in globs) else "allow"
+        assert (got[k]["rule"], got[k]["verdict"]) == (rule, want), url
+        seen.add((rule is None, want))
+    assert len(seen) >= 3

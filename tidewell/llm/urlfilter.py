@@ -5,19 +5,21 @@ the bits of a multiword Shift-And automaton: one bit per state, a mask per byte
 states advance and a mask per byte for states that wait in a wildcard. One step per
 character advances all rules at once, over all URLs of a batch together.
 
-A canonical URL is ``.host/path`` with the host's A-Z in lower case and every byte outside
-printable ASCII percent-encoded; query and fragment are left out. In globs ``*`` stands for
-any characters, ``+`` for any but ``/`` (so a host part never matches inside a path) and
-``?`` for one character.
+A canonical URL is ``.host/path?query#fragment`` with the host's A-Z in lower case and every
+byte outside printable ASCII percent-encoded. Site rules read it up to the path; keyword
+globs read all of it, with A-Z in lower case throughout. In globs ``*`` stands for any
+characters, ``+`` for any but ``/`` (so a host part never matches inside a path) and ``?``
+for one character.
 
 A site rule ``net/`` is the glob ``+.net/*``: the host itself, as the canonical URL starts
 with a dot, or any subdomain. Of the site rules that match, the longest decides (the first
-of equals). Without one, the keyword globs do, block before allow; the rest is allowed.
+of equals). Without one, the keyword globs do: one that matches blocks, the rest is allowed.
+Rules are data: :func:`rules_of` reads them from a table.
 
-Edge cases. A null URL, or one without ``://``, has empty host and path, matches no site
-rule and is allowed. An empty path matches no rule, as rules' paths start with ``/``. URLs
-of any length are read whole. Repeated rows are judged alike, other columns are ignored,
-and no rows in gives no rows out.
+Edge cases. A null URL, or one without ``://``, has empty host and path, matches no rule and
+is allowed. An empty path matches no site rule, as rules' paths start with ``/``. Very long
+URLs are read whole. Ties: see above. Repeated rows are judged alike, other columns are
+ignored, and no rows in gives no rows out.
 """
 
 from __future__ import annotations
@@ -33,13 +35,15 @@ from pyspark.sql import functions as F
 
 #: The production site rules: (verdict, rule).
 SITE_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Globs that block what no site rule decides.
+#: Rules that a table may hold; its automaton travels to every task.
+MAX_RULES = 50_000
+#: Globs that block what no site rule decides; lower case.
 KEYWORD_GLOBS = ("*casino*", "*free-bets*", "*adult-*", "*porn*", "*xxx*", "*warez*", "*viagra*", "*-pills*", "*spam*", "*ads-track*", "*/cgi-bin/*")
 
 #: URLs whose automata advance together.
 _TOGETHER = 8192
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+_SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
 _SAFE = "".join(chr(c) for c in range(33, 127))
 
 
@@ -101,8 +105,8 @@ class ShiftAnd:
         return out
 
 
-def canonical(host: str, path: str) -> bytes:
-    return b"." + quote_from_bytes((host + path).encode("utf-8", "surrogatepass"), safe=_SAFE).encode()
+def canonical(*parts: str) -> bytes:
+    return b"." + quote_from_bytes("".join(parts).encode("utf-8", "surrogatepass"), safe=_SAFE).encode()
 
 
 class Filter:
@@ -112,36 +116,51 @@ class Filter:
         def literal(text: str) -> str:
             if re.search(r"[*+?]", text):
                 raise ValueError(f"a site rule holds no wildcards: {text}")
-            return canonical(text, "").decode()[1:]
+            return canonical(text).decode()[1:]
 
         ranked = sorted(enumerate(site_rules), key=lambda x: (-len(x[1][1]), x[0]))
         self.rules = [rule for _, (_, rule) in ranked]
         self.verdicts = [verdict for _, (verdict, _) in ranked]
-        self.automaton = ShiftAnd(["+." + literal(r) + "*" for r in self.rules] + list(block_globs))
+        self.sites = ShiftAnd(["+." + literal(r) + "*" for r in self.rules])
+        self.keywords = ShiftAnd([g.lower() for g in block_globs])
 
-    def judge(self, urls: Sequence[bytes]) -> tuple[list[str | None], list[str]]:
-        """The deciding rule (or None) and the verdict for each canonical URL."""
-        if not len(urls):
+    def judge(self, hosts: Sequence[str], paths: Sequence[str], rests: Sequence[str]) -> tuple[list[str | None], list[str]]:
+        """The deciding rule (or None) and the verdict for the parts of each URL."""
+        if not len(hosts):
             return [], []
-        found = self.automaton.match(urls)
-        n = len(self.rules)
-        site, keyword = found[:, :n], found[:, n:].any(axis=1)
-        best = np.where(site.any(axis=1), site.argmax(axis=1), -1) if n else np.full(len(urls), -1)
-        return [self.rules[k] if k >= 0 else None for k in best], [self.verdicts[k] if k >= 0 else "block" if b else "allow" for k, b in zip(best, keyword)]
+        site = self.sites.match([canonical(h, p) for h, p in zip(hosts, paths)])
+        best = np.where(site.any(axis=1), site.argmax(axis=1), -1) if self.rules else np.full(len(hosts), -1)
+        verdicts = [self.verdicts[k] if k >= 0 else "allow" for k in best]
+        open_ = np.flatnonzero(best < 0)
+        blocked = self.keywords.match([canonical(hosts[k], paths[k], rests[k]).lower() for k in open_]).any(axis=1)
+        for k in open_[blocked]:
+            verdicts[k] = "block"
+        return [self.rules[k] if k >= 0 else None for k in best], verdicts
+
+
+def rules_of(rules: DataFrame) -> Filter:
+    """The filter of a table (kind, verdict, rule): ``site`` rules with their verdicts, ``keyword`` globs that block.
+
+    At most ``MAX_RULES``, which is checked; rules keep the order of their text.
+    """
+    rows = rules.select("kind", "verdict", "rule").distinct().orderBy("rule", "kind", "verdict").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    return Filter([(r["verdict"], r["rule"]) for r in rows if r["kind"] == "site"], [r["rule"] for r in rows if r["kind"] == "keyword"])
 
 
 def judged(pages: DataFrame, rules: Filter | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages``."""
     rules = rules or Filter()
     url = F.coalesce("url", F.lit(""))
-    parts = pages.select("page_id", F.translate(F.regexp_extract(url, _SPLIT, 1), _UPPER, _LOWER).alias("host"), F.regexp_extract(url, _SPLIT, 2).alias("path"))
+    parts = pages.select("page_id", F.translate(F.regexp_extract(url, _SPLIT, 1), _UPPER, _LOWER).alias("host"), F.regexp_extract(url, _SPLIT, 2).alias("path"), F.regexp_extract(url, _SPLIT, 3).alias("rest"))
 
-    def run(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        rule, verdict = rules.judge([canonical(h, p) for h, p in zip(hosts, paths)])
+    def run(hosts: pd.Series, paths: pd.Series, rests: pd.Series) -> pd.DataFrame:
+        rule, verdict = rules.judge(list(hosts), list(paths), list(rests))
         return pd.DataFrame({"rule": pd.Series(rule, dtype=object), "verdict": pd.Series(verdict, dtype=object)})
 
     verdict = F.pandas_udf(run, "rule string, verdict string")
-    return parts.select("page_id", "host", "path", verdict("host", "path").alias("__v")).select("page_id", "host", "path", "__v.rule", "__v.verdict")
+    return parts.select("page_id", "host", "path", verdict("host", "path", "rest").alias("__v")).select("page_id", "host", "path", "__v.rule", "__v.verdict")
 
 
 def op6_url_filter(pages: DataFrame) -> DataFrame:
@@ -153,15 +172,16 @@ _RULE_SQL = " ".join(
     for r, h, p in sorted(((r, r[: r.index("/")], r[r.index("/") :]) for _, r in SITE_RULES), key=lambda x: -len(x[0]))
 )
 _VERDICT_SQL = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in SITE_RULES)
-_KEYWORD_SQL = " OR ".join(f"contains('.' || host || path, '{g.strip('*')}')" for g in KEYWORD_GLOBS)
+_KEYWORD_SQL = " OR ".join(f"contains(whole, '{g.strip('*')}')" for g in KEYWORD_GLOBS)
 ORACLE_SQL = f"""
 WITH parts AS (
   SELECT page_id,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
-         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+         translate('.' || regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1), '{_UPPER}', '{_LOWER}') AS whole
   FROM pages
 ), ruled AS (
-  SELECT page_id, host, path, CASE {_RULE_SQL} END AS rule FROM parts
+  SELECT page_id, host, path, whole, CASE {_RULE_SQL} END AS rule FROM parts
 )
 SELECT page_id, host, path, rule, CASE {_VERDICT_SQL} WHEN {_KEYWORD_SQL} THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
