@@ -50,3 +50,12 @@ def test_edge_cases_round_trip(spark):
     for bucket in {r["bucket"] for r in rows}:
         assert sorted(r["sequence_id"] // 64 for r in rows if r["bucket"] == bucket) == list(range(sum(r["bucket"] == bucket for r in rows)))
     assert packing.pack(cases.docs(spark, [])).count() == 0
+
+
+def test_rows_without_an_id_are_dealt_over_salts(spark, monkeypatch):
+    rows = [(None, "the same text", "en", "a", 1)] * 300
+    pieces = packing.tokenized_pieces(cases.docs(spark, rows), PATH, public_tokenizers.path("byte_bpe_50k.tiktoken")).withColumn("row", packing.F.monotonically_increasing_id())
+    got = packing.number_sequences(pieces.persist())
+    windows = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(doc_id" in windows and "row#" in windows
+    assert len({r["sequence_id"] for r in got.collect()}) == got.count() >= 300

@@ -11,12 +11,15 @@ gives the ids of the tokenizer file in a fraction of its time; a text that spell
 token goes through the tokenizer file itself. Tests hold both against each other.
 
 Numbers. ``sequence_id`` is ``rank * 64 + bucket``, where rank counts a bucket's pieces
-from 0 in (salt, doc_id, start) order. Ranks are summed in two levels, over salts and
-within them, so neither a bucket nor a long document meets in one task.
-
-Edge cases. A null text counts as empty; an empty text is its end mark alone. Repeated
-rows and null ids are documents like others. Other columns are ignored by :func:`pack` and
-carried by no sequence. No rows in, no rows out.
+from 0 in (salt, doc_id, start) order. The salt is drawn from a piece's document, start,
+ids and row number, and ranks are summed in two levels, over salts and within them, so
+neither a bucket nor a long document nor the rows without an id meet in one task.
+
+Edge cases. A null text counts as empty; an empty text is its end mark alone. A very long
+text is tokenized whole, and only its ids are held beside it. Repeated rows and null ids
+are documents like others; ties among equal pieces are broken by their row numbers, which
+makes no difference to what is packed. Other columns are ignored by :func:`pack` and carried
+by no sequence. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ END_ID = 1
 LENGTH = 2048
 SALTS = 4096
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, salt int"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
 
 
 class Encoder:
@@ -97,29 +100,30 @@ def tokenized_pieces(docs: DataFrame, path: str, ranks_path: str, length: int =
         encoder = _encoder(path, ranks_path)
         for batch in batches:
             rows, ids = [], []
-            for doc_id, salt, text in zip(batch["doc_id"].array, batch["salt"].array, batch["text"]):
+            for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
                 code = encoder.encode(text) + end
                 n = len(code) // 4
                 for start, size in binary_pieces(n, length):
                     piece = code[4 * start : 4 * (start + size)]
-                    rows.append((doc_id, start, size, zlib.crc32(piece), n, size.bit_length() - 1, salt))
+                    rows.append((doc_id, start, size, zlib.crc32(piece), n, size.bit_length() - 1))
                     if with_ids:
                         ids.append(np.frombuffer(piece, "<u4").astype(np.int64))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "salt"]).astype({"doc_id": "Int64"})
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket"]).astype({"doc_id": "Int64"})
             yield out.assign(ids=ids) if with_ids else out
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return slim.mapInPandas(run, PIECES + (", ids array<long>" if with_ids else ""))
 
 
 def number_sequences(pieces: DataFrame) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to stored pieces; every piece is a sequence."""
+    """Add ``sequence_id`` and ``offset`` to stored pieces (with ``row``, a number of each); every piece is a sequence."""
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(SALTS)).cast("int"))
     sizes = pieces.groupBy("bucket", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("bucket", "salt", (F.sum("n").over(Window.partitionBy("bucket").orderBy("salt")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("doc_id", "start", "ids_crc32"))
+    rank = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("doc_id", "start", "ids_crc32", "row"))
     ranked = pieces.withColumn("__rank", rank)
     joined = ranked.join(F.broadcast(before), ["bucket", "salt"])  # at most 32 buckets times SALTS rows
-    return joined.withColumn("sequence_id", (F.col("__rank") - 1 + F.col("before")) * 64 + F.col("bucket")).withColumn("offset", F.lit(0).cast("long")).drop("__rank", "before")
+    return joined.withColumn("sequence_id", (F.col("__rank") - 1 + F.col("before")) * 64 + F.col("bucket")).withColumn("offset", F.lit(0).cast("long")).drop("__rank", "before", "salt", "row")
 
 
 def pack(docs: DataFrame, path: str | None = None, ranks_path: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
@@ -129,7 +133,7 @@ def pack(docs: DataFrame, path: str | None = None, ranks_path: str | None = None
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    stored = materialize(tokenized_pieces(docs, path, ranks_path, length, with_ids), "packing-pieces")
+    stored = materialize(tokenized_pieces(docs, path, ranks_path, length, with_ids).withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
     return number_sequences(stored).select(*columns, *(["ids"] if with_ids else []))
 
