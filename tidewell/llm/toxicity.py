@@ -63,6 +63,8 @@ THRESHOLD = 0.7
 MIN_ROWS, MIN_SIGMA = 8, 7.0
 #: A pattern has to explain so many toxic texts that no earlier one does.
 MIN_NEW = 4
+#: Patterns that a task counts before it hands them on.
+FLUSH = 200_000
 #: Lengths of word beginnings that can be learned.
 BEGINNINGS = range(3, 9)
 
@@ -295,7 +297,7 @@ def learned_patterns(sample: DataFrame) -> list[tuple[str, bool, float]]:
         for batch in batches:
             for text, label in zip(batch["text"], batch["toxic"]):
                 counts[label].update(_spelled(text))
-                if len(counts[0]) + len(counts[1]) > 500_000:
+                if len(counts[0]) + len(counts[1]) > FLUSH:
                     yield _table(counts)
                     counts = (Counter(), Counter())
         if counts[0] or counts[1]:  # a table of no rows has no kinds of columns
