@@ -15,8 +15,8 @@ a common passage fills. The rest falls into coarse groups, connected by buckets
 A group is compared in one task through an inverted index, from its most ordinary member
 outwards: nodes already linked are not compared again, and sizes and shared shingles at
 most tell most others apart before the index is asked. A group of more than ``BLOCK``
-shingles is dealt over several tasks, each with a block of it, which all its members pass.
-Only a spanning forest of the links leaves a task.
+shingles or ``NODES`` nodes is dealt over several tasks, each with a block of it, which all
+its members pass. Only a spanning forest of the links leaves a task.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ SHINGLE = 5
 THRESHOLD = (4, 5)
 BANDS, ROWS = 32, 6
 SEED = 42
-#: Shingles that a task holds of a group at a time, about.
-BLOCK = 4_000_000
+#: Shingles, and nodes, that a task holds of a group at a time, about.
+BLOCK, NODES = 4_000_000, 20_000
 #: Shingles permuted at a time.
 _SLICE = 2048
 _DRAW = np.random.default_rng(SEED)
@@ -232,7 +232,7 @@ def near_copy_roots(each: DataFrame, texts: DataFrame, proposed: DataFrame) -> D
     anchored = anchored.join(both, anchored["b"] == F.col("__open"), "left_semi")
     coarse = components(stars.unionByName(anchored), "jaccard-coarse")
     sized = hold(coarse.join(open_, "node").select("node", "root", "n", "core"))
-    blocks = hold(sized.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks")))
+    blocks = hold(sized.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK), F.count(F.lit(1)) / F.lit(NODES))).cast("int").alias("blocks")))
     placed = attach_counted(sized, blocks, "root").select(F.col("node").alias("__node"), "root", "core", "blocks")
     dealt = sets.join(placed, sets["node"] == F.col("__node")).select("root", "node", "core", "shingles", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("home"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     ready = dealt.select("root", "block", (F.col("home") == F.col("block")).alias("own"), "node", F.col("core").cast("long").alias("core"), "shingles")
