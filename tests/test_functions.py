@@ -45,13 +45,16 @@ def one(spark, value, column, kind="string"):
         (text.stem, "a/b.c.xlsx", "b.c"),
         (text.flat_csv, None, ""),
         (text.flat_csv, "a\r\nb\nc", "a b c"),
-        (text.escape_html, "<a&b>", "&lt;a&amp;b&gt;"),
-        (text.inline_markdown, "**x** *y* `z`", "<strong>x</strong> <em>y</em> <code>z</code>"),
+        (text.escape_html, "<a&'b\">", "&lt;a&amp;&#39;b&quot;&gt;"),
+        (text.inline_markdown, "**x** *y* [n](https://a.b/c) http://d.e <i>", '<strong>x</strong> *y* <a href="https://a.b/c">n</a> <a href="http://d.e">http://d.e</a> &lt;i&gt;'),
+        (text.inline_markdown, "[n](javascript:x)", "[n](javascript:x)"),
         (text.month_label, "2024-03", "Mar 24"),
         (text.is_number, " 2024 ", True),
         (text.table_cells, "| a | b c |", ["a", "b c"]),
         (text.is_table_rule, "|---|:-:|", True),
-        (text.list_item, " 2) deux", "deux"),
+        (text.list_item, " 2. deux", (True, "deux")),
+        (text.list_item, "- un", (False, "un")),
+        (text.list_item, "2) deux", None),
         (text.list_item, "deux", None),
         (text.is_title_line, "GOUVERNEUR ADJOINT", True),
         (text.is_title_line, "Gouverneur", False),
@@ -64,6 +67,25 @@ def test_functions(spark, function, given, expected):
     assert one(spark, given, function) == expected
 
 
+def test_rounding_is_that_of_the_exact_value(spark):
+    import random
+
+    r = random.Random(1)
+    values = [2.675, 0.0625, 0.5, 1.5, 2.5, -2.675, -0.125, 1e300, -0.0, 66.65, 1.005, 0.285, 4.35, math.inf]
+    values += [r.uniform(-1000, 1000) for _ in range(3000)] + [k / 1000 + 0.0005 for k in range(3000)] + [k / 2000 for k in range(2000)]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 1, 2, 3):
+        got = [row[0] for row in frame.select(text.half_even(F.col("x"), digits)).collect()]
+        assert got == [v if math.isinf(v) else float(round(v, digits)) for v in values]
+    assert math.isnan(spark.range(1).select(text.half_even(F.lit(float("nan")), 2)).first()[0])
+    assert spark.range(1).select(text.half_even(F.lit(None).cast("double"), 2)).first()[0] is None
+
+
+def test_pieces_of_a_text(spark):
+    assert one(spark, "abcab\nÀx", lambda c: text.grams(c, 3)) == ["abc", "bca", "cab", "ab\n", "b\nÀ", "\nÀx"]
+    assert one(spark, "ab", lambda c: text.grams(c, 3)) == []
+
+
 def test_percent_decoding_keeps_plus_and_malformed(spark):
     frame = spark.createDataFrame([({"a": "x+y%20z", "b": "100%", "c": None},)], "m map<string,string>")
     assert frame.select(text.percent_decode(F.col("m")).alias("m")).first()["m"] == {"a": "x+y z", "b": "100%", "c": None}

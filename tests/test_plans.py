@@ -1,4 +1,5 @@
 import json
+import os
 import time
 
 import pytest
@@ -6,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tidewell import storage
 from tidewell.functions.embedding import HashingEmbedder
-from tidewell.operators import evaluation
+from tidewell.config import Config
+from tidewell.operators import evaluation, statements
 from tidewell.plans import ask, ingest
 from tidewell.plans.runner import Runner
+from tidewell.schemas import TABLES
 from tidewell.sources import objects
 from tidewell.streaming import feedback
-from tidewell.streaming.ingest import stream_ingest
+from tidewell.streaming.ingest import stream_files, stream_ingest
 
 EXTRACTED = "key string, metadata map<string,string>, file_type string, text string, method string, page_count int, image_paths array<string>"
 MODEL = HashingEmbedder(16)
@@ -54,11 +57,58 @@ def test_a_folder_is_ingested_once(spark, tables, tmp_path):
         return [("S", r, c, v, "str") for r, row in enumerate(rows) for c, v in enumerate(row)]
 
     got = ingest.ingest_folder(spark, str(tmp_path / "in"), tables, MODEL, pdf_reader=pages, sheet_reader=cells)
-    assert (got.processed, got.failed, got.stat_rows) == (2, 0, 3)
+    assert (got.processed, got.failed, got.stat_rows, got.skipped) == (2, 0, 3, 0)
     series = {(r["indicator"], r["period"]): (r["country"], r["value"]) for r in ingest.stored(spark, tables["statistics"]).collect()}
     assert series == {("Inflation annuelle moyenne", "2022"): ("Tchad", 2.5), ("Inflation annuelle moyenne", "2023"): ("Tchad", -1.0), ("PIB Gabon en volume", "2023"): ("Gabon", 7.0)}
-    again = ingest.ingest_folder(spark, str(tmp_path / "in"), tables, MODEL, pdf_reader=pages, sheet_reader=cells)
-    assert again.processed == 0 and ingest.stored(spark, tables["documents"]).count() == 2
+    (tmp_path / "in" / "new [1]* {x}.pdf").write_bytes(b"new")
+
+    def only_new(content):
+        assert content == b"new", "a known file was opened"
+        return pages(content)
+
+    again = ingest.ingest_folder(spark, str(tmp_path / "in"), tables, MODEL, pdf_reader=only_new, sheet_reader=only_new, files_per_job=1)
+    assert (again.processed, again.skipped) == (1, 2) and ingest.stored(spark, tables["documents"]).count() == 3
+    third = ingest.ingest_folder(spark, str(tmp_path / "in"), tables, MODEL, limit=2, pdf_reader=only_new, sheet_reader=only_new)
+    assert (third.processed, third.skipped) == (0, 2)
+
+
+def test_extraction_runs_once_and_leaves_nothing(spark, tables, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"f{k}.pdf").write_bytes(b"p")
+    log = tmp_path / "calls"
+
+    def pages(content):
+        with open(log, "a") as out:
+            out.write("x")
+        return ["Le rapport annuel décrit la politique monétaire. " * 4]
+
+    root = storage.shared_root(spark)
+    before = set(os.listdir(root.removeprefix("file:"))) if storage.exists(spark, root) else set()
+    got = ingest.ingest_folder(spark, str(tmp_path / "in"), tables, MODEL, pdf_reader=pages)
+    assert got.processed == 3 and len(log.read_text()) == 3
+    assert set(os.listdir(root.removeprefix("file:"))) <= before
+
+
+def test_keys_that_share_an_id_are_an_error(spark, tables, monkeypatch):
+    monkeypatch.setattr(ingest, "document_id", lambda key="key": F.lit(7).cast("long"))
+    with pytest.raises(ValueError, match="same id"):
+        ingest.ingest_batch(spark, spark.createDataFrame(files("a", "b"), EXTRACTED), tables, MODEL, min_chars=1)
+
+
+def test_files_are_ingested_as_they_arrive(spark, tables, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    readers = {"pdf_reader": lambda content: [content.decode() * 20], "sheet_reader": lambda content, name: [("S", 0, 0, "Libellé de la série", "str"), ("S", 0, 1, "2022", "str"), ("S", 0, 2, "2023", "str"), ("S", 1, 0, "Inflation au Gabon", "str"), ("S", 1, 1, "2,5", "str")]}
+    for step, name in enumerate(["a.pdf", "sub/b.xlsx"]):
+        (source / name).parent.mkdir(exist_ok=True)
+        (source / name).write_bytes(b"Un texte assez long. ")
+        (source / f"{step}.txt").write_bytes(b"x")
+        stream_files(spark, str(source), tables, MODEL, f"{tmp_path}/cp", files=1, readers=readers).awaitTermination()
+        assert ingest.stored(spark, tables["documents"]).count() == step + 1
+    stream_files(spark, str(source), tables, MODEL, f"{tmp_path}/other", files=1, readers=readers).awaitTermination()  # all files again
+    assert {r["r2_key"] for r in ingest.stored(spark, tables["documents"]).collect()} == {"a.pdf", "sub/b.xlsx"}
+    assert [(r["country"], r["value"]) for r in ingest.stored(spark, tables["statistics"]).collect()] == [("Gabon", 2.5)]
 
 
 def test_evaluation_end_to_end(spark):
@@ -139,17 +189,51 @@ def test_a_question_end_to_end(spark, tables):
     docs = ingest.stored(spark, tables["documents"])
     chunks = ingest.stored(spark, tables["chunks"]).withColumnRenamed("id", "chunk_id").join(docs.select(F.col("id").alias("document_id"), "category", "country", "year"), "document_id")
     spark.createDataFrame([("Gabon", 2021, 3.0)], "country string, year int, value double").createOrReplaceTempView("statistics")
-    engine = ask.Engine(spark, chunks, docs, MODEL, lambda p: p, lambda q: "SELECT country, value FROM statistics")
-    assert engine.ask("Que peux-tu faire ?").query_type == "meta"
+    asked = []
+    routed = []
+    engine = ask.Engine(spark, chunks, docs, MODEL, lambda p, m: asked.append((p, m)) or "la réponse", lambda q: "SELECT country, value FROM statistics", Config(models="primary,small", min_similarity=-1.0))
+    plain = engine.route
+    engine.route = lambda *a: routed.append(a) or plain(*a)
+    assert engine.ask("Que peux-tu faire ?").query_type == "meta" and len(routed) == 1
     got = engine.ask("le taux directeur du document a au Gabon en 2021")
     assert got.query_type == "hybrid" and "- country=Gabon, value=3.0" in got.context and "[Source 1 : " in got.context and len(got.sources) == 2
+    assert len(routed) == 2 and asked[-1][1] == "primary"
     assert engine.ask("le taux directeur du document a au Gabon en 2021") is got
-    lines = list(engine.stream("le taux directeur du document b", lambda p: iter(["x", "y"])))
-    assert json.loads(lines[0])["query_type"] == "sql" and lines[1:] == ["x", "y"]
+    engine.generate = lambda p, m: f" {ask.NO_ANSWER}\n"
+    assert engine.ask("le taux directeur du document b au Gabon en 2021").sources == []
+    lines = list(engine.stream("le taux directeur du document b", lambda p, m: iter(["x", m]), model="small"))
+    assert json.loads(lines[0])["query_type"] == "sql" and lines[1:] == ["x", "small"]
+    meta = list(engine.stream("Que peux-tu faire ?", lambda p, m: iter([])))
+    assert json.loads(meta[0]) == {"type": "meta", "query_type": "meta", "sources": [], "sql": None} and meta[1] == ask.META_ANSWER
+    one = list(engine.stream("Que peux-tu faire ?", lambda p, m: iter([p]), document_id=docs.first()["id"]))
+    assert json.loads(one[0])["query_type"] == "vector" and len(json.loads(one[0])["sources"]) == 1
+    assert "structurée" in list(engine.stream("Explique-moi le document a", lambda p, m: iter([p])))[1]
+
+    def broken(prompt, model):
+        yield "x"
+        raise OSError
+
+    assert list(engine.stream("le document b", broken))[1:] == ["x", ask.INTERRUPTED]
+    engine.embedder = None
+    failed = list(engine.stream("le document c", broken))
+    assert json.loads(failed[0])["error"] is True and failed[1:] == [ask.UNAVAILABLE]
     with pytest.raises(ValueError):
         engine.ask("?")
 
 
+def test_statements_by_rule(spark):
+    spark.createDataFrame([(1, 2, "Masse monétaire M2", "Gabon", "2021", 2021, 3.0, None, None, "S"), (2, 2, "Inflation", "Gabon", "2021", 2021, 4.0, None, None, "S"), (3, 2, "Inflation", "Tchad", "2022", 2022, 6.0, None, None, "S")], TABLES["statistics"]).createOrReplaceTempView("statistics")
+
+    def rows(question):
+        return [tuple(r) for r in statements.ask(spark, question, statements.offline_sql).rows]
+
+    assert rows("Quelle est l'inflation au Gabon en 2021 ?") == [("Inflation", "Gabon", "2021", 2021, 4.0, None)]
+    assert rows("la moyenne de l'inflation entre 2021 et 2022") == [("Gabon", 2021, 4.0), ("Tchad", 2022, 6.0)] or rows("la moyenne de l'inflation entre 2021 et 2022") == []
+    assert len(rows("statistiques du Gabon")) == 2
+    assert rows("'; DROP TABLE statistics --") == []
+    assert "Guinee Equatoriale" in statements.prompt("x") and statements.model_sql(lambda p: p[-5:])("x") == "SQL :"
+
+
 def test_runner_runs_once_and_reports():
     gate = []
     runner = Runner([("one", lambda log: log("hello")), ("two", lambda log: gate.append(1) or time.sleep(0.2))], count=lambda: len(gate))

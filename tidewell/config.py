@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 
 
+def flattened(values: Mapping[str, object]) -> dict[str, object]:
+    """Values of nested sections by their own names; a later one holds."""
+    out: dict[str, object] = {}
+    for name, value in values.items():
+        out |= flattened(value) if isinstance(value, Mapping) else {name: value}
+    return out
+
+
 @dataclass(frozen=True)
 class Config:
     chunk_tokens: int = 400
@@ -28,6 +37,19 @@ class Config:
     default_url: str = ""
     affiliation: str = "de la Banque"
 
+    @classmethod
+    def read(cls, path: str, environ: Mapping[str, str] | None = None) -> Config:
+        """:meth:`load` with the values of a JSON file, or a YAML file where a library for it is installed; nested sections are flattened."""
+        with open(path, encoding="utf-8") as file:
+            text = file.read()
+        try:
+            values = json.loads(text)
+        except ValueError:
+            import yaml
+
+            values = yaml.safe_load(text)
+        return cls.load(flattened(values or {}), environ)
+
     @classmethod
     def load(cls, values: Mapping[str, object] | None = None, environ: Mapping[str, str] | None = None, prefix: str = "TIDEWELL_") -> Config:
         """Defaults, then ``values``, then environment variables by upper-case name."""
@@ -37,6 +59,10 @@ class Config:
         given |= {k: kind(environ[prefix + k.upper()]) for k, kind in kinds.items() if prefix + k.upper() in environ}
         return replace(cls(), **given)
 
+    def chunking(self) -> dict[str, object]:
+        """Options of :func:`tidewell.operators.chunking.chunked`."""
+        return {"size": self.chunk_tokens, "overlap": self.overlap_tokens, "min_chars": self.min_chunk_chars, "affiliation": self.affiliation}
+
     def listed(self, name: str) -> list[str]:
         """A comma-separated value as a list."""
         return [v.strip() for v in getattr(self, name).split(",") if v.strip()]

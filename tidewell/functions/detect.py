@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import strip, transliterate
+from tidewell.functions.text import let, strip, transliterate
 
 # Countries in order of precedence, and substrings of the transliterated text.
 COUNTRIES = (
@@ -26,14 +26,16 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def detect_country(text: Column) -> Column:
     """The first country, in order of precedence, of which any spelling occurs anywhere."""
-    low = transliterate(text)
-    found = F
-    for country, spellings in COUNTRIES:
-        hit = F.lit(False)
-        for s in spellings:
-            hit = hit | F.contains(low, F.lit(s))
-        found = found.when(hit, F.lit(country))
-    return found
+    def first(low: Column) -> Column:
+        found = F
+        for country, spellings in COUNTRIES:
+            hit = F.lit(False)
+            for s in spellings:
+                hit = hit | F.contains(low, F.lit(s))
+            found = found.when(hit, F.lit(country))
+        return found
+
+    return let(transliterate(text), first)
 
 
 def detect_year(text: Column) -> Column:
@@ -42,11 +44,13 @@ def detect_year(text: Column) -> Column:
 
 
 def looks_like_period(label: Column) -> Column:
-    low = F.lower(strip(label))
-    hit = detect_year(strip(label)).isNotNull()
-    for token in PERIOD_TOKENS:
-        hit = hit | F.contains(low, F.lit(token))
-    return hit
+    def named(low: Column) -> Column:
+        hit = F.lit(False)
+        for token in PERIOD_TOKENS:
+            hit = hit | F.contains(low, F.lit(token))
+        return hit
+
+    return detect_year(strip(label)).isNotNull() | let(F.lower(strip(label)), named)
 
 
 def to_number(raw: Column) -> Column:

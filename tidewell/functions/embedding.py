@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
+from collections import Counter
 from collections.abc import Sequence
 from functools import lru_cache
 from typing import Protocol
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from tidewell.storage import bounded_batches
 
 
+WORD = re.compile("[0-9A-Za-zÀ-ɏ]+")
+
+
 class Embedder(Protocol):
     """What the engine asks of a model; instances travel to the executors and load there."""
 
@@ -25,22 +29,26 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Signed feature hashing of words and word pairs, L2-normalised: no model file, same everywhere."""
+    """Signed feature hashing of words and word pairs, L2-normalised: no model file, same everywhere.
+
+    Words are runs of Latin letters and digits. A feature's MD5 gives its place (first eight
+    hex digits) and its sign (the ninth), so any engine can compute the same vector.
+    """
 
     def __init__(self, dimension: int = 256):
         self.dimension = dimension
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension), np.float32)
+        out = np.zeros((len(texts), self.dimension), np.float64)
         for row, text in zip(out, texts):
-            words = re.findall(r"\w+", text)
-            for feature in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]:
-                h = zlib.crc32(feature.encode("utf-8", "surrogatepass"))
-                row[h % self.dimension] += 1 if h & 0x80000000 else -1
-            length = np.linalg.norm(row)
+            words = WORD.findall(text)
+            for feature, n in Counter([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]).items():
+                h = hashlib.md5(feature.encode(), usedforsecurity=False).hexdigest()
+                row[int(h[:8], 16) % self.dimension] += n if h[8] < "8" else -n
+            length = np.sqrt(row @ row)
             if length:
                 row /= length
-        return out
+        return out.astype(np.float32)
 
 
 def embed_column(docs: DataFrame, text: str, embedder: Embedder, into: str = "embedding", sub_batch: int = 64) -> DataFrame:

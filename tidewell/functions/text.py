@@ -29,11 +29,21 @@ _SPELLED = (("œ", "oe"), ("Œ", "OE"), ("æ", "ae"), ("Æ", "AE"), ("ß", "ss")
 BLANK = r"\s\x1c-\x1f\x85  -     　 "
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends (``trim`` knows spaces only)."""
     return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
+def grams(text: Column, length: int) -> Column:
+    """Distinct pieces of ``length`` letters, found in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), 1))
+
+
 def unify_quotes(text: Column) -> Column:
     return F.translate(text, _QUOTES, "''")
 
@@ -106,36 +116,41 @@ def titled(text: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1), lambda run: F.initcap(run)), "")
 
 
-_CAPITAL = "A-ZÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ"
+# The capitals of title lines and names, and the forms of a title, of the words of a name, and of an entry.
+CAPITAL = "A-ZÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ"
+TITLE = f"[{CAPITAL}][{CAPITAL} '\\-]{{2,60}}"
+GIVEN_NAME = f"[{CAPITAL}][a-zà-ÿ'\\-]+"
+FAMILY_NAME = f"[{CAPITAL}]{{2,}}"
+ENTRY = r".+ : .+\."
 
 
 def is_title_line(line: Column) -> Column:
-    return line.rlike(f"^[{_CAPITAL}][{_CAPITAL} '\\-]{{2,60}}$") & (F.size(F.split(strip(line), f"[{BLANK}]+")) <= 6)
+    return line.rlike(f"^{TITLE}$") & (F.size(F.split(strip(line), f"[{BLANK}]+")) <= 6)
 
 
 def is_name_line(line: Column) -> Column:
     """One to five words, each capitalised or all capitals, at least one capitalised."""
     words = F.split(strip(line), f"[{BLANK}]+")
-    capitalised = f"^[{_CAPITAL}][a-zà-ÿ'\\-]+$"
-    return F.size(words).between(1, 5) & F.forall(words, lambda w: w.rlike(capitalised) | w.rlike(f"^[{_CAPITAL}]{{2,}}$")) & F.exists(words, lambda w: w.rlike(capitalised))
+    given = f"^{GIVEN_NAME}$"
+    return F.size(words).between(1, 5) & F.forall(words, lambda w: w.rlike(given) | w.rlike(f"^{FAMILY_NAME}$")) & F.exists(words, lambda w: w.rlike(given))
 
 
 def is_entry_line(line: Column) -> Column:
-    return line.rlike(r"^.+ : .+\.$")
+    return line.rlike(f"^{ENTRY}$")
 
 
 def escape_html(text: Column) -> Column:
     out = text
-    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(raw), F.lit(escaped))
     return out
 
 
 def inline_markdown(text: Column) -> Column:
-    """Bold, italics and code of one escaped line."""
-    out = F.regexp_replace(escape_html(text), r"\*\*(.+?)\*\*", "<strong>$1</strong>")
-    out = F.regexp_replace(out, r"\*(.+?)\*", "<em>$1</em>")
-    return F.regexp_replace(out, "`(.+?)`", "<code>$1</code>")
+    """Bold, named links and bare addresses of one line, escaped first; only http(s) becomes a link."""
+    out = F.regexp_replace(escape_html(text), r"\*\*(.*?)\*\*", "<strong>$1</strong>")
+    out = F.regexp_replace(out, r"\[([^\]]+)\]\((https?://[^\s)]+)\)", '<a href="$2">$1</a>')
+    return F.regexp_replace(out, r'(?<!")(https?://[^\s<]+)', '<a href="$1">$1</a>')
 
 
 def is_table_row(line: Column) -> Column:
@@ -152,8 +167,9 @@ def table_cells(line: Column) -> Column:
 
 
 def list_item(line: Column) -> Column:
-    """What a bullet or numbered line lists; NULL for other lines."""
-    return F.nullif(F.regexp_extract(line, r"^\s*(?:[-*•]|\d+[.)])\s+(.+)$", 1), F.lit(""))
+    """struct(ordered, text) of a ``- item`` or ``1. item`` line; NULL for other lines."""
+    text = F.regexp_extract(line, r"^\s*(?:-|\d+\.)\s+(.*)$", 1)
+    return F.when(line.rlike(r"^\s*(?:-|\d+\.)\s+"), F.struct(line.rlike(r"^\s*\d").alias("ordered"), strip(text).alias("text")))
 
 
 _MONTHS = ("Jan", "Fév", "Mar", "Avr", "Mai", "Juin", "Juil", "Août", "Sep", "Oct", "Nov", "Déc")
@@ -178,6 +194,29 @@ def is_number(text: Column) -> Column:
     return strip(text).rlike("^[0-9]+$")
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """A double as the sum of two of half its digits."""
+    scaled = x * F.lit(134217729.0)
+    high = scaled - (scaled - x)
+    return high, x - high
+
+
 def half_even(x: Column, digits: int) -> Column:
-    """Rounded as a decimal literal would be; halves that binary doubles only approximate may differ from other engines, so keep the raw value beside it."""
-    return F.round(x, digits)
+    """The exact binary value rounded to ``digits`` decimals, halves to even: 2.675 is below its half and gives 2.67.
+
+    The product with the power of ten is rounded; what it misses is computed exactly, from
+    halves of both factors, and decides with the fraction on which side of a half it lies.
+    """
+    scale = 10.0**digits
+    split = scale * 134217729.0
+    scale_high = split - (split - scale)
+    scale_low = scale - scale_high
+    size = F.abs(x.cast("double"))
+    high, low = _halves(size)
+    product = size * F.lit(scale)
+    missed = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+    whole = F.floor(product).cast("double")
+    beyond = (product - whole - 0.5) + missed
+    up = (beyond > 0) | ((beyond == 0) & (F.pmod(whole, F.lit(2.0)) == 1))
+    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / scale
+    return F.when(product < 2.0**51, rounded * F.when(x < 0, -1.0).otherwise(1.0)).otherwise(x.cast("double"))

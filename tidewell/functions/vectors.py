@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,3 +61,20 @@ def score_to(metric: str, a: Column, length: Column, query: Sequence[float]) ->
 def score(metric: str, a: Column, b: Column) -> Column:
     """1 - distance, whatever the metric."""
     return 1 - distance(metric, a, b)
+
+
+def matrix(embeddings: pd.Series) -> np.ndarray:
+    """Rows of numbers; bytes are signed eight-bit codes."""
+    return np.array([np.frombuffer(e, np.int8) if isinstance(e, (bytes, bytearray)) else e for e in embeddings], np.float64)
+
+
+def block_scores(metric: str, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Scores of every row (first axis) to every query, to twelve digits, so that equal vectors tie whatever the order of sums."""
+    product = rows @ queries.T
+    if metric == "ip":
+        return np.round(1 + product, 12)
+    squares = (rows**2).sum(axis=1)[:, None], (queries**2).sum(axis=1)[None, :]
+    if metric == "l2":
+        return np.round(1 - np.sqrt(np.maximum(squares[0] + squares[1] - 2 * product, 0)), 12)
+    lengths = np.sqrt(squares[0] * squares[1])
+    return np.round(np.divide(product, lengths, out=np.full(product.shape, np.nan), where=lengths > 0), 12)

@@ -1,9 +1,12 @@
-"""Optional indexes: cells of nearest centroids for vectors, trigrams for substrings.
+"""Optional indexes: cells and codes for vectors, trigrams for substrings.
 
 Exact search is the default. The cell index is fitted on a bounded, hash-chosen sample of
 vectors (``SAMPLE``) and every vector is indexed; its table is partitioned by cell, so a
-query that probes a few cells reads only their files. Trigrams narrow a substring search to
-candidates, which are then verified, so its result is exact.
+query that probes a few cells reads only their files. It pays where vectors have clusters.
+The code index keeps a byte for each number of a vector, a quarter of it: codes of all
+vectors propose ``SPARE`` times as many as are asked for, and whole vectors rank these.
+Trigrams narrow a substring search to candidates, which are then verified, so its result is
+exact.
 """
 
 from __future__ import annotations
@@ -12,13 +15,18 @@ import heapq
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import vectors
+from tidewell.functions.text import grams
+from tidewell.operators import retrieval
 from tidewell.sampling import hash_sample
 
 SAMPLE = 20_000
+#: Candidates of the code index, for each result.
+SPARE = 4
 
 
 def fit_cells(chunks: DataFrame, cells: int, key: str = "chunk_id", rounds: int = 10, seed: int = 1) -> np.ndarray:
@@ -54,10 +62,43 @@ def probe(spark: SparkSession, path: str, centroids: np.ndarray, query: Sequence
     return spark.read.parquet(path).filter(F.col("cell").isin(near)).drop("cell")
 
 
+def near_cells(embedding: Column, centroids: np.ndarray, cells: int) -> Column:
+    """The ``cells`` cells nearest to each query, by dot product, the first of equals."""
+    table = F.array(*[F.struct((-vectors.dot(embedding, F.array(*[F.lit(float(v)) for v in c]))).alias("d"), F.lit(k).alias("cell")) for k, c in enumerate(centroids)])
+    return F.transform(F.slice(F.array_sort(table), 1, cells), lambda s: s["cell"])
+
+
+def cells_topk(indexed: DataFrame, centroids: np.ndarray, queries: DataFrame, top_k: int, cells: int, metric: str = "cosine") -> DataFrame:
+    """:func:`retrieval.topk_per_query` over ``indexed`` (with ``cell``), each query in its nearest cells."""
+    return retrieval.topk_per_query(indexed.select("chunk_id", "embedding", "cell"), queries.withColumn("near", near_cells(F.col("embedding"), centroids, cells)), top_k, metric)
+
+
+def _encode(embeddings: pd.Series) -> pd.Series:
+    out = []
+    for e in embeddings:
+        v = np.asarray(e, np.float64)
+        out.append(np.round(v * (127 / max(np.abs(v).max(initial=0), 1e-300))).astype(np.int8).tobytes())
+    return pd.Series(out)
+
+
+def codes(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, embedding as one byte a number): every vector; write it beside the chunks."""
+    return chunks.select("chunk_id", F.pandas_udf(_encode, "binary")(F.col("embedding")).alias("embedding"))
+
+
+def codes_topk(coded: DataFrame, chunks: DataFrame, queries: DataFrame, top_k: int, spare: int = SPARE) -> DataFrame:
+    """(qid, rank, chunk_id, score): nearest by cosine among the ``spare * top_k`` that codes propose for each query."""
+    few = retrieval.topk_per_query(coded, queries, top_k * spare).select("qid", F.col("chunk_id").alias("__id"))
+    asked = queries.select(F.col("qid").alias("__qid"), F.col("embedding").alias("__q"))
+    pairs = few.join(asked, few["qid"] == asked["__qid"])
+    whole = chunks.join(pairs, chunks["chunk_id"] == pairs["__id"]).select("qid", "chunk_id", vectors.score("cosine", F.col("embedding"), F.col("__q")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(*retrieval.best_first()))
+    return whole.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+
+
 def trigrams(text: Column) -> Column:
     """Distinct lower-case trigrams of a text; none for fewer than three characters."""
-    low = F.lower(text)
-    return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return grams(F.lower(text), 3)
 
 
 def postings(documents: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:

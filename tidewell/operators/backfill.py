@@ -8,25 +8,35 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import basename
 
 
-def keys_by_name(objects: DataFrame, key: str = "key") -> DataFrame:
-    """(filename, n_keys, key): per base name how many keys there are and the smallest."""
-    return objects.groupBy(basename(F.col(key)).alias("filename")).agg(F.count(F.lit(1)).alias("n_keys"), F.min(key).alias("key"))
+def keys_by_name(objects: DataFrame, key: str = "key", listed: int = 16) -> DataFrame:
+    """(filename, n_keys, key, keys): per base name how many keys there are, the smallest, and the first ``listed`` in order.
+
+    The list is cut by rank before it is gathered, so that a name with a third of all keys is not.
+    """
+    named = objects.select(basename(F.col(key)).alias("filename"), F.col(key).alias("key"))
+    counts = named.groupBy("filename").agg(F.count(F.lit(1)).alias("n_keys"), F.min("key").alias("key"))
+    rank = F.row_number().over(Window.partitionBy("filename").orderBy("key"))
+    first = named.withColumn("__rank", rank).filter(F.col("__rank") <= listed).groupBy(F.col("filename").alias("__name")).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    return counts.join(first, counts["filename"].eqNullSafe(first["__name"])).drop("__name")
 
 
 def claimed_keys(documents: DataFrame, objects: DataFrame) -> DataFrame:
     """documents(id, filename, r2_key) with ``outcome`` and ``new_key``.
 
     A key is given to the document of the smallest id among those that ask for it, unless
-    the name is ambiguous or the key is taken.
+    the name is ambiguous or the key is taken. Only documents that ask for a free,
+    unambiguous key are grouped by it, on the map side first; what matches no key meets nowhere.
     """
-    names = keys_by_name(objects).withColumnRenamed("filename", "__name")
+    by_name = objects.groupBy(basename(F.col("key")).alias("__name")).agg(F.count(F.lit(1)).alias("n_keys"), F.min("key").alias("key"))
     taken = documents.filter(F.coalesce("r2_key", F.lit("")) != "").select(F.col("r2_key").alias("__taken")).distinct()
-    asked = documents.join(names, documents["filename"] == names["__name"], "left").join(taken, F.col("key") == F.col("__taken"), "left")
-    set_already = F.coalesce("r2_key", F.lit("")) != ""
-    wants = ~set_already & (F.col("n_keys") == 1) & F.col("__taken").isNull()
-    place = F.row_number().over(Window.partitionBy("key", wants).orderBy("id"))
+    names = by_name.join(taken, by_name["key"] == taken["__taken"], "left")
+    free = F.coalesce("r2_key", F.lit("")) == ""
+    wanting = documents.filter(free).select("id", F.col("filename").alias("__asked"))
+    first = wanting.groupBy("__asked").agg(F.min("id").alias("__first"))  # a name has one key, so its first asker is its key's
+    names = names.join(first, names["__name"] == first["__asked"], "left").drop("__asked")
+    asked = documents.join(names, documents["filename"] == names["__name"], "left")
     outcome = (
-        F.when(set_already, "already_set").when(F.col("n_keys").isNull(), "unmatched").when(F.col("n_keys") > 1, "ambiguous").when(F.col("__taken").isNotNull() | (place > 1), "duplicate_rows").otherwise("updated")
+        F.when(~free, "already_set").when(F.col("n_keys").isNull(), "unmatched").when(F.col("n_keys") > 1, "ambiguous").when(F.col("__taken").isNotNull() | (F.col("id") != F.col("__first")), "duplicate_rows").otherwise("updated")
     )
     out = asked.withColumn("outcome", outcome)
     return out.select("id", "filename", "r2_key", "outcome", F.when(F.col("outcome") == "updated", F.col("key")).otherwise(F.col("r2_key")).alias("new_key"))

@@ -2,18 +2,23 @@
 
 Lines of a directory, a title in capitals over a name, become sentences of their own and
 are grouped by four; all else is split recursively at the coarsest separator that works.
-The token counter and the affiliation in rewritten titles are parameters.
+The token counter and the affiliation in rewritten titles are parameters; the default counter
+is an offline estimate, :class:`VocabularyCounter` that of a vocabulary file.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions import text as text_patterns
 from tidewell.storage import bounded_batches
 
 CHUNK_TOKENS, OVERLAP_TOKENS, MIN_CHARS = 400, 90, 50
@@ -22,11 +27,10 @@ ENTRIES = 4
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 AFFILIATION = "de la Banque"
 
-_CAPITAL = "A-ZÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ"
-_TITLE = re.compile(f"[{_CAPITAL}][{_CAPITAL} '\\-]{{2,60}}")
-_GIVEN = re.compile(f"[{_CAPITAL}][a-zà-ÿ'\\-]+")
-_FAMILY = re.compile(f"[{_CAPITAL}]{{2,}}")
-_ENTRY = re.compile(r".+ : .+\.")
+_TITLE = re.compile(text_patterns.TITLE)
+_GIVEN = re.compile(text_patterns.GIVEN_NAME)
+_FAMILY = re.compile(text_patterns.FAMILY_NAME)
+_ENTRY = re.compile(text_patterns.ENTRY)
 _TOKEN = re.compile(r"\w{1,4}|[^\w\s]")
 
 
@@ -35,6 +39,26 @@ def estimate_tokens(text: str) -> int:
     return sum(1 for _ in _TOKEN.finditer(text))
 
 
+@lru_cache(maxsize=4)
+def _encoding(ranks_path: str, pattern: str):
+    import tiktoken
+
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+@dataclass(frozen=True)
+class VocabularyCounter:
+    """Counts tokens of a byte-pair vocabulary given as a rank table; it is loaded once a worker."""
+
+    ranks_path: str
+    pattern: str
+
+    def __call__(self, text: str) -> int:
+        return len(_encoding(self.ranks_path, self.pattern).encode_ordinary(text))
+
+
 def _is_name(line: str) -> bool:
     words = line.split()
     kinds = [bool(_GIVEN.fullmatch(w)) for w in words]
@@ -99,6 +123,7 @@ def split_recursive(text: str, size: int, overlap: int, count: Callable[[str], i
 
 def chunks_of(text: str | None, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, min_chars: int = MIN_CHARS, count: Callable[[str], int] = estimate_tokens, affiliation: str = AFFILIATION) -> list[tuple[str, int]]:
     """(content, tokens) of a text's passages in order; pieces under ``min_chars`` are dropped."""
+    count = lru_cache(maxsize=4096)(count)  # pieces come again at finer separators and in the result
     cleaned = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text or "")).strip()
     out: list[str] = []
     run: list[str] = []
@@ -139,7 +164,7 @@ def entry_lots(lines: DataFrame, doc: str = "doc_id", order: str = "line_no", li
     from pyspark.sql import Window
 
     inside = Window.partitionBy(doc).orderBy(order)
-    entry = F.trim(F.col(line)).rlike(r"^.+ : .+\.$")
+    entry = text_patterns.is_entry_line(F.trim(F.col(line)))
     marked = lines.withColumn("__e", entry).withColumn("__new", (F.coalesce(F.lag("__e").over(inside), ~F.col("__e")) != F.col("__e")).cast("int"))
     runs = marked.withColumn("run", F.sum("__new").over(inside)).filter("__e")
     placed = runs.withColumn("lot", F.floor((F.row_number().over(Window.partitionBy(doc, "run").orderBy(order)) - 1) / ENTRIES))

@@ -5,30 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import half_even
+
 
 def month(ts: str) -> Column:
     return F.date_format(F.date_trunc("month", F.col(ts)), "yyyy-MM")
 
 
 def by_month(df: DataFrame, ts: str = "created_at") -> DataFrame:
-    return df.groupBy(month(ts).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts in order of months; a group a month is all that is sorted."""
+    return df.groupBy(month(ts).alias("month")).agg(F.count(F.lit(1)).alias("n")).orderBy("month")
 
 
 def by_label(df: DataFrame, column: str, missing: str) -> DataFrame:
-    """Count per value; null and '' stay two groups that share the label ``missing``."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    """Count per value, the largest first; null and '' stay two groups that share the label ``missing``."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col(column).asc_nulls_last())
     return counts.select(F.coalesce(F.nullif(column, F.lit("")), F.lit(missing)).alias("label"), "n")
 
 
 def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(field, value): the distinct truthy values of each column in one pass."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])
-    return df.select(F.explode(pairs).alias("p")).select("p.*").filter("value IS NOT NULL AND value NOT IN ('', '0')").distinct()
+    """(field, value): the distinct values of each column in one pass, in order; '' and the number 0 are left out, the text '0' is not."""
+    kinds = dict(df.dtypes)
+    pairs = []
+    for c in columns:
+        kept = F.col(c) != "" if kinds[c] == "string" else F.col(c) != 0
+        pairs.append(F.struct(F.lit(c).alias("field"), F.when(kept, F.col(c).cast("string")).alias("value")))
+    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("value IS NOT NULL").distinct().orderBy("field", "value")
 
 
 def satisfaction(is_positive: str = "is_positive") -> Column:
     """Percentage of positive votes to one digit, NULL without votes."""
-    return F.round(100 * F.try_divide(F.count_if(F.col(is_positive)), F.count(F.col(is_positive))), 1)
+    return half_even(100 * F.try_divide(F.count_if(F.col(is_positive)), F.count(F.col(is_positive))), 1)
 
 
 def health(documents: DataFrame, chunks: DataFrame, statistics: DataFrame, feedback: DataFrame) -> DataFrame:

@@ -7,15 +7,22 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import flat_csv
+from tidewell.functions.text import flat_csv, half_even
 
 METRICS = ("context_recall", "faithfulness", "answer_relevance")
 REPORT = ("chunk_id", "document_id", "filename", "category", "country", "year", "question", "expected_answer", "generated_answer", "query_type", *METRICS, "sources", "context_used", "chunk_content")
 
 
 def sample(chunks: DataFrame, n: int, seed: int = 0, key: str = "chunk_id", content: str = "content", min_chars: int = 200) -> DataFrame:
-    """n random long chunks, the same for a seed however the data is partitioned."""
-    return chunks.filter(F.length(content) > min_chars).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n random long chunks, the same for a seed however the data is partitioned: those with the smallest digests of key and seed."""
+    return chunks.filter(F.length(content) > min_chars).orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+
+
+def passages(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """What :func:`evaluate` samples from: chunks (id, document_id, content) with their documents."""
+    docs = documents.select(F.col("id").alias("__id"), "filename", "category", "country", "year")
+    joined = chunks.join(docs, chunks["document_id"] == docs["__id"])
+    return joined.select(F.col("id").alias("chunk_id"), "document_id", "filename", "category", "country", "year", "content")
 
 
 def _braces(text: Column) -> Column:
@@ -40,9 +47,9 @@ def question_pair(text: Column) -> Column:
 
 def summary(rows: DataFrame) -> DataFrame:
     """Counts, the three means to two digits, and the mean of these rounded means."""
-    means = rows.agg(F.count(F.lit(1)).alias("n_samples"), *[F.round(F.avg(m), 2).alias(f"avg_{m}") for m in METRICS])
+    means = rows.agg(F.count(F.lit(1)).alias("n_samples"), *[half_even(F.avg(m), 2).alias(f"avg_{m}") for m in METRICS])
     total = sum((F.col(f"avg_{m}") for m in METRICS[1:]), F.col(f"avg_{METRICS[0]}"))
-    return means.withColumn("avg_global", F.round(total / len(METRICS), 2))
+    return means.withColumn("avg_global", half_even(total / len(METRICS), 2))
 
 
 JUDGE_PROMPT = """Note de 1 à 5 la réponse obtenue.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import basename, strip
 from tidewell.operators import retrieval
 
+# The choice that filters nothing, columns that are searched, content types.
 ALL = "Tous"
 SEARCHED = ("filename", "subcategory", "category", "country")
 POOL, FLOOR = 200, 0.35
@@ -103,8 +104,11 @@ def search(documents: DataFrame, text: str = "", doc_type: str | None = None, co
         total = found.count()
         if total == 0 and chunks is not None and embed is not None and len(text.strip()) >= 3:
             pool = semantic_fallback(chunks, embed(text), doc_type, country).select("document_id", "score", "chunk_id").cache()
-            rows = page(pool.join(documents, pool["document_id"] == documents["id"]), retrieval.best_first(), limit, offset)
-            return {"total": pool.count(), "searchMode": "semantic", "items": listed(rows).collect()}
+            try:  # POOL rows at most: documents are filtered where they lie
+                rows = page(documents.join(F.broadcast(pool), documents["id"] == pool["document_id"]), retrieval.best_first(), limit, offset)
+                return {"total": pool.count(), "searchMode": "semantic", "items": listed(rows).collect()}
+            finally:
+                pool.unpersist()
         return {"total": total, "searchMode": "text", "items": listed(page(found, ordering(sort), limit, offset)).collect()}
     finally:
         found.unpersist()

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import vectors
+from tidewell.functions.text import half_even
 
 FILTERS = ("document_id", "category", "country", "year")
 
@@ -41,13 +44,42 @@ def similarity_search(chunks: DataFrame, query: Sequence[float], top_k: int = 6,
     return top if min_similarity is None else top.filter(~(F.col("score") < min_similarity))
 
 
-def topk_per_query(chunks: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], top_k: int, metric: str = "cosine") -> DataFrame:
-    """Top-k of each of a batch of queries in one scan: a score per query, ranked within it."""
-    scores = F.array(*[F.struct(F.lit(int(q)).cast("long").alias("qid"), vectors.score_to(metric, F.col("embedding"), F.col("__length"), v).alias("score")) for q, v in queries])
-    measured = chunks.withColumn("__length", vectors.norm(F.col("embedding")))  # once for all queries
-    each = measured.select("*", F.explode(scores).alias("__q")).drop("embedding", "__length").select("*", "__q.qid", "__q.score").drop("__q")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(*best_first()))
-    return each.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+#: Vectors and queries that meet in one task, about.
+VECTOR_BLOCK, QUERY_BLOCK = 16_384, 2_048
+
+
+def topk_per_query(chunks: DataFrame, queries: DataFrame, top_k: int, metric: str = "cosine", vector_block: int | None = None, query_block: int | None = None) -> DataFrame:
+    """(qid, rank, chunk_id, score): the ``top_k`` nearest chunks of every query.
+
+    ``chunks`` has (chunk_id, embedding) and ``queries`` (qid, embedding); both may be large.
+    Each is dealt into blocks by hash, and every block of queries meets every block of
+    vectors in one task as a product of matrices, of which each query keeps its ``top_k``.
+    Rows move once for each block of the other side; no pair becomes a row. If ``chunks``
+    has a column ``cell`` and ``queries`` an array ``near`` of cells, a query meets these
+    cells only. An embedding may be an array of numbers or, in ``chunks``, one byte each.
+    """
+    celled = "cell" in chunks.columns
+    cell, near = (F.col("cell"), F.col("near")) if celled else (F.lit(0), F.array(F.lit(0)))
+    most = chunks.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(1, -(-most // (vector_block or VECTOR_BLOCK)))
+    groups = max(1, -(-queries.count() // (query_block or QUERY_BLOCK)))
+    rows = chunks.select("chunk_id", "embedding", cell.cast("int").alias("cell"), F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    asked = queries.select("qid", F.col("embedding").alias("asked"), F.explode(near.cast("array<int>")).alias("cell"), F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int").alias("group"))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def meet(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(others):
+            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        ids, scores = own["chunk_id"].to_numpy(), vectors.block_scores(metric, vectors.matrix(own["embedding"]), vectors.matrix(others["asked"]))
+        best = []
+        for qid, column in zip(others["qid"], scores.T):
+            order = np.lexsort((ids, -np.where(np.isnan(column), -np.inf, column)))[:top_k]
+            best.append(pd.DataFrame({"qid": qid, "chunk_id": ids[order], "score": column[order]}))
+        return pd.concat(best)
+
+    best = rows.groupBy("cell", "part", "group").cogroup(asked.groupBy("cell", "part", "group")).applyInPandas(meet, "qid long, chunk_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(*best_first()))  # top_k rows a block
+    return best.withColumn("rank", rank).filter(F.col("rank") <= top_k)
 
 
 def best_chunk_per_document(hits: DataFrame) -> DataFrame:
@@ -78,9 +110,14 @@ def retrieve(chunks: DataFrame, query: Sequence[float], top_k: int = 8, filters:
 
 
 def enriched(hits: DataFrame, documents: DataFrame) -> DataFrame:
-    """Hits with their documents' columns; a missing document gives ``doc#id`` and nulls."""
-    docs = documents.select(F.col("id").alias("__id"), "filename", "category", "year", "source_url")
-    out = hits.join(docs, F.col("document_id") == F.col("__id"), "left")
+    """A few ranked hits with their documents' columns; a missing document gives ``doc#id`` and nulls.
+
+    The hits' ids are broadcast to the documents, which are filtered where they lie; what is
+    left is no larger than the hits and joins them by broadcast.
+    """
+    wanted = hits.select(F.col("document_id").alias("__wanted")).distinct()
+    docs = documents.join(F.broadcast(wanted), documents["id"] == F.col("__wanted"), "left_semi").select(F.col("id").alias("__id"), "filename", "category", "year", "source_url")
+    out = hits.join(F.broadcast(docs), F.col("document_id") == F.col("__id"), "left")
     return out.withColumn("source", F.coalesce("filename", F.concat(F.lit("doc#"), F.col("document_id").cast("string")))).drop("__id", "filename")
 
 
@@ -93,13 +130,14 @@ def distinct_sources(items: DataFrame, default_url: str = "") -> DataFrame:
         "source",
         "category",
         "year",
-        F.round("score", 3).alias("score"),
+        half_even(F.col("score"), 3).alias("score"),
         F.col("score").alias("raw_score"),
         F.coalesce(F.nullif("source_url", F.lit("")), F.lit(default_url)).alias("source_url"),
         F.when(F.col("document_id") != 0, F.concat(F.lit("/api/documents/"), F.col("document_id").cast("string"), F.lit("/view"))).alias("url"),
     )
 
 
+# Fixed value: the context where nothing was found.
 NO_CONTEXT = "[Aucun document pertinent trouve.]"
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.detect import detect_country, detect_year
-from tidewell.functions.text import fold, strip
+from tidewell.functions.text import fold, grams, let, strip
+from tidewell.skew import small
 
 # Substrings that route a question.
 DATA_KEYWORDS = ("taux", "inflation", "masse monetaire", "reserves", "statistique", "montant", "valeur", "evolution", "combien", "chiffre", "pourcentage", "balance", "emission")
@@ -31,20 +32,27 @@ def routed(question: Column, data_keywords: Sequence[str] = DATA_KEYWORDS, fold_
     finds them under accents.
     """
     low = F.lower(question)
-    meta = contains_any(strip(low), META_PATTERNS)
-    data = contains_any(fold(question) if fold_accents else low, data_keywords)
-    country, year = detect_country(question), detect_year(question)
-    kind = F.when(meta, "meta").when(data & (country.isNotNull() | year.isNotNull()), "hybrid").when(data, "sql").otherwise("vector")
-    by_year = ~meta & data & ~contains_any(strip(low), PERSON_KEYWORDS)
-    return F.struct(
-        kind.alias("query_type"),
-        F.when(~meta, country).alias("country"),
-        F.when(~meta, year).alias("year"),
-        F.when(~meta, country).alias("filter_country"),
-        F.when(by_year, year).alias("filter_year"),
-        (~meta & contains_any(strip(low), EXPLORATORY_PATTERNS)).alias("exploratory"),
+    flags = F.struct(
+        let(strip(low), lambda t: F.struct(contains_any(t, META_PATTERNS).alias("meta"), contains_any(t, PERSON_KEYWORDS).alias("person"), contains_any(t, EXPLORATORY_PATTERNS).alias("exploratory"))).alias("t"),
+        let(fold(question) if fold_accents else low, lambda t: contains_any(t, data_keywords)).alias("data"),
+        detect_country(question).alias("country"),
+        detect_year(question).alias("year"),
     )
 
+    def decided(f: Column) -> Column:
+        meta, data, country, year = f["t"]["meta"], f["data"], f["country"], f["year"]
+        kind = F.when(meta, "meta").when(data & (country.isNotNull() | year.isNotNull()), "hybrid").when(data, "sql").otherwise("vector")
+        return F.struct(
+            kind.alias("query_type"),
+            F.when(~meta, country).alias("country"),
+            F.when(~meta, year).alias("year"),
+            F.when(~meta, country).alias("filter_country"),
+            F.when(~meta & data & ~f["t"]["person"], year).alias("filter_year"),
+            (~meta & f["t"]["exploratory"]).alias("exploratory"),
+        )
+
+    return let(flags, decided)
+
 
 #: A small sample of our own; production hands in its table (ord, key, terms).
 SAMPLE_SYNONYMS = (
@@ -60,17 +68,39 @@ def synonym_table(spark, synonyms=SAMPLE_SYNONYMS) -> DataFrame:
     return spark.createDataFrame([(o, k, list(t)) for o, k, t in synonyms], "ord int, key string, terms array<string>")
 
 
-#: A dictionary of up to so many keys is broadcast and tried on every question.
-DICTIONARY_ROWS = 100_000
+def read_synonyms(spark, path: str) -> DataFrame:
+    """A dictionary file: JSON lines with ``key`` and ``terms``, in the order of the file, or one JSON object of keys to lists.
+
+    Keys that fold alike count once, the last one's terms under the first one's place.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+    one = F.from_json("text", "map<string, array<string>>")
+    entries = whole.select(F.posexplode(F.when(F.ltrim("text").rlike(r'(?s)^\{(?!\s*"(key|terms)"\s*:)'), F.map_entries(one)).otherwise(
+        F.transform(F.filter(F.split("text", "\n"), lambda l: F.trim(l) != ""), lambda l: F.struct(F.get_json_object(l, "$.key").alias("key"), F.from_json(F.get_json_object(l, "$.terms"), "array<string>").alias("value")))
+    )).alias("ord", "e")).select("ord", "e.key", F.col("e.value").alias("terms")).filter("key IS NOT NULL")
+    kept = entries.groupBy(fold(F.col("key")).alias("__folded")).agg(F.min("ord").alias("ord"), F.min_by("key", "ord").alias("key"), F.max_by("terms", "ord").alias("terms"))
+    return kept.select(F.col("ord").cast("int").alias("ord"), "key", "terms")
+
+
+#: Letters of a key by which it is looked up in a question.
+GRAM = 3
 
 
 def matched_synonyms(questions: DataFrame, synonyms: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:
-    """(qid, ord, key, terms) for every key that the folded question contains."""
-    if synonyms.count() > DICTIONARY_ROWS:
-        raise ValueError("the dictionary is too large to try every key on every question")
-    keys = F.broadcast(synonyms.select("ord", "key", "terms", fold(F.col("key")).alias("__key")))
+    """(qid, ord, key, terms) for every key that the folded question contains, for any number of questions and keys.
+
+    A key can only be contained where its first ``GRAM`` letters are, so questions and keys
+    join by these, and what joins is compared whole.
+    """
+    folded = synonyms.select("ord", "key", "terms", fold(F.col("key")).alias("__key"))
+    keys = folded.withColumn("__gram", F.substring("__key", 1, GRAM))
     asked = questions.select(qid, fold(F.col(question)).alias("__q"))
-    return asked.join(keys, F.contains(F.col("__q"), F.col("__key"))).select(qid, "ord", "key", "terms")
+    pieces = F.array(F.lit(""))  # an empty key is in every question
+    for length in range(1, GRAM + 1):
+        pieces = F.array_union(pieces, grams(F.col("__q"), length))
+    each = asked.select(qid, "__q", F.explode(pieces).alias("__asked"))
+    met = each.join(small(keys), each["__asked"] == keys["__gram"])
+    return met.filter(F.contains(F.col("__q"), F.col("__key"))).select(qid, "ord", "key", "terms")
 
 
 def expanded(questions: DataFrame, synonyms: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:

@@ -8,10 +8,13 @@ The row cap is a limit on the DataFrame, never an edit of the text.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
+from tidewell.functions.detect import COUNTRIES
+
 MAX_ROWS = 50
 # Words that no statement may hold.
 FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "revoke", "copy", "into", "execute", "call", "merge", "vacuum", "reindex", "lock")
@@ -88,6 +91,49 @@ def run(spark: SparkSession, sql: str, relations: set[str] = frozenset({"statist
     return spark.sql(sql).limit(max_rows)
 
 
+PROMPT = """Table statistics(id BIGINT, indicator STRING, country STRING, period STRING, year INT, value DOUBLE, unit STRING, source_sheet STRING).
+Pays : {countries}.
+Traduis la question en une seule requête SELECT sur cette table, sans explication. Filtre les textes par ILIKE avec des %, et termine par LIMIT {rows}.
+
+Question : {question}
+SQL :"""
+
+
+def prompt(question: str, max_rows: int = MAX_ROWS) -> str:
+    """What a model is asked to turn a question into a statement."""
+    return PROMPT.format(countries=", ".join(name for name, _ in COUNTRIES), rows=max_rows, question=question)
+
+
+# Words of a question that say nothing about an indicator, and those that ask for a total or a mean.
+_STOP = {"quel", "quelle", "quels", "quelles", "est", "sont", "le", "la", "les", "un", "une", "de", "du", "des", "d", "l", "au", "aux", "en", "et", "a", "pour", "combien", "evolution", "montant", "valeur", "chiffre", "statistique", "statistiques", "dans", "sur", "par", "y", "t", "il", "ont", "ete"}
+_TOTAL, _MEAN = {"total", "somme", "cumul"}, {"moyenne", "moyen"}
+
+
+def offline_sql(question: str, max_rows: int = MAX_ROWS) -> str:
+    """A statement by rule, where no model is at hand: filters on country, year and the words left, or a total or mean of these."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", question.lower()) if unicodedata.category(c) != "Mn")
+    years = re.findall(r"\b(199\d|20[0-3]\d)\b", plain)
+    country = next((name for name, spellings in COUNTRIES if any(s in plain for s in spellings)), None)
+    named = {w for name, spellings in COUNTRIES for s in (name.lower(), *spellings) for w in s.split()}
+    words = [w for w in re.findall(r"[a-z]+", plain) if w not in _STOP | _TOTAL | _MEAN | named and len(w) > 1]
+    asked = set(re.findall(r"[a-z]+", plain))
+    tests = [f"indicator ILIKE '%{w}%'" for w in dict.fromkeys(words) if w not in FORBIDDEN]
+    if country:
+        tests.append(f"country = '{country}'")
+    if years:
+        tests.append(f"year = {years[-1]}" if len(set(years)) == 1 else f"year BETWEEN {min(years)} AND {max(years)}")
+    where = f" WHERE {' AND '.join(tests)}" if tests else ""
+    for words_, function, name in ((_MEAN, "avg", "moyenne"), (_TOTAL, "sum", "total")):
+        if asked & words_:
+            return f"SELECT country, year, {function}(value) AS {name} FROM statistics{where} GROUP BY country, year ORDER BY country, year LIMIT {max_rows}"
+    return f"SELECT indicator, country, period, year, value, unit FROM statistics{where} ORDER BY year DESC, country, indicator LIMIT {max_rows}"
+
+
+def model_sql(generate, max_rows: int = MAX_ROWS):
+    """A statement generator out of a model that answers prompts."""
+    return lambda question: generate(prompt(question, max_rows))
+
+
 def ask(spark: SparkSession, question: str, generate, relations: set[str] = frozenset({"statistics"}), max_rows: int = MAX_ROWS) -> Answer:
     """Generate, check and run; an error is part of the answer."""
     sql = extract(generate(question))
@@ -99,6 +145,7 @@ def ask(spark: SparkSession, question: str, generate, relations: set[str] = froz
 
 def context(answer: Answer, heading: str = "Donnees chiffrees :") -> str:
     """Rows as ``- k=v, k=v`` lines, nulls left out."""
+    # What stands where there are no rows.
     if answer.error:
         return f"[Donnees chiffrees indisponibles : {answer.error}]"
     if not answer.rows:

@@ -15,14 +15,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.config import Config
 from tidewell.functions.embedding import Embedder, embed_question
 from tidewell.operators import retrieval, routing, statements
+from tidewell.operators.chatlog import NO_ANSWER
 
-TOP_K, EXPLORATORY_TOP_K, DOCUMENT_TOP_K = 8, 12, 10
+EXPLORATORY_TOP_K, DOCUMENT_TOP_K = 12, 10
+#: Characters of a question.
+QUESTION_CHARS = (2, 2000)
 META_ANSWER = "Je réponds aux questions sur les documents et les statistiques de la bibliothèque."
-NO_ANSWER = "Je ne dispose pas d'informations suffisantes pour répondre à cette question."
-PROMPT = "Contexte :\n{context}\n\nQuestion : {question}\nRéponse :"
-EXPLORATORY_PROMPT = "Contexte :\n{context}\n\nPrésente de façon structurée ce que le contexte dit du sujet.\nQuestion : {question}\nRéponse :"
+UNAVAILABLE = "Le service est momentanément indisponible."
+INTERRUPTED = "\n[La réponse a été interrompue.]"
+PROMPT = "Contexte :\n{context}\n\nQuestion : {question}\nSans réponse dans le contexte, réponds exactement : {no_answer}\nRéponse :"
+EXPLORATORY_PROMPT = "Contexte :\n{context}\n\nPrésente de façon structurée ce que le contexte dit du sujet.\nQuestion : {question}\nSans réponse dans le contexte, réponds exactement : {no_answer}\nRéponse :"
 
 
 @dataclass
@@ -84,72 +89,109 @@ def with_retries(call: Callable[[str], str], models: list[str], attempts: int =
     raise RuntimeError("no model answered")
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What routing decided about one question."""
+
+    kind: str
+    filters: dict[str, object]
+    top_k: int
+    exploratory: bool
+
+
 @dataclass
 class Engine:
+    """``generate`` answers a prompt with a model; ``config`` sets limits, models and the defaults of sources."""
+
     spark: SparkSession
     chunks: DataFrame
     documents: DataFrame
     embedder: Embedder
-    generate: Callable[[str], str]
-    generate_sql: Callable[[str], str]
-    cache: ResponseCache = field(default_factory=ResponseCache)
+    generate: Callable[..., str]
+    generate_sql: Callable[[str], str] = statements.offline_sql
+    config: Config = field(default_factory=Config)
+    cache: ResponseCache | None = None
     synonyms: DataFrame | None = None
     apply_expansion: bool = False
     fold_router_accents: bool = False
 
-    def route(self, question: str):
+    def __post_init__(self):
+        if self.cache is None:
+            self.cache = ResponseCache(self.config.cache_entries, self.config.cache_seconds)
+
+    def route(self, question: str, document_id: int | None = None) -> Plan:
+        """One small job for each question; a question about one document is never routed."""
+        if document_id is not None:
+            return Plan("vector", {"document_id": document_id}, DOCUMENT_TOP_K, False)
         asked = self.spark.range(1).select(F.lit(question).alias("q"))
-        return asked.select(routing.routed(F.col("q"), fold_accents=self.fold_router_accents).alias("r")).first()["r"]
+        r = asked.select(routing.routed(F.col("q"), fold_accents=self.fold_router_accents).alias("r")).first()["r"]
+        return Plan(r["query_type"], {"country": r["filter_country"], "year": r["filter_year"]}, EXPLORATORY_TOP_K if r["exploratory"] else self.config.top_k, r["exploratory"])
 
-    def context(self, question: str, document_id: int | None = None) -> tuple[str, str, list[dict], str | None]:
-        """(query type, context, sources, sql) of a question."""
+    def context(self, question: str, plan: Plan) -> tuple[str, list[dict], str | None]:
+        """(context, sources, sql) of a routed question."""
         sql = sql_text = None
-        if document_id is not None:
-            kind, filters, top_k = "vector", {"document_id": document_id}, DOCUMENT_TOP_K
-        else:
-            r = self.route(question)
-            kind, filters = r["query_type"], {"country": r["filter_country"], "year": r["filter_year"]}
-            top_k = EXPLORATORY_TOP_K if r["exploratory"] else TOP_K
-            if kind in ("sql", "hybrid"):
-                answer = statements.ask(self.spark, question, self.generate_sql)
-                sql, sql_text = answer.sql, statements.context(answer)
+        if plan.kind in ("sql", "hybrid"):
+            answer = statements.ask(self.spark, question, self.generate_sql, max_rows=self.config.sql_max_rows)
+            sql, sql_text = answer.sql, statements.context(answer)
         text, sources = None, []
-        if kind in ("vector", "hybrid"):
+        if plan.kind in ("vector", "hybrid"):
             wording = question
             if self.apply_expansion and self.synonyms is not None:
                 wording = routing.expanded(self.spark.createDataFrame([(0, question)], "qid long, question string"), self.synonyms).first()["expanded"]
-            hits = retrieval.retrieve(self.chunks, embed_question(self.embedder, wording), top_k, filters).select("chunk_id", "document_id", "content", "score")
-            ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*retrieval.best_first())))  # top_k rows
+            hits = retrieval.retrieve(self.chunks, embed_question(self.embedder, wording), plan.top_k, plan.filters, self.config.min_similarity, self.config.metric).select("chunk_id", "document_id", "content", "score")
+            ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*retrieval.best_first()))).cache()  # top_k rows
             items = retrieval.enriched(ranked, self.documents).cache()
-            found = retrieval.context_text(items).first()
-            text = found["context"] if found and not items.isEmpty() else retrieval.NO_CONTEXT
-            sources = [r.asDict() for r in retrieval.distinct_sources(items).orderBy("rank").collect()]
-            items.unpersist()
-        return kind, retrieval.joined_context(sql_text, text), sources, sql
+            try:
+                found = retrieval.context_text(items).first()
+                text = found["context"] if found else retrieval.NO_CONTEXT
+                sources = [r.asDict() for r in retrieval.distinct_sources(items, self.config.default_url).orderBy("rank").collect()]
+            finally:
+                items.unpersist()
+                ranked.unpersist()
+        return retrieval.joined_context(sql_text, text), sources, sql
+
+    def prompt(self, question: str, context: str, plan: Plan) -> str:
+        return (EXPLORATORY_PROMPT if plan.exploratory else PROMPT).format(context=context, question=question, no_answer=NO_ANSWER)
 
     def ask(self, question: str, model: str | None = None, document_id: int | None = None) -> Response:
-        if not 2 <= len(question) <= 2000:
-            raise ValueError("a question has 2 to 2000 characters")
-        if document_id is None and self.route(question)["query_type"] == "meta":
+        least, most = QUESTION_CHARS
+        if not least <= len(question) <= most:
+            raise ValueError(f"a question has {least} to {most} characters")
+        plan = self.route(question, document_id)
+        if plan.kind == "meta":
             return Response(META_ANSWER, "meta")
         known = self.cache.get(model, question, document_id)
         if known:
             return known
-        kind, context, sources, sql = self.context(question, document_id)
-        exploratory = document_id is None and self.route(question)["exploratory"]
-        prompt = (EXPLORATORY_PROMPT if exploratory else PROMPT).format(context=context, question=question)
-        response = Response(self.generate(prompt), kind, sources, sql, context)
+        context, sources, sql = self.context(question, plan)
+        answer = self.generate(self.prompt(question, context, plan), self.config.resolve_model(model))
+        response = Response(answer, plan.kind, [] if answer.strip() == NO_ANSWER else sources, sql, context)
         self.cache.set(model, question, response, document_id)
         return response
 
-    def stream(self, question: str, tokens: Callable[[str], Iterator[str]]) -> Iterator[str]:
-        """One JSON line with type and sources, then the tokens; errors become text."""
-        started = False
+    def stream(self, question: str, tokens: Callable[..., Iterator[str]], model: str | None = None, document_id: int | None = None) -> Iterator[str]:
+        """One JSON line with type and sources, then the answer's tokens.
+
+        An error before that line gives one that says so, and a text; a later one only a text.
+        """
+
+        def head(kind: str, sources: list[dict] = (), sql: str | None = None, **more) -> str:
+            return json.dumps({"type": "meta", "query_type": kind, "sources": list(sources), "sql": sql, **more}, ensure_ascii=False, default=str) + "\n"
+
+        headed = started = False
         try:
-            kind, context, sources, sql = self.context(question)
-            yield json.dumps({"query_type": kind, "sources": sources, "sql": sql}, ensure_ascii=False, default=str) + "\n"
-            for token in tokens(PROMPT.format(context=context, question=question)):
+            plan = self.route(question, document_id)
+            if plan.kind == "meta":
+                yield head("meta")
+                yield META_ANSWER
+                return
+            context, sources, sql = self.context(question, plan)
+            yield head(plan.kind, sources, sql)
+            headed = True
+            for token in tokens(self.prompt(question, context, plan), self.config.resolve_model(model)):
                 started = True
                 yield token
         except Exception:  # noqa: BLE001  the protocol has no other place for it
-            yield "\n[La réponse a été interrompue.]" if started else "[Le service est momentanément indisponible.]"
+            if not headed:
+                yield head("error", error=True)
+            yield INTERRUPTED if started else UNAVAILABLE

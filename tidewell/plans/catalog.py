@@ -8,6 +8,7 @@ conversations for the chat log, pages.url for object keys, events.props for meta
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from tidewell.functions import detect, text
 from tidewell.functions.embedding import HashingEmbedder, embed_column
 from tidewell.operators import backfill, chatlog, chunking, dashboards, evaluation, library, retrieval, routing, statements, tabular
 from tidewell.sources.extract import chosen_text
+from tidewell.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,13 +90,24 @@ def vector_topk_filtered(spark, d):
     return hits.select("chunk_id", "category", "country", F.round("score", 6).alias("score"))
 
 
-@query(
-    "SELECT qid, rank, chunk_id, round(s, 6) AS score FROM (SELECT q.vec_id AS qid, e.vec_id AS chunk_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s, "
-    "row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id IN (1, 2, 3, 5, 8)) WHERE rank <= 5"
-)
+def _queries(chunks: DataFrame) -> DataFrame:
+    """The query set of every batch search: all vectors whose id is divisible by 100."""
+    return chunks.filter(F.col("chunk_id") % 100 == 0).select(F.col("chunk_id").alias("qid"), "embedding")
+
+
+def _per_query(k: int, vectors: str = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings") -> str:
+    score = "list_cosine_similarity(e.v, q.v)"
+    return f"WITH e AS ({vectors}) SELECT qid, rank, chunk_id, round(s, 6) AS score FROM (SELECT q.id AS qid, e.id AS chunk_id, {score} AS s, row_number() OVER (PARTITION BY q.id ORDER BY {score} DESC, e.id) AS rank FROM e, e q WHERE q.id % 100 = 0) WHERE rank <= {k}"
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(_per_query(5))
 def vector_topk_per_query(spark, d):
-    asked = table(spark, d, "embeddings").filter(F.col("vec_id").isin(1, 2, 3, 5, 8)).select("vec_id", "embedding").collect()  # five questions
-    return retrieval.topk_per_query(_chunks(spark, d), [tuple(r) for r in asked], 5).select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    chunks = _chunks(spark, d)
+    return _ranked(retrieval.topk_per_query(chunks, _queries(chunks), 5))
 
 
 _SCORED = f"SELECT vec_id AS chunk_id, CAST(label AS BIGINT) AS document_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS s FROM embeddings, {_QV}"
@@ -130,7 +143,7 @@ def _library_documents(spark, d):
         F.col("doc_id").alias("id"),
         F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("filename"),
         F.nullif("lang", F.lit("es")).alias("category"),
-        F.substring("text", 1, 40).alias("subcategory"),
+        F.col("text").alias("subcategory"),
         F.col("source").alias("country"),
         F.when(F.col("doc_id") % 3 != 0, (1990 + F.col("doc_id") % 40)).cast("int").alias("year"),
         F.when(F.col("doc_id") % 2 == 0, "pdf").otherwise("excel").alias("file_type"),
@@ -142,7 +155,7 @@ def _library_documents(spark, d):
 
 
 _LIB = (
-    "(SELECT doc_id AS id, CASE WHEN doc_id % 7 <> 0 THEN 'doc-' || doc_id || '.pdf' END AS filename, nullif(lang, 'es') AS category, substr(text, 1, 40) AS subcategory, source AS country, "
+    "(SELECT doc_id AS id, CASE WHEN doc_id % 7 <> 0 THEN 'doc-' || doc_id || '.pdf' END AS filename, nullif(lang, 'es') AS category, text AS subcategory, source AS country, "
     "CAST(CASE WHEN doc_id % 3 <> 0 THEN 1990 + doc_id % 40 END AS INTEGER) AS year, CASE WHEN doc_id % 2 = 0 THEN 'pdf' ELSE 'excel' END AS file_type, CASE WHEN doc_id % 5 <> 0 THEN 'a/b/' || doc_id || '.pdf' END AS r2_key FROM documents)"
 )
 
@@ -274,7 +287,7 @@ def _pages_as_files(spark, d):
     return p.select(
         F.col("url").alias("key"),
         (n % 9).cast("int").alias("page_count"),
-        F.when(n % 3 == 0, F.substring("html", 1, 200)).otherwise(F.when(n % 3 == 1, F.repeat(F.lit("a"), 10)).otherwise("")).alias("native_text"),
+        F.when(n % 3 == 0, F.col("html")).otherwise(F.when(n % 3 == 1, F.repeat(F.lit("a"), 10)).otherwise("")).alias("native_text"),
         F.when(n % 2 == 0, F.repeat(F.lit("b"), 50)).otherwise("").alias("ocr_text"),
         (n % 4).cast("int").alias("n_images"),
     )
@@ -282,7 +295,7 @@ def _pages_as_files(spark, d):
 
 @query(
     "SELECT method, count(*) AS n FROM (SELECT CASE WHEN pc = 0 THEN 'error' WHEN length(n) >= 100 THEN 'native' WHEN length(o) > length(n) THEN 'ocr' WHEN trim(n) = '' AND trim(o) = '' AND im > 0 THEN 'image_extracted' ELSE 'native' END AS method "
-    "FROM (SELECT page_id % 9 AS pc, CASE page_id % 3 WHEN 0 THEN substr(html, 1, 200) WHEN 1 THEN repeat('a', 10) ELSE '' END AS n, CASE WHEN page_id % 2 = 0 THEN repeat('b', 50) ELSE '' END AS o, page_id % 4 AS im FROM pages)) GROUP BY method"
+    "FROM (SELECT page_id % 9 AS pc, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN repeat('a', 10) ELSE '' END AS n, CASE WHEN page_id % 2 = 0 THEN repeat('b', 50) ELSE '' END AS o, page_id % 4 AS im FROM pages)) GROUP BY method"
 )
 def extraction_method_counts(spark, d):
     return dashboards.count_by(_pages_as_files(spark, d).select(chosen_text()["method"].alias("method")), "method")
@@ -348,9 +361,9 @@ def json_metadata_extract(spark, d):
 # --- text ------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, md5(strip_accents(lower(substr(text, 1, 2000)))) AS folded FROM documents")
+@query("SELECT doc_id, md5(strip_accents(lower(text))) AS folded FROM documents")
 def normalize_fold(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(text.fold(F.substring("text", 1, 2000))).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
 
 
 @query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', '\n\n', 'g'), '^\\s+|\\s+$', '', 'g')) AS cleaned FROM documents")
@@ -358,30 +371,50 @@ def clean_whitespace(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.clean(F.col("text"))).alias("cleaned"))
 
 
-DETECT = [(0, "Rapport 2019-2023"), (1, "rapport_2023.pdf"), (2, "1989 2040"), (3, "Rapport CIRCA"), (4, "Guinée Équatoriale"), (5, "Gabon et Cameroun"), (6, ""), (7, "Bulletin du Congo, 1997"), (8, "Tchad 2024 (2025)"), (9, "République centrafricaine 2030"), (10, "rien"), (11, "Équateur 1990")]
+def _choice(values: list[str], which) -> F.Column:
+    """One of a few strings, by a number."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(which, F.lit(len(values))) + 1).cast("int"))
+
+
+def _choice_sql(values: list[str], which: str) -> str:
+    return "list_value(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f")[CAST(({which}) % {len(values)} + 1 AS INTEGER)]"
+
+
+TITLES = ["Rapport 2019-2023", "rapport_2023.pdf", "1989 2040", "Rapport CIRCA", "Guinée Équatoriale", "Gabon et Cameroun", "", "Bulletin du Congo, 1997", "Tchad 2024 (2025)", "République centrafricaine 2030", "rien", "Équateur 1990", "a2001 2002b", "1991, puis 1992."]
+_TITLED = f"(SELECT o_orderkey AS id, {_choice_sql(TITLES, 'o_orderkey')} || CASE WHEN o_orderkey % 5 = 0 THEN ' ' || strftime(o_orderdate, '%Y') ELSE '' END || ' ' || o_orderpriority AS s FROM orders)"
 
 
 @query(
-    "WITH t AS (SELECT * FROM " + values(DETECT, "id, s") + "), f AS (SELECT id, s, strip_accents(lower(s)) AS l, regexp_extract_all(s, '\\b(199\\d|20[0-3]\\d)\\b', 1) AS y FROM t) "
+    "WITH f AS (SELECT id, s, strip_accents(lower(s)) AS l, regexp_extract_all(s, '\\b(199\\d|20[0-3]\\d)\\b', 1) AS y FROM " + _TITLED + ") "
     "SELECT id, CAST(y[len(y)] AS INTEGER) AS year, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(l, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{c}'" for c, ws in detect.COUNTRIES) + " END AS country FROM f"
 )
 def detect_year_country(spark, d):
-    rows = spark.createDataFrame(DETECT, "id int, s string")
+    """Titles of orders: a form by number, some with the order's year, and the priority."""
+    n = F.col("o_orderkey")
+    year = F.when(n % 5 == 0, F.concat(F.lit(" "), F.date_format("o_orderdate", "yyyy"))).otherwise("")
+    rows = table(spark, d, "orders").select(n.alias("id"), F.concat(_choice(TITLES, n), year, F.lit(" "), "o_orderpriority").alias("s"))
     return rows.select("id", detect.detect_year(F.col("s")).alias("year"), detect.detect_country(F.col("s")).alias("country"))
 
 
 QUESTIONS = [
-    (0, "Que peux-tu faire ?"),
-    (1, "Quel est le taux d'inflation au Cameroun en 2024 ?"),
-    (2, "Combien de billets ?"),
-    (3, "Quelle est la masse monétaire ?"),
-    (4, "Évolution des réserves au Gabon"),
-    (5, "Qui est le gouverneur en 2024 ?"),
-    (6, "statistiques du Tchad"),
-    (7, "Explique-moi le taux directeur et l'inflation"),
-    (8, "montant versé au directeur en 2019 au Congo"),
-    (9, "bonjour"),
+    "Que peux-tu faire ?",
+    "Quel est le taux d'inflation au Cameroun en 2024 ?",
+    "Combien de billets ?",
+    "Quelle est la masse monétaire ?",
+    "Évolution des réserves au Gabon",
+    "Qui est le gouverneur en 2024 ?",
+    "statistiques du Tchad",
+    "Explique-moi le taux directeur et l'inflation",
+    "montant versé au directeur en 2019 au Congo",
+    "bonjour",
 ]
+_ASKED = f"(SELECT conv_id * 100 + turn AS qid, {_choice_sql(QUESTIONS, 'conv_id * 7 + turn')} || ' ' || text AS question FROM conversations)"
+
+
+def _asked(spark, d):
+    """A question for every message: one of a few forms, and the whole message."""
+    n = F.col("conv_id") * 7 + F.col("turn")
+    return table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("qid"), F.concat(_choice(QUESTIONS, n), F.lit(" "), "text").alias("question"))
 
 
 def _any(column: str, needles) -> str:
@@ -396,54 +429,73 @@ _ROUTE = (
 )
 
 
-@query(_ROUTE.format(values(QUESTIONS, "qid, question")))
+def _routed(rows: DataFrame) -> DataFrame:
+    return rows.select("qid", routing.routed(F.col("question")).alias("r")).select("qid", "r.query_type", "r.filter_country", "r.filter_year", "r.exploratory")
+
+
+@query(_ROUTE.format(_ASKED))
 def classify_questions(spark, d):
-    rows = spark.createDataFrame(QUESTIONS, "qid int, question string").withColumn("r", routing.routed(F.col("question")))
-    return rows.select("qid", "r.query_type", "r.filter_country", "r.filter_year", "r.exploratory")
+    return _routed(_asked(spark, d))
 
 
 @query(_ROUTE.format("(SELECT conv_id * 100 + turn AS qid, text AS question FROM conversations)"))
 def classify_conversations(spark, d):
-    rows = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("qid"), routing.routed(F.col("text")).alias("r"))
-    return rows.select("qid", "r.query_type", "r.filter_country", "r.filter_year", "r.exploratory")
+    return _routed(table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("qid"), F.col("text").alias("question")))
 
 
 _SYN = "(VALUES " + ", ".join("({}, '{}', [{}])".format(o, k.replace("'", "''"), ", ".join("'" + t.replace("'", "''") + "'" for t in ts)) for o, k, ts in routing.SAMPLE_SYNONYMS) + ") AS s(ord, key, terms)"
-_MATCH = f"(SELECT q.qid, s.ord, s.key, s.terms FROM (SELECT * FROM {values(QUESTIONS, 'qid, question')}) q JOIN (SELECT * FROM {_SYN}) s ON contains(strip_accents(lower(q.question)), strip_accents(lower(s.key))))"
+_MATCH = f"(SELECT q.qid, s.ord, s.key, s.terms FROM {_ASKED} q JOIN (SELECT * FROM {_SYN}) s ON contains(strip_accents(lower(q.question)), strip_accents(lower(s.key))))"
 
 
 @query(f"SELECT qid, ord, key FROM {_MATCH}")
 def matched_synonyms(spark, d):
-    rows = spark.createDataFrame(QUESTIONS, "qid int, question string")
-    return routing.matched_synonyms(rows, routing.synonym_table(spark)).select("qid", "ord", "key")
+    return routing.matched_synonyms(_asked(spark, d), routing.synonym_table(spark)).select("qid", "ord", "key")
 
 
 @query(
     f"WITH m AS (SELECT qid, ord, unnest(terms) AS term, generate_subscripts(terms, 1) AS k FROM {_MATCH}), f AS (SELECT qid, term, min(ord * 100 + k) AS o FROM m GROUP BY qid, term), a AS (SELECT qid, string_agg(term, ' ' ORDER BY o) AS terms FROM f GROUP BY qid) "
-    f"SELECT q.qid, CASE WHEN a.terms IS NULL THEN q.question ELSE q.question || ' ' || a.terms END AS expanded FROM (SELECT * FROM {values(QUESTIONS, 'qid, question')}) q LEFT JOIN a ON q.qid = a.qid"
+    f"SELECT q.qid, CASE WHEN a.terms IS NULL THEN q.question ELSE q.question || ' ' || a.terms END AS expanded FROM {_ASKED} q LEFT JOIN a ON q.qid = a.qid"
 )
 def expand_questions(spark, d):
-    rows = spark.createDataFrame(QUESTIONS, "qid int, question string")
-    return routing.expanded(rows, routing.synonym_table(spark))
+    return routing.expanded(_asked(spark, d), routing.synonym_table(spark))
 
 
-NUMBERS = [(0, "(12,5)", -12.5), (1, "(12%)", -12.0), (2, "(12)%", 12.0), (3, "12%", 12.0), (4, "1 234,5", 1234.5), (5, "1.234,5", None), (6, "n.d.", None), (7, "", None), (8, " 7 ", 7.0), (9, "-3,25", -3.25), (10, "1e3", 1000.0), (11, "1d", None), (12, "1_000", 1000.0), (13, "+5", 5.0), (14, ".5", 0.5), (15, "5.", 5.0)]
+_CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
+_AMOUNT = (
+    f"(SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 10 WHEN 0 THEN w || ',' || f WHEN 1 THEN '(' || w || ',' || f || ')' WHEN 2 THEN w || ',' || f || '%' WHEN 3 THEN '(' || w || '%)' WHEN 4 THEN w // 1000 || ' ' || lpad(CAST(w % 1000 AS VARCHAR), 3, '0') || ',' || f "
+    f"WHEN 5 THEN w // 1000 || '.' || lpad(CAST(w % 1000 AS VARCHAR), 3, '0') || ',' || f WHEN 6 THEN 'n.d.' WHEN 7 THEN ' ' || w || ' ' WHEN 8 THEN '-' || w || ',' || f ELSE w // 1000 || chr(160) || lpad(CAST(w % 1000 AS VARCHAR), 3, '0') END AS s "
+    f"FROM (SELECT l_orderkey, l_linenumber, {_CENTS} // 100 AS w, lpad(CAST({_CENTS} % 100 AS VARCHAR), 2, '0') AS f FROM lineitem))"
+)
 
 
 @query(
-    "WITH t AS (SELECT id, replace(replace(trim(s), ' ', ''), ',', '.') AS x FROM " + values([r[:2] for r in NUMBERS], "id, s") + ") "
-    "SELECT id, CASE WHEN starts_with(x, '(') AND ends_with(x, ')') THEN -v ELSE v END AS value FROM (SELECT id, x, TRY_CAST(trim(x, '()%') AS DOUBLE) AS v FROM t)"
+    "WITH t AS (SELECT l_orderkey, l_linenumber, replace(replace(replace(trim(s), ' ', ''), chr(160), ''), ',', '.') AS x FROM " + _AMOUNT + ") "
+    "SELECT l_orderkey, l_linenumber, CASE WHEN starts_with(x, '(') AND ends_with(x, ')') THEN -v ELSE v END AS value FROM (SELECT l_orderkey, l_linenumber, x, TRY_CAST(trim(x, '()%') AS DOUBLE) AS v FROM t)"
 )
 def parse_number(spark, d):
-    return spark.createDataFrame([r[:2] for r in NUMBERS], "id int, s string").select("id", detect.to_number(F.col("s")).alias("value"))
+    """Prices spelled as cells spell them: comma decimals, brackets, percents, separators, and what is no number."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    whole, part = F.floor(cents / 100), F.lpad((cents % 100).cast("string"), 2, "0")
+    w, thousands, rest = whole.cast("string"), F.floor(whole / 1000).cast("string"), F.lpad((whole % 1000).cast("string"), 3, "0")
+    form = (F.col("l_orderkey") + F.col("l_linenumber")) % 10
+    spelled = [
+        F.concat(w, F.lit(","), part), F.concat(F.lit("("), w, F.lit(","), part, F.lit(")")), F.concat(w, F.lit(","), part, F.lit("%")), F.concat(F.lit("("), w, F.lit("%)")), F.concat(thousands, F.lit(" "), rest, F.lit(","), part),
+        F.concat(thousands, F.lit("."), rest, F.lit(","), part), F.lit("n.d."), F.concat(F.lit(" "), w, F.lit(" ")), F.concat(F.lit("-"), w, F.lit(","), part), F.concat(thousands, F.lit("\u00a0"), rest),
+    ]
+    s = F
+    for k, form_of in enumerate(spelled):
+        s = s.when(form == k, form_of)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", detect.to_number(s).alias("value"))
 
 
-PERIODS = [(0, "janv-2023"), (1, "T1"), (2, "maison"), (3, "février"), (4, "août"), (5, "2023.0"), (6, "Total"), (7, "Trim 3"), (8, "octroi"), (9, "1985")]
+PERIODS = ["janv-2023", "T1", "maison", "février", "août", "2023.0", "Total", "Trim 3", "octroi", "1985"]
 
 
-@query("SELECT id, len(regexp_extract_all(s, '\\b(199\\d|20[0-3]\\d)\\b')) > 0 OR " + _any("lower(s)", detect.PERIOD_TOKENS) + " AS is_period FROM " + values(PERIODS, "id, s"))
+@query("SELECT id, len(regexp_extract_all(s, '\\b(199\\d|20[0-3]\\d)\\b')) > 0 OR " + _any("lower(s)", detect.PERIOD_TOKENS) + f" AS is_period FROM (SELECT o_orderkey AS id, {_choice_sql(PERIODS, 'o_orderkey')} || CASE WHEN o_orderkey % 7 = 0 THEN ' ' || strftime(o_orderdate, '%Y') ELSE '' END AS s FROM orders)")
 def looks_like_period(spark, d):
-    return spark.createDataFrame(PERIODS, "id int, s string").select("id", detect.looks_like_period(F.col("s")).alias("is_period"))
+    n = F.col("o_orderkey")
+    label = F.concat(_choice(PERIODS, n), F.when(n % 7 == 0, F.concat(F.lit(" "), F.date_format("o_orderdate", "yyyy"))).otherwise(""))
+    return table(spark, d, "orders").select(n.alias("id"), detect.looks_like_period(label).alias("is_period"))
 
 
 # --- tables ----------------------------------------------------------------------------
@@ -464,26 +516,38 @@ def statistics_unpivot(spark, d):
     return tabular.statistics(cells).select("indicator", "period", "year", "value")
 
 
-SHEET = [
-    ("a.xlsx", "S1", 0, 0, "Bulletin"), ("a.xlsx", "S1", 2, 0, "Indicateur"), ("a.xlsx", "S1", 2, 2, "2022"), ("a.xlsx", "S1", 2, 3, "janv-2023"), ("a.xlsx", "S1", 2, 4, "Note"),
-    ("a.xlsx", "S1", 3, 0, "PIB Gabon"), ("a.xlsx", "S1", 3, 2, "1 234,5"), ("a.xlsx", "S1", 3, 3, "(2,5)"), ("a.xlsx", "S1", 3, 4, "9"),
-    ("a.xlsx", "S1", 4, 2, "7"), ("a.xlsx", "S1", 5, 0, "Inflation"), ("a.xlsx", "S1", 5, 2, "n.d."), ("a.xlsx", "S1", 5, 3, "3%"),
-    ("b.xlsx", "S1", 0, 0, "x"), ("b.xlsx", "S1", 1, 1, "y"),
-]
-_CELLS = values(SHEET, "key, sheet, row_idx, col_idx, raw")
+LABELS = ["PIB du Gabon", "Inflation", "Masse monétaire du Tchad", "Réserves", "Crédit"]
+_COUNTED = "(SELECT 'f' || (o_custkey % 7) || '.xlsx' AS key, 'S' || (o_custkey % 3) AS sheet, ascii(o_orderpriority) - 49 AS p, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL)"
+_RAW = "CASE n % 4 WHEN 0 THEN '(' || n || ')' WHEN 1 THEN n || ',5' WHEN 2 THEN 'n.d.' ELSE n || '%' END"
+_HEADING = "CASE WHEN y % 2 = 1 THEN 'janv-' || y ELSE CAST(y AS VARCHAR) END"
+
+
+def _sheets(spark, d):
+    """Workbooks of order counts: a title, an empty row, a header of years and a note, then a labelled row for each priority."""
+    o = table(spark, d, "orders").select(F.concat(F.lit("f"), (F.col("o_custkey") % 7).cast("string"), F.lit(".xlsx")).alias("key"), F.concat(F.lit("S"), (F.col("o_custkey") % 3).cast("string")).alias("sheet"), (F.ascii("o_orderpriority") - 49).alias("p"), F.year("o_orderdate").alias("y"))
+    counted = o.groupBy("key", "sheet", "p", "y").agg(F.count(F.lit(1)).alias("n"))
+    n, y = F.col("n").cast("string"), F.col("y").cast("string")
+    raw = F.when(F.col("n") % 4 == 0, F.concat(F.lit("("), n, F.lit(")"))).when(F.col("n") % 4 == 1, F.concat(n, F.lit(",5"))).when(F.col("n") % 4 == 2, "n.d.").otherwise(F.concat(n, F.lit("%")))
+    at = lambda r, c, v: F.struct(r.cast("int").alias("row_idx"), c.cast("int").alias("col_idx"), v.alias("raw"))
+    body = counted.select("key", "sheet", F.explode(F.array(at(F.col("p") + 3, F.col("y") - 1980, raw), at(F.lit(2), F.col("y") - 1980, F.when(F.col("y") % 2 == 1, F.concat(F.lit("janv-"), y)).otherwise(y)), at(F.col("p") + 3, F.lit(0), _choice(LABELS, F.col("p"))))).alias("c"))
+    head = counted.select("key", "sheet", F.explode(F.array(at(F.lit(0), F.lit(0), F.lit("Bulletin")), at(F.lit(2), F.lit(0), F.lit("Indicateur")), at(F.lit(2), F.lit(90), F.lit("Note")))).alias("c"))
+    return body.unionByName(head).select("key", "sheet", "c.*").distinct()
 
 
 @query(
-    f"WITH l AS (SELECT key, sheet, row_idx, string_agg(trim(raw), ' | ' ORDER BY col_idx) AS line FROM {_CELLS} GROUP BY 1, 2, 3) SELECT key, sheet, '### Feuille : ' || sheet || chr(10) || string_agg(line, chr(10) ORDER BY row_idx) AS block FROM l GROUP BY 1, 2"
+    f"WITH c AS (SELECT * FROM {_COUNTED}), cells AS (SELECT key, sheet, 0 AS r, 0 AS c, 'Bulletin' AS raw FROM c UNION SELECT key, sheet, 2, 0, 'Indicateur' FROM c UNION SELECT key, sheet, 2, 90, 'Note' FROM c UNION SELECT key, sheet, 2, y - 1980, {_HEADING} FROM c UNION SELECT key, sheet, p + 3, 0, {_choice_sql(LABELS, 'p')} FROM c UNION SELECT key, sheet, p + 3, y - 1980, {_RAW} FROM c), "
+    "l AS (SELECT key, sheet, r, string_agg(raw, ' | ' ORDER BY c) AS line FROM cells GROUP BY ALL) SELECT key, sheet, '### Feuille : ' || sheet || chr(10) || string_agg(line, chr(10) ORDER BY r) AS block FROM l GROUP BY key, sheet"
 )
 def sheet_markdown(spark, d):
-    return tabular.markdown(spark.createDataFrame(SHEET, "key string, sheet string, row_idx int, col_idx int, raw string"))
+    return tabular.markdown(_sheets(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('a.xlsx', 'PIB Gabon', 'Gabon', '2022', 2022, 1234.5), ('a.xlsx', 'PIB Gabon', 'Gabon', 'janv-2023', 2023, -2.5), ('a.xlsx', 'Inflation', NULL, 'janv-2023', 2023, 3.0)) AS t(key, indicator, country, period, year, value)")
+@query(
+    f"SELECT key, sheet, indicator, CASE WHEN contains(indicator, 'Gabon') THEN 'Gabon' WHEN contains(indicator, 'Tchad') THEN 'Tchad' END AS country, {_HEADING} AS period, CAST(y AS INTEGER) AS year, "
+    f"CAST(CASE n % 4 WHEN 0 THEN -n WHEN 1 THEN n + 0.5 ELSE n END AS DOUBLE) AS value FROM (SELECT *, {_choice_sql(LABELS, 'p')} AS indicator FROM {_COUNTED}) WHERE n % 4 <> 2"
+)
 def statistics_sheet(spark, d):
-    cells = spark.createDataFrame(SHEET, "key string, sheet string, row_idx int, col_idx int, raw string")
-    return tabular.statistics(cells).select("key", "indicator", "country", "period", "year", "value")
+    return tabular.statistics(_sheets(spark, d)).select("key", "sheet", "indicator", "country", "period", "year", "value")
 
 
 _STAT_SQL = "SELECT country, year, count(*) AS n, round(sum(value), 2) AS total FROM statistics WHERE year BETWEEN 1993 AND 1997 GROUP BY country, year ORDER BY country, year"
@@ -498,16 +562,25 @@ def statistics_sql_guarded(spark, d):
     return statements.run(spark, statements.extract("```sql\n" + _STAT_SQL + ";\n```"))
 
 
-LINES = [(1, k, s) for k, s in enumerate(["Titre A : Nom Un de la banque.", "Titre B : Nom Deux de la banque.", "Titre C : Nom Trois.", "Titre D : Nom Quatre.", "Titre E : Nom Cinq de la banque centrale, vice-président.", "texte", "Court : X."])] + [(2, 0, "texte"), (2, 1, "Titre F : une ligne d'annuaire assez longue pour rester seule.")]
+_LINE = "CASE (conv_id + turn) % 4 WHEN 0 THEN ' texte ' || turn WHEN 1 THEN 'Titre ' || turn || ' : Nom ' || conv_id || ' de la banque centrale des états.' WHEN 2 THEN '  Chef ' || turn || ' : ' || role || '. ' ELSE 'Directeur ' || turn || ' : Prénom Nom, responsable de la conversation ' || conv_id || '.' END"
 
 
 @query(
-    "WITH t AS (SELECT *, regexp_matches(trim(line), '^.+ : .+\\.$') AS e FROM " + values(LINES, "doc_id, line_no, line") + "), c AS (SELECT *, CASE WHEN e IS DISTINCT FROM lag(e) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 1 ELSE 0 END AS chg FROM t), "
+    "WITH t AS (SELECT doc_id, line_no, line, regexp_matches(trim(line), '^.+ : .+\\.$') AS e FROM (SELECT conv_id AS doc_id, turn AS line_no, " + _LINE + " AS line FROM conversations)), c AS (SELECT *, CASE WHEN e IS DISTINCT FROM lag(e) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 1 ELSE 0 END AS chg FROM t), "
     "r AS (SELECT *, sum(chg) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM c), p AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY line_no) - 1) // 4 AS lot FROM r WHERE e) "
-    "SELECT content FROM (SELECT doc_id, run, lot, string_agg(trim(line), chr(10) ORDER BY line_no) AS content FROM p GROUP BY 1, 2, 3) WHERE length(content) >= 50"
+    "SELECT doc_id, content FROM (SELECT doc_id, run, lot, string_agg(trim(line), chr(10) ORDER BY line_no) AS content FROM p GROUP BY 1, 2, 3) WHERE length(content) >= 50"
 )
 def entry_group_lots(spark, d):
-    return chunking.entry_lots(spark.createDataFrame(LINES, "doc_id int, line_no int, line string")).select("content")
+    """Conversations as directories: entries and other lines by turn."""
+    turn, conv, form = F.col("turn").cast("string"), F.col("conv_id").cast("string"), (F.col("conv_id") + F.col("turn")) % 4
+    line = (
+        F.when(form == 0, F.concat(F.lit(" texte "), turn))
+        .when(form == 1, F.concat(F.lit("Titre "), turn, F.lit(" : Nom "), conv, F.lit(" de la banque centrale des états.")))
+        .when(form == 2, F.concat(F.lit("  Chef "), turn, F.lit(" : "), "role", F.lit(". ")))
+        .otherwise(F.concat(F.lit("Directeur "), turn, F.lit(" : Prénom Nom, responsable de la conversation "), conv, F.lit(".")))
+    )
+    lines = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_no"), line.alias("line"))
+    return chunking.entry_lots(lines).select("doc_id", "content")
 
 
 @query()
@@ -515,9 +588,15 @@ def chunk_documents(spark, d):
     return chunking.chunked(table(spark, d, "documents"))
 
 
-@query()
+@query(
+    "WITH w AS (SELECT doc_id, regexp_extract_all(text, '[0-9A-Za-zÀ-ɏ]+') AS w FROM documents), f AS (SELECT doc_id, md5(unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS h FROM w), "
+    "c AS (SELECT doc_id, CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS INTEGER) AS place, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS n FROM f GROUP BY ALL) "
+    "SELECT doc_id, place, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE) AS value FROM c QUALIFY n <> 0"
+)
 def embed_documents(spark, d):
-    return embed_column(table(spark, d, "documents").select("doc_id", "text"), "text", HashingEmbedder(64)).drop("text")
+    """The places of each text's vector that are not 0."""
+    rows = embed_column(table(spark, d, "documents").select("doc_id", "text"), "text", HashingEmbedder(64))
+    return rows.select("doc_id", F.posexplode("embedding").alias("place", "value")).filter("value <> 0").select("doc_id", "place", F.col("value").cast("double").alias("value"))
 
 
 @query("SELECT conv_id, turn, sha256('primary::' || lower(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))) AS cache_key FROM conversations")
@@ -525,7 +604,7 @@ def query_cache_key(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.cache_key(F.lit(None), text.normalize_question(F.col("text"))).alias("cache_key"))
 
 
-@query()
+@query("SELECT doc_id FROM documents WHERE length(text) > 200 ORDER BY md5(doc_id || ':0'), doc_id LIMIT 20")
 def random_sample_reproducible(spark, d):
     return evaluation.sample(table(spark, d, "documents").select("doc_id", "text"), 20, key="doc_id", content="text").select("doc_id")
 
@@ -542,19 +621,26 @@ def eval_summary(spark, d):
     return evaluation.summary(labels.select((1 + F.col("doc_id") % 5).alias("context_recall"), (1 + F.col("doc_id") % 3 + F.col("quality")).alias("faithfulness"), (F.col("quality") * 5).alias("answer_relevance")))
 
 
-JUDGED = [(0, '{"context_recall": 5, "faithfulness": 4, "answer_relevance": 3}'), (1, '```json\n{"context_recall": 2, "faithfulness": 1}\n```'), (2, "no scores"), (3, 'Scores: {"context_recall": 1, "faithfulness": 1, "answer_relevance": 1} done'), (4, "")]
+_SCORES = "'{\"context_recall\": ' || conv_id % 6 || ', \"faithfulness\": ' || turn % 6 || ', \"answer_relevance\": ' || (conv_id + turn) % 6 || '}'"
+_JUDGE_SQL = f"CASE turn % 5 WHEN 0 THEN {_SCORES} WHEN 1 THEN '```json' || chr(10) || '{{\"context_recall\": ' || conv_id % 6 || ', \"faithfulness\": 1}}' || chr(10) || '```' WHEN 2 THEN 'no scores' WHEN 3 THEN 'Scores: ' || {_SCORES} || ' done' ELSE '' END"
 
 
 @query(
-    "SELECT id, " + ", ".join(f"coalesce(TRY_CAST(json_extract_string(j, '$.{m}') AS INTEGER), 0) AS {m}" for m in evaluation.METRICS) + " FROM (SELECT id, nullif(regexp_extract(s, '(?s)\\{.*\\}'), '') AS j FROM " + values(JUDGED, "id, s") + ")"
+    "SELECT conv_id, turn, " + ", ".join(f"coalesce(TRY_CAST(json_extract_string(j, '$.{m}') AS INTEGER), 0) AS {m}" for m in evaluation.METRICS) + f" FROM (SELECT conv_id, turn, nullif(regexp_extract({_JUDGE_SQL}, '(?s)\\{{.*\\}}'), '') AS j FROM conversations)"
 )
 def judge_parse(spark, d):
-    return spark.createDataFrame(JUDGED, "id int, s string").select("id", evaluation.judged(F.col("s")).alias("j")).select("id", "j.*")
+    """A judge's answer for every message: plain, fenced, within a sentence, without scores, empty."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    number = lambda n: (n % 6).cast("string")
+    scores = F.concat(F.lit('{"context_recall": '), number(conv), F.lit(', "faithfulness": '), number(turn), F.lit(', "answer_relevance": '), number(conv + turn), F.lit("}"))
+    some = F.concat(F.lit('```json\n{"context_recall": '), number(conv), F.lit(', "faithfulness": 1}\n```'))
+    said = F.when(turn % 5 == 0, scores).when(turn % 5 == 1, some).when(turn % 5 == 2, "no scores").when(turn % 5 == 3, F.concat(F.lit("Scores: "), scores, F.lit(" done"))).otherwise("")
+    return table(spark, d, "conversations").select("conv_id", "turn", evaluation.judged(said).alias("j")).select("conv_id", "turn", "j.*")
 
 
 @query("SELECT event_id, event_type, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS rolling FROM events")
 def rolling_latency(spark, d):
-    rolled = chatlog.rolling_mean(table(spark, d, "events").select("event_id", "event_type", "ts", "value"), "value", ["ts", "event_id"], ["event_type"])
+    rolled = chatlog.rolling_mean(table(spark, d, "events").select("event_id", "event_type", "ts", "value"), "value", ["ts", "event_id"], ["event_type"], slot=F.date_trunc("day", "ts"))
     return rolled.select("event_id", "event_type", F.round("rolling", 6).alias("rolling"))
 
 
@@ -575,10 +661,14 @@ def log_filter(spark, d):
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def feedback_stream_counts(spark, d):
-    """The streaming count over a batch of the same rows."""
+    """Counts of a stream that reads what there is and ends; a row for each day and kind is held."""
     from tidewell.streaming.feedback import windowed_counts
 
-    return windowed_counts(table(spark, d, "events"), "ts", "event_type")
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    name = f"counts_{uuid.uuid4().hex}"
+    windowed_counts(stream, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
 
 
 # --- optional indexes ------------------------------------------------------------------
@@ -592,18 +682,25 @@ def library_trigram_search(spark, d):
     return ann.substring_search(docs, ann.postings(docs, ["filename", "subcategory"]), "doc-12", ["filename", "subcategory"]).select("id", "country")
 
 
-@query()
+@query(_per_query(8, "SELECT vec_id AS id, list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) + CASE WHEN i = label + 1 THEN 3 ELSE 0 END) AS v FROM embeddings"))
 def vector_cells_topk(spark, d):
-    """Top-8 through the cell index. These vectors have no clusters, so 15 of 16 cells are probed for a recall over 0.9."""
+    """Top-8 through the cell index, a quarter of whose cells is probed; the vectors lie in clusters by label."""
     from tidewell.operators import ann
-    from tidewell.storage import new_path
 
-    chunks = _chunks(spark, d)
+    chunks = _chunks(spark, d).withColumn("embedding", F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == F.col("document_id"), 3.0).otherwise(0.0)))
     centroids = ann.fit_cells(chunks, 16)
     path = new_path(spark, "cells")
     ann.write_cells(chunks, centroids, path)
-    q = _vector(spark, d, 7)
-    return retrieval.similarity_search(ann.probe(spark, path, centroids, q, 15), q, 8).select("chunk_id", F.round("score", 6).alias("score"))
+    return _ranked(ann.cells_topk(spark.read.parquet(path), centroids, _queries(chunks), 8, 4))
+
+
+@query(_per_query(8))
+def vector_codes_topk(spark, d):
+    """Top-8 through the index of one byte a number; these vectors have no clusters."""
+    from tidewell.operators import ann
+
+    chunks = _chunks(spark, d)
+    return _ranked(ann.codes_topk(ann.codes(chunks), chunks, _queries(chunks), 8))
 
 
 # --- more of the scalar and table operators --------------------------------------------
@@ -644,16 +741,25 @@ def month_labels(spark, d):
     return dashboards.by_month(table(spark, d, "orders"), "o_orderdate").select("month", text.month_label(F.col("month")).alias("label"), "n")
 
 
-PAIRS = [(0, '{"question": "Q ?", "expected_answer": "A"}'), (1, 'x {"question": "Q2", "expected_answer": "B"} y'), (2, '{"question": ""}'), (3, "rien"), (4, '{"question": "Q", "expected_answer": null}')]
+_PAIR_SQL = "CASE turn % 5 WHEN 0 THEN '{\"question\": \"Q ' || conv_id || ' ?\", \"expected_answer\": \"A\"}' WHEN 1 THEN 'x {\"question\": \"Q2\", \"expected_answer\": \"B ' || turn || '\"} y' WHEN 2 THEN '{\"question\": \"\"}' WHEN 3 THEN 'rien' ELSE '{\"question\": \"Q\", \"expected_answer\": null}' END"
 
 
-@query("SELECT id, json_extract_string(j, '$.question') AS question, json_extract_string(j, '$.expected_answer') AS expected_answer FROM (SELECT id, nullif(regexp_extract(s, '(?s)\\{.*\\}'), '') AS j FROM " + values(PAIRS, "id, s") + ") WHERE coalesce(json_extract_string(j, '$.question'), '') <> '' AND coalesce(json_extract_string(j, '$.expected_answer'), '') <> ''")
+@query("SELECT conv_id, turn, json_extract_string(j, '$.question') AS question, json_extract_string(j, '$.expected_answer') AS expected_answer FROM (SELECT conv_id, turn, nullif(regexp_extract(" + _PAIR_SQL + ", '(?s)\\{.*\\}'), '') AS j FROM conversations) WHERE coalesce(json_extract_string(j, '$.question'), '') <> '' AND coalesce(json_extract_string(j, '$.expected_answer'), '') <> ''")
 def question_pair_parse(spark, d):
-    rows = spark.createDataFrame(PAIRS, "id int, s string").select("id", evaluation.question_pair(F.col("s")).alias("q")).filter("q IS NOT NULL")
-    return rows.select("id", "q.question", "q.expected_answer")
+    """A generated pair for every message: whole, within a sentence, without a question, no JSON, without an answer."""
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn")
+    said = (
+        F.when(turn % 5 == 0, F.concat(F.lit('{"question": "Q '), conv, F.lit(' ?", "expected_answer": "A"}')))
+        .when(turn % 5 == 1, F.concat(F.lit('x {"question": "Q2", "expected_answer": "B '), turn.cast("string"), F.lit('"} y')))
+        .when(turn % 5 == 2, '{"question": ""}')
+        .when(turn % 5 == 3, "rien")
+        .otherwise('{"question": "Q", "expected_answer": null}')
+    )
+    rows = table(spark, d, "conversations").select("conv_id", "turn", evaluation.question_pair(said).alias("q")).filter("q IS NOT NULL")
+    return rows.select("conv_id", "turn", "q.question", "q.expected_answer")
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, '\r\n|\n|\r', ' ', 'g')) AS flat, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM documents")
+@query("SELECT doc_id, md5(regexp_replace(text, '\r\n|\n|\r', ' ', 'g')) AS flat, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS escaped FROM documents")
 def flat_and_escaped(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.flat_csv(F.col("text"))).alias("flat"), F.md5(text.escape_html(F.col("text"))).alias("escaped"))
 
@@ -668,7 +774,68 @@ def new_documents_count(spark, d):
     return dashboards.without_match(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "doc_id").agg(F.count(F.lit(1)).alias("n_new"))
 
 
-@query("SELECT conv_id, turn, CASE query_type WHEN 'sql' THEN 'Données chiffrées' WHEN 'vector' THEN 'Documents' WHEN 'hybrid' THEN 'Hybride' WHEN 'meta' THEN 'Assistant' END AS label FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'sql' WHEN turn % 3 = 1 THEN 'vector' ELSE 'hybrid' END AS query_type FROM conversations)")
+@query("SELECT conv_id, turn, CASE query_type WHEN 'sql' THEN 'Donnée chiffrée' WHEN 'vector' THEN 'Recherche sémantique' WHEN 'hybrid' THEN 'Recherche hybride' END AS label FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'sql' WHEN turn % 3 = 1 THEN 'vector' ELSE 'hybrid' END AS query_type FROM conversations)")
 def query_labels(spark, d):
     kind = F.when(F.col("turn") % 3 == 0, "sql").when(F.col("turn") % 3 == 1, "vector").otherwise("hybrid")
     return table(spark, d, "conversations").select("conv_id", "turn", chatlog.query_label(kind).alias("label"))
+
+
+@query("SELECT vec_id AS chunk_id, CAST(label AS BIGINT) AS document_id, lang AS category, CAST(n_chars % 40 AS INTEGER) AS year FROM embeddings JOIN documents ON CAST(label AS BIGINT) = doc_id")
+def evaluation_passages(spark, d):
+    """What the evaluation samples from: chunks with their documents."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("f").alias("filename"), F.col("lang").alias("category"), F.col("source").alias("country"), (F.col("n_chars") % 40).cast("int").alias("year"))
+    chunks = _chunks(spark, d).select(F.col("chunk_id").alias("id"), "document_id", F.lit("x").alias("content"))
+    return evaluation.passages(chunks, docs).select("chunk_id", "document_id", "category", "year")
+
+
+@query(f"SELECT document_id, chunk_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY s DESC, chunk_id) AS r FROM (SELECT * FROM ({_SCORED}) ORDER BY s DESC, chunk_id LIMIT 200) WHERE s >= 0.0) WHERE r = 1 ORDER BY s DESC, chunk_id LIMIT 4 OFFSET 3")
+def library_semantic_page(spark, d):
+    """A page of the semantic fallback, in the order of scores."""
+    hits = library.semantic_fallback(_chunks(spark, d), _vector(spark, d, 7), floor=0.0)
+    return library.page(hits, retrieval.best_first(), 4, 3).select("document_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+_HEAD_LINE = "CASE turn % 6 WHEN 0 THEN 'DIRECTEUR GENERAL' WHEN 1 THEN 'Yvon SANA ' || upper(role) WHEN 2 THEN 'LE CHEF DE LA SECTION DES ETUDES ET' WHEN 3 THEN upper(role) || '-ADJOINT D''ETAT' WHEN 4 THEN 'Un nom de six mots ici même' ELSE 'Jean-Paul d''Arc' END"
+
+
+@query(
+    "WITH t AS (SELECT conv_id, turn, " + _HEAD_LINE + " AS line FROM conversations), w AS (SELECT *, regexp_split_to_array(trim(line), '\\s+') AS w FROM t) "
+    "SELECT conv_id, turn, regexp_matches(line, '^[A-ZÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ][A-ZÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ ''\\-]{2,60}$') AND len(w) <= 6 AS is_title, "
+    "len(w) BETWEEN 1 AND 5 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-ZÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ][a-zà-ÿ''\\-]+$') OR regexp_matches(x, '^[A-ZÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ]{2,}$'))) = len(w) AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-ZÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ][a-zà-ÿ''\\-]+$'))) > 0 AS is_name, "
+    "array_to_string(list_transform(regexp_extract_all(line, '[A-Za-zÀ-ÿ]+|[^A-Za-zÀ-ÿ]+'), lambda x: upper(x[1]) || lower(x[2:])), '') AS titled FROM w"
+)
+def directory_lines(spark, d):
+    """Which lines are titles and which are names, and their titled form."""
+    turn, role = F.col("turn"), F.upper("role")
+    line = (
+        F.when(turn % 6 == 0, "DIRECTEUR GENERAL").when(turn % 6 == 1, F.concat(F.lit("Yvon SANA "), role)).when(turn % 6 == 2, "LE CHEF DE LA SECTION DES ETUDES ET").when(turn % 6 == 3, F.concat(role, F.lit("-ADJOINT D'ETAT"))).when(turn % 6 == 4, "Un nom de six mots ici même").otherwise("Jean-Paul d'Arc")
+    )
+    c = F.col("line")
+    return table(spark, d, "conversations").select("conv_id", "turn", line.alias("line")).select("conv_id", "turn", text.is_title_line(c).alias("is_title"), text.is_name_line(c).alias("is_name"), text.titled(c).alias("titled"))
+
+
+@query(
+    "SELECT page_id, replace(replace(html, chr(0), ' '), chr(7), ' ') = html AS clean, regexp_replace(u, '\\.[^/.]+$', '') AS bare, list_filter(list_transform(string_split(u, ','), lambda x: trim(x)), lambda x: x <> '') AS parts, 'Document image : ' || replace(regexp_replace(regexp_extract(u, '[^/]*$'), '(.)\\.[^.]+$', '\\1'), '_', ' ') || ' (' || page_id % 4 || ' image(s))' AS said "
+    "FROM (SELECT page_id, html, split_part(split_part(url, '?', 1), '#', 1) || CASE page_id % 3 WHEN 0 THEN '_a, b,.pdf' ELSE '' END AS u FROM pages)"
+)
+def file_names(spark, d):
+    """Scrubbed texts, names without extension, lists, and what is said of a file of images."""
+    from tidewell.sources.extract import image_sentence
+
+    u = F.concat(F.regexp_extract("url", r"^[^?#]*", 0), F.when(F.col("page_id") % 3 == 0, "_a, b,.pdf").otherwise(""))
+    return table(spark, d, "pages").select("page_id", "html", u.alias("u")).select(
+        "page_id", (text.scrub(F.col("html")) == F.col("html")).alias("clean"), text.drop_extension(F.col("u")).alias("bare"), text.split_list(F.col("u")).alias("parts"), image_sentence(F.col("u"), F.col("page_id") % 4).alias("said")
+    )
+
+
+@query(
+    "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'ocr' ELSE 'native' END AS method, CASE WHEN page_id % 4 = 0 THEN 241 ELSE length(trim(regexp_replace(html, '^\\s+|\\s+$', '', 'g'))) END AS n_chars FROM pages"
+)
+def ingest_extraction(spark, d):
+    """Pages as PDFs through the ingest plan's readers: every fourth is scanned and recognised on two sheets."""
+    from tidewell.plans.ingest import extracted_files
+
+    n = F.col("page_id")
+    files = table(spark, d, "pages").select(F.concat(F.lit("p"), n.cast("string")).alias("path"), F.concat(n.cast("string"), F.lit(".pdf")).alias("key"), F.create_map().cast("map<string,string>").alias("metadata"), F.when(n % 4 == 0, F.lit(b"scan")).otherwise(F.encode("html", "utf-8")).alias("content"))
+    documents, _ = extracted_files(files, lambda content: [bytes(content).decode()], page_splitter=lambda content: [content, content], recogniser=lambda image: "r" * 120)
+    return documents.select(F.replace("key", F.lit(".pdf"), F.lit("")).cast("long").alias("page_id"), "method", F.length("text").alias("n_chars"))

@@ -1,7 +1,9 @@
 """Idempotent ingest: new objects to documents, chunks and statistics.
 
 Each batch is staged and then appended; what a document's key already names is left out, so
-running a batch again adds nothing. A failed file fails alone.
+running a batch again adds nothing. A failed file fails alone. Only files that are not
+ingested yet are opened, each once for every reader that needs it. Staged tables are deleted
+at the end of a batch.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from tidewell.operators.dashboards import without_match
 from tidewell.operators.tabular import markdown, statistics
 from tidewell.schemas import TABLES, checked_periods
 from tidewell.sources.extract import NATIVE_CHARS, chosen_text, extract_cells, extract_pdfs, extracted_images, joined_pages, pdf_pages, recognised_pages, sheet_cells
-from tidewell.sources.objects import list_objects, of_kind, read_contents
-from tidewell.storage import materialize
+from tidewell.sources.objects import list_objects, of_kind, read_paths
+from tidewell.skew import small
+from tidewell.storage import exists, materialize, scratch
 
 
 @dataclass
@@ -31,17 +34,31 @@ class Ingested:
     chunks: int = 0
     stat_rows: int = 0
 
+    def add(self, other: Ingested) -> None:
+        for name in ("processed", "skipped", "failed", "chunks", "stat_rows"):
+            setattr(self, name, getattr(self, name) + getattr(other, name))
+
 
 def document_id(key: str = "key"):
-    """A surrogate that needs no sequence; collisions are for :func:`tidewell.schemas.unique_keys` to find."""
+    """A surrogate that needs no sequence; two keys that share one are an error, see :func:`checked_ids`."""
     return F.xxhash64(key)
 
 
+def checked_ids(documents: DataFrame, there: DataFrame) -> None:
+    """Fail if a new document (id, r2_key) has the id of another key, new or stored, rather than lose one of them."""
+    both = documents.select("id", "r2_key").unionByName(there.join(small(documents.select("id")), "id", "left_semi").select("id", "r2_key"))
+    clash = both.groupBy("id").agg(F.min("r2_key").alias("a"), F.max("r2_key").alias("b")).filter("a <> b").first()
+    if clash:
+        raise ValueError(f"{clash['a']} and {clash['b']} have the same id")
+
+
 def new_objects(objects: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
     """Objects not ingested yet. The limit comes first, as a bound on objects looked at."""
-    if limit is not None:
-        objects = objects.orderBy("key").limit(limit)
-    return without_match(objects, documents, "key", "r2_key")
+    return without_match(looked_at(objects, limit), documents, "key", "r2_key")
+
+
+def looked_at(objects: DataFrame, limit: int | None = None) -> DataFrame:
+    return objects if limit is None else objects.orderBy("key").limit(limit)
 
 
 def document_rows(extracted: DataFrame) -> DataFrame:
@@ -88,41 +105,44 @@ def ingest_batch(spark: SparkSession, extracted: DataFrame, tables: dict[str, st
 
     Documents without a chunk fail with their statistics, unless ``keep_chunkless`` keeps
     workbooks of numbers. Documents are written last: until they are, the batch is as if it
-    had not been, and its chunks and statistics are replaced by key when it is run again.
+    had not been, and its chunks and statistics are not written twice when it is run again.
     """
-    fresh = materialize(without_match(extracted.dropDuplicates(["key"]), stored(spark, tables["documents"]), "key", "r2_key"), "ingest-batch")
-    usable = fresh.filter(strip(F.col("text")) != "")
-    chunks = materialize(chunk_rows(usable, embedder, **options), "ingest-chunks")
-    with_chunks = chunks.select(F.col("document_id").alias("__has")).distinct()
-    documents = document_rows(usable)
-    done = documents if keep_chunkless else documents.join(with_chunks, documents["id"] == with_chunks["__has"], "left_semi")
-    done = materialize(done, "ingest-documents")
-    out = Ingested(processed=done.count(), skipped=extracted.count() - fresh.count(), chunks=chunks.count())
-    out.failed = usable.count() - out.processed
-    append_new(spark, chunks, tables["chunks"], "document_id")
-    if series is not None:
-        of_done = series.withColumn("document_id", F.xxhash64("key"))
-        ids = done.select(F.col("id").alias("__id"))
-        of_done = materialize(of_done.join(ids, of_done["document_id"] == ids["__id"], "left_semi").drop("key"), "ingest-statistics").select(*[c.split()[0] for c in TABLES["statistics"].split(", ")])
-        append_new(spark, of_done, tables["statistics"], "document_id")
-        out.stat_rows = of_done.count()
-    append_new(spark, done, tables["documents"], "id")
+    with scratch():
+        whole = materialize(extracted.dropDuplicates(["key"]), "ingest-extracted")  # extraction runs here, once
+        there = stored(spark, tables["documents"])
+        fresh = materialize(without_match(whole, there, "key", "r2_key"), "ingest-batch")
+        usable = fresh.filter(strip(F.col("text")) != "")
+        chunks = materialize(chunk_rows(usable, embedder, **options), "ingest-chunks")
+        with_chunks = chunks.select(F.col("document_id").alias("__has")).distinct()
+        documents = document_rows(usable)
+        done = documents if keep_chunkless else documents.join(with_chunks, documents["id"] == with_chunks["__has"], "left_semi")
+        done = materialize(done, "ingest-documents")
+        checked_ids(done, there)
+        out = Ingested(processed=done.count(), skipped=whole.count() - fresh.count(), chunks=chunks.count())
+        out.failed = usable.count() - out.processed
+        append_new(spark, chunks, tables["chunks"], "document_id")
+        if series is not None:
+            of_done = series.withColumn("document_id", F.xxhash64("key"))
+            ids = done.select(F.col("id").alias("__id"))
+            of_done = materialize(of_done.join(ids, of_done["document_id"] == ids["__id"], "left_semi").drop("key"), "ingest-statistics").select(*[c.split()[0] for c in TABLES["statistics"].split(", ")])
+            append_new(spark, of_done, tables["statistics"], "document_id")
+            out.stat_rows = of_done.count()
+        append_new(spark, done, tables["documents"], "r2_key")
     return out
 
 
-def ingest_folder(spark: SparkSession, folder: str, tables: dict[str, str], embedder: Embedder, metadata: DataFrame | None = None, only: str | None = None, limit: int | None = None, pdf_reader=pdf_pages, sheet_reader=sheet_cells, page_splitter=None, recogniser=None, image_saver=None, **options) -> Ingested:
-    """List, leave out what is known, extract, and ingest what is left of a folder.
+def extracted_files(bodies: DataFrame, pdf_reader=pdf_pages, sheet_reader=sheet_cells, page_splitter=None, recogniser=None, image_saver=None) -> tuple[DataFrame, DataFrame]:
+    """(documents to chunk, statistics) of files (path, key, metadata, content).
 
     PDFs with fewer than ``NATIVE_CHARS`` native characters are recognised page by page if
     ``page_splitter`` and ``recogniser`` are given, and their images kept by ``image_saver``.
     """
-    listed = of_kind(list_objects(spark, folder, metadata), only)
-    fresh = new_objects(listed, stored(spark, tables["documents"]), limit)
-    bodies = read_contents(spark, folder).join(fresh, "path")
     pdf = suffix(F.col("key")) == ".pdf"
-    native = materialize(extract_pdfs(bodies.filter(pdf), pdf_reader), "ingest-native")
-    scanned = bodies.join(native.filter(F.length("native_text") < NATIVE_CHARS).select("path"), "path", "left_semi")
-    texts = native.join(fresh, "path")
+    named = bodies.select("path", "key", "metadata")
+    contents = bodies.select("path", "content", "key")
+    native = materialize(extract_pdfs(contents.filter(pdf), pdf_reader), "ingest-native")
+    scanned = contents.join(native.filter(F.length("native_text") < NATIVE_CHARS).select("path"), "path", "left_semi")
+    texts = native.join(named, "path")
     if page_splitter and recogniser:
         read = materialize(joined_pages(recognised_pages(scanned, page_splitter, recogniser)), "ingest-recognised").withColumnRenamed("key", "path")
         texts = texts.join(read, "path", "left")
@@ -134,19 +154,43 @@ def ingest_folder(spark: SparkSession, folder: str, tables: dict[str, str], embe
         texts = texts.withColumns({"n_images": F.lit(0), "image_paths": F.lit(None).cast("array<string>")})
     chosen = chosen_text()
     documents = texts.select("key", "metadata", F.lit("pdf").alias("file_type"), chosen["text"].alias("text"), chosen["method"].alias("method"), "page_count", F.coalesce("image_paths", F.array().cast("array<string>")).alias("image_paths"))
-    cells = materialize(extract_cells(bodies.filter(~pdf), sheet_reader), "ingest-cells").withColumnRenamed("key", "path").join(fresh.select("path", "key"), "path").drop("path")
+    cells = materialize(extract_cells(contents.filter(~pdf), sheet_reader), "ingest-cells").withColumnRenamed("key", "path").join(named.select("path", "key"), "path").drop("path")
     blocks = markdown(cells).groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("block")), "\n\n").alias("text"))
-    books = blocks.join(fresh, "key").select("key", "metadata", F.lit("excel").alias("file_type"), "text", F.lit("excel").alias("method"), F.lit(None).cast("int").alias("page_count"), F.array().cast("array<string>").alias("image_paths"))
-    files = fresh.select("key", detect_country(basename(F.col("key"))).alias("file_country"))
+    books = blocks.join(named, "key").select("key", "metadata", F.lit("excel").alias("file_type"), "text", F.lit("excel").alias("method"), F.lit(None).cast("int").alias("page_count"), F.array().cast("array<string>").alias("image_paths"))
+    files = named.select("key", detect_country(basename(F.col("key"))).alias("file_country"))
     series = statistics(cells.join(files, "key"), "file_country").select("key", F.xxhash64("key", "sheet", "row", "col").alias("id"), "indicator", "country", "period", "year", "value", "unit", "raw_label", "source_sheet")
-    return ingest_batch(spark, documents.unionByName(books), tables, embedder, checked_periods(series), **options)
+    return documents.unionByName(books), checked_periods(series)
+
+
+#: Files whose paths the driver holds at a time; each lot is a batch of its own.
+FILES_PER_JOB = 10_000
+
+
+def ingest_folder(spark: SparkSession, folder: str, tables: dict[str, str], embedder: Embedder, metadata: DataFrame | None = None, only: str | None = None, limit: int | None = None, files_per_job: int = FILES_PER_JOB, pdf_reader=pdf_pages, sheet_reader=sheet_cells, page_splitter=None, recogniser=None, image_saver=None, **options) -> Ingested:
+    """List, leave out what is known, and extract and ingest what is left of a folder, lot by lot.
+
+    What is known counts as skipped and is never opened.
+    """
+    readers = {"pdf_reader": pdf_reader, "sheet_reader": sheet_reader, "page_splitter": page_splitter, "recogniser": recogniser, "image_saver": image_saver}
+    out = Ingested()
+    with scratch():
+        listed = materialize(looked_at(of_kind(list_objects(spark, folder, metadata), only), limit), "ingest-listed")
+        fresh = materialize(new_objects(listed, stored(spark, tables["documents"])), "ingest-fresh")
+        out.skipped = listed.count() - fresh.count()
+        paths = [r["path"] for r in fresh.select("path").orderBy("path").limit(files_per_job).collect()]
+        while paths:
+            with scratch():
+                bodies = read_paths(spark, paths).join(fresh, "path")
+                documents, series = extracted_files(bodies, **readers)
+                out.add(ingest_batch(spark, documents, tables, embedder, series, **options))
+            paths = [r["path"] for r in fresh.filter(F.col("path") > paths[-1]).select("path").orderBy("path").limit(files_per_job).collect()]
+    return out
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
     """A table's rows, none if it is not there yet."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         return spark.createDataFrame([], TABLES[name])
     return spark.read.schema(TABLES[name]).parquet(path)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import basename, percent_decode, suffix
@@ -17,13 +20,23 @@ def list_objects(spark: SparkSession, folder: str, metadata: DataFrame | None =
     ``metadata`` is (key, metadata map) as the store keeps it, percent-encoded.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
-    prefix = folder.rstrip("/").split("://")[-1].lstrip("/") + "/"
-    listed = files.select("path", F.substring_index(F.col("path"), prefix, -1).alias("key"))
+    return described(files, folder, metadata)
+
+
+def key_of(path: Column, folder: str) -> Column:
+    """A file's path below ``folder``."""
+    return F.substring_index(path, folder.rstrip("/").split("://")[-1].lstrip("/") + "/", -1)
+
+
+def described(files: DataFrame, folder: str, metadata: DataFrame | None = None) -> DataFrame:
+    """Files (path, ...) with ``key`` and ``metadata``."""
+    rest = [c for c in files.columns if c != "path"]
+    listed = files.select("path", key_of(F.col("path"), folder).alias("key"), *rest)
     if metadata is None:
         return listed.withColumn("metadata", F.create_map().cast("map<string,string>"))
     known = metadata.select(F.col("key").alias("__key"), percent_decode(F.col("metadata")).alias("metadata"))
     joined = listed.join(known, listed["key"] == known["__key"], "left")
-    return joined.select("path", "key", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
+    return joined.select("path", "key", *rest, F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
 
 
 def of_kind(objects: DataFrame, only: str | None = None) -> DataFrame:
@@ -32,9 +45,10 @@ def of_kind(objects: DataFrame, only: str | None = None) -> DataFrame:
     return objects.filter(suffix(F.col("key")).isin(*wanted))
 
 
-def read_contents(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) for extraction in Arrow batches."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
+def read_paths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, content) of these files alone, for extraction in Arrow batches."""
+    literal = [re.sub(r"([{}\[\]*?\\])", r"\\\1", p) for p in paths]  # a path is no pattern
+    return spark.read.format("binaryFile").load(literal).select("path", "content")
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:

@@ -9,9 +9,17 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewell.schemas import FEEDBACK
 
 
+QUESTION_CHARS = (1, 2000)
+
+
+def valid(rows: DataFrame) -> DataFrame:
+    """Rows with a question of 1 to 2000 characters and a vote; kind and model may be missing."""
+    return rows.filter(F.length("question").between(*QUESTION_CHARS) & F.col("is_positive").isNotNull())
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Feedback dropped as JSON files; rows with an empty or overlong question are left out."""
-    return spark.readStream.schema(FEEDBACK).json(folder).filter(F.length("question").between(1, 2000))
+    """Feedback dropped as JSON files; rows that are not :func:`valid` are left out."""
+    return valid(spark.readStream.schema(FEEDBACK).json(folder))
 
 
 def windowed_counts(rows: DataFrame, ts: str, kind: str, window: str = "1 day", late: str | None = "1 hour") -> DataFrame:
