@@ -111,6 +111,16 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert not any(got[k]["kept"] for k in range(1000, 1020)) and not got[1000]["base_failed"]
 
 
+def test_few_good_documents_go_and_most_bad_ones(spark):
+    """The cut is meant for the far tail: labels say how many good documents it takes."""
+    folder = "/root/testdata/sf0.01"
+    judged = outliers.op5_robust_outliers(spark.read.parquet(f"{folder}/documents.parquet"))
+    rows = judged.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("NOT base_failed").select("kept", "quality").collect()
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 250 and sum(good) >= 0.97 * len(good)
+    assert len(bad) > 10 and sum(bad) <= 0.2 * len(bad)
+
+
 def test_edge_cases(spark):
     got = outliers.op5_robust_outliers(cases.docs(spark)).collect()
     assert len(got) == len(cases.ROWS)
