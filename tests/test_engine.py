@@ -55,6 +55,16 @@ def test_blocks_give_the_exact_nearest(spark, metric):
     assert retrieval.topk_per_query(chunks, asked.limit(0), 6).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_batches_score_like_elements(spark, metric):
+    x, chunks = embedded(spark, 90, 300, 4)
+    rows = chunks.selectExpr("*", "chunk_id % 4 document_id", "'a' category", "'c' country", "cast(2020 + chunk_id % 3 AS int) year")
+    for filters in (None, {"year": 2021}, {"document_id": 3}):
+        plain, batched = (retrieval.retrieve(rows, x[7], 9, filters, 0.0, metric, batched).collect() for batched in (False, True))
+        assert [r["chunk_id"] for r in plain] == [r["chunk_id"] for r in batched]
+        assert np.allclose([r["score"] for r in plain], [r["score"] for r in batched], atol=1e-9, equal_nan=True)
+
+
 def test_codes_find_the_nearest(spark):
     x, chunks = embedded(spark, 800, 32, 5)
     asked = chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), "embedding")

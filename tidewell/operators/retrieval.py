@@ -29,18 +29,23 @@ def best_first() -> list[Column]:
     return [F.nanvl("score", F.lit(float("-inf"))).desc(), F.col("chunk_id")]
 
 
-def scored_chunks(chunks: DataFrame, query: Sequence[float], metric: str = "cosine") -> DataFrame:
-    """Chunks with ``score``; the vector is dropped as soon as it has been used."""
+def scored_chunks(chunks: DataFrame, query: Sequence[float], metric: str = "cosine", batched: bool = False) -> DataFrame:
+    """Chunks with ``score``; the vector is dropped as soon as it has been used.
+
+    ``batched`` scores Arrow batches, which pays from some hundred dimensions on.
+    """
+    if batched:
+        return chunks.withColumn("score", vectors.batch_score_to(metric, F.col("embedding"), query)).drop("embedding")
     return chunks.withColumn("score", vectors.score_to(metric, F.col("embedding"), vectors.norm(F.col("embedding")), query)).drop("embedding")
 
 
-def similarity_search(chunks: DataFrame, query: Sequence[float], top_k: int = 6, filters: Mapping[str, object] | None = None, min_similarity: float | None = None, metric: str = "cosine") -> DataFrame:
+def similarity_search(chunks: DataFrame, query: Sequence[float], top_k: int = 6, filters: Mapping[str, object] | None = None, min_similarity: float | None = None, metric: str = "cosine", batched: bool = False) -> DataFrame:
     """The ``top_k`` nearest chunks under the filters, then those at or above the floor.
 
     ``chunks`` carries the filter columns (joined from documents where needed). The floor
     comes after the limit; a NaN score is not below any floor.
     """
-    top = scored_chunks(chunks.filter(matches(filters)), query, metric).orderBy(*best_first()).limit(top_k)
+    top = scored_chunks(chunks.filter(matches(filters)), query, metric, batched).orderBy(*best_first()).limit(top_k)
     return top if min_similarity is None else top.filter(~(F.col("score") < min_similarity))
 
 
@@ -88,7 +93,7 @@ def best_chunk_per_document(hits: DataFrame) -> DataFrame:
     return hits.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 
 
-def retrieve(chunks: DataFrame, query: Sequence[float], top_k: int = 8, filters: Mapping[str, object] | None = None, min_similarity: float = 0.45, metric: str = "cosine") -> DataFrame:
+def retrieve(chunks: DataFrame, query: Sequence[float], top_k: int = 8, filters: Mapping[str, object] | None = None, min_similarity: float = 0.45, metric: str = "cosine", batched: bool = False) -> DataFrame:
     """The fallback cascade as one plan.
 
     With a document filter there is neither floor nor fallback. Otherwise a chunk's tier is
@@ -97,12 +102,12 @@ def retrieve(chunks: DataFrame, query: Sequence[float], top_k: int = 8, filters:
     """
     filters = {k: v for k, v in (filters or {}).items() if v is not None}
     if "document_id" in filters:
-        return similarity_search(chunks, query, top_k, filters, None, metric).withColumn("tier", F.lit(0))
+        return similarity_search(chunks, query, top_k, filters, None, metric, batched).withColumn("tier", F.lit(0))
     tier = F.when(F.coalesce(matches(filters), F.lit(False)), 0)
     if "year" in filters:
         tier = tier.when(F.coalesce(matches(filters, drop=("year",)), F.lit(False)), 1)
     tier = tier.otherwise(2)
-    above = scored_chunks(chunks, query, metric).filter(~(F.col("score") < min_similarity)).withColumn("tier", tier)
+    above = scored_chunks(chunks, query, metric, batched).filter(~(F.col("score") < min_similarity)).withColumn("tier", tier)
     # the best of each tier are enough to know the lowest tier and its pool: 3 * top_k rows at most
     few = above.withColumn("__rank", F.row_number().over(Window.partitionBy("tier").orderBy(*best_first()))).filter(F.col("__rank") <= top_k).drop("__rank")
     lowest = few.withColumn("__lowest", F.min("tier").over(Window.partitionBy(F.lit(0))))

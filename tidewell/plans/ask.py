@@ -21,6 +21,8 @@ from tidewell.operators import retrieval, routing, statements
 from tidewell.operators.chatlog import NO_ANSWER
 
 EXPLORATORY_TOP_K, DOCUMENT_TOP_K = 12, 10
+#: Vectors of so many dimensions are scored in Arrow batches.
+BATCHED_DIMENSIONS = 256
 #: Characters of a question.
 QUESTION_CHARS = (2, 2000)
 META_ANSWER = "Je réponds aux questions sur les documents et les statistiques de la bibliothèque."
@@ -138,7 +140,7 @@ class Engine:
             wording = question
             if self.apply_expansion and self.synonyms is not None:
                 wording = routing.expanded(self.spark.createDataFrame([(0, question)], "qid long, question string"), self.synonyms).first()["expanded"]
-            hits = retrieval.retrieve(self.chunks, embed_question(self.embedder, wording), plan.top_k, plan.filters, self.config.min_similarity, self.config.metric).select("chunk_id", "document_id", "content", "score")
+            hits = retrieval.retrieve(self.chunks, embed_question(self.embedder, wording), plan.top_k, plan.filters, self.config.min_similarity, self.config.metric, self.embedder.dimension >= BATCHED_DIMENSIONS).select("chunk_id", "document_id", "content", "score")
             ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*retrieval.best_first()))).cache()  # top_k rows
             items = retrieval.enriched(ranked, self.documents).cache()
             try:
