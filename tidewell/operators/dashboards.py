@@ -23,12 +23,16 @@ def by_label(df: DataFrame, column: str, missing: str) -> DataFrame:
     return counts.select(F.coalesce(F.nullif(column, F.lit("")), F.lit(missing)).alias("label"), "n")
 
 
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
 def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """(field, value): the distinct values of each column in one pass, in order; '' and the number 0 are left out, the text '0' is not."""
     kinds = dict(df.dtypes)
     pairs = []
     for c in columns:
-        kept = F.col(c) != "" if kinds[c] == "string" else F.col(c) != 0
+        kind = kinds[c].partition("(")[0]
+        kept = F.col(c) != "" if kind == "string" else F.col(c) != 0 if kind in NUMBERS else F.col(c).isNotNull()
         pairs.append(F.struct(F.lit(c).alias("field"), F.when(kept, F.col(c).cast("string")).alias("value")))
     return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("value IS NOT NULL").distinct().orderBy("field", "value")
 

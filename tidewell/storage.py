@@ -108,6 +108,12 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(hadoop, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    files, hadoop = _hadoop(spark, path)
+    if not files.rename(hadoop, _hadoop(spark, to)[1]):
+        raise OSError(f"{path} could not be renamed")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     files, hadoop = _hadoop(spark, path)
     return files.exists(hadoop)
