@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -11,8 +12,13 @@ from tidewell.llm import packing
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(maxsize=1)
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
 def ids_of(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_ids_are_those_of_the_tokenizer():
