@@ -70,7 +70,12 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
     """:func:`lookup`, or a plain broadcast if ``right``, once measured, fits."""
     if not fits(right):
         return lookup(left, right, keys, weight, total, salt)
-    extra = [c for c in right.columns if c not in (*keys, weight)]
+    return _attached(left, right.drop(weight), keys)
+
+
+def _attached(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left outer join with ``right`` broadcast; keys join null-safely."""
+    extra = [c for c in right.columns if c not in keys]
     known = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[F.col(c).alias(f"__r_{c}") for c in extra])
     both = left.join(F.broadcast(known), [left[k].eqNullSafe(known[f"__r_{k}"]) for k in keys], "left")
     return both.select(*left.columns, *[F.col(f"__r_{c}").alias(c) for c in extra])
@@ -79,7 +84,7 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str,
 def attach_counted(left: DataFrame, right: DataFrame, key: str, salt: Sequence[str] = ()) -> DataFrame:
     """:func:`attach` where nothing has counted the keys of ``left`` yet; both are stored tables."""
     if fits(right):
-        return attach(left, right.withColumn("__w", F.lit(1)), [key], "__w", 1, salt)
+        return _attached(left, right, [key])
     uses = left.groupBy(F.col(key).alias("__used")).agg(F.count(F.lit(1)).alias("__w"))
     weighed = right.join(uses, right[key] == uses["__used"]).drop("__used")
     return lookup(left, weighed, [key], "__w", left.count(), salt)
