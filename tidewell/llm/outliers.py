@@ -47,7 +47,7 @@ CORE = 0.75
 #: Concentration steps that every start takes, and that the best may take in all.
 FIRST_STEPS, MAX_STEPS = 2, 20
 #: Change of the log determinant at which an estimate has converged.
-TOLERANCE = 1e-3
+TOLERANCE = 0.01
 #: Bins in a doubling of the squared distance.
 BINS = 64
 #: Squared distance beyond which a document is rejected; 6 statistics, far in the tail.
@@ -149,7 +149,7 @@ def starts(rows: DataFrame, total: int) -> DataFrame:
 def step(rows: DataFrame, now: DataFrame, total: int) -> DataFrame:
     """One concentration step of every (grp, start) of ``now``; stored."""
     each = now.groupBy("grp").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("start", "mean", "precision"))).alias("starts"))  # three at most
-    placed = attach(rows.select("grp", *_V), materialize(each, "outliers-each"), ["grp"], "n", total).select("grp", *_V, F.explode("starts").alias("__s")).select("grp", *_V, "__s.*")
+    placed = attach(rows.select("grp", *_V), each, ["grp"], "n", total).select("grp", *_V, F.explode("starts").alias("__s")).select("grp", *_V, "__s.*")
     bins = placed.withColumn("__bin", F.floor(F.log2(squared_distance() + 1e-6) * BINS)).groupBy("grp", "start", "__bin").agg(F.count(F.lit(1)).alias("k"), *_sums())
     inner = Window.partitionBy("grp", "start").orderBy("__bin")  # a row for each bin
     bins = bins.withColumn("__n", F.sum("k").over(Window.partitionBy("grp", "start"))).withColumn("__before", F.sum("k").over(inner) - F.col("k"))
