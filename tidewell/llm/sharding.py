@@ -92,17 +92,17 @@ def splitters_of(rows: DataFrame, ranges: int, sample: int) -> tuple[list[Place]
     most = max(OVERFULL * total / ranges, 1)
     overfull = (F.col("bytes") > most) & (F.col("low") < F.col("high"))
     ends = F.struct(*_ORDER)
-    while True:  # every round adds a splitter to each overfull range that has two records
+    while True:  # every round takes the largest record of each overfull range out of it and cuts the rest by quantiles
         placed = rows.withColumn("range", range_number(splitters))
-        sums = materialize(placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min(ends).alias("low"), F.max(ends).alias("high")), "sharding-ranges")
+        sums = materialize(placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min(ends).alias("low"), F.max(ends).alias("high"), F.max_by(ends, "size").alias("largest")), "sharding-ranges")
         full = sums.filter(overfull).agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("b")).first()
         if not full["k"]:
             return splitters, sums
-        over = sums.filter(overfull).select("range", "high")  # at most ranges / OVERFULL rows
+        over = sums.filter(overfull).select("range", "largest.*")  # at most ranges / OVERFULL rows
         parts = min(ranges, math.ceil(2 * full["b"] / most) + full["k"])
         drawn = _quantiles(_sample(placed.join(F.broadcast(over.select("range")), "range"), min(sample, 16 * parts), full["b"]), parts)
-        last = [tuple(r["high"]) for r in over.collect()]  # a range's last record begins a range of its own, so that no round is idle
-        splitters = sorted({*splitters, *drawn, *last})
+        alone = [(r["key"], r["hash"], r["tie"] + after) for r in over.collect() for after in (0, 1)]
+        splitters = sorted({*splitters, *drawn, *alone})
         release(sums)
 
 
