@@ -10,6 +10,8 @@ from tidewell.llm.chat import ORACLE_SQL as CHAT_SQL
 from tidewell.llm.chat import op8_chat
 from tidewell.llm.decontaminate import ORACLE_SQL as DECONTAMINATION_SQL
 from tidewell.llm.decontaminate import op9_decontamination
+from tidewell.llm.merkle import op13_manifest
+from tidewell.llm.mixing import op12_mixing
 from tidewell.llm.outliers import op5_robust_outliers
 from tidewell.llm.packing import op7_packing
 from tidewell.llm.quality import op2_quality
@@ -21,6 +23,7 @@ from tidewell.llm.urlfilter import ORACLE_SQL as URL_FILTER_SQL
 from tidewell.llm.urlfilter import op6_url_filter
 from tidewell.llm.warc import ORACLE_SQL as WARC_SQL
 from tidewell.llm.warc import op10_warc
+from tidewell.llm.whitening import op11_whitening
 
 
 def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -39,6 +42,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": _over("conversations", op8_chat),
         "op9_decontamination": op9_decontamination,
         "op10_warc": _over("pages", op10_warc),
+        "op11_whitening": _over("embeddings", op11_whitening),
+        "op12_mixing": _over("documents", op12_mixing),
+        "op13_manifest": _over("documents", op13_manifest),
     }
 
 
