@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -119,6 +120,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(hadoop)
 
 
+def sliced(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Arrow batches, which Spark bounds by bytes, in frames of at most ``rows`` rows; no setting of the session changes."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 64) -> None:
     """Keep Arrow batches of whole texts small: at most ``rows`` rows, and closed beyond ``mb`` MB.
 
