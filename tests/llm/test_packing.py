@@ -65,3 +65,14 @@ def test_rows_without_an_id_are_dealt_over_salts(spark, monkeypatch):
     windows = got._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64(doc_id" in windows and "row#" in windows
     assert len({r["sequence_id"] for r in got.collect()}) == got.count() >= 300
+
+
+def test_long_runs_are_packed_as_the_tokenizer_file_has_them(spark):
+    n = 3_000_000
+    texts = [" " * n, "\n" * n, "a" * n, "x" + "\t \n" * (n // 3) + "y"]
+    rows = packing.pack(cases.docs(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)]), with_ids=True).select("doc_id", "start", "ids_crc32", "length").collect()
+    for k, text in enumerate(texts):
+        ids = np.array(ids_of(text), "<u4")
+        got = sorted((r for r in rows if r["doc_id"] == k), key=lambda r: r["start"])
+        assert sum(r["length"] for r in got) == len(ids)
+        assert all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in got)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.components import components
 from tidewell.skew import attach, attach_counted, small
-from tidewell.storage import bounded_batches, hold, materialize, release
+from tidewell.storage import hold, materialize, release, sliced
 
 SHINGLE = 5
 #: Similarity from which texts are near copies, as a fraction so that the comparison is exact.
@@ -168,7 +168,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return within(found, np.minimum(core, np.array([len(s) for *_, s in held]) - found.alone()))
         return links
 
-    for batch in batches:
+    for batch in sliced(batches):
         for r in batch.itertuples(index=False):
             if key != (r.root, r.block):
                 if key is not None and (out := done()):
@@ -215,7 +215,6 @@ def near_copy_roots(each: DataFrame, texts: DataFrame, proposed: DataFrame) -> D
     ``each`` is stored with one row a node: node, row, bands. ``texts`` is stored (row,
     text), and ``proposed`` stored edges (a, b) between nodes to compare beyond the buckets.
     """
-    bounded_batches(each.sparkSession)
     members = bucket_members(each)
     ends = members.select("node").unionByName(proposed.select(F.col("a").alias("node"))).unionByName(proposed.select(F.col("b").alias("node"))).distinct()
     met = hold(each.select("node", "row").join(ends, "node", "left_semi").select("node", F.col("row").alias("__row")))

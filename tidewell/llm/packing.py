@@ -8,7 +8,8 @@ sequence has a dense number, so a trainer reads batches of one shape.
 
 Tokenizing is byte-level BPE. Texts are encoded from the vocabulary's rank table, which
 gives the ids of the tokenizer file in a fraction of its time; a text that spells a special
-token goes through the tokenizer file itself. Tests hold both against each other.
+token, or hold a run of more than ``LONG_BLANK`` blanks, go through the tokenizer file
+itself. Tests hold both against each other.
 
 Numbers. ``sequence_id`` is ``rank * 64 + bucket``, where rank counts a bucket's pieces
 from 0 in (salt, doc_id, start) order. The salt is drawn from a piece's document, start,
@@ -25,6 +26,7 @@ by no sequence. No rows in, no rows out.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,11 +37,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.storage import bounded_batches, materialize
+from tidewell.storage import materialize, sliced
 
 END_ID = 1
 LENGTH = 2048
 SALTS = 4096
+#: Blanks in a row up to which the rank table encodes; it fails near a million.
+LONG_BLANK = 50_000
+_BLANKS = re.compile(r"\s+")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
 
@@ -58,13 +63,18 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or has_long_blank(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.ranks.encode_ordinary(text)
         return array("I", ids).tobytes()
 
 
+def has_long_blank(text: str, most: int = LONG_BLANK) -> bool:
+    """Whether a text has a run of blanks for which the rank table's pattern would need too deep a stack."""
+    return len(text) > most and any(len(run.group()) > most for run in _BLANKS.finditer(text))
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -93,12 +103,11 @@ def tokenized_pieces(docs: DataFrame, path: str, ranks_path: str, length: int =
     """One row for each piece, with its ids if asked for."""
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
-    bounded_batches(docs.sparkSession)
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(path, ranks_path)
-        for batch in batches:
+        for batch in sliced(batches):
             rows, ids = [], []
             for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
                 code = encoder.encode(text) + end

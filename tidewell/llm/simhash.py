@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from tidewell.llm import jaccard
 from tidewell.llm.components import components
 from tidewell.skew import attach, attach_counted, without
-from tidewell.storage import bounded_batches, hold, materialize, release
+from tidewell.storage import hold, materialize, release, sliced
 
 #: Shingles whose hash bits are unpacked at a time.
 _SLICE = 1 << 16
@@ -73,10 +73,9 @@ def _signed(values: list[int]) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": _signed([fingerprint(t, shingle) for t in batch["text"]])})
 
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -313,7 +312,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ids lose no text and keep no copy. Texts are stored once and filtered where they lie:
     everything else is decided on slim rows.
     """
-    bounded_batches(docs.sparkSession)
     marked = docs.select("*", F.monotonically_increasing_id().alias("__row"), jaccard.sketch(F.col("text"), majority).alias("__sketch"))
     marked = materialize(marked, "simhash-marked")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row"))

@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.storage import bounded_batches
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -74,7 +73,6 @@ def _statistics(texts: pd.Series) -> pd.DataFrame:
 
 def with_statistics(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     """The columns ``carry`` and the statistics of ``text`` for every row."""
-    bounded_batches(docs.sparkSession)
     statistics = F.pandas_udf(_statistics, ", ".join(f"{f} long" for f in FIELDS))
     found = docs.select(*carry, statistics(F.coalesce("text", F.lit(""))).alias("__stats"))
     return found.select(*carry, *[F.col(f"__stats.{f}").alias(f) for f in FIELDS])

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.quality import fit_logistic
 from tidewell.llm.tables import fold, table
 from tidewell.sampling import hash_sample
-from tidewell.storage import bounded_batches, materialize, release
+from tidewell.storage import materialize, release, sliced
 
 #: Labelled rows that the grammar learns from, at most.
 SAMPLE = 20_000
@@ -294,7 +294,7 @@ def learned_patterns(sample: DataFrame) -> list[tuple[str, bool, float]]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = (Counter(), Counter())
-        for batch in batches:
+        for batch in sliced(batches):
             for text, label in zip(batch["text"], batch["toxic"]):
                 counts[label].update(_spelled(text))
                 if len(counts[0]) + len(counts[1]) > FLUSH:
@@ -316,7 +316,7 @@ def learned_patterns(sample: DataFrame) -> list[tuple[str, bool, float]]:
     number = {p: k for k, p in enumerate(names)}
 
     def occur(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pd.DataFrame({"found": [sorted(number[p] for p in _spelled(t) if p in number) for t in batch["text"]]})
 
     found = sample.filter("toxic = 1").mapInPandas(occur, "found array<int>").limit(SAMPLE).collect()
@@ -384,14 +384,13 @@ def calibrated(worst: np.ndarray, others: np.ndarray, toxic: np.ndarray) -> tupl
 
 def learn(docs: DataFrame, labels: DataFrame, scoped: bool = True) -> Grammar:
     """The grammar with arcs, weights, scope factors and calibration from the labelled sample."""
-    bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels)
     grammar = Grammar(learned_patterns(sample), scoped=scoped)
     trials = [{}] + [{name: value} for name, values in FACTOR_GRID.items() for value in values if value != FACTORS[name]]
 
     def measured(trials: list[dict[str, float]]) -> pd.DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in sliced(batches):
                 found = [grammar.clauses(t) for t in batch["text"]]
                 both = [[grammar.weigh(f, grammar.factors | t) for t in trials] for f in found]
                 yield pd.DataFrame({"worst": [[w for w, _ in b] for b in both], "others": [[o for _, o in b] for b in both], "toxic": batch["toxic"]})

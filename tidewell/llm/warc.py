@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.skew import SALTS, attach
-from tidewell.storage import bounded_batches, delete, materialize, new_path, qualified, release
+from tidewell.storage import delete, materialize, new_path, qualified, release, sliced
 
 #: An archive is closed once it holds so many bytes.
 ARCHIVE_BYTES = 1 << 30
@@ -107,7 +107,6 @@ def _opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` below ``folder`` and return the stored index."""
-    bounded_batches(pages.sparkSession, 500)
     folder = qualified(pages.sparkSession, folder)
     planned = plan_records(pages, min_bytes)
 
@@ -117,7 +116,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}"
         out, at, number = None, 0, 0
         try:
-            for batch in batches:
+            for batch in sliced(batches, 500):
                 rows = []
                 for page_id, url, payload, digest, refers_to in zip(*(batch[c].array for c in ("page_id", "url", "payload", "digest", "refers_to"))):
                     page_id, refers_to = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
@@ -160,12 +159,11 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
     ``intact`` tells whether a response's payload has the digest and length its header
     and its index row give.
     """
-    bounded_batches(index.sparkSession, 500)
     folder = qualified(index.sparkSession, folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = _opened(folder)
-        for batch in batches:
+        for batch in sliced(batches, 500):
             for archive, rows in batch.groupby("archive", sort=False):
                 with store.open_input_file(f"{root}/{archive}") as source:
                     ranges, digests = list(zip(rows["offset"], rows["length"])), rows["digest"].array
