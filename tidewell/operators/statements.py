@@ -1,8 +1,11 @@
 """Guarded read-only SQL over the statistics.
 
-The text is checked as the prompt's contract says (one SELECT, no word of the blacklist),
-and then the parsed plan is: only read-only operators over allowed relations may occur.
-The row cap is a limit on the DataFrame, never an edit of the text.
+The text is checked as the prompt's contract says (one SELECT, no word of the blacklist).
+The guard itself decides on plans, never on spellings: the parsed plan may only have
+read-only operators over allowed relations, and every expression of the analysed plan must
+be of a listed class, so a function that is quoted, commented or nested is the same to it.
+Generators, and joins without an equality of both sides, are refused. The row cap is a limit
+on the DataFrame, never an edit of the text.
 """
 
 from __future__ import annotations
@@ -12,16 +15,40 @@ import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.functions.detect import COUNTRIES
 
 MAX_ROWS = 50
 # Words that no statement may hold.
 FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "revoke", "copy", "into", "execute", "call", "merge", "vacuum", "reindex", "lock")
-#: Logical operators that a statement may consist of.
-ALLOWED_NODES = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Join", "SubqueryAlias", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "UnresolvedOrdinal", "OneRowRelation", "Union", "Window", "WithWindowDefinition"}
-#: Functions that reach outside the data.
-DENIED_FUNCTIONS = re.compile(r"\b(reflect|java_method|try_reflect|input_file_name|current_user|session_user|user|version|raise_error|assert_true|spark_partition_id)\s*\(", re.IGNORECASE)
+#: Operators that a parsed statement may consist of.
+PARSED_NODES = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Join", "SubqueryAlias", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "UnresolvedOrdinal", "OneRowRelation", "Union", "Window", "WithWindowDefinition"}
+#: Operators that an analysed one may consist of above its relations.
+ANALYSED_NODES = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Join", "SubqueryAlias", "OneRowRelation", "Union", "Window"}
+#: Relations: what lies below a view is not the statement's.
+RELATIONS = {"View", "LogicalRelation", "HiveTableRelation", "DataSourceV2Relation", "LocalRelation", "LogicalRDD"}
+#: Expressions that an analysed statement may consist of; none reaches outside the rows or makes more of them.
+EXPRESSIONS = {
+    # columns, literals, order
+    "Alias", "AttributeReference", "Literal", "Cast", "SortOrder", "OuterReference", "AggregateExpression",
+    # comparisons and logic
+    "And", "Or", "Not", "EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "In", "InSet", "Between", "IsNull", "IsNotNull", "IsNaN", "Like", "ILike", "LikeAll", "LikeAny", "RLike", "Contains", "StartsWith", "EndsWith",
+    # conditions
+    "With", "CommonExpressionDef", "CommonExpressionRef", "If", "CaseWhen", "Coalesce", "NullIf", "Nvl", "Greatest", "Least",
+    # numbers
+    "Add", "Subtract", "Multiply", "Divide", "IntegralDivide", "Remainder", "Pmod", "UnaryMinus", "UnaryPositive", "Abs", "Round", "BRound", "Floor", "Ceil", "Sqrt", "Pow", "Exp", "Log", "Log10", "Signum", "FloorExpressionBuilder", "CeilExpressionBuilder", "RoundFloor", "RoundCeil", "CheckOverflow",
+    # text
+    "Lower", "Upper", "Concat",  "ConcatWs", "Substring", "Left", "Right", "Length", "StringTrim", "StringTrimLeft", "StringTrimRight", "StringTrimBoth", "StringReplace", "StringInstr", "InitCap",
+    # dates
+    "Year", "Month", "Quarter", "DayOfMonth", "DateFormatClass", "TruncDate", "TruncTimestamp", "Extract", "DatePartExpressionBuilder",
+    # aggregates
+    "Count", "CountIf", "Sum", "Average", "Min", "Max", "StddevSamp", "StddevPop", "VarianceSamp", "VariancePop", "Corr", "Median", "Percentile", "ApproximatePercentile", "MinBy", "MaxBy", "First", "Last",
+    # windows
+    "WindowExpression", "WindowSpecDefinition", "SpecifiedWindowFrame", "UnspecifiedFrame", "UnboundedPreceding", "UnboundedFollowing", "CurrentRow", "RowNumber", "Rank", "DenseRank", "PercentRank", "NTile", "Lag", "Lead",
+    # subqueries, whose plans are walked too
+    "ScalarSubquery", "Exists", "ListQuery", "InSubquery",
+}
 
 _WORDS = re.compile(r"\b(" + "|".join(FORBIDDEN) + r")\b", re.IGNORECASE)
 
@@ -51,44 +78,135 @@ def capped(sql: str, rows: int = MAX_ROWS) -> str:
     return sql if re.search(r"\blimit\b", sql, re.IGNORECASE) else f"{sql} LIMIT {rows}"
 
 
-def _nodes(plan) -> list:
+def _kind(node) -> str:
+    """Class of a Catalyst node, companion objects without their mark."""
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _each(sequence) -> list:
+    return [sequence.apply(k) for k in range(sequence.size())]
+
+
+def _nodes(plan, stop: set[str] = frozenset()) -> list:
+    """A plan's operators, those of subqueries included; nothing below those in ``stop``."""
     out, todo = [], [plan]
     while todo:
         node = todo.pop()
         out.append(node)
-        children = node.children()
-        todo += [children.apply(k) for k in range(children.size())]
-        inner = node.subqueries() if hasattr(node, "subqueries") else None
-        if inner is not None:
-            todo += [inner.apply(k) for k in range(inner.size())]
+        todo += _each(node.subqueries())
+        if _kind(node) not in stop:
+            todo += _each(node.children())
+    return out
+
+
+def _expressions(node) -> list:
+    """All expressions of an operator, nested ones included."""
+    out, todo = [], _each(node.expressions())
+    while todo:
+        expression = todo.pop()
+        out.append(expression)
+        todo += _each(expression.children())
     return out
 
 
-def plan_problem(spark: SparkSession, sql: str, relations: set[str]) -> str | None:
-    """Why the parsed statement may not run, or None."""
-    if DENIED_FUNCTIONS.search(sql):
-        return "function not allowed"
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    for node in _nodes(plan):
-        name = node.nodeName()
-        if name.startswith("'"):
-            name = name[1:]
-        kind = node.getClass().getSimpleName()
-        if kind not in ALLOWED_NODES:
+def _joins_rows(join) -> bool:
+    """Whether a join has an equality between columns of its two sides."""
+    condition = join.condition()
+    if condition.isEmpty():
+        return False
+    left, right = join.left().outputSet(), join.right().outputSet()
+    todo = [condition.get()]
+    while todo:  # conjuncts only: an equality under OR binds nothing
+        e = todo.pop()
+        if _kind(e) == "And":
+            todo += [e.left(), e.right()]
+        elif _kind(e) in ("EqualTo", "EqualNullSafe"):
+            a, b = e.left().references(), e.right().references()
+            if a.nonEmpty() and b.nonEmpty() and ((a.subsetOf(left) and b.subsetOf(right)) or (a.subsetOf(right) and b.subsetOf(left))):
+                return True
+    return False
+
+
+def parsed_problem(spark: SparkSession, sql: str, relations: set[str]) -> str | None:
+    """Why a statement may not be analysed: what it would read and which operators it has."""
+    for node in _nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)):
+        kind = _kind(node)
+        if kind not in PARSED_NODES:
             return f"{kind} not allowed"
         if kind == "UnresolvedRelation" and node.tableName().lower() not in relations:
             return f"relation {node.tableName()} not allowed"
+        for expression in _expressions(node):
+            if _kind(expression) == "UnresolvedFunction":
+                name = expression.nameParts().last()
+                if _function(spark, name) not in EXPRESSIONS:
+                    return f"function {name} not allowed"
     return None
 
 
-def run(spark: SparkSession, sql: str, relations: set[str] = frozenset({"statistics"}), max_rows: int = MAX_ROWS) -> DataFrame:
-    """The statement's rows, capped; raises ValueError where it is not allowed."""
+def _function(spark: SparkSession, name: str) -> str | None:
+    """The class that a function's name stands for in this session, so that none that is refused is even resolved."""
+    known = spark._jsparkSession.sessionState().functionRegistry().lookupFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+    return known.get().getClassName().rpartition(".")[2] if known.nonEmpty() else None
+
+
+def analysed_problem(df: DataFrame) -> str | None:
+    """Why an analysed statement may not run: every operator, expression and join is looked at, however it was spelled."""
+    for node in _nodes(df._jdf.queryExecution().analyzed(), RELATIONS):
+        kind = _kind(node)
+        if kind in RELATIONS:
+            continue
+        if kind not in ANALYSED_NODES:
+            return f"{kind} not allowed"
+        for expression in _expressions(node):
+            if _kind(expression) not in EXPRESSIONS:
+                return f"{_kind(expression)} not allowed"
+        if kind == "Join" and not _joins_rows(node):
+            return "join without an equality of both sides not allowed"
+    return None
+
+
+def checked(spark: SparkSession, sql: str, relations: set[str] = frozenset({"statistics"})) -> DataFrame:
+    """The statement as a DataFrame that has not run; raises ValueError where it is not allowed."""
     if not is_safe(sql):
         raise ValueError("only a single SELECT is allowed")
-    problem = plan_problem(spark, sql, set(relations))
+    problem = parsed_problem(spark, sql, set(relations))
+    if problem:
+        raise ValueError(problem)
+    df = spark.sql(sql)
+    problem = analysed_problem(df)
     if problem:
         raise ValueError(problem)
-    return spark.sql(sql).limit(max_rows)
+    return df
+
+
+#: Distinct statements that :func:`verdicts` judges at a time.
+MOST_STATEMENTS = 10_000
+
+
+def verdicts(spark: SparkSession, rows: DataFrame, sql: str, relations: set[str] = frozenset({"statistics"})) -> DataFrame:
+    """``rows`` with ``allowed`` and ``reason`` for the statement in the column ``sql``.
+
+    Only the driver can analyse, so distinct statements are judged there, ``MOST_STATEMENTS`` at most.
+    """
+    texts = [r[0] for r in rows.select(sql).distinct().limit(MOST_STATEMENTS + 1).collect()]
+    if len(texts) > MOST_STATEMENTS:
+        raise ValueError(f"more than {MOST_STATEMENTS} distinct statements")
+    found = []
+    for text in texts:
+        try:
+            checked(spark, text or "", relations)
+            found.append((text, True, None))
+        except ValueError as error:
+            found.append((text, False, str(error)))
+        except Exception as error:  # noqa: BLE001  what cannot be parsed or resolved is refused with the engine's words
+            found.append((text, False, str(error).splitlines()[0]))
+    told = spark.createDataFrame(found, "__sql string, allowed boolean, reason string")
+    return rows.join(F.broadcast(told), rows[sql].eqNullSafe(told["__sql"])).drop("__sql")
+
+
+def run(spark: SparkSession, sql: str, relations: set[str] = frozenset({"statistics"}), max_rows: int = MAX_ROWS) -> DataFrame:
+    """The statement's rows, capped; raises ValueError where it is not allowed."""
+    return checked(spark, sql, relations).limit(max_rows)
 
 
 PROMPT = """Table statistics(id BIGINT, indicator STRING, country STRING, period STRING, year INT, value DOUBLE, unit STRING, source_sheet STRING).

@@ -502,12 +502,13 @@ def looks_like_period(spark, d):
 
 
 @query(
-    "SELECT CAST(l_returnflag AS VARCHAR) AS indicator, CAST(y AS VARCHAR) AS period, CAST(y AS INTEGER) AS year, q AS value FROM (SELECT l_returnflag, year(l_shipdate) AS y, round(sum(l_quantity), 2) AS q FROM lineitem WHERE year(l_shipdate) BETWEEN 1993 AND 1996 GROUP BY 1, 2)"
+    "SELECT CAST(l_returnflag AS VARCHAR) AS indicator, CAST(y AS VARCHAR) AS period, CAST(y AS INTEGER) AS year, q AS value FROM (SELECT l_returnflag, year(l_shipdate) AS y, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1, 2)"
 )
 def statistics_unpivot(spark, d):
-    """Quantities pivoted to a sheet (a header row, a row per flag) and normalised again."""
-    years = [1993, 1994, 1995, 1996]
-    sums = table(spark, d, "lineitem").withColumn("y", F.year("l_shipdate")).groupBy("l_returnflag").pivot("y", years).agg(F.round(F.sum("l_quantity"), 2))
+    """Quantities of all years pivoted to a sheet (a header row, a row per flag) and normalised again."""
+    dated = table(spark, d, "lineitem").withColumn("y", F.year("l_shipdate"))
+    years = [r["y"] for r in dated.select("y").distinct().orderBy("y").collect()]
+    sums = dated.groupBy("l_returnflag").pivot("y", years).agg(F.round(F.sum("l_quantity"), 2))
     numbered = sums.select(F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("l_returnflag")).alias("row_idx"), "*")  # a row per flag
     cell = lambda c, v: F.struct(F.lit(c).alias("col_idx"), v.cast("string").alias("raw"))
     body = numbered.select("row_idx", F.explode(F.array(cell(0, F.col("l_returnflag")), *[cell(k + 1, F.col(str(y))) for k, y in enumerate(years)])).alias("c")).select("row_idx", "c.*")
@@ -550,18 +551,49 @@ def statistics_sheet(spark, d):
     return tabular.statistics(_sheets(spark, d)).select("key", "sheet", "indicator", "country", "period", "year", "value")
 
 
+def _statistics_view(spark, d) -> None:
+    o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    joined.select(F.col("n_name").alias("country"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("value")).createOrReplaceTempView("statistics")
+
+
 _STAT_SQL = "SELECT country, year, count(*) AS n, round(sum(value), 2) AS total FROM statistics WHERE year BETWEEN 1993 AND 1997 GROUP BY country, year ORDER BY country, year"
 
 
 @query("SELECT n_name AS country, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE year(o_orderdate) BETWEEN 1993 AND 1997 GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 50")
 def statistics_sql_guarded(spark, d):
     """A generated SELECT, checked and capped, over a statistics view."""
-    o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
-    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    joined.select(F.col("n_name").alias("country"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("value")).createOrReplaceTempView("statistics")
+    _statistics_view(spark, d)
     return statements.run(spark, statements.extract("```sql\n" + _STAT_SQL + ";\n```"))
 
 
+#: What a model may answer, and whether it may run; {} stands for a year.
+_STATEMENTS = (
+    ("SELECT country, sum(value) AS total FROM statistics WHERE year = {} GROUP BY country", True),
+    ("SELECT `reflect`('java.lang.System', 'getProperty', 'user.home') FROM statistics WHERE year = {}", False),
+    ("SELECT a.country FROM statistics a JOIN statistics b ON a.country = b.country AND a.year = {}", True),
+    ("SELECT reflect/**/('java.lang.System', 'getProperty', 'user.home') AS y, {} AS year", False),
+    ("SELECT a.country FROM statistics a JOIN statistics b ON a.year = {}", False),
+    ("SELECT upper(country), round(avg(value), 1) FROM statistics WHERE year <> {} AND country ILIKE '%a%' GROUP BY 1", True),
+    ("SELECT explode(sequence(1, {})) FROM statistics", False),
+    ("SELECT year FROM statistics WHERE value = (SELECT max(value) FROM statistics WHERE year = {})", True),
+    ("DELETE FROM statistics WHERE year = {}", False),
+    ("SELECT unknown FROM statistics WHERE year = {}", False),
+    ("SELECT * FROM information WHERE year = {}", False),
+)
+_FORM = f"(conv_id * 7 + turn) % {len(_STATEMENTS)}"
+
+
+@query(f"SELECT conv_id, turn, list_value({', '.join(str(ok) for _, ok in _STATEMENTS)})[CAST({_FORM} + 1 AS INTEGER)] AS allowed FROM conversations")
+def statements_refused(spark, d):
+    """A generated statement for every message, and whether the guard lets it run."""
+    _statistics_view(spark, d)
+    turn = F.col("turn")
+    form = F.pmod(F.col("conv_id") * 7 + turn, F.lit(len(_STATEMENTS)))
+    said = F.replace(_choice([text for text, _ in _STATEMENTS], form), F.lit("{}"), (1990 + turn % 10).cast("string"))
+    return statements.verdicts(spark, table(spark, d, "conversations").select("conv_id", "turn", said.alias("sql")), "sql").select("conv_id", "turn", "allowed")
+
+
 _LINE = "CASE (conv_id + turn) % 4 WHEN 0 THEN ' texte ' || turn WHEN 1 THEN 'Titre ' || turn || ' : Nom ' || conv_id || ' de la banque centrale des états.' WHEN 2 THEN '  Chef ' || turn || ' : ' || role || '. ' ELSE 'Directeur ' || turn || ' : Prénom Nom, responsable de la conversation ' || conv_id || '.' END"
 
 
