@@ -251,6 +251,8 @@ def test_tokens_of_a_vocabulary():
     plain = tokenizers.Tokenizer.from_file(vocabularies.path("byte_bpe_50k.json"))
     for text in ("Le taux directeur reste stable.", "", "é ü\n\n  x1"):
         assert count(text) == len(plain.encode(text, add_special_tokens=False).ids)
+    long = "x" + "\n" * 1_200_000 + "y" + " " * 30_000  # more blanks in a row than the pattern's stack takes
+    assert 0 <= count(long) - len(plain.encode(long, add_special_tokens=False).ids) <= 30
     assert all(n == count(c) and n <= 40 for c, n in chunking.chunks_of("Le taux directeur de la banque reste stable. " * 30, size=40, overlap=8, count=count))
 
 

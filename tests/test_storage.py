@@ -1,5 +1,6 @@
 import types
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,18 +52,18 @@ def test_scratch_tables_go(spark):
     storage.release(kept)
 
 
-def test_batches_are_bounded_but_never_widened(spark):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    try:
-        spark.conf.set(key, "17")
-        storage.bounded_batches(spark, 500)
-        assert spark.conf.get(key) == "17"
-        spark.conf.set(key, "10000")
-        storage.bounded_batches(spark, 500)
-        assert spark.conf.get(key) == "500"
-    finally:
-        spark.conf.set(key, before)
+def test_batches_are_sliced():
+    frames = [pd.DataFrame({"a": range(n)}) for n in (5, 0, 3)]
+    assert [len(f) for f in storage.sliced(iter(frames), 2)] == [2, 2, 1, 2, 1]
+
+
+def test_no_query_changes_the_session(spark):
+    from tidewell.plans import catalog
+
+    before = {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+    for name in ("ingest_extraction", "chunk_documents", "embed_documents", "statistics_sql_guarded"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001").limit(1).collect()
+    assert {r["key"]: r["value"] for r in spark.sql("SET").collect()} == before
 
 
 @pytest.mark.parametrize("bound", [0, 1 << 30])

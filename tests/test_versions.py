@@ -1,0 +1,157 @@
+"""Versions of a library: all tables change together, file by file, or nothing does."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.test_plans import EXTRACTED, MODEL, files, tables  # noqa: F401  a fixture
+from tidewell import versions
+from tidewell.plans import ingest, maintenance
+from tidewell.schemas import TABLES
+
+KEYED = "id long, v string"
+
+
+class Died(BaseException):
+    """A driver that is killed runs no handler of ours; the context's clean-up is left out below."""
+
+
+def rows(spark, *ids, v="x"):
+    return spark.createDataFrame([(k, v) for k in ids], KEYED)
+
+
+def read(spark, root, name="t"):
+    return sorted(map(tuple, versions.read(spark, root, name, KEYED).collect()))
+
+
+def test_append_rewrite_and_tidy(spark, tmp_path):
+    root = str(tmp_path / "with space")
+    assert read(spark, root) == [] and versions.current(spark, root).number == 0
+    with versions.Change(spark, root) as change:
+        change.append("t", rows(spark, *range(40)).repartitionByRange(8, "id"))
+    before = {f for f in os.listdir(f"{root}/{versions.current(spark, root).tables['t'].folders[0]}") if f.endswith(".parquet")}
+    assert len(before) == 8
+    with versions.Change(spark, root) as change:
+        n = change.rewrite("t", KEYED, spark.range(7, 8).toDF("id"), "id", lambda r: r.withColumn("v", F.when(F.col("id") == 7, "new").otherwise(F.col("v"))))
+    assert n == 1  # one file of eight
+    held = versions.current(spark, root).tables["t"]
+    assert len(held.folders) == 2 and len(held.gone) == 1
+    assert read(spark, root) == sorted((k, "new" if k == 7 else "x") for k in range(40))
+    with versions.Change(spark, root) as change:
+        assert change.rewrite("t", KEYED, spark.range(1000, 1001).toDF("id"), "id", lambda r: r) == 0
+    assert versions.current(spark, root).number == 2  # nothing staged, no version
+    with versions.Change(spark, root) as change:
+        assert change.rewrite("t", KEYED, spark.range(40).toDF("id"), "id", lambda r: r.filter("id % 2 = 0")) == 8
+    held = versions.current(spark, root).tables["t"]
+    assert len(held.folders) == 1 and held.gone == []  # folders without a file are named no more
+    assert versions.vacuum(spark, root, ["t"]) == 2 and read(spark, root) == [(k, "new" if k == 7 else "x") for k in range(0, 40, 2)]
+    assert len(os.listdir(f"{root}/t")) == 1
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    root = str(tmp_path)
+    one, two = versions.Change(spark, root), versions.Change(spark, root)
+    one.append("t", rows(spark, 1))
+    two.append("t", rows(spark, 2))
+    assert one.commit() == 1
+    with pytest.raises(versions.ConcurrentChange):
+        two.commit()
+    assert read(spark, root) == [(1, "x")] and len(os.listdir(f"{root}/t")) == 1
+    assert [n for n in os.listdir(f"{root}/_versions") if not n.startswith(".")] == ["0000000001.json"]
+
+
+def test_an_error_leaves_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(ZeroDivisionError):
+        with versions.Change(spark, root) as change:
+            change.append("t", rows(spark, 1))
+            raise ZeroDivisionError
+    assert read(spark, root) == [] and os.listdir(f"{root}/t") == []
+
+
+def steps_of(monkeypatch, die_at):
+    """Let the driver die before its n-th write or put; returns a counter."""
+    seen = [0]
+    plain_stage, plain_put = versions.Change._stage, versions._put_new
+
+    def check():
+        seen[0] += 1
+        if seen[0] == die_at:
+            raise Died
+
+    def stage(self, *a):
+        check()
+        out = plain_stage(self, *a)
+        check()
+        return out
+
+    def put(*a):
+        check()
+        plain_put(*a)
+        check()
+
+    monkeypatch.setattr(versions.Change, "_stage", stage)
+    monkeypatch.setattr(versions, "_put_new", put)
+    monkeypatch.setattr(versions.Change, "abandon", lambda self: None)
+    return seen
+
+
+def state(spark, tables):  # noqa: F811
+    return {n: sorted((r["id"], r["document_id"] if n != "documents" else r["source_url"]) for r in ingest.stored(spark, tables[n]).collect()) for n in ("documents", "chunks", "statistics")}
+
+
+def batch(spark, *names):
+    points = "key string, id long, indicator string, country string, period string, year int, value double, unit string, raw_label string, source_sheet string"
+    series = spark.createDataFrame([(f"d/{n}.pdf", ord(n) * 10 + k, "PIB", "Gabon", "2021", 2021, 1.0, None, "x", "S") for n in names for k in range(2)], points)
+    return spark.createDataFrame(files(*names), EXTRACTED), series
+
+
+def test_a_driver_that_dies_at_any_step_leaves_one_state_or_the_other(spark, tables, monkeypatch):  # noqa: F811
+    extracted, series = batch(spark, "a", "b")
+    ingest.ingest_batch(spark, extracted, tables, MODEL, series)
+    gone = ingest.stored(spark, tables["documents"]).filter("filename = 'a.pdf'").select("id")
+    gone = spark.createDataFrame(gone.collect(), "id long")
+    more, points = batch(spark, "c")
+    changes = [lambda: ingest.ingest_batch(spark, more, tables, MODEL, points), lambda: maintenance.remove_documents(spark, tables, gone)]
+    for change, writes in zip(changes, (3, 3)):
+        before = state(spark, tables)
+        for die_at in range(1, 2 * writes + 3):
+            with monkeypatch.context() as patched:
+                steps_of(patched, die_at)
+                with pytest.raises(Died):
+                    change()
+            after = state(spark, tables)
+            assert after == before if die_at < 2 * writes + 2 else after != before  # only the put changes anything
+        done = state(spark, tables)
+        change()  # again after the failure: nothing is added or lost
+        assert state(spark, tables) == done
+    assert len(done["documents"]) == 2 and len(done["statistics"]) == 6 and sum(d is None for _, d in done["statistics"]) == 2
+
+
+def test_a_backfill_of_one_link_rewrites_one_file(spark, tables):  # noqa: F811
+    for name in "abcde":
+        ingest.ingest_batch(spark, spark.createDataFrame([(f"d/{name}.pdf", {}, "pdf", f"Le taux directeur du document {name}. " * 4, "native", 3, None)], EXTRACTED), tables, MODEL)
+    root = ingest.library_of(tables)
+    before = versions.current(spark, root).tables["documents"]
+    links = spark.createDataFrame([("x\\c.pdf", "link", 1)], "chemin_relatif string, lien string, row_no int")
+    assert maintenance.backfill_links(spark, tables["documents"], links) == {"updated": 1, "unmatched": 4}
+    after = versions.current(spark, root)
+    assert len(set(before.folders) - set(after.tables["documents"].folders)) == 1  # the one file of one batch
+    assert {r["filename"]: r["source_url"] for r in ingest.stored(spark, tables["documents"]).collect()} == {f"{n}.pdf": "link" if n == "c" else None for n in "abcde"}
+
+
+def test_the_keys_of_a_batch_go_to_the_table(spark, tables):  # noqa: F811
+    stored = spark.range(1000).select(F.concat(F.lit("k"), "id").alias("r2_key"))
+    rows_ = spark.createDataFrame([("k1",), ("new",)], "key string")
+    plan = ingest.new_objects(rows_, stored)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    assert [r["key"] for r in ingest.new_objects(rows_, stored).collect()] == ["new"]
+
+
+def test_counts_are_observed_not_run(spark, tables):  # noqa: F811
+    got = ingest.ingest_batch(spark, spark.createDataFrame([], EXTRACTED), tables, MODEL)
+    assert vars(got) == dict.fromkeys(vars(got), 0)
+    out, counts = ingest.written(spark.range(5), "x", n=F.count(F.lit(1)), even=F.count_if(F.col("id") % 2 == 0))
+    assert counts == {"n": 5, "even": 3} and out.count() == 5
+    assert set(TABLES) >= {"documents", "chunks", "statistics"}

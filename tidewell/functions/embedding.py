@@ -14,8 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.storage import bounded_batches
-
 
 WORD = re.compile("[0-9A-Za-zÀ-ɏ]+")
 
@@ -28,6 +26,13 @@ class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> np.ndarray: ...
 
 
+@lru_cache(maxsize=1 << 17)
+def _hashed(feature: str) -> tuple[int, int]:
+    """Place and sign of a feature, remembered for the words and pairs that come again."""
+    h = hashlib.md5(feature.encode(), usedforsecurity=False).hexdigest()
+    return int(h[:8], 16), 1 if h[8] < "8" else -1
+
+
 class HashingEmbedder:
     """Signed feature hashing of words and word pairs, L2-normalised: no model file, same everywhere.
 
@@ -43,8 +48,8 @@ class HashingEmbedder:
         for row, text in zip(out, texts):
             words = WORD.findall(text)
             for feature, n in Counter([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]).items():
-                h = hashlib.md5(feature.encode(), usedforsecurity=False).hexdigest()
-                row[int(h[:8], 16) % self.dimension] += n if h[8] < "8" else -n
+                place, sign = _hashed(feature)
+                row[place % self.dimension] += sign * n
             length = np.sqrt(row @ row)
             if length:
                 row /= length
@@ -53,8 +58,6 @@ class HashingEmbedder:
 
 def embed_column(docs: DataFrame, text: str, embedder: Embedder, into: str = "embedding", sub_batch: int = 64) -> DataFrame:
     """Add embeddings, computed partition by partition in Arrow batches."""
-    bounded_batches(docs.sparkSession)
-
     def run(texts: pd.Series) -> pd.Series:
         values = list(texts)
         parts = [embedder.embed(values[k : k + sub_batch]) for k in range(0, len(values), sub_batch)]

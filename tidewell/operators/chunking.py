@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as text_patterns
-from tidewell.storage import bounded_batches
 
 CHUNK_TOKENS, OVERLAP_TOKENS, MIN_CHARS = 400, 90, 50
 ENTRIES = 4
@@ -56,7 +55,25 @@ class VocabularyCounter:
     pattern: str
 
     def __call__(self, text: str) -> int:
-        return len(_encoding(self.ranks_path, self.pattern).encode_ordinary(text))
+        encoding = _encoding(self.ranks_path, self.pattern)
+        return sum(len(encoding.encode_ordinary(part)) for part in _within_stack(text))
+
+
+#: Blanks in a row that the pattern may meet at once; it fails near a million.
+LONG_BLANK = 50_000
+
+
+def _within_stack(text: str) -> list[str]:
+    """A text in parts that have no longer run of blanks; such a run counts a few tokens more where it is cut."""
+    if len(text) <= LONG_BLANK or not any(len(r.group()) > LONG_BLANK for r in re.finditer(r"\s+", text)):
+        return [text]
+    out, at = [], 0
+    for run in re.finditer(r"\s+", text):
+        while run.end() - max(at, run.start()) > LONG_BLANK:
+            cut = max(at, run.start()) + LONG_BLANK
+            out.append(text[at:cut])
+            at = cut
+    return [*out, text[at:]]
 
 
 def _is_name(line: str) -> bool:
@@ -149,8 +166,6 @@ def chunks_of(text: str | None, size: int = CHUNK_TOKENS, overlap: int = OVERLAP
 
 def chunked(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     """A row per passage: carried columns, chunk_index, content, token_count. No shuffle."""
-    bounded_batches(docs.sparkSession)
-
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"content": c, "token_count": n} for c, n in chunks_of(t, **options)] for t in texts])
 

@@ -64,5 +64,5 @@ def count_by(df: DataFrame, column: str) -> DataFrame:
 
 def without_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Rows of ``left`` whose key ``right`` lacks: new objects, documents without chunks."""
-    keys = right.select(F.col(right_key).alias("__key")).distinct()
+    keys = right.select(F.col(right_key).alias("__key"))
     return left.join(keys, left[left_key] == keys["__key"], "left_anti")

@@ -1,29 +1,31 @@
 """Idempotent ingest: new objects to documents, chunks and statistics.
 
-Each batch is staged and then appended; what a document's key already names is left out, so
-running a batch again adds nothing. A failed file fails alone. Only files that are not
-ingested yet are opened, each once for every reader that needs it. Staged tables are deleted
-at the end of a batch.
+A batch is one version of the library (:mod:`tidewell.versions`): its documents, chunks and
+statistics are there together or not at all, and what a document's key already names is left
+out, so running a batch again adds nothing. The keys of a batch are sent to the stored ones,
+never the other way. A failed file fails alone. Only files that are not ingested yet are
+opened, each once for every reader that needs it. What is counted is observed while it is
+written; no job only counts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.detect import detect_country, document_country, document_year
 from tidewell.functions.embedding import Embedder, embed_column
 from tidewell.functions.text import basename, strip, suffix
 from tidewell.operators.chunking import chunked
-from tidewell.operators.dashboards import without_match
 from tidewell.operators.tabular import markdown, statistics
 from tidewell.schemas import TABLES, checked_periods
 from tidewell.sources.extract import NATIVE_CHARS, chosen_text, extract_cells, extract_pdfs, extracted_images, joined_pages, pdf_pages, recognised_pages, sheet_cells
 from tidewell.sources.objects import list_objects, of_kind, read_paths
-from tidewell.skew import small
+from tidewell.skew import small, without
 from tidewell.storage import exists, materialize, scratch
+from tidewell.versions import Change, current, read
 
 
 @dataclass
@@ -52,9 +54,16 @@ def checked_ids(documents: DataFrame, there: DataFrame) -> None:
         raise ValueError(f"{clash['a']} and {clash['b']} have the same id")
 
 
+def known(rows: DataFrame, key: str, table: DataFrame, of: str) -> DataFrame:
+    """The keys of ``rows`` (stored) that ``table`` has, as one column; the few keys go to the table, which stays where it lies."""
+    asked = rows.select(F.col(key).alias("__asked")).distinct()
+    return table.join(small(asked), table[of] == F.col("__asked"), "left_semi").select(of).distinct()
+
+
 def new_objects(objects: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
     """Objects not ingested yet. The limit comes first, as a bound on objects looked at."""
-    return without_match(looked_at(objects, limit), documents, "key", "r2_key")
+    listed = looked_at(objects, limit)
+    return without(listed, known(listed, "key", documents, "r2_key"), "key")
 
 
 def looked_at(objects: DataFrame, limit: int | None = None) -> DataFrame:
@@ -100,34 +109,45 @@ def chunk_rows(extracted: DataFrame, embedder: Embedder, **options) -> DataFrame
     return embedded.select(F.xxhash64("document_id", "chunk_index").alias("id"), "document_id", "chunk_index", "content", "token_count", "embedding", "chunk_metadata", F.current_timestamp().cast("timestamp_ntz").alias("created_at"))
 
 
+def written(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``df`` stored, and what was counted of its rows while they were written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), label)
+    got = seen.get
+    return out, {n: got.get(n) or 0 for n in counts}
+
+
 def ingest_batch(spark: SparkSession, extracted: DataFrame, tables: dict[str, str], embedder: Embedder, series: DataFrame | None = None, keep_chunkless: bool = False, **options) -> Ingested:
-    """Append one batch to the tables' folders (documents, chunks, statistics).
+    """Add one batch to the library as a version (documents, chunks, statistics).
 
     Documents without a chunk fail with their statistics, unless ``keep_chunkless`` keeps
-    workbooks of numbers. Documents are written last: until they are, the batch is as if it
-    had not been, and its chunks and statistics are not written twice when it is run again.
+    workbooks of numbers.
     """
-    with scratch():
-        whole = materialize(extracted.dropDuplicates(["key"]), "ingest-extracted")  # extraction runs here, once
-        there = stored(spark, tables["documents"])
-        fresh = materialize(without_match(whole, there, "key", "r2_key"), "ingest-batch")
-        usable = fresh.filter(strip(F.col("text")) != "")
-        chunks = materialize(chunk_rows(usable, embedder, **options), "ingest-chunks")
-        with_chunks = chunks.select(F.col("document_id").alias("__has")).distinct()
+    rows = F.count(F.lit(1))
+    root, names = library_of(tables), {n: tables[n].rstrip("/").rsplit("/", 1)[1] for n in ("documents", "chunks", "statistics")}
+    with scratch(), Change(spark, root) as change:
+        whole, all_ = written(extracted.dropDuplicates(["key"]), "ingest-extracted", n=rows)  # extraction runs here, once
+        there = read(spark, root, names["documents"], TABLES["documents"], change.base)
+        has_text = strip(F.col("text")) != ""
+        fresh, new = written(without(whole, known(whole, "key", there, "r2_key"), "key"), "ingest-batch", n=rows, usable=F.count_if(has_text))
+        usable = fresh.filter(has_text)
+        chunks, pieces = written(chunk_rows(usable, embedder, **options), "ingest-chunks", n=rows)
         documents = document_rows(usable)
-        done = documents if keep_chunkless else documents.join(with_chunks, documents["id"] == with_chunks["__has"], "left_semi")
-        done = materialize(done, "ingest-documents")
+        if not keep_chunkless:
+            documents = documents.join(small(chunks.select(F.col("document_id").alias("__has")).distinct()), documents["id"] == F.col("__has"), "left_semi")
+        done, made = written(documents, "ingest-documents", n=rows)
         checked_ids(done, there)
-        out = Ingested(processed=done.count(), skipped=whole.count() - fresh.count(), chunks=chunks.count())
-        out.failed = usable.count() - out.processed
-        append_new(spark, chunks, tables["chunks"], "document_id")
-        if series is not None:
-            of_done = series.withColumn("document_id", F.xxhash64("key"))
-            ids = done.select(F.col("id").alias("__id"))
-            of_done = materialize(of_done.join(ids, of_done["document_id"] == ids["__id"], "left_semi").drop("key"), "ingest-statistics").select(*[c.split()[0] for c in TABLES["statistics"].split(", ")])
-            append_new(spark, of_done, tables["statistics"], "document_id")
-            out.stat_rows = of_done.count()
-        append_new(spark, done, tables["documents"], "r2_key")
+        out = Ingested(processed=made["n"], skipped=all_["n"] - new["n"], failed=new["usable"] - made["n"], chunks=pieces["n"])
+        if out.processed:
+            change.append(names["documents"], done)
+            change.append(names["chunks"], chunks)
+            if series is not None:
+                of_done = series.withColumn("document_id", F.xxhash64("key"))
+                of_done = of_done.join(small(done.select(F.col("id").alias("__id"))), of_done["document_id"] == F.col("__id"), "left_semi")
+                points, n = written(of_done.select(*[c.split()[0] for c in TABLES["statistics"].split(", ")]), "ingest-statistics", n=rows)
+                out.stat_rows = n["n"]
+                if out.stat_rows:
+                    change.append(names["statistics"], points)
     return out
 
 
@@ -187,15 +207,23 @@ def ingest_folder(spark: SparkSession, folder: str, tables: dict[str, str], embe
     return out
 
 
+def library_of(tables: dict[str, str]) -> str:
+    """The folder that holds the tables that change together."""
+    roots = {tables[n].rstrip("/").rsplit("/", 1)[0] for n in ("documents", "chunks", "statistics")}
+    if len(roots) != 1:
+        raise ValueError(f"tables of one library lie in one folder, not in {sorted(roots)}")
+    return roots.pop()
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    """A table's rows, none if it is not there yet."""
-    name = path.rstrip("/").rsplit("/", 1)[-1]
-    if not exists(spark, path):
+    """A table's rows in the newest version of its library, none if it is not there yet.
+
+    A table that no version names, such as feedback, which its stream appends to, is read as it lies.
+    """
+    root, name = path.rstrip("/").rsplit("/", 1)
+    version = current(spark, root)
+    if name in version.tables:
+        return read(spark, root, name, TABLES[name], version)
+    if version.number and name in ("documents", "chunks", "statistics") or not exists(spark, path):
         return spark.createDataFrame([], TABLES[name])
     return spark.read.schema(TABLES[name]).parquet(path)
-
-
-def append_new(spark: SparkSession, rows: DataFrame, path: str, key: str) -> None:
-    """Append rows whose key the table lacks; file commits are all or nothing."""
-    there = stored(spark, path).select(F.col(key).alias("__there")).distinct()
-    rows.join(there, rows[key] == there["__there"], "left_anti").write.mode("append").parquet(path)

@@ -1,29 +1,31 @@
-"""Changes to stored tables: backfills, deletions, feedback. Each writes beside the table and swaps.
+"""Changes to stored tables: backfills, deletions, feedback. Each is one version of the library.
 
-A swap is two renames, old out and new in, so a reader finds the old table or the new one,
-and an error before them changes nothing.
+Only files that hold a changed row are written anew (:mod:`tidewell.versions`); a driver that
+dies at any step leaves the tables as they were.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import backfill, dashboards
-from tidewell.plans.ingest import stored
+from tidewell.plans.ingest import library_of, stored
 from tidewell.schemas import TABLES, delete_documents
-from tidewell.storage import delete, rename
+from tidewell.skew import small
+from tidewell.versions import Change
+
+
+def _split(path: str) -> tuple[str, str]:
+    root, name = path.rstrip("/").rsplit("/", 1)
+    return root, name
 
 
 def replace_table(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Put ``rows`` in place of the table at ``path``, which ``rows`` may read."""
-    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{aside}-new")
-    rename(spark, path, f"{aside}-old")
-    rename(spark, f"{aside}-new", path)
-    delete(spark, f"{aside}-old")
+    """Put ``rows`` in place of all rows of the table at ``path``, which ``rows`` may read."""
+    root, name = _split(path)
+    with Change(spark, root) as change:
+        change.replace(name, rows)
 
 
 def _columns(name: str) -> list[str]:
@@ -38,9 +40,14 @@ def _updated(spark: SparkSession, path: str, changes: DataFrame, column: str, ne
         counts = {r["outcome"]: r["n"] for r in backfill.outcomes(changes).collect()}
         if counts.get("updated") and not dry_run:
             filled = changes.filter("outcome = 'updated'").select(F.col("id").alias("__id"), F.col(new).alias("__new"))
-            documents = stored(spark, path)
-            rows = documents.join(filled, documents["id"] == filled["__id"], "left").withColumn(column, F.coalesce("__new", column))
-            replace_table(spark, rows.select(*_columns("documents")), path)
+
+            def fill(documents: DataFrame) -> DataFrame:
+                rows = documents.join(small(filled), documents["id"] == F.col("__id"), "left")
+                return rows.withColumn(column, F.coalesce("__new", column)).select(*_columns("documents"))
+
+            root, name = _split(path)
+            with Change(spark, root) as change:
+                change.rewrite(name, TABLES["documents"], filled.select("__id"), "id", fill)
         return counts
     finally:
         changes.unpersist()
@@ -58,9 +65,17 @@ def backfill_links(spark: SparkSession, path: str, links: DataFrame, dry_run: bo
 
 def remove_documents(spark: SparkSession, tables: dict[str, str], ids: DataFrame) -> None:
     """Delete documents by ``id`` with their chunks; statistics stay without them."""
-    kept = delete_documents(*(stored(spark, tables[n]) for n in ("documents", "chunks", "statistics")), ids)
-    for name, rows in zip(("chunks", "statistics", "documents"), (kept[1], kept[2], kept[0])):  # documents last: until then a second run does the same
-        replace_table(spark, rows.select(*_columns(name)), tables[name])
+    def kept(which: int):
+        def change(rows: DataFrame) -> DataFrame:
+            empty = {n: spark.createDataFrame([], TABLES[n]) for n in ("documents", "chunks", "statistics")}
+            name = ("documents", "chunks", "statistics")[which]
+            return delete_documents(*(empty | {name: rows}).values(), ids)[which].select(*_columns(name))
+
+        return change
+
+    with Change(spark, library_of(tables)) as change:
+        for which, (name, key) in enumerate((("documents", "id"), ("chunks", "document_id"), ("statistics", "document_id"))):
+            change.rewrite(_split(tables[name])[1], TABLES[name], ids.select("id"), key, kept(which))
 
 
 def health(spark: SparkSession, tables: dict[str, str]) -> dict:

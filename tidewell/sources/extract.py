@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import scrub, stem, strip
-from tidewell.storage import bounded_batches
+from tidewell.storage import sliced
 
 NATIVE_CHARS = 100
+#: Files that a reader holds at a time.
+FILES = 16
 
 
 def pdf_pages(content: bytes) -> list[str]:
@@ -39,10 +41,8 @@ def sheet_cells(content: bytes, name: str) -> list[tuple[str, int, int, str | No
 
 def extract_pdfs(contents: DataFrame, reader=pdf_pages) -> DataFrame:
     """(path, page_count, native_text) of each file; pages joined by line breaks."""
-    bounded_batches(contents.sparkSession, 16)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches, FILES):
             pages = [reader(c) for c in batch["content"]]
             yield pd.DataFrame({"path": batch["path"], "page_count": [len(p) for p in pages], "native_text": ["\n".join(p) for p in pages]})
 
@@ -51,10 +51,8 @@ def extract_pdfs(contents: DataFrame, reader=pdf_pages) -> DataFrame:
 
 
 def extract_cells(contents: DataFrame, reader=sheet_cells) -> DataFrame:
-    bounded_batches(contents.sparkSession, 16)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches, FILES):
             rows = [(path, *cell) for path, content in zip(batch["path"], batch["content"]) for cell in reader(content, path)]
             if not rows:
                 continue
@@ -65,10 +63,8 @@ def extract_cells(contents: DataFrame, reader=sheet_cells) -> DataFrame:
 
 def recognised_pages(contents: DataFrame, pages: Callable[[bytes], list[bytes]], recognise: Callable[[bytes], str]) -> DataFrame:
     """(key, page, text): pages are taken apart, dealt over all tasks, and recognised one by one."""
-    bounded_batches(contents.sparkSession, 16)
-
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches, FILES):
             rows = [(path, n, image) for path, content in zip(batch["path"], batch["content"]) for n, image in enumerate(pages(content))]
             if rows:
                 yield pd.DataFrame(rows, columns=["key", "page", "image"])
@@ -82,8 +78,6 @@ def recognised_pages(contents: DataFrame, pages: Callable[[bytes], list[bytes]],
 
 def extracted_images(contents: DataFrame, save: Callable[[str, bytes], list[str]]) -> DataFrame:
     """(path, image_paths, n_images): ``save`` stores a file's images and returns their paths."""
-    bounded_batches(contents.sparkSession, 16)
-
     def run(paths: pd.Series, bodies: pd.Series) -> pd.Series:
         return pd.Series([save(p, b) for p, b in zip(paths, bodies)])
 

@@ -126,15 +126,3 @@ def sliced(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.Dat
         for at in range(0, len(batch), rows):
             yield batch.iloc[at : at + rows]
 
-
-def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 64) -> None:
-    """Keep Arrow batches of whole texts small: at most ``rows`` rows, and closed beyond ``mb`` MB.
-
-    The settings belong to the session and stay, since a plan that is returned runs later;
-    smaller ones that were set before are kept.
-    """
-    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key).rstrip("bB")
-        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # a size with another unit was set by someone
-            spark.conf.set(key, str(most))
