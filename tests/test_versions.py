@@ -80,9 +80,9 @@ def steps_of(monkeypatch, die_at):
         if seen[0] == die_at:
             raise Died
 
-    def stage(self, *a):
+    def stage(self, *a, **kw):
         check()
-        out = plain_stage(self, *a)
+        out = plain_stage(self, *a, **kw)
         check()
         return out
 

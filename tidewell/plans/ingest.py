@@ -3,7 +3,8 @@
 A batch is one version of the library (:mod:`tidewell.versions`): its documents, chunks and
 statistics are there together or not at all, and what a document's key already names is left
 out, so running a batch again adds nothing. The keys of a batch are sent to the stored ones,
-never the other way. A failed file fails alone. Only files that are not ingested yet are
+never the other way. A library with indexes (:mod:`tidewell.plans.indexes`) gets the batch's
+entries in the same version. A failed file fails alone. Only files that are not ingested yet are
 opened, each once for every reader that needs it. What is counted is observed while it is
 written; no job only counts.
 """
@@ -20,6 +21,7 @@ from tidewell.functions.embedding import Embedder, embed_column
 from tidewell.functions.text import basename, strip, suffix
 from tidewell.operators.chunking import chunked
 from tidewell.operators.tabular import markdown, statistics
+from tidewell.plans import indexes
 from tidewell.schemas import TABLES, checked_periods
 from tidewell.sources.extract import NATIVE_CHARS, chosen_text, extract_cells, extract_pdfs, extracted_images, joined_pages, pdf_pages, recognised_pages, sheet_cells
 from tidewell.sources.objects import list_objects, of_kind, read_paths
@@ -141,6 +143,9 @@ def ingest_batch(spark: SparkSession, extracted: DataFrame, tables: dict[str, st
         if out.processed:
             change.append(names["documents"], done)
             change.append(names["chunks"], chunks)
+            centroids = indexes.centroids_of(spark, root, change.base)
+            if centroids is not None:
+                indexes.add(change, chunks.withColumnRenamed("id", "chunk_id"), done, centroids)
             if series is not None:
                 of_done = series.withColumn("document_id", F.xxhash64("key"))
                 of_done = of_done.join(small(done.select(F.col("id").alias("__id"))), of_done["document_id"] == F.col("__id"), "left_semi")
