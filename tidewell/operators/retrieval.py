@@ -114,6 +114,62 @@ def retrieve(chunks: DataFrame, query: Sequence[float], top_k: int = 8, filters:
     return lowest.filter(F.col("tier") <= F.col("__lowest")).drop("__lowest").orderBy(*best_first()).limit(top_k)
 
 
+def retrieve_many(chunks: DataFrame, queries: DataFrame, top_k: int = 8, min_similarity: float = 0.45, metric: str = "cosine", vector_block: int | None = None, query_block: int | None = None) -> DataFrame:
+    """:func:`retrieve` for a table of questions: (qid, rank, chunk_id, document_id, tier, score).
+
+    ``queries`` has qid, embedding and the filters of each question (``FILTERS``, null: no
+    filter), ``chunks`` chunk_id, embedding and the columns they filter. Both are dealt into
+    blocks by hash; where a block of each meets, scores are one product of matrices, filters
+    one mask a question, and every question keeps the ``top_k`` of each tier above the floor.
+    Of those of all blocks the lowest tier decides. A question with a document has tier 0,
+    that document and no floor.
+    """
+    parts = max(1, -(-chunks.count() // (vector_block or VECTOR_BLOCK)))
+    groups = max(1, -(-queries.count() // (query_block or QUERY_BLOCK)))
+    rows = chunks.select("chunk_id", "embedding", *FILTERS, F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    asked = queries.select("qid", F.col("embedding").alias("asked"), *[F.col(f).alias(f"by_{f}") for f in FILTERS], F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def meet(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own) and len(others):
+            ids, documents = own["chunk_id"].to_numpy(), own["document_id"].to_numpy()
+            columns = {f: own[f].to_numpy() for f in FILTERS}
+            scores = vectors.block_scores(metric, vectors.matrix(own["embedding"]), vectors.matrix(others["asked"]))
+            for q, score in zip(others.to_dict("records"), scores.T):
+                wanted = {f: q[f"by_{f}"] for f in FILTERS if not pd.isna(q[f"by_{f}"])}
+                holds = {f: columns[f] == v for f, v in wanted.items()}
+                full = np.logical_and.reduce(list(holds.values())) if holds else np.ones(len(ids), bool)
+                if "document_id" in wanted:
+                    tiers, above = np.zeros(len(ids), int), full
+                else:
+                    but_year = np.logical_and.reduce([h for f, h in holds.items() if f != "year"] or [np.ones(len(ids), bool)])
+                    tiers = np.where(full, 0, np.where(but_year & ("year" in wanted), 1, 2))
+                    above = ~(score < min_similarity)
+                for tier in range(3):
+                    some = np.flatnonzero(above & (tiers == tier))
+                    best = some[np.lexsort((ids[some], -np.where(np.isnan(score[some]), -np.inf, score[some])))[:top_k]]
+                    out.append(pd.DataFrame({"qid": q["qid"], "chunk_id": ids[best], "document_id": documents[best], "tier": tier, "score": score[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": [], "chunk_id": [], "document_id": [], "tier": [], "score": []})
+
+    few = rows.groupBy("part", "group").cogroup(asked.groupBy("part", "group")).applyInPandas(meet, "qid long, chunk_id long, document_id long, tier int, score double")
+    lowest = few.withColumn("__lowest", F.min("tier").over(Window.partitionBy("qid"))).filter(F.col("tier") <= F.col("__lowest"))  # 3 * top_k rows a block
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(*best_first()))
+    return lowest.withColumn("rank", rank).filter(F.col("rank") <= top_k).select("qid", "rank", "chunk_id", "document_id", "tier", "score")
+
+
+def enriched_many(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """:func:`enriched` for the hits of many questions: rows of ``hits`` join their documents by id."""
+    docs = documents.select(F.col("id").alias("__id"), "filename", "category", "year", "source_url")
+    out = hits.join(docs, F.col("document_id") == F.col("__id"), "left")
+    return out.withColumn("source", F.coalesce("filename", F.concat(F.lit("doc#"), F.col("document_id").cast("string")))).drop("__id", "filename")
+
+
+def sources_many(items: DataFrame) -> DataFrame:
+    """(qid, source, rank, score): one row per question and source name, the best placed."""
+    first = F.row_number().over(Window.partitionBy("qid", "source").orderBy("rank"))
+    return items.withColumn("__first", first).filter("__first = 1").select("qid", "source", "rank", half_even(F.col("score"), 3).alias("score"))
+
+
 def enriched(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """A few ranked hits with their documents' columns; a missing document gives ``doc#id`` and nulls.
 

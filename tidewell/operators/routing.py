@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.detect import detect_country, detect_year
-from tidewell.functions.text import fold, grams, let, strip
-from tidewell.skew import small
+from tidewell.functions.text import fold, let, strip
 
 # Substrings that route a question.
 DATA_KEYWORDS = ("taux", "inflation", "masse monetaire", "reserves", "statistique", "montant", "valeur", "evolution", "combien", "chiffre", "pourcentage", "balance", "emission")
@@ -82,25 +82,56 @@ def read_synonyms(spark, path: str) -> DataFrame:
     return kept.select(F.col("ord").cast("int").alias("ord"), "key", "terms")
 
 
-#: Letters of a key by which it is looked up in a question.
-GRAM = 3
+#: Keys of one automaton and questions of one task, about.
+KEYS, QUESTIONS = 50_000, 20_000
 
 
-def matched_synonyms(questions: DataFrame, synonyms: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:
+def _automaton(keys: Sequence[str]):
+    """All keys as one automaton; each leads to the places of the rows that have it. Empty ones are not in it."""
+    import ahocorasick
+
+    places: dict[str, list[int]] = {}
+    for k, key in enumerate(keys):
+        if key:
+            places.setdefault(key, []).append(k)
+    out = ahocorasick.Automaton()
+    for key, rows in places.items():
+        out.add_word(key, rows)
+    if places:
+        out.make_automaton()
+    return out if places else None
+
+
+def matched_synonyms(questions: DataFrame, synonyms: DataFrame, qid: str = "qid", question: str = "question", keys: int = KEYS, block: int = QUESTIONS) -> DataFrame:
     """(qid, ord, key, terms) for every key that the folded question contains, for any number of questions and keys.
 
-    A key can only be contained where its first ``GRAM`` letters are, so questions and keys
-    join by these, and what joins is compared whole.
+    Keys are dealt into parts by hash, each an automaton that is built in the task that uses
+    it, and questions into blocks; every block meets every part, and a question is passed
+    over once in each. Neither side goes through the driver.
     """
-    folded = synonyms.select("ord", "key", "terms", fold(F.col("key")).alias("__key"))
-    keys = folded.withColumn("__gram", F.substring("__key", 1, GRAM))
-    asked = questions.select(qid, fold(F.col(question)).alias("__q"))
-    pieces = F.array(F.lit(""))  # an empty key is in every question
-    for length in range(1, GRAM + 1):
-        pieces = F.array_union(pieces, grams(F.col("__q"), length))
-    each = asked.select(qid, "__q", F.explode(pieces).alias("__asked"))
-    met = each.join(small(keys), each["__asked"] == keys["__gram"])
-    return met.filter(F.contains(F.col("__q"), F.col("__key"))).select(qid, "ord", "key", "terms")
+    parts = max(1, -(-synonyms.count() // keys))
+    blocks = max(1, -(-questions.count() // block))
+    folded = fold(F.col("key"))
+    right = synonyms.select("ord", "key", "terms", folded.alias("__key"), F.pmod(F.xxhash64(folded), F.lit(parts)).cast("int").alias("__part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    left = questions.select(F.col(qid).alias("__qid"), fold(F.col(question)).alias("__q"), F.pmod(F.xxhash64(qid, question), F.lit(blocks)).cast("int").alias("__block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"))
+
+    def match(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        automaton = _automaton(known["__key"].tolist())
+        always = [k for k, key in enumerate(known["__key"]) if key == ""]  # an empty key is in every question
+        rows, hits = [], []
+        for n, text in enumerate(asked["__q"]):
+            if text is None:
+                continue
+            found = sorted({*always, *(k for _, places in (automaton.iter(text) if automaton else ()) for k in places)})
+            rows += [n] * len(found)
+            hits += found
+        out = known.iloc[hits][["ord", "key", "terms"]].reset_index(drop=True)
+        out.insert(0, qid, asked["__qid"].iloc[rows].to_numpy())
+        return out
+
+    kind = questions.schema[qid].dataType.simpleString()
+    schema = f"`{qid}` {kind}, ord {synonyms.schema['ord'].dataType.simpleString()}, key string, terms array<string>"
+    return left.groupBy("__part", "__block").cogroup(right.groupBy("__part", "__block")).applyInPandas(match, schema)
 
 
 def expanded(questions: DataFrame, synonyms: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:

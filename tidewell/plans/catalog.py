@@ -137,6 +137,38 @@ def retrieval_drop_year(spark, d):
     return retrieval.retrieve(chunks, _vector(spark, d, 7), 8, {"category": "fr", "year": 99}, 0.05).select("chunk_id", "tier", F.round("score", 6).alias("score"))
 
 
+_Q_ROWS = "(SELECT conv_id * 100 + turn AS qid, CASE turn % 3 WHEN 0 THEN 'src' || (conv_id % 7) END AS country, CASE WHEN turn % 2 = 0 THEN conv_id % 6 END AS year, CASE WHEN conv_id % 11 = 5 THEN conv_id % 10 END AS document_id, CAST(e.embedding AS DOUBLE[]) AS q FROM conversations JOIN embeddings e ON (conv_id * 7 + turn) % 400 = e.vec_id WHERE role = 'user')"
+_Q_SCORED = f"(SELECT q.qid, e.vec_id AS chunk_id, CAST(e.label AS BIGINT) AS document_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.q), 12) AS s, coalesce(q.country = d.source, true) AS c, coalesce(q.year = e.vec_id % 6, true) AS y, q.year IS NOT NULL AS has_year, q.document_id FROM {_Q_ROWS} q, embeddings e JOIN documents d ON e.vec_id = d.doc_id)"
+_Q_FOUND = (
+    f"(SELECT qid, chunk_id, document_id, tier, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_id) AS rank FROM (SELECT *, min(tier) OVER (PARTITION BY qid) AS lowest FROM ("
+    f"SELECT qid, chunk_id, document_id, s, CASE WHEN asked IS NOT NULL THEN 0 WHEN c AND y THEN 0 WHEN c AND has_year THEN 1 ELSE 2 END AS tier FROM (SELECT qid, chunk_id, document_id, s, c, y, has_year, document_id_1 AS asked FROM {_Q_SCORED}) "
+    "WHERE CASE WHEN asked IS NOT NULL THEN document_id = asked AND c AND y ELSE s >= 0.1 END)) WHERE tier <= lowest QUALIFY rank <= 6)"
+).replace("q.document_id FROM", "q.document_id AS document_id_1 FROM")
+
+
+def _questions_found(spark, d):
+    """Hits of all user messages, each with filters of its own; a vector stands for each message's embedding."""
+    asked = table(spark, d, "conversations").filter("role = 'user'")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    asked = asked.select((conv * 100 + turn).alias("qid"), F.when(turn % 3 == 0, F.concat(F.lit("src"), (conv % 7).cast("string"))).alias("country"), F.when(turn % 2 == 0, conv % 6).cast("int").alias("year"), F.when(conv % 11 == 5, conv % 10).alias("document_id"), F.lit(None).cast("string").alias("category"), ((conv * 7 + turn) % 400).alias("v"))
+    queries = asked.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding"), "v")
+    chunks = _passages(spark, d).withColumn("year", (F.col("chunk_id") % 6).cast("int"))
+    return retrieval.retrieve_many(chunks, queries, 6, 0.1)
+
+
+@query(f"SELECT qid, rank, chunk_id, CAST(tier AS INTEGER) AS tier, round(s, 6) AS score FROM {_Q_FOUND}")
+def questions_retrieved(spark, d):
+    """The fallback cascade of all user messages in one plan."""
+    return _questions_found(spark, d).select("qid", "rank", "chunk_id", "tier", F.round("score", 6).alias("score"))
+
+
+def _questions_items(spark, d):
+    return retrieval.enriched_many(_questions_found(spark, d), _library_documents(spark, d))
+
+
+_Q_ITEMS = "(SELECT f.*, coalesce(l.filename, 'doc#' || f.document_id) AS source, l.year FROM {found} f LEFT JOIN {lib} l ON f.document_id = l.id)"
+
+
 def _library_documents(spark, d):
     """documents in the library's columns; nulls are derived."""
     return table(spark, d, "documents").select(
@@ -160,6 +192,20 @@ _LIB = (
 )
 
 
+_Q_ITEMS = _Q_ITEMS.format(found=_Q_FOUND, lib=_LIB)
+
+
+@query(f"SELECT qid, source, rank, round(s, 3) AS score FROM {_Q_ITEMS} QUALIFY row_number() OVER (PARTITION BY qid, source ORDER BY rank) = 1")
+def questions_sources(spark, d):
+    return retrieval.sources_many(_questions_items(spark, d))
+
+
+@query(f"SELECT qid, string_agg('[Source ' || rank || ' : ' || source || CASE WHEN coalesce(year, 0) <> 0 THEN ', ' || year ELSE '' END || ']' || chr(10) || 'passage ' || chunk_id, chr(10) || chr(10) ORDER BY rank) AS context FROM {_Q_ITEMS} GROUP BY qid")
+def questions_context(spark, d):
+    items = _questions_items(spark, d).withColumn("content", F.concat(F.lit("passage "), F.col("chunk_id").cast("string")))
+    return retrieval.context_text(items, ["qid"])
+
+
 def _hits(spark, d):
     """Top 30 hits; some point at documents that do not exist."""
     top = retrieval.similarity_search(_chunks(spark, d), _vector(spark, d, 7), 30)
@@ -460,6 +506,18 @@ def expand_questions(spark, d):
     return routing.expanded(_asked(spark, d), routing.synonym_table(spark))
 
 
+_DICTIONARY = "(SELECT CAST(row_number() OVER (ORDER BY key) AS INTEGER) AS ord, key FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS key FROM benchmark))"
+
+
+@query(f"SELECT q.qid, count(*) AS n, min(s.ord) AS first, max(s.ord) AS last FROM {_ASKED} q JOIN {_DICTIONARY} s ON contains(strip_accents(lower(q.question)), s.key) GROUP BY q.qid")
+def matched_dictionary(spark, d):
+    """Every message against a dictionary of some hundred keys: the words of the benchmark."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0)).alias("key")).distinct()
+    keys = words.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("key")).alias("ord"), "key", F.array(F.upper("key")).alias("terms"))  # words of a small table
+    found = routing.matched_synonyms(_asked(spark, d), keys)
+    return found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"), F.max("ord").alias("last"))
+
+
 _CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
 _AMOUNT = (
     f"(SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 10 WHEN 0 THEN w || ',' || f WHEN 1 THEN '(' || w || ',' || f || ')' WHEN 2 THEN w || ',' || f || '%' WHEN 3 THEN '(' || w || '%)' WHEN 4 THEN w // 1000 || ' ' || lpad(CAST(w % 1000 AS VARCHAR), 3, '0') || ',' || f "
@@ -703,15 +761,84 @@ def feedback_stream_counts(spark, d):
     return spark.table(name)
 
 
-# --- optional indexes ------------------------------------------------------------------
+# --- indexes ---------------------------------------------------------------------------
+
+_roots: dict[tuple[str, str], str] = {}
+
+
+def _indexed(spark, d) -> str:
+    """The library folder of these tables, with its indexes; they are built by the first query that asks and kept for the application."""
+    from tidewell.plans import indexes
+
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _roots:
+        root = new_path(spark, "indexed")
+        indexes.build(spark, root, _chunks(spark, d), _library_documents(spark, d), 4, ["filename", "subcategory"])
+        _roots[key] = root
+    return _roots[key]
 
 
 @query(f"SELECT id, country FROM {_LIB} WHERE contains(lower(coalesce(filename, '')), 'doc-12') OR contains(lower(coalesce(subcategory, '')), 'doc-12')")
 def library_trigram_search(spark, d):
-    from tidewell.operators import ann
+    """A substring through the kept postings."""
+    from tidewell.plans import indexes
+
+    return indexes.containing(spark, _indexed(spark, d), _library_documents(spark, d), "doc-12", ["filename", "subcategory"]).select("id", "country")
+
+
+def _graph_found(spark, d) -> DataFrame:
+    from tidewell.plans import indexes
+
+    return indexes.nearest(spark, _indexed(spark, d), _queries(_chunks(spark, d)), 8, 4)
+
+
+@query()
+def vector_graph_topk(spark, d):
+    """Top-8 through the kept graphs, for the vectors as they are."""
+    return _ranked(_graph_found(spark, d))
+
+
+@query("SELECT count(*) AS n_queries, 8 * count(*) AS n_results, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+def vector_graph_recall(spark, d):
+    """Whether the graphs find nine tenths of the exact top-8 of all queries."""
+    chunks = _chunks(spark, d)
+    exact = retrieval.topk_per_query(chunks, _queries(chunks), 8).select("qid", "chunk_id")
+    both = _graph_found(spark, d).select("qid", "chunk_id", F.lit(True).alias("found"))
+    return exact.join(both, ["qid", "chunk_id"], "left").agg(F.count_distinct("qid").alias("n_queries"), F.count(F.lit(1)).alias("n_results"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recalled"))
+
+
+@query(
+    "WITH l AS (SELECT 'f' || (page_id % 30) || '.pdf' AS filename, arg_max(url, page_id) AS link FROM pages GROUP BY 1), "
+    "p AS (SELECT page_id AS id, 'f' || (page_id % 50) || '.pdf' AS filename FROM pages WHERE page_id % 10 <> 3) "
+    "SELECT id, p.filename, l.link AS source_url, (SELECT count(*) FROM pages) AS n_chunks, (SELECT count(*) FROM pages WHERE page_id % 10 = 3) AS n_orphans FROM p LEFT JOIN l ON p.filename = l.filename"
+)
+def versioned_changes(spark, d):
+    """A library in two batches, a backfill of links and a deletion, each a version; chunks and statistics change with their documents."""
+    from tidewell.plans import ingest, maintenance
+    from tidewell.schemas import TABLES
+    from tidewell.versions import Change
+
+    root = new_path(spark, "library")
+    tables = {n: f"{root}/{n}" for n in ("documents", "chunks", "statistics")}
+    p = table(spark, d, "pages")
+    n = F.col("page_id")
+    name = lambda m: F.concat(F.lit("f"), (n % m).cast("string"), F.lit(".pdf"))
 
-    docs = _library_documents(spark, d)
-    return ann.substring_search(docs, ann.postings(docs, ["filename", "subcategory"]), "doc-12", ["filename", "subcategory"]).select("id", "country")
+    def shaped(rows: DataFrame, of: str) -> DataFrame:
+        return spark.createDataFrame([], TABLES[of]).unionByName(rows, allowMissingColumns=True)
+
+    for half in (0, 1):
+        some = p.filter(n % 2 == half)
+        with Change(spark, root) as change:
+            change.append("documents", shaped(some.select(n.alias("id"), name(50).alias("filename"), F.lit("pdf").alias("file_type")), "documents"))
+            for of in ("chunks", "statistics"):
+                change.append(of, shaped(some.select(n.alias("id"), n.alias("document_id")), of))
+    maintenance.backfill_links(spark, tables["documents"], p.select(F.concat(F.lit("x/"), name(30)).alias("chemin_relatif"), F.col("url").alias("lien"), n.alias("row_no")))
+    maintenance.remove_documents(spark, tables, p.filter(n % 10 == 3).select(n.alias("id")))
+    rest = {t: ingest.stored(spark, tables[t]) for t in tables}
+    counts = rest["chunks"].agg(F.count(F.lit(1)).alias("kept")).crossJoin(rest["statistics"].agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("document_id").isNull()).alias("n_orphans")))  # a row of each
+    found = rest["documents"].select("id", "filename", "source_url").crossJoin(F.broadcast(counts))
+    return found.select("id", "filename", "source_url", (F.col("kept") + F.col("n_orphans")).alias("n_chunks"), "n_orphans")
 
 
 @query(_per_query(8, "SELECT vec_id AS id, list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) + CASE WHEN i = label + 1 THEN 3 ELSE 0 END) AS v FROM embeddings"))
