@@ -24,6 +24,7 @@ from tidewell.operators.tabular import markdown, statistics
 from tidewell.plans import indexes
 from tidewell.schemas import TABLES, checked_periods
 from tidewell.sources.extract import NATIVE_CHARS, chosen_text, extract_cells, extract_pdfs, extracted_images, joined_pages, pdf_pages, recognised_pages, sheet_cells
+from tidewell.sources.listing import list_store, read_store
 from tidewell.sources.objects import list_objects, of_kind, read_paths
 from tidewell.skew import small, without
 from tidewell.storage import exists, materialize, scratch
@@ -191,21 +192,26 @@ def extracted_files(bodies: DataFrame, pdf_reader=pdf_pages, sheet_reader=sheet_
 FILES_PER_JOB = 10_000
 
 
-def ingest_folder(spark: SparkSession, folder: str, tables: dict[str, str], embedder: Embedder, metadata: DataFrame | None = None, only: str | None = None, limit: int | None = None, files_per_job: int = FILES_PER_JOB, pdf_reader=pdf_pages, sheet_reader=sheet_cells, page_splitter=None, recogniser=None, image_saver=None, **options) -> Ingested:
+def ingest_folder(spark: SparkSession, folder: str, tables: dict[str, str], embedder: Embedder, metadata: DataFrame | None = None, only: str | None = None, limit: int | None = None, files_per_job: int = FILES_PER_JOB, pdf_reader=pdf_pages, sheet_reader=sheet_cells, page_splitter=None, recogniser=None, image_saver=None, store: str | None = None, **options) -> Ingested:
     """List, leave out what is known, and extract and ingest what is left of a folder, lot by lot.
 
-    What is known counts as skipped and is never opened.
+    What is known counts as skipped and is never opened. ``store`` names a store
+    (:mod:`tidewell.sources.listing`) to list and fetch from in place of Spark's file reader.
     """
     readers = {"pdf_reader": pdf_reader, "sheet_reader": sheet_reader, "page_splitter": page_splitter, "recogniser": recogniser, "image_saver": image_saver}
     out = Ingested()
     with scratch():
-        listed = materialize(looked_at(of_kind(list_objects(spark, folder, metadata), only), limit), "ingest-listed")
+        found = list_objects(spark, folder, metadata) if store is None else list_store(spark, folder, store)
+        listed = materialize(looked_at(of_kind(found, only), limit), "ingest-listed")
         fresh = materialize(new_objects(listed, stored(spark, tables["documents"])), "ingest-fresh")
         out.skipped = listed.count() - fresh.count()
         paths = [r["path"] for r in fresh.select("path").orderBy("path").limit(files_per_job).collect()]
         while paths:
             with scratch():
-                bodies = read_paths(spark, paths).join(fresh, "path")
+                if store is None:
+                    bodies = read_paths(spark, paths).join(fresh, "path")
+                else:
+                    bodies = materialize(read_store(fresh.filter((F.col("path") >= paths[0]) & (F.col("path") <= paths[-1])), folder, store), "ingest-contents")
                 documents, series = extracted_files(bodies, **readers)
                 out.add(ingest_batch(spark, documents, tables, embedder, series, **options))
             paths = [r["path"] for r in fresh.filter(F.col("path") > paths[-1]).select("path").orderBy("path").limit(files_per_job).collect()]
