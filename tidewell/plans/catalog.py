@@ -8,7 +8,6 @@ conversations for the chat log, pages.url for object keys, events.props for meta
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -754,11 +753,53 @@ def feedback_stream_counts(spark, d):
     """Counts of a stream that reads what there is and ends; a row for each day and kind is held."""
     from tidewell.streaming.feedback import windowed_counts
 
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    name = f"counts_{uuid.uuid4().hex}"
-    windowed_counts(stream, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    path = new_path(spark, "counts")
+    counts = windowed_counts(stream, "ts", "event_type")
+
+    def keep(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+def _stream_of_events(spark, d, **columns) -> tuple[DataFrame, str]:
+    """Events as a stream that arrives in four parts by time, the last with rows that end it, and a folder for its results."""
+    from tidewell.streaming import stateful
+
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), *[c.alias(n) for n, c in columns.items()])
+    low, high = events.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    source = new_path(spark, "arriving")
+    part = F.least(F.floor((F.col("ts").cast("double") - low) * 4 / F.lit(max(high - low, 1.0))), F.lit(3))
+    for k in range(4):
+        rows = events.filter(part == k)
+        (rows.unionByName(stateful.flush(events)) if k == 3 else rows).write.mode("append").parquet(source)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(source), new_path(spark, "streamed")
+
+
+@query("SELECT event_id AS id, event_type AS key, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS rolling FROM events")
+def rolling_latency_stream(spark, d):
+    """:func:`rolling_latency` with keyed state over a stream."""
+    from tidewell.streaming import stateful
+
+    stream, path = _stream_of_events(spark, d, key=F.col("event_type"), value=F.col("value"))
+    stateful.drained(stateful.rolling_means(stream, "365 days"), path, new_path(spark, "stream"))
+    return spark.read.parquet(path).filter("id >= 0").select("id", "key", F.round("rolling", 6).alias("rolling"))
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT event_id AS id, (user_id % 50) || ':' || event_type AS key, ts, row_number() OVER (PARTITION BY user_id % 50, event_type ORDER BY ts, event_id) AS n FROM events), "
+    "w AS (SELECT id, key, n, ts AS made, false AS hit FROM e WHERE n = 1 UNION ALL SELECT e.id, e.key, e.n, CASE WHEN epoch_us(e.ts) - epoch_us(w.made) <= 86400000000 THEN w.made ELSE e.ts END, epoch_us(e.ts) - epoch_us(w.made) <= 86400000000 FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1) "
+    "SELECT id, key, hit FROM w"
+)
+def cache_expiry_stream(spark, d):
+    """Which questions of a stream find an answer not older than a day; users and kinds of events stand for questions."""
+    from tidewell.streaming import stateful
+
+    stream, path = _stream_of_events(spark, d, key=F.concat((F.col("user_id") % 50).cast("string"), F.lit(":"), "event_type"))
+    stateful.drained(stateful.cache_hits(stream, "365 days", 86400), path, new_path(spark, "stream"))
+    return spark.read.parquet(path).filter("id >= 0").select("id", "key", "hit")
 
 
 # --- indexes ---------------------------------------------------------------------------
