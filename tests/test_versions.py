@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tests.test_plans import EXTRACTED, MODEL, files, tables  # noqa: F401  a fixture
 from tidewell import versions
-from tidewell.plans import ingest, maintenance
+from tidewell.operators import dashboards
+from tidewell.plans import ingest, maintenance, summaries
 from tidewell.schemas import TABLES
 
 KEYED = "id long, v string"
@@ -155,3 +156,30 @@ def test_counts_are_observed_not_run(spark, tables):  # noqa: F811
     out, counts = ingest.written(spark.range(5), "x", n=F.count(F.lit(1)), even=F.count_if(F.col("id") % 2 == 0))
     assert counts == {"n": 5, "even": 3} and out.count() == 5
     assert set(TABLES) >= {"documents", "chunks", "statistics"}
+
+
+def test_dashboards_are_kept_up_by_deltas(spark, tables, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(summaries, "PIECES", 2)
+    ingest.ingest_batch(spark, spark.createDataFrame(files("a", "b"), EXTRACTED), tables, MODEL)
+    root = ingest.library_of(tables)
+    summaries.build(spark, root, ingest.stored(spark, tables["documents"]))
+
+    def check(pieces):
+        documents, counts = ingest.stored(spark, tables["documents"]), summaries.summary(spark, root)
+        assert len(versions.current(spark, root).tables["summary"].folders) == pieces
+        assert summaries.by_month(counts).collect() == dashboards.by_month(documents).collect()
+        assert summaries.by_label(counts, "category", "x").collect() == dashboards.by_label(documents, "category", "x").collect()
+        columns = ["category", "country", "year", "type_document"]
+        assert summaries.distinct_values(counts, columns).collect() == dashboards.distinct_values(documents, columns).collect()
+        assert not any("/documents/" in f for f in counts.inputFiles())
+
+    check(1)
+    ingest.ingest_batch(spark, spark.createDataFrame([("e/n.pdf", {"module": ""}, "pdf", "Un texte sur le Tchad et la banque. " * 4, "native", 3, None), ("e/o.pdf", {}, "pdf", "Un autre texte sur la banque. " * 4, "native", 3, None)], EXTRACTED), tables, MODEL)
+    check(2)
+    gone = spark.createDataFrame(ingest.stored(spark, tables["documents"]).filter("filename IN ('a.pdf', 'o.pdf')").select("id").collect() * 2, "id long")
+    maintenance.remove_documents(spark, tables, gone)
+    check(3)
+    maintenance.remove_documents(spark, tables, gone)  # they are gone already
+    ingest.ingest_batch(spark, spark.createDataFrame(files("z"), EXTRACTED), tables, MODEL)
+    check(1 + (len(versions.current(spark, root).tables["summary"].folders) - 1))
+    assert len(versions.current(spark, root).tables["summary"].folders) <= 2

@@ -351,6 +351,40 @@ def orphans_anti_join(spark, d):
     return dashboards.without_match(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", "doc_id")
 
 
+@query(
+    "WITH d AS (SELECT CASE WHEN lang = 'es' THEN NULL WHEN lang = 'de' THEN '' ELSE lang END AS category, nullif(source, 'src1') AS country, strftime(TIMESTAMP '2020-01-01' + INTERVAL 1 DAY * (doc_id % 700), '%Y-%m') AS month FROM documents WHERE doc_id % 9 <> 4) "
+    "SELECT 'category' AS dimension, category AS value, count(*) AS n FROM d GROUP BY category UNION ALL SELECT 'country', country, count(*) FROM d GROUP BY country UNION ALL SELECT 'month', month, count(*) FROM d GROUP BY month"
+)
+def summary_after_changes(spark, d):
+    """Dashboard counts out of deltas: documents come in three batches, then a ninth of them goes."""
+    from tidewell.plans import maintenance, summaries
+    from tidewell.schemas import TABLES
+    from tidewell.versions import Change
+
+    root = new_path(spark, "summary")
+    tables = {n: f"{root}/{n}" for n in ("documents", "chunks", "statistics")}
+    n = F.col("doc_id")
+    docs = table(spark, d, "documents").select(
+        n.alias("id"), F.when(F.col("lang") == "de", "").when(F.col("lang") != "es", F.col("lang")).alias("category"), F.nullif("source", F.lit("src1")).alias("country"), F.expr("TIMESTAMP_NTZ '2020-01-01' + make_dt_interval(cast(doc_id % 700 as int))").alias("created_at")
+    )
+    empty = spark.createDataFrame([], TABLES["documents"])
+    summaries.build(spark, root, empty)
+    for k in range(3):
+        with Change(spark, root) as change:
+            rows = empty.unionByName(docs.filter(F.col("id") % 3 == k), allowMissingColumns=True)
+            change.append("documents", rows)
+            summaries.add(change, rows)
+    maintenance.remove_documents(spark, tables, docs.filter(F.col("id") % 9 == 4).select("id"))
+    return summaries.summary(spark, root).filter(F.col("dimension").isin("category", "country", "month"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n DESC, category NULLS LAST) AS place, coalesce(nullif(category, ''), 'Non classé') AS label, n FROM (SELECT category, count(*) AS n FROM (SELECT CASE WHEN lang = 'es' THEN NULL WHEN lang = 'de' THEN '' ELSE lang END AS category FROM documents) GROUP BY category)")
+def stats_in_order(spark, d):
+    """The order of a dashboard's rows: each with its place among the counts as they come."""
+    counted = dashboards.by_label(_nulled(spark, d), "category", "Non classé")
+    return counted.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1).select("place", "label", "n")  # a row per category
+
+
 @query(
     "WITH c AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1) SELECT label, n, n / CAST(max(n) OVER () AS DOUBLE) AS share FROM c"
 )

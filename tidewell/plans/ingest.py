@@ -21,7 +21,7 @@ from tidewell.functions.embedding import Embedder, embed_column
 from tidewell.functions.text import basename, strip, suffix
 from tidewell.operators.chunking import chunked
 from tidewell.operators.tabular import markdown, statistics
-from tidewell.plans import indexes
+from tidewell.plans import indexes, summaries
 from tidewell.schemas import TABLES, checked_periods
 from tidewell.sources.extract import NATIVE_CHARS, chosen_text, extract_cells, extract_pdfs, extracted_images, joined_pages, pdf_pages, recognised_pages, sheet_cells
 from tidewell.sources.listing import list_store, read_store
@@ -144,6 +144,7 @@ def ingest_batch(spark: SparkSession, extracted: DataFrame, tables: dict[str, st
         if out.processed:
             change.append(names["documents"], done)
             change.append(names["chunks"], chunks)
+            summaries.add(change, done)
             centroids = indexes.centroids_of(spark, root, change.base)
             if centroids is not None:
                 indexes.add(change, chunks.withColumnRenamed("id", "chunk_id"), done, centroids)

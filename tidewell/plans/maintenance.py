@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import backfill, dashboards
+from tidewell.plans import summaries
 from tidewell.plans.ingest import library_of, stored
 from tidewell.schemas import TABLES, delete_documents
 from tidewell.skew import small
-from tidewell.versions import Change
+from tidewell.versions import Change, read
 
 
 def _split(path: str) -> tuple[str, str]:
@@ -74,6 +75,11 @@ def remove_documents(spark: SparkSession, tables: dict[str, str], ids: DataFrame
         return change
 
     with Change(spark, library_of(tables)) as change:
+        if "summary" in change.tables:
+            name = _split(tables["documents"])[1]
+            there = read(spark, change.root, name, TABLES["documents"], change.base)
+            gone = ids.select(F.col("id").alias("__gone")).distinct()
+            summaries.add(change, there.join(small(gone), there["id"] == F.col("__gone"), "left_semi"), -1)
         for which, (name, key) in enumerate((("documents", "id"), ("chunks", "document_id"), ("statistics", "document_id"))):
             change.rewrite(_split(tables[name])[1], TABLES[name], ids.select("id"), key, kept(which))
 
