@@ -1,5 +1,7 @@
 import math
+import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,14 @@ def test_embedding_is_normalised_and_the_same_everywhere(spark):
     rows = embed_column(spark.createDataFrame([("taux directeur",), (None,)], "t string"), "t", model).collect()
     assert sum(x * x for x in rows[0]["embedding"]) == pytest.approx(1, abs=1e-5) and not any(rows[1]["embedding"])
     assert embed_question(model, "  Taux\nDIRECTEUR ") == pytest.approx(rows[0]["embedding"])
+
+
+def test_fold_is_the_definition_over_all_code_points(spark):
+    def definition(text):
+        plain = text.replace("\u2019", "'").replace("\u2018", "'")
+        return "".join(c for c in unicodedata.normalize("NFD", plain) if unicodedata.category(c) != "Mn").lower()
+
+    letters = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    texts = [*letters, "x\ud55c\uae00y \u00e9\u8a9e \u09cb", ""]
+    rows = spark.createDataFrame(pd.DataFrame({"s": texts})).select("s", text.fold(F.col("s")).alias("f")).collect()
+    assert [r["s"] for r in rows if r["f"] != definition(r["s"])] == []

@@ -8,20 +8,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _fold_table() -> tuple[str, str]:
-    """Precomposed Latin, Greek and Cyrillic letters with their bases; combining marks with nothing."""
-    source, target = [], []
-    for code in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]:
+_HANGUL = (0xAC00, 0xD7A4)
+
+
+def _fold_table() -> tuple[str, str, list[tuple[str, str]]]:
+    """What every code point is without its marks, from the Unicode tables themselves.
+
+    Letters with one base and their bases, then all non-spacing marks, which go; and the few
+    letters of several parts that are no marks. Hangul is left to arithmetic.
+    """
+    one, bases, marks, several = [], [], [], []
+    for code in (*range(0x80, 0x32400), *range(0xE0000, 0xE0200)):  # all planes with letters or marks
+        if 0xD800 <= code < 0xF900 or _HANGUL[0] <= code < _HANGUL[1]:
+            continue
         ch = chr(code)
         base = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
-        if base != ch and len(base) == 1:
-            source.append(ch)
-            target.append(base)
-    marks = [chr(c) for c in range(0x300, 0x370) if unicodedata.category(chr(c)) == "Mn"]
-    return "".join(source) + "".join(marks), "".join(target)
+        if base == "":
+            marks.append(ch)
+        elif base != ch and len(base) == 1:
+            one.append(ch)
+            bases.append(base)
+        elif base != ch:
+            several.append((ch, base))
+    return "".join(one) + "".join(marks), "".join(bases), several
 
 
-_ACCENTED, _BASES = _fold_table()
+_ACCENTED, _BASES, _SEVERAL = _fold_table()
 _QUOTES = "’‘"
 #: Letters without a decomposition, spelled in ASCII.
 _SPELLED = (("œ", "oe"), ("Œ", "OE"), ("æ", "ae"), ("Æ", "AE"), ("ß", "ss"), ("ø", "o"), ("Ø", "O"), ("ł", "l"), ("Ł", "L"), ("đ", "d"), ("Đ", "D"), ("«", "<<"), ("»", ">>"), ("…", "..."), ("€", "EUR"), ("–", "-"), ("—", "--"), (" ", " "), ("“", '"'), ("”", '"'))
@@ -48,9 +60,24 @@ def unify_quotes(text: Column) -> Column:
     return F.translate(text, _QUOTES, "''")
 
 
+def _taken_apart(letter: Column) -> Column:
+    """A letter of several parts as these: Hangul syllables by arithmetic, the others by name."""
+    n = F.ascii(letter) - _HANGUL[0]
+    part = lambda first, k: F.substr(F.lit("".join(map(chr, range(*first)))), (k + 1).cast("int"), F.lit(1))
+    lead, vowel, tail = part((0x1100, 0x1113), F.floor(n / 588)), part((0x1161, 0x1176), F.floor(n % 588 / 28)), F.when(n % 28 > 0, part((0x11A8, 0x11C3), n % 28 - 1)).otherwise("")
+    named = F.create_map(*[F.lit(x) for pair in _SEVERAL for x in pair])
+    return F.when((n >= 0) & (n < _HANGUL[1] - _HANGUL[0]), F.concat(lead, vowel, tail)).otherwise(F.coalesce(F.try_element_at(named, letter), letter))
+
+
+_APART = "[가-힣" + "".join(ch for ch, _ in _SEVERAL) + "]"
+
+
 def fold(text: Column) -> Column:
-    """Lower case without diacritics, typographic apostrophes made plain; ligatures stay."""
-    return F.lower(F.translate(unify_quotes(text), _ACCENTED, _BASES))
+    """Lower case without diacritics, over all of Unicode; typographic apostrophes made plain, ligatures stay."""
+    plain = F.translate(unify_quotes(text), _ACCENTED, _BASES)
+    letters = F.array_join(F.transform(F.split(plain, ""), _taken_apart), "")
+    ascii_only = F.octet_length(plain) == F.length(plain)  # most texts are by now, and need no search
+    return F.lower(F.when(ascii_only, plain).when(F.rlike(plain, F.lit(_APART)), letters).otherwise(plain))
 
 
 def transliterate(text: Column) -> Column:
