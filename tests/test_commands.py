@@ -45,6 +45,9 @@ def test_commands(spark, library, tmp_path, capsys):
     assert said["query_type"] == "hybrid" and said["answer"] == "une réponse" and "value=1.0" in said["context"]
     means = command(spark, library, "evaluate", str(tmp_path / "out"), "--generate", "tests.test_commands:answer", "--samples", "2")
     assert means["n_samples"] <= 2 and set(evaluation.METRICS) <= {k.removeprefix("avg_") for k in means}
+    assert command(spark, library, "index", "--cells", "2") == {"version": 3}
+    assert command(spark, library, "index", "--cells", "2") == {"version": 5} and command(spark, library, "vacuum")["folders"] == 4
+    assert command(spark, library, "health")["documents"] == 3
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.pdf").write_bytes(b"no pdf")
     assert command(spark, library, "ingest", str(tmp_path / "in"))["processed"] == 0

@@ -6,6 +6,8 @@
     python -m tidewell --tables DIR evaluate OUT --generate module:function [--samples N] [--seed S]
     python -m tidewell --tables DIR backfill-keys FOLDER [--dry-run]
     python -m tidewell --tables DIR backfill-links CSV [--dry-run]
+    python -m tidewell --tables DIR index [--cells N]
+    python -m tidewell --tables DIR vacuum
     python -m tidewell --tables DIR health
     python -m tidewell query NAME SF_DIR
 
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 from tidewell.config import Config
 from tidewell.functions.embedding import HashingEmbedder, embed_question
 from tidewell.operators import evaluation, library
-from tidewell.plans import catalog, maintenance
+from tidewell.plans import catalog, indexes, maintenance, summaries
 from tidewell.plans.ask import Engine
-from tidewell.plans.ingest import ingest_folder, stored
+from tidewell.plans.ingest import ingest_folder, library_of, stored
 from tidewell.sources.objects import list_objects, read_links
+from tidewell.versions import current, vacuum
 
 
 def named(reference: str):
@@ -71,6 +74,9 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument(of)
         c.add_argument("--dry-run", action="store_true")
     commands.add_parser("health")
+    commands.add_parser("vacuum")
+    c = commands.add_parser("index")
+    c.add_argument("--cells", type=int, default=16)
     c = commands.add_parser("query")
     c.add_argument("name", choices=sorted(catalog.QUERIES))
     c.add_argument("folder")
@@ -115,6 +121,14 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None):
         out = maintenance.backfill_keys(spark, tables["documents"], list_objects(spark, a.folder), a.dry_run)
     elif a.command == "backfill-links":
         out = maintenance.backfill_links(spark, tables["documents"], read_links(spark, a.csv), a.dry_run)
+    elif a.command == "index":
+        documents = stored(spark, tables["documents"])
+        chunks = stored(spark, tables["chunks"]).select(F.col("id").alias("chunk_id"), "embedding")
+        indexes.build(spark, library_of(tables), chunks, documents, a.cells)
+        summaries.build(spark, library_of(tables), documents)
+        out = {"version": current(spark, library_of(tables)).number}
+    elif a.command == "vacuum":
+        out = {"folders": vacuum(spark, library_of(tables), ["documents", "chunks", "statistics", "graph", "postings", "centroids", "summary"])}
     else:
         out = maintenance.health(spark, tables)
     print(json.dumps(out, ensure_ascii=False, default=str))

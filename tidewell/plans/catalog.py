@@ -412,6 +412,14 @@ def backfill_unique_claim(spark, d):
     return backfill.outcomes(backfill.claimed_keys(docs, objects))
 
 
+@query("SELECT regexp_extract(key, '[^/]*$') AS filename, count(*) AS n_keys, min(key) AS key, list_slice(list_sort(list(key)), 1, 16) AS keys FROM (SELECT DISTINCT 'd' || (page_id % 60) || '/f' || (page_id % 7) AS key FROM pages) GROUP BY 1")
+def keys_by_basename(spark, d):
+    """How many keys a file name has, the smallest, and the first sixteen, which is all that a report names."""
+    n = F.col("page_id")
+    keys = table(spark, d, "pages").select(F.concat(F.lit("d"), (n % 60).cast("string"), F.lit("/f"), (n % 7).cast("string")).alias("key")).distinct()
+    return backfill.keys_by_name(keys)
+
+
 @query("SELECT 'f' || (page_id % 30) AS filename, arg_max(url, page_id) AS link FROM pages GROUP BY 1")
 def backfill_last_wins(spark, d):
     links = table(spark, d, "pages").select(F.concat(F.lit("dir/sub\\f"), (F.col("page_id") % 30).cast("string")).alias("chemin_relatif"), F.col("url").alias("lien"), F.col("page_id").alias("row_no"))
@@ -706,6 +714,15 @@ def entry_group_lots(spark, d):
     return chunking.entry_lots(lines).select("doc_id", "content")
 
 
+@query("SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]{1,4}|[^\\p{L}\\p{N}_\\s]')) AS n_tokens FROM documents")
+def token_estimates(spark, d):
+    """The offline token count of every whole text, by the function that SQL has for it."""
+    from tidewell.functions.registry import register
+
+    register(spark)
+    return table(spark, d, "documents").select("doc_id", F.call_function("count_tokens", F.col("text")).cast("long").alias("n_tokens"))
+
+
 @query()
 def chunk_documents(spark, d):
     return chunking.chunked(table(spark, d, "documents"))
@@ -782,6 +799,15 @@ def log_filter(spark, d):
     return chatlog.of_level(table(spark, d, "events"), "warning-error", "event_type").select("event_id", "event_type")
 
 
+@query("SELECT conv_id, turn FROM conversations WHERE length(text) BETWEEN 1 AND 2000 AND turn % 3 <> 2")
+def feedback_valid(spark, d):
+    """Which votes are taken: those with a question of 1 to 2000 characters and a verdict."""
+    from tidewell.streaming.feedback import valid
+
+    votes = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("question"), F.when(F.col("turn") % 3 != 2, F.col("turn") % 3 == 0).alias("is_positive"))
+    return valid(votes).select("conv_id", "turn")
+
+
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def feedback_stream_counts(spark, d):
     """Counts of a stream that reads what there is and ends; a row for each day and kind is held."""
