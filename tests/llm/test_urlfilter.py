@@ -65,3 +65,18 @@ def test_thousands_of_rules_from_a_table(spark):
         assert (got[k]["rule"], got[k]["verdict"]) == (rule, want), url
         seen.add((rule is None, want))
     assert len(seen) >= 3
+
+
+def test_fifty_thousand_rules_stay_below_a_gigabyte():
+    import tracemalloc
+
+    r = random.Random(3)
+    site = sorted({"".join(r.choice("abcdefghij") for _ in range(9)) + f".com/{k % 7}/" for k in range(urlfilter.MAX_RULES)})
+    rules = urlfilter.Filter([("block", s) for s in site])
+    asked = [r.choice(site) for _ in range(40)] + ["other.com/x/"] * 40
+    tracemalloc.start()
+    got, verdicts = rules.judge([s.split("/")[0] for s in asked], ["/" + s.split("/", 1)[1] + "y" for s in asked], [""] * 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(site) > 49_000 and got[:40] == asked[:40] and set(got[40:]) == {None} and verdicts[:40] == ["block"] * 40
+    assert peak + 2 * rules.sites.enter.nbytes < 1e9

@@ -25,7 +25,7 @@ ignored, and no rows in gives no rows out.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from urllib.parse import quote_from_bytes
 
 import numpy as np
@@ -40,45 +40,64 @@ MAX_RULES = 50_000
 #: Globs that block what no site rule decides; lower case.
 KEYWORD_GLOBS = ("*casino*", "*free-bets*", "*adult-*", "*porn*", "*xxx*", "*warez*", "*viagra*", "*-pills*", "*spam*", "*ads-track*", "*/cgi-bin/*")
 
-#: URLs whose automata advance together.
-_TOGETHER = 8192
+#: URLs whose automata advance together, and words that their states take at most.
+_TOGETHER, _STATE_WORDS = 8192, 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
 _SAFE = "".join(chr(c) for c in range(33, 127))
 
 
+_ANY_BYTE, _BUT_SLASH, _NO_BYTE = np.arange(256), np.array([k for k in range(256) if k != ord("/")]), np.arange(0)
+
+
 class ShiftAnd:
     """All globs in one multiword Shift-And automaton."""
 
     def __init__(self, globs: Sequence[str]):
-        states = []  # (bytes that lead in, bytes it waits on), a glob's states in order
+        states = []  # [bytes that lead in, bytes it waits on], a glob's states in order
         self.final = []
         for glob in globs:
-            states.append([set(), set()])
+            states.append([_NO_BYTE, _NO_BYTE])
             for ch in glob:
                 if ch == "*":
-                    states[-1][1] |= set(range(256))
+                    states[-1][1] = _ANY_BYTE
                 elif ch == "+":
-                    states[-1][1] |= set(range(256)) - {ord("/")}
+                    states[-1][1] = _ANY_BYTE if states[-1][1] is _ANY_BYTE else _BUT_SLASH
                 else:
-                    states.append([set(range(256)) if ch == "?" else {ord(ch)}, set()])
+                    states.append([_ANY_BYTE if ch == "?" else ord(ch), _NO_BYTE])
             self.final.append(len(states) - 1)
         self.words = max(1, -(-len(states) // 64))
         self.enter = np.zeros((256, self.words), np.uint64)
         self.wait = np.zeros((256, self.words), np.uint64)
         self.first = np.zeros(self.words, np.uint64)
+        ends = set(self.final)
         for k, (lead, stay) in enumerate(states):
             bit = np.uint64(1) << np.uint64(k % 64)
             for table, chars in ((self.enter, lead), (self.wait, stay)):
-                table[list(chars), k // 64] |= bit
-            if k == 0 or k - 1 in self.final:
+                if chars is not _NO_BYTE:
+                    table[chars, k // 64] |= bit
+            if k == 0 or k - 1 in ends:
                 self.first[k // 64] |= bit
 
+    def _blocks(self, urls: Sequence[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """(first of some URLs, their (urls, globs) booleans): as many at a time as their states leave room for."""
+        step = max(1, min(_TOGETHER, _STATE_WORDS // self.words))
+        for low in range(0, len(urls), step):
+            yield low, self._match(urls[low : low + step])
+
     def match(self, urls: Sequence[bytes]) -> np.ndarray:
-        """(urls, globs) booleans."""
+        """(urls, globs) booleans, for a few globs."""
         out = np.zeros((len(urls), len(self.final)), bool)
-        for low in range(0, len(urls), _TOGETHER):
-            out[low : low + _TOGETHER] = self._match(urls[low : low + _TOGETHER])
+        for low, found in self._blocks(urls):
+            out[low : low + len(found)] = found
+        return out
+
+    def first_match(self, urls: Sequence[bytes]) -> np.ndarray:
+        """Place of the first glob that each URL matches, -1 if none does."""
+        out = np.full(len(urls), -1)
+        if self.final:
+            for low, found in self._blocks(urls):
+                out[low : low + len(found)] = np.where(found.any(axis=1), found.argmax(axis=1), -1)
         return out
 
     def _match(self, urls: Sequence[bytes]) -> np.ndarray:
@@ -128,11 +147,10 @@ class Filter:
         """The deciding rule (or None) and the verdict for the parts of each URL."""
         if not len(hosts):
             return [], []
-        site = self.sites.match([canonical(h, p) for h, p in zip(hosts, paths)])
-        best = np.where(site.any(axis=1), site.argmax(axis=1), -1) if self.rules else np.full(len(hosts), -1)
+        best = self.sites.first_match([canonical(h, p) for h, p in zip(hosts, paths)])
         verdicts = [self.verdicts[k] if k >= 0 else "allow" for k in best]
         open_ = np.flatnonzero(best < 0)
-        blocked = self.keywords.match([canonical(hosts[k], paths[k], rests[k]).lower() for k in open_]).any(axis=1)
+        blocked = self.keywords.first_match([canonical(hosts[k], paths[k], rests[k]).lower() for k in open_]) >= 0
         for k in open_[blocked]:
             verdicts[k] = "block"
         return [self.rules[k] if k >= 0 else None for k in best], verdicts
