@@ -55,6 +55,31 @@ def test_blocks_give_the_exact_nearest(spark, metric):
     assert retrieval.topk_per_query(chunks, asked.limit(0), 6).count() == 0
 
 
+def test_products_are_bounded_whatever_the_block(monkeypatch):
+    r, held = np.random.default_rng(8), []
+    rows, asked = r.standard_normal((9_000, 4)), r.standard_normal((700, 4))
+    whole = retrieval.vectors.block_scores("cosine", asked, rows)
+
+    def recorded(*given, block_scores=retrieval.vectors.block_scores):
+        held.append(block_scores(*given))
+        return held[-1]
+
+    monkeypatch.setattr(retrieval.vectors, "block_scores", recorded)
+    scores = list(retrieval.slices("cosine", rows, asked))
+    assert [k for k, _ in scores] == list(range(700)) and np.allclose([s for _, s in scores], whole)
+    assert len(held) > 10 and max(h.size for h in held) <= retrieval._SCORES
+
+
+def test_best_rows_keep_the_first_of_equals():
+    r = np.random.default_rng(9)
+    for n in (0, 1, 5, 40):
+        for _ in range(50):
+            score = r.integers(0, 4, n).astype(float)
+            score[r.random(n) < 0.2] = np.nan
+            want = np.lexsort((np.arange(n), -np.where(np.isnan(score), -np.inf, score)))[:6]
+            assert retrieval.best_rows(score, 6).tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
 def test_batches_score_like_elements(spark, metric):
     x, chunks = embedded(spark, 90, 300, 4)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -50,7 +50,28 @@ def similarity_search(chunks: DataFrame, query: Sequence[float], top_k: int = 6,
 
 
 #: Vectors and queries that meet in one task, about.
-VECTOR_BLOCK, QUERY_BLOCK = 16_384, 2_048
+VECTOR_BLOCK, QUERY_BLOCK = 8_192, 4_096
+#: Scores that a task holds at once, about.
+_SCORES = 1 << 19
+
+
+def slices(metric: str, rows: np.ndarray, asked: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of a query, its scores to all rows), a few queries as one product of matrices at a time."""
+    step = max(1, _SCORES // max(len(rows), 1))
+    for start in range(0, len(asked), step):
+        yield from enumerate(vectors.block_scores(metric, asked[start : start + step], rows), start)
+
+
+def best_rows(scores: np.ndarray, top_k: int) -> np.ndarray:
+    """Places of the ``top_k`` best scores, best first, NaN last, the first of equals."""
+    keyed = np.where(np.isnan(scores), -np.inf, scores)
+    if len(keyed) > top_k:
+        least = np.partition(keyed, len(keyed) - top_k)[len(keyed) - top_k]
+        above = np.flatnonzero(keyed > least)
+        some = np.concatenate([above, np.flatnonzero(keyed == least)[: top_k - len(above)]])
+    else:
+        some = np.arange(len(keyed))
+    return some[np.lexsort((some, -keyed[some]))]
 
 
 def topk_per_query(chunks: DataFrame, queries: DataFrame, top_k: int, metric: str = "cosine", vector_block: int | None = None, query_block: int | None = None) -> DataFrame:
@@ -58,7 +79,8 @@ def topk_per_query(chunks: DataFrame, queries: DataFrame, top_k: int, metric: st
 
     ``chunks`` has (chunk_id, embedding) and ``queries`` (qid, embedding); both may be large.
     Each is dealt into blocks by hash, and every block of queries meets every block of
-    vectors in one task as a product of matrices, of which each query keeps its ``top_k``.
+    vectors in one task as products of matrices, a few queries at a time, of which each query
+    keeps its ``top_k``; what a task holds does not grow with either side.
     Rows move once for each block of the other side; no pair becomes a row. If ``chunks``
     has a column ``cell`` and ``queries`` an array ``near`` of cells, a query meets these
     cells only. An embedding may be an array of numbers or, in ``chunks``, one byte each.
@@ -75,12 +97,12 @@ def topk_per_query(chunks: DataFrame, queries: DataFrame, top_k: int, metric: st
     def meet(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(others):
             return pd.DataFrame({"qid": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        ids, scores = own["chunk_id"].to_numpy(), vectors.block_scores(metric, vectors.matrix(own["embedding"]), vectors.matrix(others["asked"]))
-        best = []
-        for qid, column in zip(others["qid"], scores.T):
-            order = np.lexsort((ids, -np.where(np.isnan(column), -np.inf, column)))[:top_k]
-            best.append(pd.DataFrame({"qid": qid, "chunk_id": ids[order], "score": column[order]}))
-        return pd.concat(best)
+        own = own.sort_values("chunk_id")
+        ids, best, scores = own["chunk_id"].to_numpy(), [], []
+        for _, score in slices(metric, vectors.matrix(own["embedding"]), vectors.matrix(others["asked"])):
+            best.append(best_rows(score, top_k))
+            scores.append(score[best[-1]])
+        return pd.DataFrame({"qid": np.repeat(others["qid"].to_numpy(), [len(b) for b in best]), "chunk_id": ids[np.concatenate(best)], "score": np.concatenate(scores)})
 
     best = rows.groupBy("cell", "part", "group").cogroup(asked.groupBy("cell", "part", "group")).applyInPandas(meet, "qid long, chunk_id long, score double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(*best_first()))  # top_k rows a block
