@@ -90,6 +90,33 @@ def test_batches_score_like_elements(spark, metric):
         assert np.allclose([r["score"] for r in plain], [r["score"] for r in batched], atol=1e-9, equal_nan=True)
 
 
+def test_equal_questions_are_answered_once_and_as_one_by_one(spark, monkeypatch):
+    x, chunks = embedded(spark, 120, 6, 11)
+    chunks = chunks.selectExpr("*", "chunk_id % 9 document_id", "nullif('k' || chunk_id % 4, 'k3') category", "'c' country", "cast(2020 + chunk_id % 3 AS int) year").cache()
+    kinds = [(7, None, None, None), (8, "k1", 2021, None), (8, "none", 2021, None), (9, "k2", 1999, None), (60, None, 2020, 4), (40, None, None, None)]
+    asked = [(100 * n + k, x[v].tolist(), category, None, year, document) for n in range(30) for k, (v, category, year, document) in enumerate(kinds)]
+    stored, materialize = {}, retrieval.materialize
+
+    def counted(df, label):
+        stored[label] = materialize(df, label)
+        return stored[label]
+
+    monkeypatch.setattr(retrieval, "materialize", counted)
+    queries = spark.createDataFrame(asked, "qid long, embedding array<double>, category string, country string, year int, document_id long")
+    got = {}
+    for r in retrieval.retrieve_many(chunks, queries, 5, 0.3, vector_block=37, query_block=2).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["chunk_id"], r["tier"]))
+    assert stored["questions"].count() == len(kinds)
+    for k, (v, category, year, document) in enumerate(kinds):
+        want = retrieval.retrieve(chunks, x[v], 5, {"category": category, "year": year, "document_id": document}, 0.3)
+        want = [(r["chunk_id"], r["tier"]) for r in want.collect()]
+        if category is None and year is None:  # no filter: all chunks are of the first tier
+            want = [(c, 0) for c, _ in want]
+        assert all(got.get(100 * n + k, []) == want for n in range(30)), k
+    chunks.unpersist()
+    assert retrieval.retrieve_many(chunks, queries.limit(0), 5).count() == 0
+
+
 def test_codes_find_the_nearest(spark):
     x, chunks = embedded(spark, 800, 32, 5)
     asked = chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), "embedding")

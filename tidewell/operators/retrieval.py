@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import vectors
 from tidewell.functions.text import half_even
+from tidewell.skew import attach
+from tidewell.storage import materialize
 
 FILTERS = ("document_id", "category", "country", "year")
 
@@ -140,43 +143,58 @@ def retrieve_many(chunks: DataFrame, queries: DataFrame, top_k: int = 8, min_sim
     """:func:`retrieve` for a table of questions: (qid, rank, chunk_id, document_id, tier, score).
 
     ``queries`` has qid, embedding and the filters of each question (``FILTERS``, null: no
-    filter), ``chunks`` chunk_id, embedding and the columns they filter. Both are dealt into
-    blocks by hash; where a block of each meets, scores are one product of matrices, filters
-    one mask a question, and every question keeps the ``top_k`` of each tier above the floor.
-    Of those of all blocks the lowest tier decides. A question with a document has tier 0,
-    that document and no floor.
+    filter), ``chunks`` chunk_id, embedding and the columns they filter. Questions that agree
+    in vector and filters are answered once. Both sides are dealt into blocks by hash; where a
+    block of each meets, scores are products of matrices, filters one mask a value, and every
+    question keeps the ``top_k`` of the lowest tier that has a chunk of the block above the
+    floor. Of those of all blocks the lowest tier decides. A question with a document has
+    tier 0, that document and no floor.
     """
+    same = ["embedding", *FILTERS]
+    once = materialize(queries.groupBy(*same).agg(F.min("qid").alias("first"), F.count(F.lit(1)).alias("__weight")), "questions")
+    total, different = once.agg(F.sum("__weight"), F.count(F.lit(1))).first()
     parts = max(1, -(-chunks.count() // (vector_block or VECTOR_BLOCK)))
-    groups = max(1, -(-queries.count() // (query_block or QUERY_BLOCK)))
+    groups = max(1, -(-different // (query_block or QUERY_BLOCK)))
     rows = chunks.select("chunk_id", "embedding", *FILTERS, F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    asked = queries.select("qid", F.col("embedding").alias("asked"), *[F.col(f).alias(f"by_{f}") for f in FILTERS], F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    asked = once.select("first", F.col("embedding").alias("asked"), *[F.col(f).alias(f"by_{f}") for f in FILTERS], F.pmod(F.xxhash64("first"), F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def meet(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(others):
-            ids, documents = own["chunk_id"].to_numpy(), own["document_id"].to_numpy()
-            columns = {f: own[f].to_numpy() for f in FILTERS}
-            scores = vectors.block_scores(metric, vectors.matrix(own["embedding"]), vectors.matrix(others["asked"]))
-            for q, score in zip(others.to_dict("records"), scores.T):
-                wanted = {f: q[f"by_{f}"] for f in FILTERS if not pd.isna(q[f"by_{f}"])}
-                holds = {f: columns[f] == v for f, v in wanted.items()}
-                full = np.logical_and.reduce(list(holds.values())) if holds else np.ones(len(ids), bool)
-                if "document_id" in wanted:
-                    tiers, above = np.zeros(len(ids), int), full
-                else:
-                    but_year = np.logical_and.reduce([h for f, h in holds.items() if f != "year"] or [np.ones(len(ids), bool)])
-                    tiers = np.where(full, 0, np.where(but_year & ("year" in wanted), 1, 2))
-                    above = ~(score < min_similarity)
-                for tier in range(3):
-                    some = np.flatnonzero(above & (tiers == tier))
-                    best = some[np.lexsort((ids[some], -np.where(np.isnan(score[some]), -np.inf, score[some])))[:top_k]]
-                    out.append(pd.DataFrame({"qid": q["qid"], "chunk_id": ids[best], "document_id": documents[best], "tier": tier, "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "chunk_id": [], "document_id": [], "tier": [], "score": []})
-
-    few = rows.groupBy("part", "group").cogroup(asked.groupBy("part", "group")).applyInPandas(meet, "qid long, chunk_id long, document_id long, tier int, score double")
-    lowest = few.withColumn("__lowest", F.min("tier").over(Window.partitionBy("qid"))).filter(F.col("tier") <= F.col("__lowest"))  # 3 * top_k rows a block
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(*best_first()))
-    return lowest.withColumn("rank", rank).filter(F.col("rank") <= top_k).select("qid", "rank", "chunk_id", "document_id", "tier", "score")
+        if not len(own) or not len(others):
+            return pd.DataFrame({"first": [], "chunk_id": [], "document_id": [], "tier": [], "score": []})
+        own = own.sort_values("chunk_id")
+        columns, every = {f: own[f].to_numpy() for f in FILTERS}, np.ones(len(own), bool)
+        holds = lru_cache(maxsize=1024)(lambda f, v: columns[f] == v)
+
+        def tiers(wanted: dict) -> Iterator[np.ndarray]:
+            """The chunks of each tier, those of the tiers before it included."""
+            yield np.logical_and.reduce([every, *(holds(f, v) for f, v in wanted.items())])
+            if "document_id" not in wanted:
+                yield np.logical_and.reduce([every, *(holds(f, v) for f, v in wanted.items() if f != "year")]) if "year" in wanted else ~every
+                yield every
+
+        filters = [{f: q[f"by_{f}"] for f in FILTERS if not pd.isna(q[f"by_{f}"])} for q in others[[f"by_{f}" for f in FILTERS]].to_dict("records")]
+        vector, place = np.unique(vectors.matrix(others["asked"]), axis=0, return_inverse=True)
+        by_vector = np.argsort(place.ravel(), kind="stable")
+        ends = np.searchsorted(place.ravel()[by_vector], np.arange(len(vector) + 1))
+        found = []
+        for k, score in slices(metric, vectors.matrix(own["embedding"]), vector):
+            above = ~(score < min_similarity)
+            for q in by_vector[ends[k] : ends[k + 1]]:
+                for tier, mask in enumerate(tiers(filters[q])):
+                    some = np.flatnonzero(mask if "document_id" in filters[q] else mask & above)
+                    if len(some):  # what later tiers have in this block can't count any more
+                        some = some[best_rows(score[some], top_k)]
+                        found.append((np.full(len(some), q), some, np.full(len(some), tier), score[some]))
+                        break
+        which, best, tier, scores = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 4
+        return pd.DataFrame({"first": others["first"].to_numpy()[which], "chunk_id": own["chunk_id"].to_numpy()[best], "document_id": own["document_id"].to_numpy()[best], "tier": tier, "score": scores})
+
+    few = rows.groupBy("part", "group").cogroup(asked.groupBy("part", "group")).applyInPandas(meet, "first long, chunk_id long, document_id long, tier int, score double")
+    lowest = few.withColumn("__lowest", F.min("tier").over(Window.partitionBy("first"))).filter(F.col("tier") <= F.col("__lowest"))  # top_k rows a block
+    rank = F.row_number().over(Window.partitionBy("first").orderBy(*best_first()))
+    hits = lowest.withColumn("rank", rank).filter(F.col("rank") <= top_k).groupBy("first").agg(F.collect_list(F.struct("rank", "chunk_id", "document_id", "tier", "score")).alias("hits"))
+    answers = materialize(once.join(hits, "first").select(*same, "__weight", "hits"), "answers")
+    return attach(queries.select("qid", *same), answers, same, "__weight", total or 0, ["qid"]).select("qid", F.inline("hits"))
 
 
 def enriched_many(hits: DataFrame, documents: DataFrame) -> DataFrame:
