@@ -105,3 +105,31 @@ def test_a_search_opens_its_folders_only(spark, tmp_path):
     near = indexes.nearest(spark, root, one, 5, 2)
     cells = {p.split("cell=")[1].split("/")[0] for p in near.inputFiles() if "/graph/" in p}
     assert len(cells) == 2 and near.filter("rank = 1").first()["chunk_id"] == 7
+
+
+def test_queries_side_by_side_find_what_each_finds_alone(spark):
+    r = np.random.default_rng(4)
+    x, queries = r.standard_normal((600, 12)), r.standard_normal((30, 12))
+    x, queries = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, queries))
+    links = [np.asarray(n) for n in graph.linked(x, 8)]
+    best, rows, compared = graph.beams(x, links, queries, 20)
+    for k, q in enumerate(queries):
+        found, n = graph.beam(x, links, q, 20)
+        assert set(found) == set(rows[k].tolist()) and n == compared[k] < 600 and np.allclose(np.sort(best[k]), np.sort(x[rows[k]] @ q), atol=1e-5)
+    table = spark.createDataFrame([(k, v.tolist(), k % 2) for k, v in enumerate(x)], "chunk_id long, embedding array<float>, cell int")
+    asked = spark.createDataFrame([(k, q.tolist(), [0, 1]) for k, q in enumerate(queries)], "qid long, embedding array<double>, near array<int>")
+    graphs = graph.built(table, block=100)
+    few = graph.searched(graphs, asked, most=5)
+    assert few.count() == 30 * 5 * graphs.select("home", "block").distinct().count()
+    assert graph.ranked(few, 5).orderBy("qid", "rank").collect() == graph.ranked(graph.searched(graphs, asked), 5).orderBy("qid", "rank").collect()
+
+
+def test_an_index_is_built_without_the_other(spark, tmp_path):
+    small = "/root/testdata/sf0.001"
+    root = str(tmp_path)
+    indexes.build(spark, root, catalog._chunks(spark, small), None, 2)
+    assert set(current(spark, root).tables) == {"graph", "centroids"}
+    held = current(spark, root).tables["graph"]
+    indexes.build(spark, root, None, catalog._library_documents(spark, small), columns=["filename"])
+    assert set(current(spark, root).tables) == {"graph", "centroids", "postings"} and current(spark, root).tables["graph"] == held
+    assert set(current(spark, catalog._indexed(spark, small, "graph")).tables) == {"graph", "centroids"}

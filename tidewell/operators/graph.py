@@ -11,8 +11,6 @@ ranked. Similarity is the cosine; vectors without a direction are in no graph.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,6 +24,8 @@ M, EF = 16, 64
 #: Vectors of a graph, about.
 BLOCK = 4096
 _STEP = 512
+#: Queries that a block is searched for at once.
+_ASKED = 256
 
 GRAPH = "home int, block bigint, place int, chunk_id bigint, embedding array<float>, links array<int>"
 
@@ -49,28 +49,56 @@ def linked(units: np.ndarray, m: int = M) -> list[list[int]]:
     return links
 
 
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of several stretches, one after another."""
+    return np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+
+
+def beams(units: np.ndarray, links: list[np.ndarray], queries: np.ndarray, ef: int = EF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`beam` for several unit queries side by side: scores (none: -inf) and rows, ``ef`` a query in any order, and how many rows were compared.
+
+    Each step opens the best candidate of every query that still has one; candidates that
+    leave a full list are worse than all of it and would never be opened.
+    """
+    units, queries, lines = units.astype(np.float32), queries.astype(np.float32), np.arange(len(queries))
+    degree = np.array([len(n) for n in links])
+    starts, targets = np.cumsum(degree) - degree, np.concatenate(links).astype(np.int64)
+    seen = np.zeros((len(queries), len(units)), bool)
+    best, rows, ahead = np.full((len(queries), ef), -np.inf, np.float32), np.zeros((len(queries), ef), np.int64), np.zeros((len(queries), ef), bool)
+    seen[:, 0], ahead[:, 0], best[:, 0] = True, True, queries @ units[0]
+    compared, live = np.ones(len(queries), np.int64), lines
+    while True:
+        live = live[ahead[live].any(axis=1)]
+        if not len(live):
+            return best, rows, compared
+        at = np.where(ahead[live], best[live], -np.inf).argmax(axis=1)
+        ahead[live, at] = False
+        node = rows[live, at]
+        who, to = np.repeat(lines[: len(live)], degree[node]), targets[_spans(starts[node], degree[node])]
+        fresh = ~seen[live[who], to]
+        who, to = who[fresh], to[fresh]
+        seen[live[who], to] = True
+        compared[live] += np.bincount(who, minlength=len(live))
+        score = np.einsum("ij,ij->i", units[to], queries[live[who]])
+        better = score > best[live].min(axis=1)[who]
+        who, to, score = who[better], to[better], score[better]
+        new = np.bincount(who, minlength=len(live))
+        if not len(who):
+            continue
+        place = ef + _spans(np.zeros(len(live), np.int64), new)
+        wide = [np.concatenate([x[live], np.zeros((len(live), new.max()), x.dtype)], axis=1) for x in (best, rows, ahead)]
+        wide[0][:, ef:] = -np.inf
+        for x, values in zip(wide, (score, to, True)):
+            x[who, place] = values
+        top = np.argpartition(-wide[0], ef - 1, axis=1)[:, :ef]
+        best[live], rows[live], ahead[live] = (np.take_along_axis(x, top, axis=1) for x in wide)
+
+
 def beam(units: np.ndarray, links: list[np.ndarray], query: np.ndarray, ef: int = EF) -> tuple[list[int], int]:
     """Up to ``ef`` rows most similar to a unit query, best first, and how many rows were compared with it."""
-    seen = np.zeros(len(units), bool)
-    seen[0] = True
-    first = float(units[0] @ query)
-    best, ahead, compared = [(first, 0)], [(-first, 0)], 1
-    while ahead:
-        negative, at = heapq.heappop(ahead)
-        if len(best) >= ef and -negative < best[0][0]:
-            break
-        fresh = links[at][~seen[links[at]]]
-        if not len(fresh):
-            continue
-        seen[fresh] = True
-        compared += len(fresh)
-        for score, k in zip((units[fresh] @ query).tolist(), fresh.tolist()):
-            if len(best) < ef or score > best[0][0]:
-                heapq.heappush(ahead, (-score, k))
-                heapq.heappush(best, (score, k))
-                if len(best) > ef:
-                    heapq.heappop(best)
-    return [k for _, k in sorted(best, key=lambda b: (-b[0], b[1]))], compared
+    best, rows, compared = beams(units, links, query[None, :], ef)
+    found = rows[0][np.isfinite(best[0])]
+    return found[np.lexsort((found, -(units[found] @ query)))].tolist(), int(compared[0])
 
 
 def built(chunks: DataFrame, m: int = M, block: int | None = None) -> DataFrame:
@@ -91,8 +119,11 @@ def built(chunks: DataFrame, m: int = M, block: int | None = None) -> DataFrame:
     return rows.groupBy("home", "part").applyInPandas(build, GRAPH)
 
 
-def searched(graphs: DataFrame, queries: DataFrame, ef: int = EF) -> DataFrame:
-    """(qid, chunk_id, score, compared): up to ``ef`` rows of each block for every query (qid, embedding, near: its cells)."""
+def searched(graphs: DataFrame, queries: DataFrame, ef: int = EF, most: int | None = None) -> DataFrame:
+    """(qid, chunk_id, score, compared): up to ``ef`` rows of each block for every query (qid, embedding, near: its cells).
+
+    With ``most`` a block hands on the best ``most`` of these.
+    """
     blocks = graphs.select("home", "block").distinct()
     asked = queries.select("qid", F.col("embedding").alias("asked"), F.explode(F.col("near").cast("array<int>")).alias("__home"))
     asked = asked.join(blocks, asked["__home"] == blocks["home"]).select("home", "block", "qid", "asked").toDF("home", "block", "qid", "asked")
@@ -102,14 +133,18 @@ def searched(graphs: DataFrame, queries: DataFrame, ef: int = EF) -> DataFrame:
         if len(rows) and len(others):
             rows = rows.sort_values("place")
             units, links = _units(rows["embedding"]), [np.asarray(n, np.int64) for n in rows["links"]]
-            ids, whole = rows["chunk_id"].to_numpy(), vectors.matrix(rows["embedding"])
-            for qid, query in zip(others["qid"], vectors.matrix(others["asked"])):
-                length = np.linalg.norm(query)
-                if not length > 0:
-                    continue
-                found, compared = beam(units, links, query / length, ef)
-                scores = vectors.block_scores("cosine", whole[found], query[None, :])[:, 0]
-                out.append(pd.DataFrame({"qid": qid, "chunk_id": ids[found], "score": scores, "compared": compared}))
+            ids, wanted, qids = rows["chunk_id"].to_numpy(), vectors.matrix(others["asked"]), others["qid"].to_numpy()
+            lengths = np.linalg.norm(wanted, axis=1, keepdims=True)
+            some = np.flatnonzero(lengths[:, 0] > 0)
+            for start in range(0, len(some), _ASKED):
+                now = some[start : start + _ASKED]
+                best, found, compared = beams(units, links, wanted[now] / lengths[now], ef)
+                scores = np.round(np.einsum("qmd,qd->qm", units[found], wanted[now] / lengths[now]), 12)
+                scores[~np.isfinite(best)] = -np.inf
+                order = np.lexsort((ids[found], -scores))[:, : most or ef]
+                scores, found = np.take_along_axis(scores, order, axis=1), np.take_along_axis(found, order, axis=1)
+                line, place = np.nonzero(np.isfinite(scores))
+                out.append(pd.DataFrame({"qid": qids[now][line], "chunk_id": ids[found[line, place]], "score": scores[line, place], "compared": compared[line]}))
         return pd.concat(out) if out else pd.DataFrame({"qid": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "compared": pd.Series(dtype="int64")})
 
     return graphs.groupBy("home", "block").cogroup(asked.groupBy("home", "block")).applyInPandas(search, "qid long, chunk_id long, score double, compared long")

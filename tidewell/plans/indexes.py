@@ -48,14 +48,21 @@ def add(change: Change, chunks: DataFrame, documents: DataFrame, centroids: np.n
     change.append("postings", _posting_rows(documents, columns), by="bucket")
 
 
-def build(spark: SparkSession, root: str, chunks: DataFrame, documents: DataFrame, cells: int = 16, columns: Sequence[str] = SEARCHED) -> int:
-    """Fit cells and index all chunks and documents, in place of earlier indexes; returns the version."""
-    centroids = ann.fit_cells(chunks.filter("embedding IS NOT NULL"), cells)
+def build(spark: SparkSession, root: str, chunks: DataFrame | None, documents: DataFrame | None, cells: int = 16, columns: Sequence[str] = SEARCHED) -> int:
+    """Fit cells and index all chunks and documents, in place of earlier indexes; returns the version.
+
+    A table that only one of the searches is for is built alone: without ``documents`` there
+    are no postings, without ``chunks`` no cells and graphs, and what there was of them stays.
+    """
     with Change(spark, root) as change:
-        for name in ("graph", "postings"):
-            change.tables.pop(name, None)
-        change.replace("centroids", spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centroids)], CENTROIDS))
-        add(change, chunks, documents, centroids, columns)
+        if chunks is not None:
+            centroids = ann.fit_cells(chunks.filter("embedding IS NOT NULL"), cells)
+            change.tables.pop("graph", None)
+            change.replace("centroids", spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centroids)], CENTROIDS))
+            change.append("graph", _graph_rows(chunks, centroids), by="cell")
+        if documents is not None:
+            change.tables.pop("postings", None)
+            change.append("postings", _posting_rows(documents, columns), by="bucket")
     return current(spark, root).number
 
 
@@ -78,7 +85,7 @@ def nearest(spark: SparkSession, root: str, queries: DataFrame, top_k: int, cell
     wanted = sorted(r[0] for r in asked.select(F.explode("near")).distinct().collect())  # at most as many as there are cells
     found = folders_of(spark, root, version.tables["graph"], "cell", wanted)
     graphs = spark.read.schema(graph.GRAPH).parquet(*found) if found else spark.createDataFrame([], graph.GRAPH)
-    hits = graph.searched(graphs, asked, max(ef, top_k))
+    hits = graph.searched(graphs, asked, max(ef, top_k), top_k if chunks is None else None)
     if chunks is not None:
         hits = hits.join(chunks.select(F.col("chunk_id").alias("__there")), hits["chunk_id"] == F.col("__there"), "left_semi")
     return graph.ranked(hits, top_k)
