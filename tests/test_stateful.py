@@ -63,3 +63,36 @@ def test_streams_equal_the_batch(spark, tmp_path, shuffled):
     assert means.keys() == want.keys() and all(abs(means[k] - v) < 1e-12 for k, v in want.items())
     assert len(hits) == 400 and dict(hits) == expected_hits(rows, 900)
     assert 0 < sum(h for _, h in hits) < 400
+
+
+def test_state_in_tables_equals_the_batch(spark, tmp_path):
+    rows = made(400, 5)
+    order = sorted(rows, key=lambda r: r[2])
+    source = str(tmp_path / "in")
+
+    def run():
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        stateful.rolled(stream, f"{tmp_path}/means", f"{tmp_path}/cp", "1 hour", 7)
+
+    for part in range(4):  # by time, with the rows of half an hour out of order
+        lot = [r for k, r in enumerate(order) if min((k + 7 * (k % 2)) // 100, 3) == part]
+        frame(spark, lot).coalesce(1).write.mode("append").parquet(source)
+        if part % 2:
+            run()
+    stateful.flush(frame(spark, rows)).coalesce(1).write.mode("append").parquet(source)
+    run()
+    run()
+    got = [(r["id"], r["rolling"]) for r in spark.read.parquet(f"{tmp_path}/means").filter("id >= 0").collect()]
+    want = expected_means(rows, 7)
+    assert len(got) == 400 and dict(got).keys() == want.keys() and all(abs(v - want[k]) < 1e-12 for k, v in got)
+    assert len({r["batch"] for r in spark.read.parquet(f"{tmp_path}/means").select("batch").distinct().collect()}) > 2  # not all at the end
+
+
+def test_the_end_of_a_stream_makes_no_part_late(spark, tmp_path):
+    from tidewell.plans import catalog
+
+    days = "timestamp_seconds(1700000000 + id * 50) ts"
+    events = spark.range(4000).repartition(9).selectExpr("id event_id", days, "id user_id", "'k' || id % 2 event_type", "id * 0.5D value")
+    events.write.parquet(f"{tmp_path}/events.parquet")  # nine files: a part is more of them than a trigger takes
+    assert catalog.rolling_latency_stream(spark, str(tmp_path)).count() == 4000
+    assert catalog.cache_expiry_stream(spark, str(tmp_path)).count() == 4000

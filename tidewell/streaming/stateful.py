@@ -4,7 +4,8 @@ State lives with the stream's checkpoint, partitioned by key; a batch that is re
 a failure finds the state as it was before. Both operators sort a key's rows by event time,
 hold what the watermark has not passed, and hand rows on in order once it has, so the result
 is that of the batch over the same rows whatever order they arrive in, up to rows later than
-the watermark allows, which Spark drops. ``flush`` ends a finite stream: a last row per key,
+the watermark allows, which Spark drops. A key's state is one row there; :func:`rolled` keeps
+it in tables instead, for keys that hold a large part of all rows. ``flush`` ends a finite stream: a last row per key,
 beyond all others, moves the watermark past them.
 """
 
@@ -13,10 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewell.operators import chatlog
+from tidewell.storage import delete
+
 #: Values that a rolling mean looks back on, and seconds that an answer is kept.
 LAST, TTL = 20, 3600
 
@@ -61,6 +65,48 @@ def rolling_means(events: DataFrame, late: str = "0 seconds", n: int = LAST) ->
     return keyed.applyInPandasWithState(run, "key string, id long, ts timestamp, rolling double", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def rolled(events: DataFrame, path: str, checkpoint: str, late: str = "0 seconds", n: int = LAST) -> None:
+    """:func:`rolling_means` of what there is, for keys of any number of rows, as a Parquet table below ``path``.
+
+    The state is tables beside the checkpoint: rows that the watermark has not passed, and the
+    last ``n - 1`` of each key that it has. A batch adds its rows; once some are passed, these
+    are rolled by blocks (:func:`chatlog.rolling_mean`), so neither a task nor a state row ever
+    holds a key. Every batch writes folders under its number, from those of the batch before:
+    one that is replayed writes the same again.
+    """
+    spark, kept = events.sparkSession, f"{checkpoint}-state"
+    micros = spark.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {late})").first()[0]
+    at, order = F.unix_micros("ts"), ["ts", "id"]
+    marked = "newest bigint, oldest bigint, held array<string>, gone array<string>"
+
+    def step(rows: DataFrame, batch: int) -> None:
+        before = spark.read.schema(marked).parquet(f"{kept}/{batch - 1}/mark").first() if batch else None
+        held = before["held"] if before else []
+        fresh = rows.select("key", "id", "ts", "value", F.lit(False).alias("old"))
+        if before and before["newest"] is not None:
+            fresh = fresh.filter(at > before["newest"] - micros)
+        own = f"{kept}/{batch}/rows"
+        fresh.write.mode("overwrite").parquet(own)
+        low, high = spark.read.schema(fresh.schema).parquet(own).agg(F.min(at), F.max(at)).first()
+        newest, oldest = (of((x for x in pair if x is not None), default=None) for of, pair in ((max, (high, before and before["newest"])), (min, (low, before and before["oldest"]))))
+        gone, now = [], [*held, own]
+        if oldest is not None and oldest <= newest - micros:
+            every = spark.read.schema(fresh.schema).parquet(*now)
+            passed, rest = every.filter(F.col("old") | (at <= newest - micros)), every.filter(~F.col("old") & (at > newest - micros))
+            means = chatlog.rolling_mean(passed, "value", order, ["key"], n, slot=F.date_trunc("hour", "ts"))
+            means.filter(~F.col("old")).select("key", "id", "ts", "rolling").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+            last = F.row_number().over(Window.partitionBy("key").orderBy(*[F.col(c).desc() for c in order]))
+            tail = passed.withColumn("__last", last).filter(F.col("__last") < n).drop("__last").withColumn("old", F.lit(True))
+            rest.unionByName(tail).write.mode("overwrite").parquet(f"{kept}/{batch}/after")
+            gone, now = now, [f"{kept}/{batch}/after"]
+            oldest = spark.read.schema(fresh.schema).parquet(*now).filter(~F.col("old")).agg(F.min(at)).first()[0]
+        spark.createDataFrame([(newest, oldest, now, gone)], marked).write.mode("overwrite").parquet(f"{kept}/{batch}/mark")
+        for folder in before["gone"] if before else []:  # no batch that may be replayed reads these
+            delete(spark, folder)
+
+    events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def cache_hits(asked: DataFrame, late: str = "0 seconds", ttl: int = TTL) -> DataFrame:
     """(key, id, ts, hit) of a stream (key string, id long, ts timestamp) of questions: whether an answer not older than ``ttl`` seconds was there.
 
