@@ -1,11 +1,14 @@
+import hashlib
 import math
+import random
 import unicodedata
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions import detect, text, vectors
+from tidewell.functions import detect, embedding, text, vectors
 from tidewell.functions.embedding import HashingEmbedder, embed_column, embed_question
 
 
@@ -118,6 +121,27 @@ def test_embedding_is_normalised_and_the_same_everywhere(spark):
     assert embed_question(model, "  Taux\nDIRECTEUR ") == pytest.approx(rows[0]["embedding"])
 
 
+def test_features_are_hashed_by_md5_and_not_one_by_one(monkeypatch):
+    r, calls = random.Random(5), []
+    words = ["".join(r.choice("abcXYZ019éÿɏ") for _ in range(r.choice([1, 3, 8, 27, 54, 55, 56, 90]))) for _ in range(400)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, 400, 40)] + ["", "...", "un"]
+
+    def md5(text, of=hashlib.md5):
+        h = of(text.encode()).hexdigest()
+        return int(h[:8], 16), 1 if h[8] < "8" else -1
+
+    want = np.zeros((len(texts), 48))
+    for row, text in zip(want, texts):
+        own = text.split() if text != "..." else []
+        for place, sign in map(md5, own + [f"{a} {b}" for a, b in zip(own, own[1:])]):
+            row[place % 48] += sign
+        row /= np.linalg.norm(row) or 1
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda data, of=hashlib.md5, **k: calls.append(data) or of(data))
+    got = HashingEmbedder(48).embed(texts)
+    assert np.allclose(got, want, atol=1e-6) and HashingEmbedder(48).embed([]).shape == (0, 48)
+    assert calls and all(len(c) > 55 for c in calls)  # the others go side by side
+
+
 def test_fold_is_the_definition_over_all_code_points(spark):
     def definition(text):
         plain = text.replace("\u2019", "'").replace("\u2018", "'")
