@@ -37,6 +37,18 @@ def test_trigrams_are_exact(spark):
     assert [r["id"] for r in ann.substring_search(docs, index, "ra", ["name"]).orderBy("id").collect()] == [1, 4]
 
 
+def test_packed_postings_are_the_postings(spark):
+    texts = ["Rapport annuel", "annuaire " * 400, None, "ra", "", "\U0001f600bc\U0001f600 \0\0\0x", "É\n\téa"]
+    docs = spark.createDataFrame([(k, texts[k % 7], texts[k * 3 % 7]) for k in range(2300)], "id long, a string, b string").coalesce(1)
+    packed = ann.packed_postings(docs, ["a", "b"])
+    got = packed.selectExpr("gram", "explode(ids) id").collect()
+    want = {(low[k : k + 3], r["id"]) for r in docs.collect() for low in [t.lower() for t in (r["a"], r["b"]) if t] for k in range(len(low) - 2)}
+    assert len(got) == len(want) and {(r["gram"], r["id"]) for r in got} == want
+    assert packed.count() < len(want) / 100  # a row for many documents
+    index = packed.selectExpr("gram", "explode(ids) id")
+    assert ann.substring_search(docs, index, "ANNU", ["a", "b"]).count() == sum("annu" in f"{r['a']} {r['b']}".lower() for r in docs.collect())
+
+
 def test_config_layers():
     c = Config.load({"top_k": "5", "unknown": 1, "models": "a, b,"}, {"TIDEWELL_MIN_SIMILARITY": "0.3"})
     assert (c.top_k, c.min_similarity, c.chunk_tokens) == (5, 0.3, 400)

@@ -12,10 +12,11 @@ exact.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from tidewell.sampling import hash_sample
 SAMPLE = 20_000
 #: Candidates of the code index, for each result.
 SPARE = 4
+#: Documents whose ids one row of packed postings may hold.
+PACKED = 1000
 
 
 def fit_cells(chunks: DataFrame, cells: int, key: str = "chunk_id", rounds: int = 10, seed: int = 1) -> np.ndarray:
@@ -107,6 +110,35 @@ def postings(documents: DataFrame, columns: Sequence[str], key: str = "id") -> D
     return documents.select(key, F.explode(grams).alias("gram"))
 
 
+def _grams_of(texts: Sequence[str | None]) -> np.ndarray:
+    """Distinct trigrams of a document's texts, each as its three code points in 63 bits."""
+    out = []
+    for text in texts:
+        if text is not None and len(text) > 2:
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            out.append(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def packed_postings(documents: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
+    """:func:`postings` as (gram, ids): a row for each trigram of at most ``PACKED`` documents that lie together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACKED):
+                some = batch.slice(at, PACKED)
+                each = [_grams_of(texts) for texts in zip(*(some.column(k + 1).to_pylist() for k in range(len(columns))))]
+                grams, ids = np.concatenate(each), np.repeat(some.column(0).to_numpy(zero_copy_only=False), [len(g) for g in each])
+                order = np.argsort(grams, kind="stable")
+                one, starts = np.unique(grams[order], return_index=True)
+                letters = (one[:, None] >> np.array([42, 21, 0]) & 0x1FFFFF).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                names = pa.array([letters[3 * k : 3 * k + 3] for k in range(len(one))], pa.string())
+                yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), pa.array(ids[order], pa.int64()))], ["gram", "ids"])
+
+    rows = documents.select(F.col(key).cast("long").alias("id"), *[F.lower(F.col(c)).alias(f"c{k}") for k, c in enumerate(columns)])
+    return rows.mapInArrow(run, "gram string, ids array<bigint>")
+
+
 def substring_search(documents: DataFrame, index: DataFrame, text: str, columns: Sequence[str], key: str = "id") -> DataFrame:
     """Documents with ``text`` in any column: candidates hold all its trigrams, the rest is not looked at."""
     low = text.lower()

@@ -22,7 +22,8 @@ from tidewell.operators import ann, graph
 from tidewell.versions import Change, Version, current, folders_of
 
 CENTROIDS = "cell int, embedding array<double>"
-POSTINGS = "gram string, id bigint"
+#: ``id`` is what entries of before :func:`ann.packed_postings` have instead of ``ids``.
+POSTINGS = "gram string, ids array<bigint>, id bigint"
 BUCKETS = 64
 SEARCHED = ("filename", "subcategory", "category", "country")
 
@@ -38,8 +39,8 @@ def _graph_rows(chunks: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def _posting_rows(documents: DataFrame, columns: Sequence[str]) -> DataFrame:
-    rows = ann.postings(documents, columns).select("gram", "id").withColumn("bucket", bucket(F.col("gram")))
-    return rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4)))  # a gram in every document is dealt over tasks
+    rows = ann.packed_postings(documents, columns).withColumn("bucket", bucket(F.col("gram")))
+    return rows.repartition("bucket", F.pmod(F.xxhash64("ids"), F.lit(4)))  # a gram in every document is dealt over tasks
 
 
 def add(change: Change, chunks: DataFrame, documents: DataFrame, centroids: np.ndarray, columns: Sequence[str] = SEARCHED) -> None:
@@ -100,4 +101,5 @@ def containing(spark: SparkSession, root: str, documents: DataFrame, text: str,
         wanted = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(bucket(F.col("gram"))).distinct().collect()]
         found = folders_of(spark, root, current(spark, root).tables["postings"], "bucket", sorted(wanted))
         index = spark.read.schema(POSTINGS).parquet(*found) if found else index
-    return ann.substring_search(documents, index, text, columns)
+    some = index.filter(F.col("gram").isin(grams)).select("gram", F.explode(F.coalesce("ids", F.array("id"))).alias("id"))
+    return ann.substring_search(documents, some, text, columns)
