@@ -129,6 +129,15 @@ def test_codes_find_the_nearest(spark):
     assert sum(len(found[q] & set(w)) for q, w in want.items()) >= 0.98 * 8 * len(want)
 
 
+def test_codes_meet_in_bounded_products():
+    r = np.random.default_rng(12)
+    x = r.standard_normal((5_000, 8))
+    coded = retrieval.vectors.matrix(ann._encode(retrieval.pd.Series(list(x))))
+    found = {k: retrieval.best_rows(score, 32) for k, score in retrieval.slices("cosine", coded, x[:300])}
+    assert len(found) == 300 > retrieval._SCORES // len(coded)  # more queries than one product takes
+    assert all(found[k][0] == k and len(found[k]) == 32 for k in found)
+
+
 def test_cells_of_clusters_need_a_quarter(spark, tmp_path):
     x, chunks = embedded(spark, 1000, 24, 7, clusters=20)
     centroids = ann.fit_cells(chunks, 24)
