@@ -4,6 +4,7 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -138,6 +139,22 @@ def test_codes_meet_in_bounded_products():
     assert all(found[k][0] == k and len(found[k]) == 32 for k in found)
 
 
+def test_a_task_holds_few_scores_of_two_full_blocks():
+    r = np.random.default_rng(13)
+    rows, asked = r.standard_normal((retrieval.VECTOR_BLOCK, 8)), r.standard_normal((retrieval.QUERY_BLOCK, 8))
+    pd = retrieval.pd
+    own = pd.DataFrame({"chunk_id": np.arange(len(rows)), "embedding": ann._encode(pd.Series(list(rows)))})
+    others = pd.DataFrame({"qid": np.arange(len(asked)), "asked": list(asked)})
+    tracemalloc.start()
+    try:
+        found = retrieval.met(own, others, 8 * ann.SPARE)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == len(asked) * 8 * ann.SPARE
+    assert peak < len(rows) * len(asked) * 8 / 5  # a fifth of all scores, which a task once held several times
+
+
 def test_cells_of_clusters_need_a_quarter(spark, tmp_path):
     x, chunks = embedded(spark, 1000, 24, 7, clusters=20)
     centroids = ann.fit_cells(chunks, 24)

@@ -77,6 +77,18 @@ def best_rows(scores: np.ndarray, top_k: int) -> np.ndarray:
     return some[np.lexsort((some, -keyed[some]))]
 
 
+def met(own: pd.DataFrame, others: pd.DataFrame, top_k: int, metric: str = "cosine") -> pd.DataFrame:
+    """(qid, chunk_id, score): the ``top_k`` of a block of vectors for each of a block of queries; about ``_SCORES`` scores are held at once."""
+    if not len(own) or not len(others):
+        return pd.DataFrame({"qid": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    own = own.sort_values("chunk_id")
+    ids, best, scores = own["chunk_id"].to_numpy(), [], []
+    for _, score in slices(metric, vectors.matrix(own["embedding"]), vectors.matrix(others["asked"])):
+        best.append(best_rows(score, top_k))
+        scores.append(score[best[-1]])
+    return pd.DataFrame({"qid": np.repeat(others["qid"].to_numpy(), [len(b) for b in best]), "chunk_id": ids[np.concatenate(best)], "score": np.concatenate(scores)})
+
+
 def topk_per_query(chunks: DataFrame, queries: DataFrame, top_k: int, metric: str = "cosine", vector_block: int | None = None, query_block: int | None = None) -> DataFrame:
     """(qid, rank, chunk_id, score): the ``top_k`` nearest chunks of every query.
 
@@ -98,14 +110,7 @@ def topk_per_query(chunks: DataFrame, queries: DataFrame, top_k: int, metric: st
     asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def meet(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(others):
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        own = own.sort_values("chunk_id")
-        ids, best, scores = own["chunk_id"].to_numpy(), [], []
-        for _, score in slices(metric, vectors.matrix(own["embedding"]), vectors.matrix(others["asked"])):
-            best.append(best_rows(score, top_k))
-            scores.append(score[best[-1]])
-        return pd.DataFrame({"qid": np.repeat(others["qid"].to_numpy(), [len(b) for b in best]), "chunk_id": ids[np.concatenate(best)], "score": np.concatenate(scores)})
+        return met(own, others, top_k, metric)
 
     best = rows.groupBy("cell", "part", "group").cogroup(asked.groupBy("cell", "part", "group")).applyInPandas(meet, "qid long, chunk_id long, score double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(*best_first()))  # top_k rows a block
