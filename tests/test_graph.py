@@ -124,6 +124,20 @@ def test_queries_side_by_side_find_what_each_finds_alone(spark):
     assert graph.ranked(few, 5).orderBy("qid", "rank").collect() == graph.ranked(graph.searched(graphs, asked), 5).orderBy("qid", "rank").collect()
 
 
+def test_a_task_takes_few_queries(spark):
+    r = np.random.default_rng(6)
+    table = spark.createDataFrame([(k, v.tolist(), k % 2) for k, v in enumerate(r.standard_normal((300, 8)))], "chunk_id long, embedding array<float>, cell int")
+    asked = spark.createDataFrame([(k, v.tolist(), [0, 1] if k % 3 else [1]) for k, v in enumerate(r.standard_normal((400, 8)))], "qid long, embedding array<double>, near array<int>")
+    graphs = graph.built(table, block=100).cache()
+    each, groups = graph.dealt(graphs, asked, 50)
+    sizes = [n for *_, n in each.groupBy("home", "block", "group").count().collect()]
+    assert groups == 8 and max(sizes) < 100 and len(sizes) == 8 * graphs.select("home", "block").distinct().count()
+    few, whole = (graph.searched(graphs, asked, query_block=b).select("qid", "chunk_id", "score", "compared") for b in (50, None))
+    assert graph.dealt(graphs, asked)[1] == 1 and sorted(few.collect()) == sorted(whole.collect())
+    assert graph.searched(graphs, asked.limit(0)).count() == 0
+    graphs.unpersist()
+
+
 def test_an_index_is_built_without_the_other(spark, tmp_path):
     small = "/root/testdata/sf0.001"
     root = str(tmp_path)

@@ -119,14 +119,25 @@ def built(chunks: DataFrame, m: int = M, block: int | None = None) -> DataFrame:
     return rows.groupBy("home", "part").applyInPandas(build, GRAPH)
 
 
-def searched(graphs: DataFrame, queries: DataFrame, ef: int = EF, most: int | None = None) -> DataFrame:
+def dealt(graphs: DataFrame, queries: DataFrame, query_block: int | None = None) -> tuple[DataFrame, int]:
+    """(home, block, group, qid, asked): every query for each block of its cells, in groups of about ``query_block``; and how many groups there are."""
+    asked = queries.select("qid", F.col("embedding").alias("asked"), F.explode(F.col("near").cast("array<int>")).alias("__home"))
+    most = asked.groupBy("__home").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    groups = max(1, -(-most // (query_block or retrieval.QUERY_BLOCK)))
+    blocks = graphs.select("home", "block").distinct()
+    group = F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int").alias("group")
+    return asked.join(blocks, asked["__home"] == blocks["home"]).select("home", "block", group, "qid", "asked").toDF("home", "block", "group", "qid", "asked"), groups
+
+
+def searched(graphs: DataFrame, queries: DataFrame, ef: int = EF, most: int | None = None, query_block: int | None = None) -> DataFrame:
     """(qid, chunk_id, score, compared): up to ``ef`` rows of each block for every query (qid, embedding, near: its cells).
 
-    With ``most`` a block hands on the best ``most`` of these.
+    With ``most`` a block hands on the best ``most`` of these. Queries are dealt into groups,
+    each of which meets a block in a task of its own, so a task does not grow with them; a
+    graph moves once for each group.
     """
-    blocks = graphs.select("home", "block").distinct()
-    asked = queries.select("qid", F.col("embedding").alias("asked"), F.explode(F.col("near").cast("array<int>")).alias("__home"))
-    asked = asked.join(blocks, asked["__home"] == blocks["home"]).select("home", "block", "qid", "asked").toDF("home", "block", "qid", "asked")
+    asked, groups = dealt(graphs, queries, query_block)
+    graphs = graphs.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def search(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -147,7 +158,7 @@ def searched(graphs: DataFrame, queries: DataFrame, ef: int = EF, most: int | No
                 out.append(pd.DataFrame({"qid": qids[now][line], "chunk_id": ids[found[line, place]], "score": scores[line, place], "compared": compared[line]}))
         return pd.concat(out) if out else pd.DataFrame({"qid": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "compared": pd.Series(dtype="int64")})
 
-    return graphs.groupBy("home", "block").cogroup(asked.groupBy("home", "block")).applyInPandas(search, "qid long, chunk_id long, score double, compared long")
+    return graphs.groupBy("home", "block", "group").cogroup(asked.groupBy("home", "block", "group")).applyInPandas(search, "qid long, chunk_id long, score double, compared long")
 
 
 def ranked(found: DataFrame, top_k: int) -> DataFrame:
